@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .token_files import crc32_of, read_sequences, write_sequences
 from .warc import plan_records, read_warc, write_warc
 
@@ -42,6 +43,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_warc": op4_warc,
     "op5_bpe": op5_bpe,
+    "op9_near_dedup": op9_near_dedup,
     "op10_token_files": op10_token_files,
 }
 
