@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .token_files import crc32_of, read_sequences, write_sequences
+from .topk import top_k
 from .warc import plan_records, read_warc, write_warc
 
 
@@ -43,6 +44,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_warc": op4_warc,
     "op5_bpe": op5_bpe,
+    "op7_topk": op7_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_token_files": op10_token_files,
 }
@@ -98,5 +104,16 @@ d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS best FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN best <> page_id THEN best END AS refers_to FROM m
+""",
+    "op7_topk": """
+WITH ok AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM ok
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
