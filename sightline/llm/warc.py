@@ -124,7 +124,8 @@ def read_warc(index: DataFrame, *, gap: int = 1 << 16, most: int = 1 << 23, stre
     in the record; a revisit has the digest and length of the payload it
     stands for, and no payload.
     """
-    rows = index.select("file", "offset", "length").repartition("file", F.expr(f"offset div {stretch}")).sortWithinPartitions("file", "offset")
+    parallel = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else few index rows end up in one task
+    rows = index.select("file", "offset", "length").repartition(parallel, "file", F.expr(f"offset div {stretch}")).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, source, run_of = None, None, []
