@@ -56,6 +56,13 @@ def lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hold the session's Arrow batches to so many rows, as whole texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

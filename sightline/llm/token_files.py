@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -14,45 +17,79 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import scratch, shared_path, text_of
+from .common import scratch, shared_path, small_batches, text_of
 
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Chunks of text, and words within them, whose ids a worker remembers.
+CACHE = 450_000
+#: Between words that go to the library together; ASCII marks are words of their own.
+MARK = "!"
+TOGETHER = 64
 
 
-class WordEncoder(dict):
-    """Maps a chunk of text without spaces or newlines to its packed ids.
+class WordEncoder:
+    """Encodes texts with a tokenizer that lower-cases and drops white space.
 
-    Space and newline end a word for a tokenizer whose pre-tokenizer drops
-    white space, so the chunks of a text can be encoded one by one; the chunks
-    that a batch of texts brings in anew go to the library in one call.
+    Space and newline end a pre-token, and so do ASCII marks after a letter or
+    digit. So a text's chunks between spaces and newlines are encoded one by
+    one: a chunk is looked up, or put together from its word, lower-cased where
+    it is ASCII, and the marks behind it. Words that are new go to the library
+    in one call, words of letters many to a text with a mark between them.
     """
 
     def __init__(self, config: str, width: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the workers are the parallelism
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(f"<u{width}")
-        self[""] = b""
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.mark = self._encode([MARK])[0]
+        # where the vocabulary makes other ids of what stands between marks, words go one by one
+        probe = self.tokenizer.encode(f"a {MARK} b", add_special_tokens=False).ids
+        whole = b"".join([self._encode(["a"])[0], self.mark, self._encode(["b"])[0]])
+        self.together = len(self.mark) == width and np.array(probe, self.dtype).tobytes() == whole
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(texts), 2000):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
+        return out
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if self.together and w.isalpha()]
+        other = [w for w in words if not (self.together and w.isalpha())]
+        found = dict(zip(other, self._encode(other), strict=True))
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        mark = int.from_bytes(self.mark, "little")
+        for group, ids in zip(groups, self._encode([f" {MARK} ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(ids, self.dtype) == mark) * self.dtype.itemsize
+            starts = [0, *(ends + self.dtype.itemsize).tolist()]
+            if len(starts) != len(group):
+                raise ValueError("the tokenizer does not keep words apart")
+            found.update((w, ids[a:b]) for w, a, b in zip(group, starts, [*ends.tolist(), len(ids)], strict=True))
+        return found
 
     def encode_texts(self, texts: list[str], tail: bytes) -> list[bytes]:
-        chunks = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list({c for some in chunks for c in some if c not in self})
-        found = {}
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for chunk, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                found[chunk] = np.array(encoding.ids, self.dtype).tobytes()
-        room = CACHE - len(self)
-        if len(found) <= room:
-            self.update(found)
-            get = self.__getitem__
-        else:
-            for chunk in list(found)[: max(0, room)]:
-                self[chunk] = found[chunk]
-            get = lambda c: found[c] if c in found else self[c]
-        return [b"".join([*map(get, some), tail]) for some in chunks]
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        chunks, words = self.chunks, self.words
+        new = {c: self._parts(c) for c in set(chain.from_iterable(split)).difference(chunks)}
+        words.update(self._encode_words(list(set(chain.from_iterable(new.values())).difference(words))))
+        chunks.update((c, words[word] + words[marks]) for c, (word, marks) in new.items())
+        out = [b"".join([*map(chunks.__getitem__, some), tail]) for some in split]
+        for held in (words, chunks):
+            while len(held) > CACHE:  # the latest came in for the rarest
+                held.popitem()
+        return out
+
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, str]:
+        """The chunk's word and the ASCII marks behind it, if these are pre-tokens of their own."""
+        word = chunk.rstrip(punctuation)
+        if not word or not word[-1].lower()[-1].isalnum():
+            return chunk, ""
+        return word.lower() if word.isascii() else word, chunk[len(word) :]
 
 
 @lru_cache(maxsize=2)
@@ -73,6 +110,7 @@ def encode_words(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         config = f.read()
     width = 2 if max(Tokenizer.from_str(config).get_vocab_size(with_added_tokens=True), end_id or 0) < 1 << 16 else 4
     tail = b"" if end_id is None else end_id.to_bytes(width, "little")
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
