@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import SPACE_CLASS, lookup, maybe_member, member_bits, scratch, text_of
+from .common import SPACE_CLASS, lookup, maybe_member, member_bits, scratch, small_batches, text_of
 from .components import components
 
 BANDS, BAND_ROWS = 40, 5
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 60 <= percent <= 100:
         raise ValueError("the bands are made for 60 to 100 percent")
     least_agreement = 150 if percent >= 80 else SLOTS * 58 // 100
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), _word_hashes(text_of(text_col)).alias("_words"))
     schema = StructType([StructField("id", id_type), StructField("n", LongType()), StructField("digest", BinaryType()), StructField("sketch", ArrayType(LongType())), StructField("bands", ArrayType(LongType()))])
