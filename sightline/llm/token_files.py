@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import add
 from string import punctuation
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, Str
 from .common import scratch, shared_path, small_batches, text_of
 
 #: Chunks of text, and words within them, whose ids a worker remembers.
-CACHE = 450_000
+CACHE = 300_000
 #: Between words that go to the library together; ASCII marks are words of their own.
 MARK = "!"
 TOGETHER = 64
@@ -74,22 +75,25 @@ class WordEncoder:
     def encode_texts(self, texts: list[str], tail: bytes) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         chunks, words = self.chunks, self.words
-        new = {c: self._parts(c) for c in set(chain.from_iterable(split)).difference(chunks)}
-        words.update(self._encode_words(list(set(chain.from_iterable(new.values())).difference(words))))
-        chunks.update((c, words[word] + words[marks]) for c, (word, marks) in new.items())
+        new = list(set(chain.from_iterable(split)).difference(chunks))
+        ends = list(map(self._word_end, new))
+        heads = [c[:n].lower() if c.isascii() else c[:n] for c, n in zip(new, ends, strict=True)]
+        tails = [c[n:] for c, n in zip(new, ends, strict=True)]
+        words.update(self._encode_words(list(set(chain(heads, tails)).difference(words))))
+        chunks.update(zip(new, map(add, map(words.__getitem__, heads), map(words.__getitem__, tails)), strict=True))
         out = [b"".join([*map(chunks.__getitem__, some), tail]) for some in split]
         for held in (words, chunks):
-            while len(held) > CACHE:  # the latest came in for the rarest
+            for _ in range(len(held) - CACHE):  # the latest came in for the rarest
                 held.popitem()
         return out
 
     @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
-        """The chunk's word and the ASCII marks behind it, if these are pre-tokens of their own."""
+    def _word_end(chunk: str) -> int:
+        """Where the ASCII marks at a chunk's end begin, if they are pre-tokens of their own."""
+        if chunk.isalpha():
+            return len(chunk)
         word = chunk.rstrip(punctuation)
-        if not word or not word[-1].lower()[-1].isalnum():
-            return chunk, ""
-        return word.lower() if word.isascii() else word, chunk[len(word) :]
+        return len(word) if word and word[-1].lower()[-1].isalnum() else len(chunk)
 
 
 @lru_cache(maxsize=2)
