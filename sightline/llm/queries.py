@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
+from .labelled import held_out
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .pii import KINDS, count_of, find_pii, fit_pii, written
+from .quality import fit_quality, score_quality
 from .token_files import crc32_of, read_sequences, write_sequences
 from .topk import top_k
+from .toxicity import fit_toxicity, score_toxicity
 from .warc import plan_records, read_warc, write_warc
 
 
@@ -28,6 +32,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good; kept: likely of grade 1 or more."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") > 0, F.when(F.col("toxic") > 0, 1).otherwise(2))
+    scored = score_quality(docs, fit_quality(docs, labels, grade, 3))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     read = read_warc(write_warc(plan_records(pages)))
@@ -44,6 +56,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit_pii(docs))
+    counts = [count_of("base_spans", kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
@@ -62,9 +87,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
+    "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_token_files": op10_token_files,
 }

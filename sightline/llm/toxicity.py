@@ -165,12 +165,12 @@ def features(text: str, hits: Hits) -> list[float]:
     return [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), hottest / 5, math.log1p(100 * (exact + fuzzy) / len(words))]
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, ratio: float = 6.0, evidence: float = 28.0) -> Lexicon:
+def learn_lexicon(texts: list[str], toxic: np.ndarray, ratio: float = 6.0, chance: float = 0.05) -> Lexicon:
     """Words and stems that toxic texts have far more often than others.
 
     An entry is, smoothed, ratio times as often in toxic texts as in others, by a
-    likelihood ratio statistic over evidence, which chance hardly reaches among
-    all words; its weight is the logarithm of the ratio. A longer stem or word is an
+    likelihood ratio statistic that any of as many entries reaches by mere chance with
+    about the given probability; its weight is the logarithm of the ratio. A longer stem or word is an
     entry of its own only if it says clearly more than the stem it starts with,
     and a stem only if no single word makes up most of it. Words of clean texts that look
     like misspelled terms are remembered as clean.
@@ -179,13 +179,14 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, ratio: float = 6.0, evide
     n1 = int(toxic.sum())
     n0 = len(texts) - n1
     share = n1 / len(texts)
-    least = math.ceil(evidence / 2 / math.log(1 / share))
 
     yes: Counter = Counter()
     for words, label in zip(sets, toxic, strict=True):
         if label:
             yes.update(words)
             yes.update({w[:k] + "*" for w in words for k in range(SHORTEST_STEM, min(len(w), LONGEST_STEM) + 1)})
+    evidence = 2 * math.log(max(1, len(yes)) / chance)
+    least = math.ceil(evidence / 2 / math.log(1 / share))
     yes = Counter({f: c for f, c in yes.items() if c >= least})
     starts = {f[:-1] for f in yes if f.endswith("*")}
     most: dict[str, int] = {}
@@ -258,9 +259,10 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 6000, folds: int = 5) -> ToxicityModel:
     """Learn from at most `sample` labelled rows that are not held out.
 
-    The lexicon of each half of them makes the features of the other half, on
-    which the weights are fitted, so that entries found by chance are not
-    trusted; the final lexicon is learned from all. Without labels of both
+    They are dealt out to parts (two; up to eight if they are few). The lexicon
+    of the other parts makes the features of each part, on which the weights
+    are fitted, so that entries found by chance are not trusted; the final
+    lexicon is learned from all. Without labels of both
     kinds every text gets the smoothed share of label 1, less than a half.
     """
     texts, toxic = labelled_sample(docs, labels, F.col(label_col), id_col, text_col, sample, folds)
@@ -268,10 +270,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not 0 < toxic.sum() < len(toxic):
         return ToxicityModel(Lexicon({}, {}), np.array([0.0] * N_FEATURES + [-2.0]))
     rows = np.zeros((len(texts), N_FEATURES))
-    side = np.arange(len(texts)) % 2
-    for s in (0, 1):
+    parts = max(2, min(8, 4000 // len(texts)))
+    side = np.arange(len(texts)) % parts
+    for s in range(parts):
         learn, use = np.flatnonzero(side != s), np.flatnonzero(side == s)
-        hits = Hits(learn_lexicon([texts[i] for i in learn], toxic[learn]))
+        hits = Hits(learn_lexicon([texts[i] for i in learn], toxic[learn]) if 0 < toxic[learn].sum() < len(learn) else Lexicon({}, {}))
         for i in use:
             rows[i] = features(texts[i], hits)
     return ToxicityModel(learn_lexicon(texts, toxic), fit_logistic(rows, toxic))
