@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from operator import add
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -18,23 +18,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import scratch, shared_path, small_batches, text_of
+from .common import prepare, scratch, shared_path, text_of
 
-#: Chunks of text, and words within them, whose ids a worker remembers.
-CACHE = 300_000
-#: Between words that go to the library together; ASCII marks are words of their own.
+#: Pieces of text whose ids a worker remembers.
+CACHE = 400_000
+#: Between words that go to the library together; a mark is a word of its own.
 MARK = "!"
 TOGETHER = 64
+#: How the tokenizer normalises and cuts, and the same cut of lower-case text of Latin-1 characters.
+NORMALISED = ["NFC", "Replace", "Lowercase"]
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s\x85\xa0a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+", re.ASCII)
+
+
+def _cuts_so(config: str) -> bool:
+    """Whether the tokenizer has the cut for which PIECES stands."""
+    try:
+        read = json.loads(config)
+        return [x["type"] for x in read["normalizer"]["normalizers"]] == NORMALISED and read["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": CUT}
+    except (KeyError, IndexError, TypeError):
+        return False
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases and drops white space.
 
-    Space and newline end a pre-token, and so do ASCII marks after a letter or
-    digit. So a text's chunks between spaces and newlines are encoded one by
-    one: a chunk is looked up, or put together from its word, lower-cased where
-    it is ASCII, and the marks behind it. Words that are new go to the library
-    in one call, words of letters many to a text with a mark between them.
+    A text of Latin-1 characters, which no normalisation changes but lower-casing,
+    is cut into the tokenizer's own pre-tokens here; another at spaces and newlines, which
+    end a pre-token too. Ids of pieces are remembered; the pieces that a batch of
+    texts brings in anew go to the library in few calls, words of letters many
+    to a text with a mark between them.
     """
 
     def __init__(self, config: str, width: int):
@@ -44,13 +57,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(f"<u{width}")
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
         self.mark = self._encode([MARK])[0]
-        # where the vocabulary makes other ids of what stands between marks, words go one by one
-        probe = self.tokenizer.encode(f"a {MARK} b", add_special_tokens=False).ids
-        whole = b"".join([self._encode(["a"])[0], self.mark, self._encode(["b"])[0]])
-        self.together = len(self.mark) == width and np.array(probe, self.dtype).tobytes() == whole
+        self.known = len(self.mark) == width and _cuts_so(config)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -58,43 +67,37 @@ class WordEncoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
         return out
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if self.together and w.isalpha()]
-        other = [w for w in words if not (self.together and w.isalpha())]
-        found = dict(zip(other, self._encode(other), strict=True))
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        plain = [w for w in pieces if w.isalpha()] if self.known else []
+        other = [w for w in pieces if not w.isalpha()] if self.known else pieces
+        yield from zip(other, self._encode(other), strict=True)
         groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        mark = int.from_bytes(self.mark, "little")
         for group, ids in zip(groups, self._encode([f" {MARK} ".join(g) for g in groups]), strict=True):
-            ends = np.flatnonzero(np.frombuffer(ids, self.dtype) == mark) * self.dtype.itemsize
-            starts = [0, *(ends + self.dtype.itemsize).tolist()]
-            if len(starts) != len(group):
+            size = self.dtype.itemsize
+            marks = np.flatnonzero(np.frombuffer(ids, self.dtype) == int.from_bytes(self.mark, "little")) * size
+            if len(marks) != len(group) - 1:
                 raise ValueError("the tokenizer does not keep words apart")
-            found.update((w, ids[a:b]) for w, a, b in zip(group, starts, [*ends.tolist(), len(ids)], strict=True))
-        return found
+            yield from ((w, ids[a:b]) for w, a, b in zip(group, [0, *(marks + size).tolist()], [*marks.tolist(), len(ids)], strict=True))
+
+    def _cut(self, text: str) -> list[str]:
+        if self.known:
+            try:
+                text.isascii() or text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return PIECES.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
 
     def encode_texts(self, texts: list[str], tail: bytes) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        chunks, words = self.chunks, self.words
-        new = list(set(chain.from_iterable(split)).difference(chunks))
-        ends = list(map(self._word_end, new))
-        heads = [c[:n].lower() if c.isascii() else c[:n] for c, n in zip(new, ends, strict=True)]
-        tails = [c[n:] for c, n in zip(new, ends, strict=True)]
-        words.update(self._encode_words(list(set(chain(heads, tails)).difference(words))))
-        chunks.update(zip(new, map(add, map(words.__getitem__, heads), map(words.__getitem__, tails)), strict=True))
-        out = [b"".join([*map(chunks.__getitem__, some), tail]) for some in split]
-        for held in (words, chunks):
-            for _ in range(len(held) - CACHE):  # the latest came in for the rarest
-                held.popitem()
+        cut = list(map(self._cut, texts))
+        held = self.pieces
+        held.update(self._encode_pieces(list(set(chain.from_iterable(cut)).difference(held))))
+        out = [b"".join([*map(held.__getitem__, some), tail]) for some in cut]
+        for _ in range(len(held) - CACHE):  # the latest came in for the rarest
+            held.popitem()
         return out
 
-    @staticmethod
-    def _word_end(chunk: str) -> int:
-        """Where the ASCII marks at a chunk's end begin, if they are pre-tokens of their own."""
-        if chunk.isalpha():
-            return len(chunk)
-        word = chunk.rstrip(punctuation)
-        return len(word) if word and word[-1].lower()[-1].isalnum() else len(chunk)
-
 
 @lru_cache(maxsize=2)
 def _word_encoder(config: str, width: int) -> WordEncoder:
@@ -114,7 +117,7 @@ def encode_words(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         config = f.read()
     width = 2 if max(Tokenizer.from_str(config).get_vocab_size(with_added_tokens=True), end_id or 0) < 1 << 16 else 4
     tail = b"" if end_id is None else end_id.to_bytes(width, "little")
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +229,7 @@ def read_sequences(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     sums = index.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # a row for each file
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = scratch(sums.select("part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset")), "sequence-offsets")
+    prepare(index.sparkSession)
     placed = index.join(F.broadcast(offsets), "part").select(F.col(id_col).alias("_id"), (F.col("_offset") + F.col("local_start")).alias("start"), "n_tokens", "file", "local_start")
     schema = StructType([StructField("_id", index.schema[id_col].dataType), StructField("start", LongType()), StructField("n_tokens", LongType()), StructField("token_ids", BinaryType())])
 
