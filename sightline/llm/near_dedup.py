@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import SPACE_CLASS, lookup, maybe_member, member_bits, scratch, small_batches, text_of
+from .common import SPACE_CLASS, lookup, maybe_member, member_bits, prepare, scratch, text_of
 from .components import components
 
 BANDS, BAND_ROWS = 40, 5
@@ -135,12 +135,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with equal sets form a class, spoken for by its least id. Classes that
     agree in all rows of a band of their SuperMinHash signatures share a
     bucket; at a similarity of 0.8 a pair misses all of the 40 bands of 5 rows
-    with a chance of 1.3e-7. In each bucket every class is first compared with the
-    least one. Of buckets whose members are not all linked by then, members
-    outside the largest component are compared with all that are not linked to them,
+    with a chance of 1.3e-7. A bucket's pivot is the class that meets most others.
+    Every class is compared with the highest of its pivots, then with those
+    that no link joins to it yet. In buckets that still hold several components, members
+    outside the largest are compared with all that are not linked to them,
     so no pair of a bucket is left out unless links join it already. Pairs go
     on if the sizes of their sets allow the similarity and a one-bit sketch of
-    200 bits agrees in 150 (expected at 0.8: 180, deviation 4.2); then the full sets decide (64-bit
+    200 bits agrees in 156 (expected at 0.8: 180, deviation 3.6); then the full sets decide (64-bit
     hashes of shingles). Nothing is capped.
 
     Null text, empty text and white space have an empty set and are linked with
@@ -150,8 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 60 <= percent <= 100:
         raise ValueError("the bands are made for 60 to 100 percent")
-    least_agreement = 150 if percent >= 80 else SLOTS * 58 // 100
-    small_batches(docs.sparkSession)
+    least_agreement = 156 if percent >= 80 else SLOTS * 58 // 100
+    prepare(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), _word_hashes(text_of(text_col)).alias("_words"))
     schema = StructType([StructField("id", id_type), StructField("n", LongType()), StructField("digest", BinaryType()), StructField("sketch", ArrayType(LongType())), StructField("bands", ArrayType(LongType()))])
@@ -172,11 +173,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # buckets: bands that two classes share
     in_bands = scratch(reps.select("rep", "n", "sketch", F.explode("bands").alias("band")), "near-bands")
-    shared = in_bands.groupBy("band").agg(F.count("*").alias("_c"), F.min("rep").alias("pivot")).where("_c > 1").select("band", "pivot")
-    shared = scratch(shared, "near-shared")
+    shared = scratch(in_bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
     bits = scratch(member_bits(shared, ["band"], FILTER_BITS), "near-bits")
     members = maybe_member(in_bands, bits, ["band"], FILTER_BITS).join(lookup(shared), "band")
-    members = scratch(members.select("band", "pivot", "rep", "n", "sketch"), "near-members")
+    members = scratch(members.select("band", "size", "rep", "n", "sketch"), "near-members")
+
+    # a bucket's pivot is the class that meets most others, in all of its buckets
+    met = scratch(members.groupBy("rep").agg(F.sum("size").alias("met"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-met")
+    ranked = members.select("band", "rep").join(lookup(met.select("rep", "met")), "rep")
+    pivots = scratch(ranked.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("m"), F.col("rep"))).alias("p")).select("band", F.col("p.rep").alias("pivot"), F.col("p.m").alias("rank")), "near-pivots")
+    stars = members.select("band", "rep").join(lookup(pivots), "band").where("rep <> pivot")
+    stars = scratch(stars.groupBy("rep", "pivot").agg(F.min("rank").alias("rank")), "near-stars")
+
+    # the full sets of all classes that share a bucket
+    wanted = scratch(member_bits(met, ["rep"], FILTER_BITS), "near-wanted")
+    held = StructType([StructField("id", id_type), StructField("digest", BinaryType()), StructField("set", ArrayType(LongType()))])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches, shingle_words):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([_digest(x) for x in sets], pa.binary()), _lists([x.view(np.int64) for x in sets], pa.int64())], names=held.names)
+
+    plain = maybe_member(docs.select(F.col(id_col).alias("rep"), text_of(text_col).alias("_text")), wanted, ["rep"], FILTER_BITS)
+    sets = plain.select(F.col("rep").alias("id"), _word_hashes(F.col("_text")).alias("_words")).mapInArrow(gather, held)
+    sets = sets.join(classes.select("digest", "rep"), (sets["id"] == classes["rep"]) & (sets["digest"] == classes["digest"])).select("id", "set")
+    sets = scratch(sets, "near-sets")
 
     def may_match(a: str, b: str) -> Column:
         agree = F.lit(SLOTS)
@@ -188,38 +208,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
         pairs = scratch(pairs, f"near-{label}-pairs")
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = member_bits(nodes, ["id"], FILTER_BITS)
-        held = StructType([StructField("id", id_type), StructField("digest", BinaryType()), StructField("set", ArrayType(LongType()))])
-
-        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, sets in _sets(batches, shingle_words):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([_digest(x) for x in sets], pa.binary()), _lists([x.view(np.int64) for x in sets], pa.int64())], names=held.names)
-
-        plain = maybe_member(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text")), wanted, ["id"], FILTER_BITS)
-        sets = plain.select("id", _word_hashes(F.col("_text")).alias("_words")).mapInArrow(gather, held)
-        sets = sets.join(classes.select("digest", "rep"), (sets["id"] == classes["rep"]) & (sets["digest"] == classes["digest"])).select("id", "set")
-        sets = scratch(sets, f"near-{label}-sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b")
         inter = F.size(F.array_intersect("_x", "_y")).cast("long")
         both = both.select("a", "b", inter.alias("_i"), (F.size("_x") + F.size("_y")).cast("long").alias("_s"))
         return scratch(both.where(100 * F.col("_i") >= percent * (F.col("_s") - F.col("_i"))).select("a", "b").distinct(), f"near-{label}-links")
 
-    ends = members.alias("m").where("m.rep <> m.pivot").select("m.rep", "m.n", "m.sketch", "m.pivot").join(reps.select(F.col("rep").alias("pivot"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "pivot")
-    ends = ends.select(F.struct("n", "sketch").alias("x"), F.struct(F.col("n2").alias("n"), F.col("sketch2").alias("sketch")).alias("y"), F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    links = verified(ends.where(may_match("x", "y")).select("a", "b").distinct(), "star")
-
-    roots = scratch(components(links, "a", "b"), "near-roots")
-    placed = members.join(lookup(roots), members["rep"] == roots["node"], "left").select("band", "pivot", "rep", "n", "sketch", F.coalesce("root", "rep").alias("root"))
-    placed = scratch(placed, "near-placed")
+    def likely_stars(pairs: DataFrame) -> DataFrame:
+        """Of pairs (rep, pivot), those (a, b) that sizes and sketches allow."""
+        x = met.select(F.col("rep"), F.struct("n", "sketch").alias("x"))
+        y = met.select(F.col("rep").alias("pivot"), F.struct("n", "sketch").alias("y"))
+        return pairs.select("rep", "pivot").join(x, "rep").join(y, "pivot").where(may_match("x", "y")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+
+    def rooted(of: DataFrame, links: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        roots = scratch(components(links, "a", "b"), f"near-{label}-roots")
+        return scratch(of.join(lookup(roots), of["rep"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "rep")), f"near-{label}-rooted"), roots
+
+    # first every class with its highest pivot, then with pivots that are not linked to it yet
+    best = stars.groupBy("rep").agg(F.min(F.struct("rank", "pivot")).alias("p")).select("rep", F.col("p.pivot").alias("pivot"))
+    links = verified(likely_stars(best), "best")
+    placed, roots = rooted(stars, links, "best")
+    other = placed.join(lookup(roots.select(F.col("node").alias("pivot"), F.col("root").alias("to"))), "pivot", "left").where(F.col("root") != F.coalesce("to", "pivot"))
+    links = scratch(links.unionByName(verified(likely_stars(other), "star")), "near-links")
+
+    # then, in buckets that hold several components, all that no link joins yet
+    placed, _ = rooted(members.join(lookup(pivots.select("band", "pivot")), "band").drop("size"), links, "star")
     by_root = placed.groupBy("band", "root").agg(F.count("*").alias("_c"))
     unsettled = by_root.groupBy("band").agg(F.count("*").alias("_roots"), F.max(F.struct("_c", "root")).alias("_most")).where("_roots > 1")
     unsettled = scratch(unsettled.select("band", F.col("_most.root").alias("most")), "near-unsettled")
-    left = scratch(placed.join(lookup(unsettled), "band").where("rep <> pivot"), "near-left")
-    # neither is the pivot: with it all have been compared
+    left = scratch(placed.where("rep <> pivot").join(lookup(unsettled), "band"), "near-left")
+    # a large bucket may hold many that are just not similar enough: the sets are
+    # compared within the join, so that only links come out of it
+    left = left.join(sets.withColumnRenamed("id", "rep"), "rep")
     x, y = left.where("root <> most").alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.rep") < F.col("y.rep"))) & may_match("x", "y"))
-    rest = verified(pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct(), "rest")
+    open_pair = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.rep") < F.col("y.rep")))
+    linked = (100 + percent) * F.size(F.array_intersect("x.set", "y.set")).cast("long") >= percent * (F.col("x.n") + F.col("y.n"))
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & open_pair & may_match("x", "y") & linked)
+    rest = rest.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
     roots = scratch(components(links.unionByName(rest), "a", "b"), "near-roots")
 
     # from classes to rows; a row's class is known by its digest
