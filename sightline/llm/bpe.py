@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import small_batches, text_of
+from .common import prepare, text_of
 
 #: Bits in a word of the rank bitmap.
 WORD = 256
@@ -155,7 +155,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     no copy of it. Null text counts as empty: no ids. Repeated rows give
     repeated rows, null ids stay null, no rows give no rows.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -173,6 +173,7 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, ids_col: str = "token_ids", o
 
     Null ids give no bytes; an id that the rank file lacks is an error.
     """
+    prepare(tokens.sparkSession)
     with open(ranks_path, "rb") as f:
         held = tokens.sparkSession.sparkContext.broadcast(f.read())
 

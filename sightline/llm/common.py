@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 #: The white space of all text contracts: space and TAB to CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -56,8 +58,10 @@ def lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold the session's Arrow batches to so many rows, as whole texts are large."""
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Before Python runs on executors: send them the package, and hold the
+    session's Arrow batches to so many rows, as whole texts are large."""
+    ship_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, str(rows))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import small_batches, text_of
+from .common import prepare, text_of
 from .labelled import labelled_sample, sigmoid
 
 #: Slots that words and shapes of words are hashed to.
@@ -149,7 +149,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     Columns that already have one of the three names are replaced, others stay.
     No rows give no rows.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     key = id(model)
     own = ["expected_grade", "tail_probability", "grade_tails"]

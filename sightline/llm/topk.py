@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import scratch
+from .common import prepare, scratch
 
 #: Components are held within this, so that no product sum of 4096 of them leaves 64 bits.
 MOST = 1 << 25
@@ -96,6 +96,7 @@ def top_k(
     no rows.
     """
     spark = vectors.sparkSession
+    prepare(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("v")).where("id is not null and v is not null")
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # bounded by the parameter
     sizes = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1)), F.max(F.size("v"))).first()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import small_batches, text_of
+from .common import prepare, text_of
 from .labelled import labelled_sample, sigmoid
 
 WORDS = re.compile(r"\w+")
@@ -297,7 +297,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     the text is looked at. No rows give no rows; a column that already has the name of score_col is
     replaced, other columns stay.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     key = id(model)
     keep = [c for c in docs.columns if c != score_col]

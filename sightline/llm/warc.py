@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import lookup, scratch, shared_path, text_of
+from .common import lookup, prepare, scratch, shared_path, text_of
 
 #: Fixed by the format.
 VERSION = "WARC/1.1"
@@ -71,6 +71,7 @@ def write_warc(records: DataFrame, folder: str | None = None) -> DataFrame:
     task writes an archive of its own name; the index, a table, holds those of
     the attempts that Spark committed. No rows give no archive.
     """
+    prepare(records.sparkSession)
     folder = folder or shared_path(records.sparkSession, "warc")
     schema = StructType([*INDEX.fields, StructField("record_type", StringType()), StructField("id", records.schema["_id"].dataType)])
 
@@ -124,6 +125,7 @@ def read_warc(index: DataFrame, *, gap: int = 1 << 16, most: int = 1 << 23, stre
     in the record; a revisit has the digest and length of the payload it
     stands for, and no payload.
     """
+    prepare(index.sparkSession)
     parallel = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else few index rows end up in one task
     rows = index.select("file", "offset", "length").repartition(parallel, "file", F.expr(f"offset div {stretch}")).sortWithinPartitions("file", "offset")
 
