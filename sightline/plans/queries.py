@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pair_queries
+from . import pair_queries, record_queries
 
-MODULES = (pair_queries,)
+MODULES = (pair_queries, record_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
