@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..shipping import ship_package
 
@@ -31,14 +33,14 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
 def _mapped(files: DataFrame, schema: str, rows: Callable[[str, bytes], Iterable[tuple]]) -> DataFrame:
     """files (path, content) through rows(path, content), which yields tuples of the schema."""
     ship_package(files.sparkSession)
-    names = [x.split()[0] for x in schema.split(", ")]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 found = list(rows(path, content))
                 if found:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in found])
+                    yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in found], schema=arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
