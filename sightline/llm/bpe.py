@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import prepare, text_of
+from .common import prepare, text_of, worker_state
 
 #: Bits in a word of the rank bitmap.
 WORD = 256
@@ -62,9 +61,8 @@ class RankQueue:
 class Encoder(dict):
     """Maps a pre-token to its ids, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0))
         self.packed = {piece: rank.to_bytes(4, "little") for piece, rank in ranks.items()}
         self.pieces = {rank: piece for piece, rank in ranks.items()}
@@ -116,8 +114,8 @@ class Encoder(dict):
             i = end[i]
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+    def encode(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -128,9 +126,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in data.splitlines() if line)}
 
 
-@lru_cache(maxsize=2)
-def _encoder(data: bytes, pattern: str) -> Encoder:
-    return Encoder(read_ranks(data), pattern)
+def _encoder(data: bytes) -> Encoder:
+    return worker_state(("bpe", hash(data)), lambda: Encoder(read_ranks(data)))
 
 
 def _with_column(df: DataFrame, name: str, kind, make) -> DataFrame:
@@ -160,8 +157,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batch: pa.RecordBatch) -> pa.Array:
-        encoder = _encoder(held.value, pattern)
-        return pa.array([encoder.encode(x) for x in batch.column("_text").to_pylist()], pa.binary())
+        encoder, cut = _encoder(held.value), regex.compile(pattern).findall
+        return pa.array([encoder.encode(cut(x)) for x in batch.column("_text").to_pylist()], pa.binary())
 
     plain = docs.select(F.col(id_col), *keep, text_of(text_col).alias("_text"))
     out = _with_column(plain, "token_ids", BinaryType(), encode)
@@ -178,7 +175,7 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, ids_col: str = "token_ids", o
         held = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def decode(batch: pa.RecordBatch) -> pa.Array:
-        encoder = _encoder(held.value, "")
+        encoder = _encoder(held.value)
         return pa.array([encoder.decode(x or b"") for x in batch.column(ids_col).to_pylist()], pa.binary())
 
     return _with_column(tokens, out_col, BinaryType(), decode)

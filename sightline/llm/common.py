@@ -2,60 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import BROADCAST_ROWS, discard_scratch, lookup, scratch, shared_path, shared_root
 from ..shipping import ship_package
 
 #: The white space of all text contracts: space and TAB to CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-#: A table of at most so many rows is small enough to broadcast.
-BROADCAST_ROWS = 200_000
-_ROOTS: dict[str, str] = {}
+T = TypeVar("T")
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in
-    sessions without it (tests on one machine) a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _ROOTS:
-            _ROOTS[app] = tempfile.mkdtemp(prefix="sightline-")
-        base = _ROOTS[app]
-    return f"{base.rstrip('/')}/sightline"
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs the tasks that ran on it, not
-    the steps before. A table read again also carries no partitioning, so a
-    join on it gets exchanges that adaptive execution can split when skewed.
-    """
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table and file; call it when results are stored."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
-
-
-def lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if it is a scratch table of at most limit rows."""
-    return F.broadcast(small) if small.count() <= limit else small
+__all__ = ["BROADCAST_ROWS", "discard_scratch", "lookup", "mark_members", "maybe_member", "member_bits", "n_words", "prepare", "scratch", "shared_path", "shared_root", "text_of", "without_space", "worker_state"]
 
 
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
@@ -67,6 +29,22 @@ def prepare(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+_STATE: dict[object, object] = {}
+
+
+def worker_state(key: object, make: Callable[[], T]) -> T:
+    """What make returns, kept in the Python worker from task to task.
+
+    A worker serves one operator after another; what another operator left
+    there is dropped first, so the memory of two never adds up.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import SPACE_CLASS, lookup, maybe_member, member_bits, prepare, scratch, text_of
-from .components import components
+from ..operators.graph import components
+from .common import SPACE_CLASS, lookup, maybe_member, member_bits, prepare, scratch, text_of, worker_state
 
 BANDS, BAND_ROWS = 40, 5
 SLOTS = BANDS * BAND_ROWS
@@ -104,6 +104,7 @@ def _digest(elements: np.ndarray) -> bytes:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
     """Of each row of the batches: the id column's slice, and the shingle sets."""
+    worker_state("near", dict)
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import prepare, text_of
+from .common import prepare, text_of, worker_state
 from .labelled import labelled_sample, sigmoid
 
 #: Slots that words and shapes of words are hashed to.
 SLOTS = 1 << 17
-CACHE = 500_000
+CACHE = 300_000
 RUNS = re.compile(r"(.)\1+")
 
 
@@ -139,9 +140,6 @@ class Weights(dict):
         return found
 
 
-_WEIGHTS: dict[int, Weights] = {}
-
-
 def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", *, tail_from: int = 1) -> DataFrame:
     """docs with expected_grade, tail_probability (of grade tail_from or more) and grade_tails.
 
@@ -151,17 +149,14 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     """
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(model)
+    key = uuid.uuid4().hex
     own = ["expected_grade", "tail_probability", "grade_tails"]
     keep = [c for c in docs.columns if c not in own]
     schema = StructType([*(docs.schema[c] for c in keep), StructField(own[0], DoubleType()), StructField(own[1], DoubleType()), StructField(own[2], ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        if key not in _WEIGHTS:
-            _WEIGHTS.clear()
-            _WEIGHTS[key] = Weights(model)
-        weights = _WEIGHTS[key]
+        weights = worker_state(("quality", key), lambda: Weights(model))
         for batch in batches:
             eta = []
             for text in batch.column(batch.num_columns - 1).to_pylist():

@@ -7,7 +7,6 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import prepare, scratch, shared_path, text_of
+from .common import prepare, scratch, shared_path, text_of, worker_state
 
 #: Pieces of text whose ids a worker remembers.
 CACHE = 400_000
@@ -99,11 +98,6 @@ class WordEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _word_encoder(config: str, width: int) -> WordEncoder:
-    return WordEncoder(config, width)
-
-
 def encode_words(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int | None = None) -> tuple[DataFrame, int]:
     """id and packed token_ids of each row's whole text, and the bytes an id takes.
 
@@ -121,7 +115,7 @@ def encode_words(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     held = docs.sparkSession.sparkContext.broadcast(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _word_encoder(held.value, width)
+        encoder = worker_state(("words", hash(held.value), width), lambda: WordEncoder(held.value, width))
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import prepare, text_of
+from .common import prepare, text_of, worker_state
 from .labelled import labelled_sample, sigmoid
 
 WORDS = re.compile(r"\w+")
@@ -26,7 +27,7 @@ REPORTING = frozenset("called calling calls quote quoted quotes quoting said say
 WINDOW = 8
 #: What a quoted term counts in a window.
 QUOTED = 0.2
-CACHE = 600_000
+CACHE = 300_000
 SHORTEST_FUZZY, LONG_TERM, SHORTEST_STEM, LONGEST_STEM = 5, 8, 3, 8
 
 
@@ -256,7 +257,7 @@ class ToxicityModel:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 6000, folds: int = 5) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 4000, folds: int = 5) -> ToxicityModel:
     """Learn from at most `sample` labelled rows that are not held out.
 
     They are dealt out to parts (two; up to eight if they are few). The lexicon
@@ -280,16 +281,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return ToxicityModel(learn_lexicon(texts, toxic), fit_logistic(rows, toxic))
 
 
-_HITS: dict[int, tuple[ToxicityModel, Hits]] = {}
-
-
-def _hits(key: int, model: ToxicityModel) -> Hits:
-    if key not in _HITS:
-        _HITS.clear()
-        _HITS[key] = (model, Hits(model.lexicon))
-    return _HITS[key][1]
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", *, score_col: str = "score") -> DataFrame:
     """docs with score_col: how likely the whole text is toxic, from 0 to 1.
 
@@ -299,13 +290,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(model)
+    key = uuid.uuid4().hex
     keep = [c for c in docs.columns if c != score_col]
     schema = StructType([*(docs.schema[c] for c in keep), StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        hits = _hits(key, model)
+        hits = worker_state(("toxicity", key), lambda: Hits(model.lexicon))
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             scores = model.score([features(x, hits) for x in texts])
