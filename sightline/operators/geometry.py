@@ -34,13 +34,13 @@ def camera_centre(r: Column, t: Column) -> Column:
     return F.array(*(-sum((_at(r, k, i) * F.element_at(t, k + 1) for k in range(3)), F.lit(0.0)) for i in range(3)))
 
 
-def baseline_direction(r1: Column, t1: Column, r2: Column, t2: Column) -> Column:
-    """The unit direction from the first camera's centre to the second's, in the first camera; null if they coincide."""
-    c1, c2 = camera_centre(r1, t1), camera_centre(r2, t2)
-    gap = [F.element_at(c2, k) - F.element_at(c1, k) for k in (1, 2, 3)]
-    local = [sum((_at(r1, i, k) * gap[k] for k in range(3)), F.lit(0.0)) for i in range(3)]
-    norm = F.sqrt(sum((v * v for v in local), F.lit(0.0)))
-    return F.when(norm > 1e-12, F.array(*(v / norm for v in local)))
+def baseline_direction(r1: Column, c1: Column, c2: Column) -> Column:
+    """The unit direction from a camera of rotation r1 and centre c1 to the centre c2, in that camera; null if they coincide."""
+    gap = F.zip_with(c2, c1, lambda a, b: a - b)
+    local = F.element_at(F.transform(F.array(gap), lambda g: F.array(*(sum((_at(r1, i, k) * F.element_at(g, k + 1) for k in range(3)), F.lit(0.0)) for i in range(3)))), 1)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform(F.array(local), lambda v: F.when(norm(v) > 1e-12, F.transform(v, lambda x: x / norm(v))))
+    return F.element_at(unit, 1)
 
 
 def direction_angle_degrees(a: Column, b: Column) -> Column:
@@ -57,15 +57,18 @@ def pose_agreement(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     between relative rotations, and between baseline directions where neither
     baseline is 0. Medians over nothing are null.
     """
-    both = reference.select("key", "camera", F.col("r").alias("r"), F.col("t").alias("t")).join(candidate.select("key", "camera", F.col("r").alias("u"), F.col("t").alias("v")), ["key", "camera"])
-    one = both.select("key", F.col("camera").alias("c1"), *(F.col(c).alias(f"{c}1") for c in "rtuv"))
-    two = both.select("key", F.col("camera").alias("c2"), *(F.col(c).alias(f"{c}2") for c in "rtuv"))
-    pairs = one.join(two, "key").where("c1 < c2")
+    both = reference.select("key", "camera", "r", camera_centre(F.col("r"), F.col("t")).alias("c")).join(candidate.select("key", "camera", F.col("r").alias("u"), camera_centre(F.col("r"), F.col("t")).alias("d")), ["key", "camera"])
+    one = both.select("key", F.col("camera").alias("m1"), *(F.col(x).alias(f"{x}1") for x in "rcud"))
+    two = both.select("key", F.col("camera").alias("m2"), *(F.col(x).alias(f"{x}2") for x in "rcud"))
+    pairs = one.join(two, "key").where("m1 < m2")
     pairs = pairs.select(
         "key",
-        rotation_angle_degrees(relative_rotation(F.col("r1"), F.col("r2")), relative_rotation(F.col("u1"), F.col("u2"))).alias("rot"),
-        direction_angle_degrees(baseline_direction(*map(F.col, ("r1", "t1", "r2", "t2"))), baseline_direction(*map(F.col, ("u1", "v1", "u2", "v2")))).alias("dir"),
+        relative_rotation(F.col("r1"), F.col("r2")).alias("r"),
+        relative_rotation(F.col("u1"), F.col("u2")).alias("u"),
+        baseline_direction(F.col("r1"), F.col("c1"), F.col("c2")).alias("b"),
+        baseline_direction(F.col("u1"), F.col("d1"), F.col("d2")).alias("e"),
     )
+    pairs = pairs.select("key", rotation_angle_degrees(F.col("r"), F.col("u")).alias("rot"), direction_angle_degrees(F.col("b"), F.col("e")).alias("dir"))
     angles = pairs.groupBy("key").agg(F.count("*").alias("pair_count"), F.median("rot").alias("rotation_deg"), F.count("dir").alias("translation_pairs"), F.median("dir").alias("translation_deg"))
     counts = reference.select("key", "camera", F.lit(1).alias("a")).join(candidate.select("key", "camera", F.lit(1).alias("b")), ["key", "camera"], "full")
     counts = counts.groupBy("key").agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"), F.count("a").alias("reference_count"), F.count("b").alias("candidate_count"), F.count("*").alias("union_count"))
