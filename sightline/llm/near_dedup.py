@@ -147,12 +147,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text, empty text and white space have an empty set and are linked with
     nothing. Null ids take no part in links, have no component and stay. Rows
-    that repeat an id are one document: a link of either is a link of the id.
+    that repeat an id are taken one by one; where one id speaks for several
+    classes, these count as linked.
     No rows give no rows. Other columns are ignored.
     """
-    if not 60 <= percent <= 100:
-        raise ValueError("the bands are made for 60 to 100 percent")
-    least_agreement = 156 if percent >= 80 else SLOTS * 58 // 100
+    if not 75 <= percent <= 100:
+        raise ValueError("the bands are made for 75 to 100 percent")
+    least_agreement = 156 if percent >= 80 else 150
     prepare(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), _word_hashes(text_of(text_col)).alias("_words"))
