@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.bpe import bpe_decode, bpe_encode
+from sightline.llm.bpe import bpe_encode
 from sightline.llm.common import lookup, scratch, text_of, without_space
 from sightline.llm.exact_dedup import exact_dedup
 from sightline.llm.mixing import mix_sources
@@ -55,8 +55,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, little-endian unsigned 32-bit, and whether they decode to it."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     kept = docs.withColumn("_digest", F.sha2(F.encode(text_of("text"), "utf-8"), 256))
-    encoded = bpe_encode(kept, ranks, public_tokenizers.PATTERN, keep=("lang", "source", "_digest"))
-    return bpe_decode(encoded, ranks).select("doc_id", "lang", "source", "n_tokens", "token_ids", (F.sha2("decoded", 256) == F.col("_digest")).alias("round_trip"))
+    encoded = bpe_encode(kept, ranks, public_tokenizers.PATTERN, keep=("lang", "source", "_digest"), decoded_col="decoded")
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "token_ids", (F.sha2("decoded", 256) == F.col("_digest")).alias("round_trip"))
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("byte-level BPE", tokens)]

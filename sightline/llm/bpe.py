@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -11,14 +11,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, LongType, StructField, StructType
 
 from .common import prepare, text_of, worker_state
 
 #: Bits in a word of the rank bitmap.
 WORD = 256
 #: Pre-tokens whose ids a worker remembers; others are encoded each time they occur.
-CACHE = 600_000
+CACHE = 500_000
 
 
 class RankQueue:
@@ -130,38 +130,42 @@ def _encoder(data: bytes) -> Encoder:
     return worker_state(("bpe", hash(data)), lambda: Encoder(read_ranks(data)))
 
 
-def _with_column(df: DataFrame, name: str, kind, make) -> DataFrame:
-    """df with the column that make(batch) gives, computed on Arrow batches."""
-    schema = StructType([*(f for f in df.schema.fields if f.name != name), StructField(name, kind)])
-    names = [f.name for f in schema.fields[:-1]]
+def _with_columns(df: DataFrame, kinds: dict[str, DataType], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """df with the columns that make(batch) gives, computed on Arrow batches."""
+    schema = StructType([*(f for f in df.schema.fields if f.name not in kinds), *(StructField(n, k) for n, k in kinds.items())])
+    names = [f.name for f in schema.fields[: -len(kinds)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = make(batch)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), column], names=[*names, name])
+            for k in range(0, batch.num_rows, 250):
+                part = batch.slice(k, 250)
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *make(part)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = ()) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = (), decoded_col: str | None = None) -> DataFrame:
     """id, the columns of keep, token_ids and n_tokens of each row's whole text.
 
     token_ids holds the ids as little-endian unsigned 32-bit integers. Each
     match of pattern is encoded alone; there are no special tokens. The rank
     file (about 1 MB) is read on the driver and sent along, so executors need
-    no copy of it. Null text counts as empty: no ids. Repeated rows give
-    repeated rows, null ids stay null, no rows give no rows.
+    no copy of it. With decoded_col, the ids are also decoded, as bpe_decode
+    does, before they leave the worker. Null text counts as empty: no ids.
+    Repeated rows give repeated rows, null ids stay null, no rows give no rows.
     """
     prepare(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def encode(batch: pa.RecordBatch) -> pa.Array:
+    def encode(batch: pa.RecordBatch) -> list[pa.Array]:
         encoder, cut = _encoder(held.value), regex.compile(pattern).findall
-        return pa.array([encoder.encode(cut(x)) for x in batch.column("_text").to_pylist()], pa.binary())
+        ids = [encoder.encode(cut(x)) for x in batch.column("_text").to_pylist()]
+        return [pa.array(ids, pa.binary()), *([pa.array(map(encoder.decode, ids), pa.binary())] if decoded_col else [])]
 
     plain = docs.select(F.col(id_col), *keep, text_of(text_col).alias("_text"))
-    out = _with_column(plain, "token_ids", BinaryType(), encode)
+    kinds = {"token_ids": BinaryType()} | ({decoded_col: BinaryType()} if decoded_col else {})
+    out = _with_columns(plain, kinds, encode)
     return out.drop("_text").withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast(LongType()))
 
 
@@ -174,8 +178,8 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, ids_col: str = "token_ids", o
     with open(ranks_path, "rb") as f:
         held = tokens.sparkSession.sparkContext.broadcast(f.read())
 
-    def decode(batch: pa.RecordBatch) -> pa.Array:
+    def decode(batch: pa.RecordBatch) -> list[pa.Array]:
         encoder = _encoder(held.value)
-        return pa.array([encoder.decode(x or b"") for x in batch.column(ids_col).to_pylist()], pa.binary())
+        return [pa.array([encoder.decode(x or b"") for x in batch.column(ids_col).to_pylist()], pa.binary())]
 
-    return _with_column(tokens, out_col, BinaryType(), decode)
+    return _with_columns(tokens, {out_col: BinaryType()}, decode)

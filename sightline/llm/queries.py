@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .labelled import held_out
 from .mixing import mix_sources
@@ -51,8 +51,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe_decode(encoded, ranks)
+    decoded = bpe_encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded_col="decoded")
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
