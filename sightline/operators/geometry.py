@@ -15,7 +15,7 @@ def rotation_about_z(angle: Column) -> Column:
 
 
 def _at(m: Column, i: int, j: int) -> Column:
-    return F.element_at(m, 3 * i + j + 1)
+    return m[3 * i + j]
 
 
 def relative_rotation(a: Column, b: Column) -> Column:
@@ -25,19 +25,19 @@ def relative_rotation(a: Column, b: Column) -> Column:
 
 def rotation_angle_degrees(a: Column, b: Column) -> Column:
     """The angle of the rotation between two rotations."""
-    dot = sum((F.element_at(a, k) * F.element_at(b, k) for k in range(1, 10)), F.lit(0.0))
+    dot = sum((a[k] * b[k] for k in range(9)), F.lit(0.0))
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (dot - 1) / 2))))
 
 
 def camera_centre(r: Column, t: Column) -> Column:
     """The centre of a camera: minus the transposed rotation times the translation."""
-    return F.array(*(-sum((_at(r, k, i) * F.element_at(t, k + 1) for k in range(3)), F.lit(0.0)) for i in range(3)))
+    return F.array(*(-sum((_at(r, k, i) * t[k] for k in range(3)), F.lit(0.0)) for i in range(3)))
 
 
 def baseline_direction(r1: Column, c1: Column, c2: Column) -> Column:
     """The unit direction from a camera of rotation r1 and centre c1 to the centre c2, in that camera; null if they coincide."""
     gap = F.zip_with(c2, c1, lambda a, b: a - b)
-    local = F.element_at(F.transform(F.array(gap), lambda g: F.array(*(sum((_at(r1, i, k) * F.element_at(g, k + 1) for k in range(3)), F.lit(0.0)) for i in range(3)))), 1)
+    local = F.element_at(F.transform(F.array(gap), lambda g: F.array(*(sum((_at(r1, i, k) * g[k] for k in range(3)), F.lit(0.0)) for i in range(3)))), 1)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     unit = F.transform(F.array(local), lambda v: F.when(norm(v) > 1e-12, F.transform(v, lambda x: x / norm(v))))
     return F.element_at(unit, 1)
@@ -45,7 +45,7 @@ def baseline_direction(r1: Column, c1: Column, c2: Column) -> Column:
 
 def direction_angle_degrees(a: Column, b: Column) -> Column:
     """The angle between two unit vectors."""
-    dot = sum((F.element_at(a, k) * F.element_at(b, k) for k in (1, 2, 3)), F.lit(0.0))
+    dot = sum((a[k] * b[k] for k in range(3)), F.lit(0.0))
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
 
 
