@@ -23,14 +23,16 @@ BASE = {
 #: A text without this has no span of the kind.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){13}[0-9]", "phone": r"\+[0-9]"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
-#: Wider shapes that the classifier may add.
+#: Wider shapes that the classifier may add. A card number must pass the Luhn check in any
+#: shape: of long numbers that fail it, most are none.
+AT, DOT = r"\x20?[(\[]\x20?at\x20?[)\]]\x20?", r"\x20?[(\[]\x20?dot\x20?[)\]]\x20?"
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[A-Za-z]{2,10}\b",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:(?:{AT})[A-Za-z0-9-]{{1,63}}(?:{DOT}|\.)|\x20at\x20[A-Za-z0-9-]{{1,63}}(?:{DOT}|\x20dot\x20))[A-Za-z]{{2,10}}\b",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])",
-    "card": BASE["card"],
+    "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){2}[\x20._/-]{1,3}[0-9]{2,7}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
 }
-WIDE_HINT = {"email": r"(?:[(\[]at[)\]]|\x20at\x20\S+(?:\.|\x20dot\x20|\x20?[(\[]dot[)\]]))", "ip": r"\[\.\]", "card": HINT["card"], "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
+WIDE_HINT = {"email": r"[(\[]\x20?at\x20?[)\]]|\x20at\x20[A-Za-z0-9-]+\x20?[(\[]?\x20?dot", "ip": r"\[\.\]", "card": r"[0-9]{4}[\x20._/-]{1,3}[0-9]{4}[\x20._/-]", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
 #: The gazetteers: ends of host names, card issuers, area codes, network numbers.
 GAZETTEER = {
     "email": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us)$",
@@ -107,7 +109,7 @@ def wide_spans(text: Column, kind: str, base: Column) -> Column:
     """Spans of the wider shape that overlap no base span of the kind."""
     spans = found(text, kind, WIDE[kind], WIDE_HINT[kind])
     if kind == "card":
-        spans = F.filter(spans, lambda x: F.char_length(digits(x["t"])).between(14, 19))
+        spans = F.filter(spans, lambda x: F.char_length(digits(x["t"])).between(14, 19) & luhn(digits(x["t"])))
     return F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
 
 
@@ -215,7 +217,7 @@ def fit_pii(docs: DataFrame, text_col: str = "text") -> SpanModel:
     kind; all else works on these. Only the weights come to the driver.
     """
     text = F.col("_text")
-    plain = docs.select(text_of(text_col).alias("_text")).where(text.rlike("@|[0-9]|[(\\[]at[)\\]]| at "))
+    plain = docs.select(text_of(text_col).alias("_text")).where(text.rlike("@|[0-9]|" + WIDE_HINT["email"]))
     some = []
     for kind in KINDS:
         base = base_spans(text, kind)
