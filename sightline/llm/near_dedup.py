@@ -221,19 +221,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         y = met.select(F.col("rep").alias("pivot"), F.struct("n", "sketch").alias("y"))
         return pairs.select("rep", "pivot").join(x, "rep").join(y, "pivot").where(may_match("x", "y")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
 
-    def rooted(of: DataFrame, links: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-        roots = scratch(components(links, "a", "b"), f"near-{label}-roots")
-        return scratch(of.join(lookup(roots), of["rep"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "rep")), f"near-{label}-rooted"), roots
+    def rooted(of: DataFrame, roots: DataFrame, label: str) -> DataFrame:
+        return scratch(of.join(lookup(roots), of["rep"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "rep")), f"near-{label}-rooted")
+
+    def with_more(roots: DataFrame, more: DataFrame) -> DataFrame:
+        """The roots when more links come in: a tree of each component stands for its links."""
+        if not more.limit(1).count():
+            return roots
+        joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
+        return scratch(joined, "near-roots")
 
     # first every class with its highest pivot, then with pivots that are not linked to it yet
     best = stars.groupBy("rep").agg(F.min(F.struct("rank", "pivot")).alias("p")).select("rep", F.col("p.pivot").alias("pivot"))
-    links = verified(likely_stars(best), "best")
-    placed, roots = rooted(stars, links, "best")
+    roots = scratch(components(verified(likely_stars(best), "best"), "a", "b"), "near-roots")
+    placed = rooted(stars, roots, "best")
     other = placed.join(lookup(roots.select(F.col("node").alias("pivot"), F.col("root").alias("to"))), "pivot", "left").where(F.col("root") != F.coalesce("to", "pivot"))
-    links = scratch(links.unionByName(verified(likely_stars(other), "star")), "near-links")
+    roots = with_more(roots, verified(likely_stars(other), "star"))
 
     # then, in buckets that hold several components, all that no link joins yet
-    placed, _ = rooted(members.join(lookup(pivots.select("band", "pivot")), "band").drop("size"), links, "star")
+    placed = rooted(members.join(lookup(pivots.select("band", "pivot")), "band").drop("size"), roots, "star")
     by_root = placed.groupBy("band", "root").agg(F.count("*").alias("_c"))
     unsettled = by_root.groupBy("band").agg(F.count("*").alias("_roots"), F.max(F.struct("_c", "root")).alias("_most")).where("_roots > 1")
     unsettled = scratch(unsettled.select("band", F.col("_most.root").alias("most")), "near-unsettled")
@@ -246,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = (100 + percent) * F.size(F.array_intersect("x.set", "y.set")).cast("long") >= percent * (F.col("x.n") + F.col("y.n"))
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & open_pair & may_match("x", "y") & linked)
     rest = rest.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    roots = scratch(components(links.unionByName(rest), "a", "b"), "near-roots")
+    roots = with_more(roots, scratch(rest, "near-rest"))
 
     # from classes to rows; a row's class is known by its digest
     named = scratch(classes.join(lookup(roots), classes["rep"] == roots["node"], "left").select("digest", "n", F.coalesce("root", "rep").alias("root")), "near-named")
