@@ -39,8 +39,8 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        word, bit = divmod(rank, WORD)
-        self.words[word] |= 1 << bit
+        word = rank // WORD
+        self.words[word] |= 1 << rank % WORD
         self.top |= 1 << word
 
     def pop(self) -> tuple[int, int]:
@@ -49,13 +49,13 @@ class RankQueue:
         low = bits & -bits
         rank = word * WORD + low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits ^ low
-            if bits == low:
-                self.top ^= 1 << word
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.words[word] = bits ^ low
+        if bits == low:
+            self.top ^= 1 << word
+        return rank, bucket[0]
 
 
 class Encoder(dict):
@@ -83,31 +83,33 @@ class Encoder(dict):
         is stale, and skipped, when its part's pair has another rank by now.
         """
         rank_of, queue, n = self.ranks.get, self.queue, len(piece)
+        push, pop = queue.push, queue.pop
         end = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        now = [-1] * n
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
+        now = [rank_of(piece[i : i + 2]) for i in range(n)]
+        now[-1] = None
+        for i, rank in enumerate(now):
             if rank is not None:
-                now[i] = rank
-                queue.push(rank, i)
+                push(rank, i)
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             if now[i] != rank:
                 continue
             j = end[i]
-            now[j] = -1
+            now[j] = None
             stop = end[i] = end[j]
             if stop < n:
                 before[stop] = i
-            for k in (i, before[i]):
-                if k < 0:
-                    continue
-                after = end[k]
-                found = rank_of(piece[k : end[after]]) if after < n else None
-                now[k] = -1 if found is None else found
+                found = now[i] = rank_of(piece[i : end[stop]])
                 if found is not None:
-                    queue.push(found, k)
+                    push(found, i)
+            else:
+                now[i] = None
+            k = before[i]
+            if k >= 0:
+                found = now[k] = rank_of(piece[k:stop])
+                if found is not None:
+                    push(found, k)
         out, i = [], 0
         while i < n:
             out.append(self.packed[piece[i : end[i]]])
