@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b")
         inter = F.size(F.array_intersect("_x", "_y")).cast("long")
         both = both.select("a", "b", inter.alias("_i"), (F.size("_x") + F.size("_y")).cast("long").alias("_s"))
-        return scratch(both.where(100 * F.col("_i") >= percent * (F.col("_s") - F.col("_i"))).select("a", "b").distinct(), f"near-{label}-links")
+        # no distinct: it would tie the rows of a pivot to one task, and repeats do no harm
+        return scratch(both.where(100 * F.col("_i") >= percent * (F.col("_s") - F.col("_i"))).select("a", "b"), f"near-{label}-links")
 
     def likely_stars(pairs: DataFrame) -> DataFrame:
         """Of pairs (rep, pivot), those (a, b) that sizes and sketches allow."""
