@@ -17,8 +17,8 @@ from .common import prepare, text_of, worker_state
 
 #: Bits in a word of the rank bitmap.
 WORD = 256
-#: Pre-tokens whose ids a worker remembers; others are encoded each time they occur.
-CACHE = 500_000
+#: Pre-tokens whose ids a worker remembers (some 200 bytes each); others are encoded each time they occur.
+REMEMBERED = 1_200_000
 
 
 class RankQueue:
@@ -61,8 +61,8 @@ class RankQueue:
 class Encoder(dict):
     """Maps a pre-token to its ids, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], remember: int = REMEMBERED):
+        self.ranks, self.remember = ranks, remember
         self.queue = RankQueue(max(ranks.values(), default=0))
         self.packed = {piece: rank.to_bytes(4, "little") for piece, rank in ranks.items()}
         self.pieces = {rank: piece for piece, rank in ranks.items()}
@@ -72,7 +72,7 @@ class Encoder(dict):
         ids = self.packed.get(piece)
         if ids is None:
             ids = self.merge(piece)
-        if len(self) < CACHE:
+        if len(self) < self.remember:
             self[token] = ids
         return ids
 
@@ -128,8 +128,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in data.splitlines() if line)}
 
 
-def _encoder(data: bytes) -> Encoder:
-    return worker_state(("bpe", hash(data)), lambda: Encoder(read_ranks(data)))
+def _encoder(data: bytes, remember: int = REMEMBERED) -> Encoder:
+    return worker_state(("bpe", hash(data)), lambda: Encoder(read_ranks(data), remember))
 
 
 def _with_columns(df: DataFrame, kinds: dict[str, DataType], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
@@ -146,14 +146,15 @@ def _with_columns(df: DataFrame, kinds: dict[str, DataType], make: Callable[[pa.
     return df.mapInArrow(run, schema)
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = (), decoded_col: str | None = None) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = (), decoded_col: str | None = None, remember: int = REMEMBERED) -> DataFrame:
     """id, the columns of keep, token_ids and n_tokens of each row's whole text.
 
     token_ids holds the ids as little-endian unsigned 32-bit integers. Each
     match of pattern is encoded alone; there are no special tokens. The rank
     file (about 1 MB) is read on the driver and sent along, so executors need
     no copy of it. With decoded_col, the ids are also decoded, as bpe_decode
-    does, before they leave the worker. Null text counts as empty: no ids.
+    does, before they leave the worker. A worker remembers the ids of so many
+    pre-tokens as remember says, which bounds its memory. Null text counts as empty: no ids.
     Repeated rows give repeated rows, null ids stay null, no rows give no rows.
     """
     prepare(docs.sparkSession)
@@ -161,7 +162,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoder, cut = _encoder(held.value), regex.compile(pattern).findall
+        encoder, cut = _encoder(held.value, remember), regex.compile(pattern).findall
         ids = [encoder.encode(cut(x)) for x in batch.column("_text").to_pylist()]
         return [pa.array(ids, pa.binary()), *([pa.array(map(encoder.decode, ids), pa.binary())] if decoded_col else [])]
 
