@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch
 from .checks import assert_empty, assert_unique
 
 
@@ -49,18 +50,41 @@ def direction_angle_degrees(a: Column, b: Column) -> Column:
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
 
 
-def pose_agreement(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+def _median_degrees(rows: DataFrame) -> DataFrame:
+    """key, kind, n, median of rows (key, kind, v from 0 to 180): exact; null v do not count.
+
+    Rows are counted by cells of 1/1024 degree, combined before the shuffle; then only the
+    values of the one or two cells that hold the middle ranks are put in order.
+    """
+    by = ["key", "kind"]
+    w = Window.partitionBy(*by)
+    rows = rows.where("v is not null").withColumn("cell", F.floor(F.col("v") * 1024))
+    counts = scratch(rows.groupBy(*by, "cell").agg(F.count("*").alias("n")), "median-cells")
+    ranked = counts.withColumn("before", F.sum("n").over(w.orderBy("cell")) - F.col("n")).withColumn("total", F.sum("n").over(w))
+    middle = ranked.where("before <= total div 2 and before + n > (total - 1) div 2").drop("n")
+    held = rows.join(F.broadcast(middle), [*by, "cell"]).groupBy(*by, "v").agg(F.count("*").alias("n"), F.min("before").alias("before"), F.max("total").alias("total"))
+    at = held.withColumn("at", F.min("before").over(w) + F.sum("n").over(w.orderBy("v")) - F.col("n"))
+    found = at.where("at <= total div 2 and at + n > (total - 1) div 2")
+    return found.groupBy(*by).agg(F.max("total").alias("n"), ((F.min("v") + F.max("v")) / 2).alias("median"))
+
+
+def pose_agreement(reference: DataFrame, candidate: DataFrame, *, blocks: int = 16) -> DataFrame:
     """key, shared, reference_count, candidate_count, union_count, pair_count, rotation_deg, translation_pairs, translation_deg.
 
     Both have key, camera, r (nine numbers) and t (three); a key names what is
     compared with what. Over all pairs of cameras that both know: the exact median angle
     between relative rotations, and between baseline directions where neither
-    baseline is 0. Medians over nothing are null.
+    baseline is 0. Medians over nothing are null. The cameras of a key fall into blocks by
+    a hash, and each block meets each, so its pairs are dealt over blocks * blocks groups.
     """
+    spark = reference.sparkSession
     both = reference.select("key", "camera", "r", camera_centre(F.col("r"), F.col("t")).alias("c")).join(candidate.select("key", "camera", F.col("r").alias("u"), camera_centre(F.col("r"), F.col("t")).alias("d")), ["key", "camera"])
-    one = both.select("key", F.col("camera").alias("m1"), *(F.col(x).alias(f"{x}1") for x in "rcud"))
-    two = both.select("key", F.col("camera").alias("m2"), *(F.col(x).alias(f"{x}2") for x in "rcud"))
-    pairs = one.join(two, "key").where("m1 < m2")
+    both = scratch(both.withColumn("block", F.pmod(F.xxhash64("camera"), F.lit(blocks)).cast("int")), "pose-cameras")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    one = both.select("key", F.col("block").alias("i"), every.alias("j"), F.col("camera").alias("m1"), *(F.col(x).alias(f"{x}1") for x in "rcud"))
+    two = both.select("key", every.alias("i"), F.col("block").alias("j"), F.col("camera").alias("m2"), *(F.col(x).alias(f"{x}2") for x in "rcud"))
+    group = ["key", "i", "j"]
+    pairs = one.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).join(two, group).where("m1 < m2")
     pairs = pairs.select(
         "key",
         relative_rotation(F.col("r1"), F.col("r2")).alias("r"),
@@ -69,7 +93,9 @@ def pose_agreement(reference: DataFrame, candidate: DataFrame) -> DataFrame:
         baseline_direction(F.col("u1"), F.col("d1"), F.col("d2")).alias("e"),
     )
     pairs = pairs.select("key", rotation_angle_degrees(F.col("r"), F.col("u")).alias("rot"), direction_angle_degrees(F.col("b"), F.col("e")).alias("dir"))
-    angles = pairs.groupBy("key").agg(F.count("*").alias("pair_count"), F.median("rot").alias("rotation_deg"), F.count("dir").alias("translation_pairs"), F.median("dir").alias("translation_deg"))
+    medians = _median_degrees(pairs.select("key", F.expr("stack(2, 'rot', rot, 'dir', dir) as (kind, v)")))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    angles = medians.groupBy("key").agg(of("rot", "n").alias("pair_count"), of("rot", "median").alias("rotation_deg"), of("dir", "n").alias("translation_pairs"), of("dir", "median").alias("translation_deg"))
     counts = reference.select("key", "camera", F.lit(1).alias("a")).join(candidate.select("key", "camera", F.lit(1).alias("b")), ["key", "camera"], "full")
     counts = counts.groupBy("key").agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"), F.count("a").alias("reference_count"), F.count("b").alias("candidate_count"), F.count("*").alias("union_count"))
     return counts.join(angles, "key", "left").fillna(0, ["pair_count", "translation_pairs"])

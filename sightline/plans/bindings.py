@@ -49,9 +49,9 @@ SELECT concat('d', lpad(cast(l_orderkey AS string), 8, '0')) AS camera,
 FROM {lineitem}""",
     "poses": """
 SELECT concat('A', '') AS solution, concat('s', lpad(cast(s_suppkey AS string), 6, '0')) AS camera,
-       radians(cast((s_suppkey * 37) % 360 AS double)) AS angle, cast(s_suppkey % 7 AS double) AS tx, cast(s_suppkey % 5 AS double) AS ty, cast(s_suppkey % 3 AS double) AS tz FROM {supplier} WHERE s_suppkey <= 40
-UNION ALL SELECT 'B', concat('s', lpad(cast(s_suppkey AS string), 6, '0')), radians(cast((s_suppkey * 37) % 360 + (s_suppkey % 5) * 0.25 AS double)), cast(s_suppkey % 7 AS double) + 0.125, cast(s_suppkey % 5 AS double), cast(s_suppkey % 3 AS double) - 0.25 FROM {supplier} WHERE s_suppkey <= 45 AND s_suppkey % 4 <> 0
-UNION ALL SELECT 'C', concat('s', lpad(cast(s_suppkey AS string), 6, '0')), radians(cast((s_suppkey * 37) % 360 - (s_suppkey % 3) * 0.5 AS double)), cast(s_suppkey % 7 AS double), cast(s_suppkey % 5 AS double) + 0.5, cast(s_suppkey % 3 AS double) FROM {supplier} WHERE s_suppkey BETWEEN 10 AND 50""",
+       radians(cast((s_suppkey * 37) % 360 AS double)) AS angle, cast(s_suppkey % 7 AS double) AS tx, cast(s_suppkey % 5 AS double) AS ty, cast(s_suppkey % 3 AS double) AS tz FROM {supplier}
+UNION ALL SELECT 'B', concat('s', lpad(cast(s_suppkey AS string), 6, '0')), radians(cast((s_suppkey * 37) % 360 + (s_suppkey % 5) * 0.25 AS double)), cast(s_suppkey % 7 AS double) + 0.125, cast(s_suppkey % 5 AS double), cast(s_suppkey % 3 AS double) - 0.25 FROM {supplier} WHERE s_suppkey % 4 <> 0
+UNION ALL SELECT 'C', concat('s', lpad(cast(s_suppkey AS string), 6, '0')), radians(cast((s_suppkey * 37) % 360 - (s_suppkey % 3) * 0.5 AS double)), cast(s_suppkey % 7 AS double), cast(s_suppkey % 5 AS double) + 0.5, cast(s_suppkey % 3 AS double) FROM {supplier}""",
     "assets": """
 SELECT concat('i', lpad(cast(doc_id AS string), 8, '0')) AS observation_id, text AS content, source FROM {documents}""",
     "subject_metrics": """
