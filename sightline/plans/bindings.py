@@ -87,8 +87,7 @@ WHERE event_id % 2 = 0 AND NOT (k.position < 5 AND event_id % 14 = 0) AND NOT (k
   AND NOT (k.position = 4 AND event_id % 12 = 0) AND NOT (k.position IN (5, 6) AND event_id % 18 = 0) AND NOT (k.position = 5 AND event_id % 22 = 0) AND NOT (k.position = 6 AND event_id % 8 = 0)""",
     "rasters": """
 SELECT concat('r', lpad(cast(p_partkey AS string), 6, '0')) AS raster_id, i.x AS x, i.y AS y, cast((p_partkey * 37 + p_size * (i.x + 3) * (i.y + 1) + i.x * i.y * 11) % 256 AS int) AS luma
-FROM {part}, (SELECT a.v AS x, b.v AS y FROM (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) a, (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) b) i
-WHERE p_partkey <= 400""",
+FROM {part}, (SELECT a.v AS x, b.v AS y FROM (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) a, (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) b) i""",
     "samples": """
 SELECT concat('p', lpad(cast(user_id AS string), 6, '0')) AS pair_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS int) AS n,
        cast((event_id * 7919 + user_id * 13) % 2001 AS int) - 1000 AS first, cast(((event_id + 3) * 7919 + user_id * 13) % 2001 AS int) - 1000 AS second

@@ -11,6 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from sightline.operators import geometry
+from sightline.plans import pixel_queries
 from sightline.plans.bindings import bound
 
 
@@ -52,3 +53,12 @@ def test_pose_medians_over_all_pairs(spark, cameras, blocks):
     assert (found.shared, found.pair_count, found.translation_pairs) == (cameras, len(rotations), len(directions))
     assert found.rotation_deg == pytest.approx(median(rotations), abs=1e-6)
     assert found.translation_deg == pytest.approx(median(directions), abs=1e-6)
+
+
+def test_every_part_is_a_raster(spark, tmp_path):
+    spark.range(395, 412).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    rasters = {r.raster_id: r.n for r in bound(spark, str(tmp_path), "rasters").groupBy("raster_id").agg(F.count("*").alias("n")).collect()}
+    assert rasters == {f"r{k:06d}": 48 for k in range(395, 412)}
+    assert pixel_queries.a1_image_quality(spark, str(tmp_path)).count() == 17
+    found = pixel_queries.a2_visual_similarity(spark, str(tmp_path)).collect()
+    assert sorted((r.id1, r.id2) for r in found) == [(f"r{k:06d}", f"r{k + 1:06d}") for k in range(395, 411)]
