@@ -64,7 +64,7 @@ def d10_visual_sync(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sc12_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    return audio.correlate(bound(spark, sf, "samples").where("n < 60"), 4, 8)
+    return audio.correlate(bound(spark, sf, "samples"), 4, 8)
 
 
 CORRELATIONS = """
@@ -76,7 +76,7 @@ correlations AS (SELECT pair_id, lag, overlap, round(greatest(-1.0, least(1.0, c
 
 
 def w6_best_lag(spark: SparkSession, sf: str) -> DataFrame:
-    samples = bound(spark, sf, "samples").where("n < 60")
+    samples = bound(spark, sf, "samples")
     return audio.best_lag(samples, audio.correlate(samples, 4, 8), 0.3, 8000)
 
 

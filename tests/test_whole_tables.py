@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 from itertools import combinations
-from statistics import median
+from statistics import correlation, median
 
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from sightline.operators import geometry
-from sightline.plans import pixel_queries
+from sightline.plans import pixel_queries, record_queries
 from sightline.plans.bindings import bound
 
 
@@ -62,3 +62,19 @@ def test_every_part_is_a_raster(spark, tmp_path):
     assert pixel_queries.a1_image_quality(spark, str(tmp_path)).count() == 17
     found = pixel_queries.a2_visual_similarity(spark, str(tmp_path)).collect()
     assert sorted((r.id1, r.id2) for r in found) == [(f"r{k:06d}", f"r{k + 1:06d}") for k in range(395, 411)]
+
+
+def test_lags_of_whole_tracks(spark, tmp_path):
+    n = 150  # samples of one track
+    spark.range(n).selectExpr("id as event_id", "7L as user_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as ts", "0.5D as value").write.parquet(f"{tmp_path}/events.parquet")
+    rows = bound(spark, str(tmp_path), "samples").orderBy("n").collect()
+    want = {}
+    for lag in range(-4, 5):
+        x, y = zip(*((r.first, rows[r.n + lag].second) for r in rows if 0 <= r.n + lag < n), strict=True)
+        want[lag] = (len(x), correlation(x, y))
+    found = {r.lag: (r.overlap, r.correlation) for r in record_queries.sc12_correlations(spark, str(tmp_path)).collect()}
+    assert {lag: v[0] for lag, v in found.items()} == {lag: n - abs(lag) for lag in want}
+    assert all(found[lag][1] == pytest.approx(want[lag][1], abs=1e-8) for lag in want)
+    best = max(want, key=lambda lag: want[lag][1])
+    row = record_queries.w6_best_lag(spark, str(tmp_path)).first()
+    assert (row.lag, row.overlap) == (best, n - abs(best))
