@@ -34,13 +34,13 @@ FROM {lineitem}""",
 SELECT concat('nation:', cast(n_nationkey AS string)) AS artifact, concat('region:', cast(n_regionkey AS string)) AS dependency FROM {nation}
 UNION ALL SELECT concat('customer:', cast(c_custkey AS string)), concat('nation:', cast(c_nationkey AS string)) FROM {customer}
 UNION ALL SELECT concat('supplier:', cast(s_suppkey AS string)), concat('nation:', cast(s_nationkey AS string)) FROM {supplier}
-UNION ALL SELECT concat('order:', cast(o_orderkey AS string)), concat('customer:', cast(o_custkey AS string)) FROM {orders} WHERE o_orderkey % 5 = 0""",
+UNION ALL SELECT concat('order:', cast(o_orderkey AS string)), concat('customer:', cast(o_custkey AS string)) FROM {orders}""",
     "artifact_nodes": """
 SELECT concat('region:', cast(r_regionkey AS string)) AS artifact, 'region' AS kind FROM {region}
 UNION ALL SELECT concat('nation:', cast(n_nationkey AS string)), 'nation' FROM {nation}
 UNION ALL SELECT concat('customer:', cast(c_custkey AS string)), 'customer' FROM {customer}
 UNION ALL SELECT concat('supplier:', cast(s_suppkey AS string)), 'supplier' FROM {supplier}
-UNION ALL SELECT concat('order:', cast(o_orderkey AS string)), 'order' FROM {orders} WHERE o_orderkey % 5 = 0""",
+UNION ALL SELECT concat('order:', cast(o_orderkey AS string)), 'order' FROM {orders}""",
     "pixels": """
 SELECT concat('d', lpad(cast(l_orderkey AS string), 8, '0')) AS camera,
        cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS int) AS pixel,

@@ -78,3 +78,14 @@ def test_lags_of_whole_tracks(spark, tmp_path):
     best = max(want, key=lambda lag: want[lag][1])
     row = record_queries.w6_best_lag(spark, str(tmp_path)).first()
     assert (row.lag, row.overlap) == (best, n - abs(best))
+
+
+def test_every_order_is_an_artifact(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    nodes = {r.artifact for r in bound(spark, SF, "artifact_nodes").where("kind = 'order'").collect()}
+    assert nodes == {f"order:{r.o_orderkey}" for r in orders}
+    edges = {(r.artifact, r.dependency) for r in bound(spark, SF, "artifact_edges").where("artifact like 'order:%'").collect()}
+    assert edges == {(f"order:{r.o_orderkey}", f"customer:{r.o_custkey}") for r in orders}
+    found = {r.artifact for r in record_queries.g3_invalidation(spark, SF).collect()}
+    customers = {a for a in found if a.startswith("customer:")}
+    assert {a for a in found if a.startswith("order:")} == {f"order:{r.o_orderkey}" for r in orders if f"customer:{r.o_custkey}" in customers}
