@@ -83,7 +83,7 @@ SELECT concat('e', lpad(cast(event_id AS string), 8, '0')) AS observation_id, k.
             WHEN 7 THEN CASE WHEN event_id % 6 = 0 THEN 'DJI Mavic-3' WHEN event_id % 6 = 1 THEN 'Skydio X2' ELSE 'Camera 5' END
             WHEN 8 THEN '[1, 2, 3]' ELSE CASE WHEN event_id % 4 = 0 THEN 'Fish-Eye fisheye 8mm' ELSE 'Rolling_Shutter mode' END END AS value
 FROM {events}, (SELECT 0 AS position UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) k
-WHERE event_id % 2 = 0 AND NOT (k.position < 5 AND event_id % 14 = 0) AND NOT (k.position = 3 AND event_id % 10 = 0) AND NOT (k.position = 8 AND event_id % 23 <> 0)
+WHERE NOT (k.position < 5 AND event_id % 14 = 0) AND NOT (k.position = 3 AND event_id % 10 = 0) AND NOT (k.position = 8 AND event_id % 23 <> 0)
   AND NOT (k.position = 4 AND event_id % 12 = 0) AND NOT (k.position IN (5, 6) AND event_id % 18 = 0) AND NOT (k.position = 5 AND event_id % 22 = 0) AND NOT (k.position = 6 AND event_id % 8 = 0)""",
     "rasters": """
 SELECT concat('r', lpad(cast(p_partkey AS string), 6, '0')) AS raster_id, i.x AS x, i.y AS y, cast((p_partkey * 37 + p_size * (i.x + 3) * (i.y + 1) + i.x * i.y * 11) % 256 AS int) AS luma

@@ -89,3 +89,11 @@ def test_every_order_is_an_artifact(spark):
     found = {r.artifact for r in record_queries.g3_invalidation(spark, SF).collect()}
     customers = {a for a in found if a.startswith("customer:")}
     assert {a for a in found if a.startswith("order:")} == {f"order:{r.o_orderkey}" for r in orders if f"customer:{r.o_custkey}" in customers}
+
+
+def test_every_event_has_metadata(spark):
+    events = {f"e{r.event_id:08d}" for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()}
+    assert {r.observation_id for r in record_queries.d1_metadata(spark, SF).collect()} == events
+    assert {r.observation_id for r in record_queries.d4_input_classes(spark, SF).collect()} == events
+    synced = {int(r.id1[1:]) % 2 for r in record_queries.j7_capture_time_sync(spark, SF).collect()}
+    assert synced == {0, 1}
