@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most so many rows is small enough to broadcast.
+#: A table of at most so many rows, and of so many bytes where it is stored, is small enough to broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 _ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in
-    sessions without it (tests on one machine) a temporary folder."""
+    sessions without it on one machine (tests) a temporary folder. On a cluster
+    a folder of one machine would split the data, so its absence is an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _ROOTS:
             _ROOTS[app] = tempfile.mkdtemp(prefix="sightline-")
@@ -48,6 +52,11 @@ def discard_scratch(spark: SparkSession) -> None:
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """How many bytes the files of a table have that scratch() wrote; only their sizes are looked up."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if it is a scratch table of at most limit rows."""
-    return F.broadcast(small) if small.count() <= limit else small
+    """small with a broadcast hint if it is a scratch table of at most limit rows and BROADCAST_BYTES bytes."""
+    return F.broadcast(small) if stored_bytes(small) <= BROADCAST_BYTES and small.count() <= limit else small
