@@ -41,6 +41,16 @@ def artifact_key(columns: list[str]) -> Column:
     return F.concat(F.lit("artifact-key:v1:"), F.sha2(canonical_key_json(columns), 256))
 
 
+def config_key(columns: list[str]) -> Column:
+    """config_identity of configurations in columns of plain ASCII, in the engine."""
+    return F.sha2(canonical_key_json(columns), 256)
+
+
+def native_model_ref(identity: Column) -> Column:
+    """The id of a solver's own model as evidence, from the identity of its files."""
+    return F.concat(F.lit("artifact:native-model:"), identity)
+
+
 def derived_id(prefix: str, *parts: Column) -> Column:
     """An id of 48 hexadecimal digits from the parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 48))
@@ -53,8 +63,8 @@ def model_identity(files: DataFrame) -> DataFrame:
     return rows.select("model_id", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("f", lambda x: x["e"]), ","), F.lit("]")), 256).alias("identity"))
 
 
-def put_records(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """stored with what the batch adds: (record_type, record_id, payload).
+def new_records(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """What a batch of (record_type, record_id, payload) adds to the stored records.
 
     Equal records change nothing; a record whose id is stored, or comes again, with another
     payload is an error, and nothing of the batch is added then.
@@ -64,7 +74,12 @@ def put_records(stored: DataFrame, batch: DataFrame) -> DataFrame:
     assert_unique(batch, key, "a record comes with two payloads")
     clash = batch.join(stored.select(*key, F.col("payload").alias("held")), key).where("payload <> held")
     assert_empty(clash.select(*key), "a stored record has another payload")
-    return stored.select(*key, "payload").unionByName(batch.join(stored, key, "left_anti"))
+    return batch.join(stored, key, "left_anti").select(*key, "payload")
+
+
+def put_records(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """stored with new_records of the batch."""
+    return stored.select("record_type", "record_id", "payload").unionByName(new_records(stored, batch))
 
 
 def get_record(stored: DataFrame, record_type: str, record_id: str) -> DataFrame:

@@ -53,8 +53,9 @@ def discard_scratch(spark: SparkSession) -> None:
 
 
 def stored_bytes(table: DataFrame) -> int:
-    """How many bytes the files of a table have that scratch() wrote; only their sizes are looked up."""
-    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """How many bytes the files or local rows have that table is made from; only sizes are looked up."""
+    leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
 
 def lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators.checks import assert_empty
+from ..operators.identity import safe_path, safe_path_text
+from ..scratch import scratch
 from ..shipping import ship_package
+from ..storage import filesystem_of
 
 #: Tags of the TIFF structure that EXIF uses.
 TAGS = {0x010F: "Image Make", 0x0110: "Image Model", 0x0112: "Image Orientation", 0x0132: "Image DateTime", 0x829A: "EXIF ExposureTime", 0x829D: "EXIF FNumber", 0x8827: "EXIF ISOSpeedRatings", 0x9003: "EXIF DateTimeOriginal", 0x9011: "EXIF OffsetTimeOriginal", 0x920A: "EXIF FocalLength", 0xA002: "EXIF ExifImageWidth", 0xA003: "EXIF ExifImageLength"}
@@ -24,10 +31,126 @@ SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 FIXTURE_SCHEMA = "schema_version int, fixture_id string, kind string, lane string, deterministic boolean, seed bigint, input_files array<string>, expectations array<struct<metric:string, comparator:string, target:double, abs_tolerance:double, unit:string>>, provenance map<string,string>"
 
 
-def content_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256, byte_length of the files under path."""
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, byte_length of the files under path; none is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_length"))
+    found = scratch(files.select("path", F.col("length").alias("byte_length")), "listed-files")
+    listed = files._jdf.inputFiles()
+    if len(listed) == found.count():
+        return found
+    # a scan leaves out files of length 0
+    seen = found.select("path").toLocalIterator()
+    empty = {unquote(x).replace(":///", ":/") for x in listed}.difference(r.path.replace(":///", ":/") for r in seen)
+    return found.unionByName(spark.createDataFrame([(x, 0) for x in sorted(empty)], found.schema))
+
+
+def content_hashes(spark: SparkSession, path: str, *, block: int = 1 << 20) -> DataFrame:
+    """path, sha256, byte_length of the files under path.
+
+    Files are read as streams of blocks, so one of any size takes no more
+    memory than a block. A file that changes its length meanwhile is an error.
+    In a store that only Spark reads, files are read whole, up to 2 GB each.
+    """
+    ship_package(spark)
+    try:
+        filesystem_of(path)
+    except (ValueError, NotImplementedError, OSError):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_length"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, place = filesystem_of(file)
+                digest, read = hashlib.sha256(), 0
+                with store.open_input_stream(place, compression=None) as stream:
+                    while part := stream.read(block):
+                        digest.update(part)
+                        read += len(part)
+                if read != length:
+                    raise InvalidFile(f"{file} has {read} bytes, not {length}")
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([digest.hexdigest()]), pa.array([read], pa.int64())], names=["path", "sha256", "byte_length"])
+
+    return list_files(spark, path).mapInArrow(run, "path string, sha256 string, byte_length bigint")
+
+
+FILE = StructType([StructField("path", StringType()), StructField("sha256", StringType()), StructField("byte_length", LongType())])
+
+
+def _place(store: pyarrow.fs.FileSystem, place: str, write: Callable[[pyarrow.fs.FileSystem, str], tuple[str, int]]) -> tuple[str, int]:
+    """Write a file under another name and move it to its place, so that there is the whole file or none."""
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    half = f"{place}.{uuid.uuid4().hex}.part"
+    try:
+        found = write(store, half)
+        store.move(half, place)
+    except BaseException:
+        if store.get_file_info(half).type == pyarrow.fs.FileType.File:
+            store.delete_file(half)
+        raise
+    return found
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """path, sha256, byte_length of files (path, content) that are written under folder. Paths must be plain relative ones."""
+    ship_package(files.sparkSession)
+    folder = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data = content.as_py()
+                if not safe_path_text(path):
+                    raise InvalidFile(f"{path!r} is no plain path")
+
+                def write(store: pyarrow.fs.FileSystem, place: str, data: bytes = data) -> tuple[str, int]:
+                    with store.open_output_stream(place, compression=None) as out:
+                        out.write(data)
+                    return hashlib.sha256(data).hexdigest(), len(data)
+
+                digest, length = _place(*filesystem_of(f"{folder}/{path}"), write)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest]), pa.array([length], pa.int64())], names=FILE.names)
+
+    return scratch(files.select("path", "content").mapInArrow(run, FILE), "written-files")
+
+
+def stage_files(manifest: DataFrame, root: str, folder: str, *, block: int = 1 << 20) -> DataFrame:
+    """path, sha256, byte_length of the manifest's files, copied from under root to under folder.
+
+    manifest has path, sha256, byte_length. Files go through in blocks; one whose
+    length or hash is not the recorded one is an error and is not put in its place.
+    """
+    ship_package(manifest.sparkSession)
+    root, folder = root.rstrip("/"), folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, sha256, length in zip(*(batch.column(c).to_pylist() for c in FILE.names), strict=True):
+                if not safe_path_text(path):
+                    raise InvalidFile(f"{path!r} is no plain path")
+
+                def write(store: pyarrow.fs.FileSystem, place: str, path: str = path, sha256: str = sha256, length: int = length) -> tuple[str, int]:
+                    source, at = filesystem_of(f"{root}/{path}")
+                    digest, read = hashlib.sha256(), 0
+                    with source.open_input_stream(at, compression=None) as data, store.open_output_stream(place, compression=None) as out:
+                        while part := data.read(block):
+                            digest.update(part)
+                            read += len(part)
+                            out.write(part)
+                    if read != length or digest.hexdigest() != sha256.lower():
+                        raise InvalidFile(f"{path} is not what the manifest says")
+                    return digest.hexdigest(), read
+
+                digest, read = _place(*filesystem_of(f"{folder}/{path}"), write)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest]), pa.array([read], pa.int64())], names=FILE.names)
+
+    return scratch(manifest.select(*FILE.names).mapInArrow(run, FILE), "staged-files")
+
+
+def relative_to(files: DataFrame, folder: str) -> DataFrame:
+    """files with path as it is under folder."""
+    mark = "/" + folder.rstrip("/").rpartition("/")[2] + "/"
+    return files.withColumn("path", F.substring_index("path", mark, -1))
 
 
 def _mapped(files: DataFrame, schema: str, rows: Callable[[str, bytes], Iterable[tuple]]) -> DataFrame:
@@ -187,9 +310,6 @@ def git_blob_sha1(content: Column) -> Column:
 
 def load_fixtures(spark: SparkSession, path: str) -> DataFrame:
     """The fixtures in JSON files under path, one to a file. Versions other than 1 and unsafe paths are errors."""
-    from ..operators.checks import assert_empty
-    from ..operators.identity import safe_path
-
     rows = spark.read.schema(FIXTURE_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     unsafe = F.exists("input_files", lambda p: ~safe_path(p))
     assert_empty(rows.where((F.col("schema_version") != 1) | unsafe | (F.size("input_files") < 1) | (F.size(F.array_distinct(F.transform("expectations", lambda e: e["metric"]))) != F.size("expectations"))).select("fixture_id"), "a fixture is malformed")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 import pyarrow.fs
 
 #: Fixed names: schemes that Hadoop has for what Arrow calls s3.
@@ -9,10 +12,17 @@ S3_SCHEMES = ("s3a", "s3n")
 
 
 def filesystem_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """Arrow's file system for a URI, and the path in it.
+    """Arrow's file system for a URI as Spark writes it, and the path in it.
 
-    Plain paths are local; s3a:// and s3n:// are read as s3://. Schemes that
-    Arrow does not know raise ValueError or ArrowInvalid.
+    Plain paths and file: are local; s3a:// and s3n:// are read as s3://. What is
+    not ASCII may stand there as it is. Schemes that Arrow does not know raise
+    ValueError or ArrowInvalid.
     """
-    scheme, mark, rest = uri.partition("://")
-    return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme.lower() in S3_SCHEMES else uri)
+    named = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?=/)", uri)
+    if not named:
+        return pyarrow.fs.LocalFileSystem(), uri
+    scheme, rest = named[1].lower(), uri[named.end() :]
+    if scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    scheme = "s3" if scheme in S3_SCHEMES else scheme
+    return pyarrow.fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe="/:@?&=%+~!$'()*,;[]-._")}")

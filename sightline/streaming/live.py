@@ -5,37 +5,87 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators.checks import InvalidInput, assert_empty
-from ..operators.identity import put_records
+from ..operators.identity import new_records
 from ..scratch import scratch, shared_path
 from ..shipping import ship_package
 
 
+class BatchTable:
+    """A table in the shared folder that grows by numbered batches.
+
+    A batch is written under its number, then its mark, one row of what later
+    batches need to know of it. What has no mark does not count: if a run stops
+    half way, the batch comes again and is written anew; if it comes again
+    after its mark, it is there already. All state is in the folder, so a new
+    driver goes on where the last one stopped.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType | str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def marked(self) -> list[int]:
+        """The numbers of the batches that count, in order."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/marks")
+        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(root):
+            return []
+        named = [x.getPath() for x in store.listStatus(root)]
+        done = [p for p in named if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()) for p in done)
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """The rows of the batches that count, or of those with smaller numbers."""
+        some = [k for k in self.marked() if before is None or k < before]
+        if not some:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/rows/{k:012d}" for k in some))
+
+    def mark(self, number: int) -> Row:
+        return self.spark.read.parquet(f"{self.folder}/marks/{number:012d}").first()
+
+    def write(self, number: int, rows: DataFrame, mark: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/rows/{number:012d}")
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/marks/{number:012d}")
+
+
 class RelationLog:
     """Relations that arrive in batches, each pair greater than all before; anything else is an error.
 
-    Nothing is dropped as late: a pair out of order or met twice stops the stream.
+    Nothing is dropped as late: a pair out of order or met twice stops the
+    stream. A batch of a number that is there already is the same batch again
+    and adds nothing.
     """
 
-    def __init__(self) -> None:
-        self.last: tuple[str, str] | None = None
-        self.rows: DataFrame | None = None
+    def __init__(self, spark: SparkSession, folder: str):
+        self.table = BatchTable(spark, folder, "id1 string, id2 string, disposition string, evidence array<struct<kind:string,id:string>>")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.table.rows()
 
-    def add(self, batch: DataFrame, _: int = 0) -> None:
-        batch = scratch(batch.select("id1", "id2", "disposition", "evidence"), "relation-batch")
-        found = batch.agg(F.count("*").alias("n"), F.count_distinct("id1", "id2").alias("d"), F.min(F.struct("id1", "id2")).alias("low"), F.max(F.struct("id1", "id2")).alias("high")).first()
-        if not found.n:
+    def add(self, batch: DataFrame, number: int) -> None:
+        done = self.table.marked()
+        if number in done:
             return
-        if found.n != found.d or (self.last is not None and tuple(found.low) <= self.last):
-            raise InvalidInput("pairs must rise from batch to batch")
-        assert_empty(batch.where("id1 >= id2"), "a pair is not in order")
-        self.last = tuple(found.high)
-        self.rows = batch if self.rows is None else self.rows.unionByName(batch)
+        batch = scratch(batch.select(*self.table.schema.names), "relation-batch")
+        ends = batch.agg(F.count("*").alias("n"), F.count_distinct("id1", "id2").alias("d"), F.min(F.struct("id1", "id2")).alias("low"), F.max(F.struct("id1", "id2")).alias("high"))
+        found = ends.first()
+        earlier = [k for k in done if k < number]
+        last = self.table.mark(earlier[-1]).high if earlier else None
+        if found.n:
+            if found.n != found.d or (last is not None and tuple(found.low) <= tuple(last)):
+                raise InvalidInput("pairs must rise from batch to batch")
+            assert_empty(batch.where("id1 >= id2"), "a pair is not in order")
+        high = found.high or last
+        self.table.write(number, batch, batch.sparkSession.createDataFrame([(high,)], "high struct<id1:string,id2:string>"))
 
 
 def stream_relations(relations: DataFrame, log: RelationLog, checkpoint: str) -> StreamingQuery:
@@ -44,13 +94,22 @@ def stream_relations(relations: DataFrame, log: RelationLog, checkpoint: str) ->
 
 
 class RecordTable:
-    """Records that streams add to; equal ones are taken once, conflicting ones are errors."""
+    """Records that streams add to; equal ones are taken once, conflicting ones are errors.
+
+    A batch appends what it adds; what is stored is not written again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.table = BatchTable(spark, folder, "record_type string, record_id string, payload string")
 
-    def __init__(self, empty: DataFrame) -> None:
-        self.rows = scratch(empty.select("record_type", "record_id", "payload"), "records")
+    @property
+    def rows(self) -> DataFrame:
+        return self.table.rows()
 
-    def add(self, batch: DataFrame, _: int = 0) -> None:
-        self.rows = scratch(put_records(self.rows, batch), "records")
+    def add(self, batch: DataFrame, number: int) -> None:
+        if number not in self.table.marked():
+            more = new_records(self.table.rows(before=number), batch)
+            self.table.write(number, more, batch.sparkSession.range(1).select(F.lit(number).alias("number")))
 
 
 def stream_records(records: DataFrame, table: RecordTable, checkpoint: str) -> StreamingQuery:

@@ -13,6 +13,7 @@ from sightline.operators.checks import InvalidInput
 from sightline.operators.clusters import scene_clusters
 from sightline.operators.frames import select_interval
 from sightline.sources import files
+from sightline.storage import filesystem_of
 from sightline.streaming import live
 
 
@@ -47,9 +48,14 @@ def test_png_filters_and_damage(spark, tmp_path):
 
 
 def test_hashes(spark, tmp_path):
-    (tmp_path / "f").write_bytes(b"abc" * 1000)
-    row = files.content_hashes(spark, str(tmp_path)).first()
-    assert (row.sha256, row.byte_length) == (hashlib.sha256(b"abc" * 1000).hexdigest(), 3000)
+    (tmp_path / "d").mkdir()
+    data = {"f": b"abc" * 1000, "d/ü g.bin": b"", "d/h": bytes(range(256)) * 5000}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    for block in (7, 1 << 20):
+        found = {(r.sha256, r.byte_length) for r in files.content_hashes(spark, str(tmp_path), block=block).collect()}
+        assert found == {(hashlib.sha256(x).hexdigest(), len(x)) for x in data.values()}
+    assert files.content_hashes(spark, str(tmp_path / "d" / "h")).count() == 1
     blob = spark.createDataFrame([(bytearray(b"hello\n"),)], "c binary").select(files.git_blob_sha1(F.col("c")).alias("s")).first().s
     assert blob == hashlib.sha1(b"blob 6\x00hello\n").hexdigest()
 
@@ -99,30 +105,81 @@ def test_fixtures(spark, tmp_path):
 REL = "id1 string, id2 string, disposition string, evidence array<struct<kind:string,id:string>>"
 
 
+def feed(spark, tmp_path, rows, name, at):
+    spark.createDataFrame(rows, name).coalesce(1).write.parquet(str(tmp_path / "in" / f"{at}"))
+
+
+def run_stream(spark, tmp_path, schema, start):
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = start(stream)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def test_relation_stream_equals_batch(spark, tmp_path):
     rows = [("a", "b", "SUPPORTED", [("k", "1")]), ("b", "c", "SUPPORTED", [("k", "2")]), ("d", "e", "UNRESOLVED", [])]
-    for i, part in enumerate((rows[:1], rows[1:])):
-        spark.createDataFrame(part, REL).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
-    log = live.RelationLog()
-    stream = spark.readStream.schema(REL).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = live.stream_relations(stream, log, str(tmp_path / "cp"))
-    query.processAllAvailable()
-    query.stop()
+    folder, checkpoint = str(tmp_path / "log"), str(tmp_path / "cp")
+    start = lambda stream: live.stream_relations(stream, live.RelationLog(spark, folder), checkpoint)
+    feed(spark, tmp_path, rows[:1], REL, 0)
+    run_stream(spark, tmp_path, REL, start)
+    # a restart from the checkpoint, with a new log over the same folder
+    feed(spark, tmp_path, rows[1:], REL, 1)
+    run_stream(spark, tmp_path, REL, start)
+    log = live.RelationLog(spark, folder)
     obs = spark.createDataFrame([(x,) for x in "abcde"], "observation_id string")
     got, want = (sorted(tuple(r.members) for r in scene_clusters(obs, x).collect()) for x in (log.rows, spark.createDataFrame(rows, REL)))
     assert got == want
+    assert log.table.marked() == [0, 1]
+    # the last batch again adds nothing; a new one must rise
+    log.add(spark.createDataFrame(rows[1:], REL), 1)
+    assert live.RelationLog(spark, folder).rows.count() == 3
+    for bad in (rows[:1], [("x", "y", "SUPPORTED", [])] * 2, [("z", "y", "SUPPORTED", [])]):
+        with pytest.raises(InvalidInput):
+            log.add(spark.createDataFrame(bad, REL), 2)
+    log.add(spark.createDataFrame([], REL), 2)
     with pytest.raises(InvalidInput):
-        log.add(spark.createDataFrame(rows[:1], REL))
+        live.RelationLog(spark, folder).add(spark.createDataFrame(rows[1:], REL), 3)
+    log.add(spark.createDataFrame([("d", "f", "SUPPORTED", [])], REL), 3)
+    assert log.rows.count() == 4
 
 
-def test_record_table(spark):
+def test_a_batch_without_its_mark_is_written_anew(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    log = live.RelationLog(spark, folder)
+    log.add(spark.createDataFrame([("a", "b", "SUPPORTED", [])], REL), 0)
+    log.add(spark.createDataFrame([("b", "c", "SUPPORTED", []), ("b", "d", "SUPPORTED", [])], REL), 1)
+    (tmp_path / "log" / "marks" / f"{1:012d}" / "_SUCCESS").unlink()  # as if the driver had died before
+    assert log.rows.count() == 1
+    log.add(spark.createDataFrame([("b", "c", "SUPPORTED", []), ("b", "d", "SUPPORTED", [])], REL), 1)
+    assert sorted((r.id1, r.id2) for r in log.rows.collect()) == [("a", "b"), ("b", "c"), ("b", "d")]
+
+
+def test_record_table(spark, tmp_path):
     schema = "record_type string, record_id string, payload string"
-    table = live.RecordTable(spark.createDataFrame([], schema))
-    table.add(spark.createDataFrame([("t", "1", "a")], schema))
-    table.add(spark.createDataFrame([("t", "1", "a"), ("t", "2", "b")], schema))
-    assert table.rows.count() == 2
+    folder = str(tmp_path / "records")
+    table = live.RecordTable(spark, folder)
+    table.add(spark.createDataFrame([("t", "1", "a")], schema), 0)
+    table.add(spark.createDataFrame([("t", "1", "a"), ("t", "2", "b")], schema), 1)
+    again = live.RecordTable(spark, folder)
+    again.add(spark.createDataFrame([("t", "1", "a"), ("t", "2", "b")], schema), 1)
+    assert again.rows.count() == 2
+    written = sorted(p.name for p in (tmp_path / "records" / "rows").iterdir())
+    assert written == [f"{k:012d}" for k in (0, 1)] and spark.read.parquet(f"{folder}/rows/{1:012d}").count() == 1
     with pytest.raises(InvalidInput):
-        table.add(spark.createDataFrame([("t", "1", "z")], schema))
+        again.add(spark.createDataFrame([("t", "1", "z"), ("t", "3", "c")], schema), 2)
+    assert live.RecordTable(spark, folder).rows.count() == 2
+
+
+def test_record_stream(spark, tmp_path):
+    schema = "record_type string, record_id string, payload string"
+    folder, checkpoint = str(tmp_path / "records"), str(tmp_path / "cp")
+    start = lambda stream: live.stream_records(stream, live.RecordTable(spark, folder), checkpoint)
+    for at, rows in enumerate(([("t", "1", "a")], [("t", "1", "a"), ("t", "2", "b")], [("u", "1", "c")])):
+        feed(spark, tmp_path, rows, schema, at)
+        run_stream(spark, tmp_path, schema, start)
+    assert sorted(map(tuple, live.RecordTable(spark, folder).rows.collect())) == [("t", "1", "a"), ("t", "2", "b"), ("u", "1", "c")]
 
 
 def test_interval_stream_equals_batch(spark, tmp_path):
@@ -136,3 +193,30 @@ def test_interval_stream_equals_batch(spark, tmp_path):
     query.stop()
     want = select_interval(spark.createDataFrame(rows, schema), 500)
     assert sorted(map(tuple, spark.table("kept").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stores_by_their_names(tmp_path):
+    import pyarrow.fs
+
+    for uri in (f"{tmp_path}/ü a:b", f"file:{tmp_path}/ü a:b", f"file://{tmp_path}/ü a:b"):
+        store, place = filesystem_of(uri)
+        assert isinstance(store, pyarrow.fs.LocalFileSystem) and place == f"{tmp_path}/ü a:b"
+    for scheme in ("s3", "s3a", "s3n"):
+        store, place = filesystem_of(f"{scheme}://bucket/a/ü b?region=us-east-1")
+        assert isinstance(store, pyarrow.fs.S3FileSystem) and place.startswith("bucket/a/")
+    with pytest.raises((ValueError, OSError)):
+        filesystem_of("unheard-of://x/y")
+
+
+def test_staging_checks_what_it_copies(spark, tmp_path):
+    (tmp_path / "a" / "d").mkdir(parents=True)
+    (tmp_path / "a" / "d" / "f").write_bytes(b"x" * 5000)
+    good = ("d/f", hashlib.sha256(b"x" * 5000).hexdigest(), 5000)
+    manifest = lambda *rows: spark.createDataFrame(rows, files.FILE)
+    found = files.stage_files(manifest(good), str(tmp_path / "a"), str(tmp_path / "b"), block=100)
+    assert [tuple(r) for r in found.collect()] == [good] and (tmp_path / "b" / "d" / "f").read_bytes() == b"x" * 5000
+    for bad in (("d/f", good[1], 4999), ("d/f", "0" * 64, 5000), ("../a/d/f", *good[1:])):
+        with pytest.raises(Exception, match="InvalidFile"):
+            files.stage_files(manifest(bad), str(tmp_path / "a"), str(tmp_path / "c")).collect()
+    assert not [p for p in (tmp_path / "c").rglob("*") if p.is_file()]
+    assert files.stage_files(manifest(), str(tmp_path / "a"), str(tmp_path / "b")).count() == 0
