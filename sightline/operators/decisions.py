@@ -22,7 +22,7 @@ def policy_reasons(metrics: DataFrame, failures: DataFrame, metric_rules: DataFr
     direction, threshold, decision; failures subject, failure; failure_rules
     failure, decision. A missing required metric, a metric without a rule and one of
     another direction are unresolved; a value strictly beyond its threshold has its rule's decision, a
-    failure that of its rule, or unresolved without one. Rules are broadcast: they are written by hand.
+    failure that of its rule, or unresolved without one. Rules are joined as any table: the engine broadcasts them if their size allows.
     """
     assert_unique(metrics, ["subject", "metric"], "a metric occurs twice")
     assert_unique(metric_rules, ["metric"], "a metric has two rules")
@@ -33,12 +33,12 @@ def policy_reasons(metrics: DataFrame, failures: DataFrame, metric_rules: DataFr
     required = [F.lit(r.metric) for r in rules.where("required").collect()]  # rules are few
     needed = subjects.withColumn("metric", F.explode(F.array(*required).cast("array<string>")))
     missing = needed.join(metrics.select("subject", "metric"), ["subject", "metric"], "left_anti").select("subject", F.lit("missing_required_metric").alias("kind"), "metric", none.alias("failure"), F.lit("unresolved").alias("decision"))
-    joined = metrics.join(F.broadcast(rules.withColumn("ruled", F.lit(True))), "metric", "left")
+    joined = metrics.join(rules.withColumn("ruled", F.lit(True)), "metric", "left")
     beyond = F.when(F.col("direction") == "higher_is_better", F.col("value") < F.col("threshold")).when(F.col("direction") == "lower_is_better", F.col("value") > F.col("threshold")).otherwise(False)
     kind = F.when(F.col("ruled").isNull(), "unknown_metric").when(F.col("direction") != F.col("expected"), "metric_direction_mismatch").when(F.coalesce(beyond, F.lit(False)), "metric_threshold_violation")
     judged = joined.withColumn("kind", kind).where("kind is not null")
     judged = judged.select("subject", "kind", "metric", none.alias("failure"), F.when(F.col("kind") == "metric_threshold_violation", F.col("violation")).otherwise("unresolved").alias("decision"))
-    failed = failures.join(F.broadcast(failure_rules.select("failure", F.col("decision").alias("mapped"))), "failure", "left")
+    failed = failures.join(failure_rules.select("failure", F.col("decision").alias("mapped")), "failure", "left")
     failed = failed.select("subject", F.when(F.col("mapped").isNull(), "unmapped_failure").otherwise("mapped_failure").alias("kind"), none.alias("metric"), "failure", F.coalesce("mapped", F.lit("unresolved")).alias("decision"))
     return missing.unionByName(judged).unionByName(failed)
 
@@ -56,9 +56,9 @@ def evaluate_policy(metrics: DataFrame, failures: DataFrame, metric_rules: DataF
 
 def resolve_fallback(states: DataFrame, rules: DataFrame, nodes: DataFrame, max_transitions: int) -> DataFrame:
     """states with action and target: the rule of exactly this node and trigger while the budget lasts, else UNRESOLVED."""
-    assert_empty(states.join(F.broadcast(nodes.select("node")), "node", "left_anti"), "an unknown node")
+    assert_empty(states.join(nodes.select("node"), "node", "left_anti"), "an unknown node")
     assert_unique(rules, ["node", "trigger"], "two rules for a node and trigger")
-    joined = states.join(F.broadcast(rules.select("node", "trigger", "action", "target")), ["node", "trigger"], "left")
+    joined = states.join(rules.select("node", "trigger", "action", "target"), ["node", "trigger"], "left")
     spent = F.col("transitions_used") >= max_transitions
     return joined.withColumn("target", F.when(~spent, F.col("target"))).withColumn("action", F.when(spent | F.col("action").isNull(), "UNRESOLVED").otherwise(F.col("action")))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checks import assert_empty, assert_unique
+from ..shipping import ship_package
+from .checks import InvalidInput, assert_empty, assert_unique
 
 
 def parse_probe(probes: DataFrame) -> DataFrame:
@@ -36,25 +41,53 @@ def check_frames(frames: DataFrame) -> None:
     assert_empty(frames.withColumn("before", F.lag("frame_time_us").over(w)).where("frame_time_us < before"), "frame times fall")
 
 
+def _kept(times: np.ndarray, last: int | None, interval_us: int) -> list[int]:
+    """Positions of the times that are kept, the first one if none was kept before."""
+    out = []
+    at = 0 if last is None else int(np.searchsorted(times, last + interval_us))
+    while at < len(times):
+        out.append(at)
+        at = max(at + 1, int(np.searchsorted(times, times[at] + interval_us)))
+    return out
+
+
 def select_interval(frames: DataFrame, interval_us: int) -> DataFrame:
     """The first frame of each video and each that is at least interval_us after the last one kept.
 
-    What is kept depends on what was kept before, so each video is folded in
-    order; videos are spread over the cluster, a video's (index, time) pairs fit
-    in one row. Returns video_id, frame_index, frame_time_us.
+    What is kept depends on what was kept before, so a video's frames are gone
+    through in order, as a stream of Arrow batches: one batch and one time are
+    in memory however long the video is, and only kept frames are looked at
+    one by one. Times that fall are an error. Returns video_id, frame_index,
+    frame_time_us.
     """
     if interval_us < 0:
         raise ValueError("interval_us must not be negative")
-    ordered = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "frame_time_us"))).alias("frames"))
-    start = F.struct(F.expr("cast(null as bigint)").alias("last"), F.expr("cast(array() as array<int>)").alias("at"))
-
-    def step(held: Column, x: Column) -> Column:
-        take = held["last"].isNull() | (x["f"]["frame_time_us"] - held["last"] >= interval_us)
-        return F.struct(F.when(take, x["f"]["frame_time_us"]).otherwise(held["last"]).alias("last"), F.when(take, F.concat(held["at"], F.array(x["i"]))).otherwise(held["at"]).alias("at"))
-
-    numbered = F.transform("frames", lambda f, i: F.struct(f.alias("f"), i.alias("i")))
-    kept = ordered.select("video_id", "frames", F.explode(F.aggregate(numbered, start, step, lambda held: held["at"])).alias("i"))
-    return kept.select("video_id", F.expr("frames[i].frame_index").alias("frame_index"), F.expr("frames[i].frame_time_us").alias("frame_time_us"))
+    ship_package(frames.sparkSession)
+    names = ["video_id", "frame_index", "frame_time_us"]
+    rows = frames.select(*names).repartition("video_id").sortWithinPartitions(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, last, seen = None, None, None
+        for batch in batches:
+            ids, times = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
+            change = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            some: list[int] = []
+            for at, end in zip([0, *change.tolist()], [*change.tolist(), len(ids)], strict=True):
+                if at == end:
+                    continue
+                if ids[at] != video:
+                    video, last, seen = ids[at], None, None
+                part = times[at:end]
+                if (part[1:] < part[:-1]).any() or (seen is not None and part[0] < seen):
+                    raise InvalidInput(f"frame times of {video} fall")
+                seen = int(part[-1])
+                kept = _kept(part, last, interval_us)
+                if kept:
+                    last = int(part[kept[-1]])
+                    some += [at + k for k in kept]
+            yield batch.take(pa.array(some, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def cap_frames(frames: DataFrame, most: int) -> DataFrame:

@@ -93,10 +93,10 @@ def cosine_pairs(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -
     """Pairs where one is among the other's `neighbors` most similar, by cosine, ties by id.
 
     descriptors has observation_id and descriptor (unit length within 1e-4,
-    finite). Rows are dealt out to blocks by a hash of the id; every pair of
-    blocks is multiplied in one task and sends on the best of its rows only, so
-    n rows cost (n / block)**2 tasks of bounded memory. Returns id1, id2 and the
-    similarity.
+    finite). Rows are dealt out to blocks by a hash of the id; every unordered
+    pair of blocks is multiplied once, in one task, for the rows of both, and
+    sends on the best of its rows only, so n rows cost (n / block)**2 / 2 tasks
+    of bounded memory. Returns id1, id2 and the similarity.
     """
     spark = descriptors.sparkSession
     ship_package(spark)
@@ -105,36 +105,51 @@ def cosine_pairs(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -
     rows = scratch(descriptors.select("observation_id", "descriptor"), "cosine-rows")
     n = rows.count()
     blocks = max(1, -(-n // block))
-    wide = rows.withColumn("own", F.pmod(F.xxhash64("observation_id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = wide.withColumn("other", every).select("observation_id", "descriptor", F.col("own").alias("p"), F.col("other").cast("int").alias("q"))
-    right = wide.withColumn("other", every).select("observation_id", "descriptor", F.col("other").cast("int").alias("p"), F.col("own").alias("q"))
+    own = F.pmod(F.xxhash64("observation_id"), F.lit(blocks)).cast("int")
+    met = lambda k: F.struct(F.least(own, k).cast("int").alias("p"), F.greatest(own, k).cast("int").alias("q"), (k < own).alias("right"))
+    wide = rows.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), met))).select("observation_id", "descriptor", "at.*")
 
-    def table(part: pa.Table) -> tuple[list[str], np.ndarray]:
-        ids = part.column("observation_id").to_pylist()
+    def table(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(part.column("observation_id").to_pylist(), object)
         flat = part.column("descriptor").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        rows = flat.reshape(len(ids), -1) if ids else np.zeros((0, 1))
-        return ids, rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True)) if ids else rows
-
-    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, x = table(a)
-        others, y = table(b)
+        order = np.argsort(ids, kind="stable")
+        rows = flat.reshape(len(ids), -1)[order]
+        return ids[order], rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+    def best(scores: np.ndarray) -> np.ndarray:
+        """Positions of the best of a row: highest first, ties by position, which is the order of ids."""
+        some = np.arange(len(scores))
+        if len(scores) > 4 * neighbors:
+            some = np.flatnonzero(scores >= -np.partition(-scores, neighbors - 1)[neighbors - 1])
+        some = some[np.argsort(-scores[some], kind="stable")][:neighbors]
+        return some[scores[some] > -np.inf]
+
+    def multiply(part: pa.Table) -> pa.Table:
+        right = part.column("right").to_numpy(zero_copy_only=False).astype(bool)
+        alone = not right.any() and part.column("p")[0] == part.column("q")[0]
         out: tuple[list, list, list] = ([], [], [])
-        if ids and others:
-            order = np.argsort(np.array(others))
-            names, y = np.array(others)[order], y[order]
-            for at in range(0, len(ids), 512):
-                scores = x[at : at + 512] @ y.T
-                for source, row in zip(ids[at : at + 512], scores, strict=True):
-                    row[names == source] = -np.inf
-                    best = np.argsort(-row, kind="stable")[:neighbors]
-                    best = best[row[best] > -np.inf]
-                    out[0].extend([source] * len(best))
-                    out[1].extend(names[best].tolist())
-                    out[2].extend(row[best].tolist())
+        if not alone and (right.all() or not right.any()):  # one of the blocks is empty
+            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "s": pa.array([], pa.float64())})
+        ids, x = table(part.filter(pa.array(~right)))
+        others, y = (ids, x) if alone else table(part.filter(pa.array(right)))
+
+        def found(source: str, names: np.ndarray, row: np.ndarray) -> None:
+            top = best(row)
+            out[0].extend([source] * len(top))
+            out[1].extend(names[top].tolist())
+            out[2].extend(row[top].tolist())
+
+        for at in range(0, len(ids), 512):
+            scores = np.round(x[at : at + 512] @ y.T, 12)  # equal ones tie, however they were summed
+            scores[ids[at : at + 512, None] == others[None, :]] = -np.inf
+            for source, row in zip(ids[at : at + 512], scores, strict=True):
+                found(source, others, row)
+            if not alone:
+                for source, row in zip(others, np.ascontiguousarray(scores.T), strict=True):
+                    found(source, ids[at : at + 512], row)
         return pa.table({"a": pa.array(out[0], pa.string()), "b": pa.array(out[1], pa.string()), "s": pa.array(out[2], pa.float64())})
 
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(multiply, "a string, b string, s double")
+    found = wide.groupBy("p", "q").applyInArrow(multiply, "a string, b string, s double")
     ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "b"))).where(F.col("k") <= neighbors)
     return ranked.select(*canonical_pair("a", "b"), "s").groupBy("id1", "id2").agg(F.max("s").alias("similarity"))
 
@@ -174,12 +189,32 @@ def recall(relevant: DataFrame, candidates: DataFrame, baseline: str | None = No
     source_count and, with a baseline, incremental_recall.
     """
     relevant = relevant.select("id1", "id2").distinct()
-    total = scratch(relevant.agg(F.count("*").alias("relevant_count")), "recall-total")
-    pairs = candidates.select("id1", "id2", "source_id").distinct()
-    union = pairs.select("id1", "id2").distinct().withColumn("source_id", F.lit("union"))
-    marked = pairs.unionByName(union).join(relevant.withColumn("hit", F.lit(1)), ["id1", "id2"], "left")
+    total = relevant.count()
+    marked = _candidate_pairs(candidates).join(relevant.withColumn("hit", F.lit(1)), ["id1", "id2"], "left")
+    return _recall_metrics(marked, total, baseline)
+
+
+def recall_by_label(labels: DataFrame, candidates: DataFrame, baseline: str | None = None) -> DataFrame:
+    """recall where any two observations of one label are relevant to one another.
+
+    labels has observation_id (once) and label. The relevant pairs are counted,
+    not made: a label of n observations has n * (n - 1) / 2 of them.
+    """
+    total = labels.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(exhaustive_pair_count(F.col("n"))), F.lit(0))).first()[0]
+    one, two = labels.select(F.col("observation_id").alias("id1"), F.col("label").alias("l1")), labels.select(F.col("observation_id").alias("id2"), F.col("label").alias("l2"))
+    marked = _candidate_pairs(candidates).join(one, "id1", "left").join(two, "id2", "left").withColumn("hit", F.when((F.col("l1") == F.col("l2")) & (F.col("id1") != F.col("id2")), 1))
+    return _recall_metrics(marked, total, baseline)
+
+
+def _candidate_pairs(candidates: DataFrame) -> DataFrame:
+    """The distinct pairs of each source, and those of all as source union."""
+    pairs = scratch(candidates.select("id1", "id2", "source_id").distinct(), "recall-pairs")
+    return pairs.unionByName(pairs.select("id1", "id2").distinct().withColumn("source_id", F.lit("union")))
+
+
+def _recall_metrics(marked: DataFrame, total: int, baseline: str | None) -> DataFrame:
     counts = marked.groupBy("source_id").agg(F.count("*").cast("double").alias("candidate_count"), F.count("hit").cast("double").alias("hit_count"))
-    counts = scratch(counts.withColumn("relevant_count", F.lit(total.first()[0]).cast("double")).withColumn("recall", F.expr("try_divide(hit_count, relevant_count)")), "recall-counts")
+    counts = scratch(counts.withColumn("relevant_count", F.lit(total).cast("double")).withColumn("recall", F.expr("try_divide(hit_count, relevant_count)")), "recall-counts")
     long = counts.select("source_id", F.expr("stack(4, 'candidate_count', candidate_count, 'hit_count', hit_count, 'relevant_count', relevant_count, 'recall', recall) as (metric, value)"))
     sources = counts.where("source_id <> 'union'").agg(F.lit("union").alias("source_id"), F.lit("source_count").alias("metric"), F.count("*").cast("double").alias("value"))
     out = long.unionByName(sources)

@@ -48,7 +48,7 @@ def a14_semantics(spark: SparkSession, sf: str) -> DataFrame:
 
 def j12_depth_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = bound(spark, sf, "pixels")
-    candidate = rows.where("pixel % 2 = 0").select("camera", "pixel", "depth", "valid")
+    candidate = rows.select("camera", "pixel", "depth", "valid")
     reference = rows.select("camera", "pixel", "reference_depth", "reference_valid")
     found = geometry.depth_errors(candidate.join(reference, ["camera", "pixel"]))
     return found.withColumns({c: F.round(c, 9) for c in found.columns[1:]})
@@ -143,7 +143,7 @@ SELECT least(a, b) AS id1, greatest(a, b) AS id2, n AS raw_matches, n - 10 AS in
     "x13_evidence_keys": """WITH c AS (SELECT n_nationkey AS run_id, sha256(n_name) AS configuration FROM nation), f AS (SELECT *, 'evidence:features:' || sha256('features' || chr(10) || configuration || chr(10) || run_id) AS features FROM c)
 SELECT *, 'evidence:matches:' || sha256('matches' || chr(10) || configuration || chr(10) || features) AS matches FROM f""",
     "a14_semantics": f"{duck('pixels')} SELECT camera, count(*) FILTER (valid) AS valid_count, coalesce(bool_and(depth - 2 > 0) FILTER (valid), true) AS all_valid_positive FROM pixels GROUP BY 1",
-    "j12_depth_pairs": f"""{duck('pixels')}, j AS (SELECT *, valid AND reference_valid AS joint FROM pixels WHERE pixel % 2 = 0)
+    "j12_depth_pairs": f"""{duck('pixels')}, j AS (SELECT *, valid AND reference_valid AS joint FROM pixels)
 SELECT camera, round(count(*) FILTER (joint) / nullif(count(*) FILTER (reference_valid), 0)::DOUBLE, 9) AS reference_coverage, round(median(abs(depth - reference_depth)) FILTER (joint), 9) AS median_abs_error,
        round(median(abs(depth - reference_depth) / nullif(reference_depth, 0)) FILTER (joint), 9) AS median_rel_error FROM j GROUP BY 1""",
     "s8_hits": f"{duck('descriptors')} SELECT a.observation_id AS id1, b.observation_id AS id2 FROM descriptors a JOIN descriptors b ON a.label = b.label AND substr(b.observation_id, 2)::BIGINT - substr(a.observation_id, 2)::BIGINT BETWEEN 1 AND 6",

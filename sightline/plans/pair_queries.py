@@ -21,13 +21,6 @@ def _cosine(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return pairs.cosine_pairs(bound(spark, sf, "descriptors"), k)
 
 
-def _relevant(spark: SparkSession, sf: str) -> DataFrame:
-    d = bound(spark, sf, "descriptors").select("observation_id", "label")
-    grouped = d.groupBy("label").agg(F.array_sort(F.collect_list("observation_id")).alias("ids"))
-    first = grouped.select("ids", F.posexplode("ids").alias("i", "id1"))
-    return first.select("id1", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("id2"))
-
-
 def _by_order(spark: SparkSession, sf: str, overlap: int) -> DataFrame:
     d = bound(spark, sf, "descriptors").select(F.lit("all").alias("sequence_id"), "observation_id", F.substring("observation_id", 2, 9).cast("bigint").alias("position"))
     return pairs.sequential_pairs(d, overlap).select("id1", "id2")
@@ -36,7 +29,7 @@ def _by_order(spark: SparkSession, sf: str, overlap: int) -> DataFrame:
 def flagship_retrieval_recall(spark: SparkSession, sf: str) -> DataFrame:
     learned = pairs.as_candidates(_cosine(spark, sf, 2), "learned", "retrieval", "learned-1")
     ordered = pairs.as_candidates(_by_order(spark, sf, 2), "sequential", "pairing", "sequential-1")
-    found = pairs.recall(_relevant(spark, sf), learned.unionByName(ordered), baseline="learned")
+    found = pairs.recall_by_label(bound(spark, sf, "descriptors"), learned.unionByName(ordered), baseline="learned")
     return found.select("source_id", "metric", F.round("value", 9).alias("value"))
 
 
@@ -159,7 +152,7 @@ def g6_components(spark: SparkSession, sf: str) -> DataFrame:
 
 def d12_model_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     runs = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("run_id"))
-    models = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("run_id"))
+    models = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("run_id"))
     return clusters.model_outcomes(runs, models)
 
 
@@ -258,7 +251,7 @@ g AS (SELECT id1, id2, s, string_agg(e, ',' ORDER BY e) AS e FROM refs GROUP BY
 SELECT id1, id2, string_agg(s || '[' || e || ']', ';' ORDER BY s) AS sources FROM g GROUP BY 1, 2""",
     "s9_canonical_tracks": f"{duck('track_elements')} SELECT point_id, observation_id, min(feature_index) AS feature_index FROM track_elements GROUP BY 1, 2",
     "d11_scene_relations": f"{duck('descriptors')}, {RELATIONS} SELECT id1, id2, disposition, evidence FROM relations",
-    "d12_model_outcomes": """WITH m AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1)
+    "d12_model_outcomes": """WITH m AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT c_custkey AS run_id, coalesce(n, 0)::BIGINT AS model_count, CASE coalesce(n, 0) WHEN 0 THEN 'NO_MODEL' WHEN 1 THEN 'SINGLE_MODEL' ELSE 'DISCONNECTED_MODELS' END AS state FROM customer LEFT JOIN m ON o_custkey = c_custkey""",
     "g1_scene_clusters": f"""{duck('descriptors')}, {RELATIONS}, {REACH},
 refs AS (SELECT DISTINCT root, unnest(string_split(evidence, ',')) AS e FROM relations JOIN roots ON observation_id = id1 WHERE disposition = 'SUPPORTED'),

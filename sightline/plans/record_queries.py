@@ -70,7 +70,7 @@ def sc12_correlations(spark: SparkSession, sf: str) -> DataFrame:
 CORRELATIONS = """
 lags AS (SELECT unnest(range(-4, 5))::INT AS lag),
 s AS (SELECT a.pair_id, lag, count(*) AS overlap, sum(a.first::BIGINT) AS sx, sum(b.second::BIGINT) AS sy, sum(a.first::BIGINT * b.second) AS sxy, sum(a.first::BIGINT * a.first) AS sxx, sum(b.second::BIGINT * b.second) AS syy
-      FROM samples a CROSS JOIN lags JOIN samples b ON a.pair_id = b.pair_id AND b.n = a.n + lag WHERE a.n < 60 AND b.n < 60 GROUP BY 1, 2),
+      FROM samples a CROSS JOIN lags JOIN samples b ON a.pair_id = b.pair_id AND b.n = a.n + lag GROUP BY 1, 2),
 c AS (SELECT pair_id, lag, overlap, (overlap * sxy - sx * sy)::DOUBLE AS cov, (overlap * sxx - sx * sx)::DOUBLE AS vx, (overlap * syy - sy * sy)::DOUBLE AS vy FROM s WHERE overlap >= 8),
 correlations AS (SELECT pair_id, lag, overlap, round(greatest(-1.0, least(1.0, cov / sqrt(vx * vy))), 9) AS correlation FROM c WHERE vx > 0 AND vy > 0)"""
 
@@ -115,7 +115,7 @@ def d9_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def a3_profile_summary(spark: SparkSession, sf: str) -> DataFrame:
     assets = bound(spark, sf, "assets").select(F.substring("observation_id", 9, 1).alias("group_id"), F.col("source").alias("source_id"))
-    frames = bound(spark, sf, "frames").where("event_id % 10 < 7").select((F.col("event_id") % 10).cast("string").alias("group_id"), "frame_time_us", "sharpness")
+    frames = bound(spark, sf, "frames").select(F.when(F.col("event_id") % 10 < 7, (F.col("event_id") % 10).cast("string")).otherwise("of no asset").alias("group_id"), "frame_time_us", "sharpness")
     found = decisions.profile_summary(assets, frames)
     return found.withColumn("value", F.round("value", 6))
 
@@ -154,7 +154,7 @@ def a11_surface_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def a12_surface_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     meshes = _meshes(spark, sf)
-    regions = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("surface_id"), F.when(F.col("l_discount") > 0.09, "UNSUPPORTED").otherwise("SUPPORTED").alias("status"))
+    regions = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")).otherwise(-1 - F.col("l_partkey")).alias("surface_id"), F.when(F.col("l_discount") > 0.09, "UNSUPPORTED").otherwise("SUPPORTED").alias("status"))
     return decisions.surface_support(meshes, regions)
 
 
@@ -186,7 +186,7 @@ def io14_verify_files(spark: SparkSession, sf: str) -> DataFrame:
     path = F.when(n % 37 == 0, F.concat(F.lit("../"), F.col("observation_id"))).otherwise(F.concat(F.lit("files/"), F.col("observation_id")))
     files = _assets(spark, sf).withColumn("path", path).withColumn("n", n)
     expected = files.select((F.col("n") % 97).alias("artifact_id"), "path", F.when(F.col("n") % 41 == 0, F.lit("0" * 64)).otherwise(F.upper("sha256")).alias("sha256"), "byte_length")
-    return identity.verify_files(expected, files.where("n % 53 <> 0").select("path", "sha256", "byte_length"))
+    return identity.verify_files(expected, files.select(F.when(F.col("n") % 53 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")).alias("path"), "sha256", "byte_length"))
 
 
 def io15_put_records(spark: SparkSession, sf: str) -> DataFrame:
