@@ -21,8 +21,10 @@ def mix_sources(
     share_percent: int = 150,
     cap: int = 2,
     seed: int = 0,
+    slice_rows: int = 1_000_000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """How often the mix takes each row: id, source, size, source_size, target, copies, taken.
+    """How often the mix takes each row: id, the columns of keep, source, size, source_size, target, copies, taken.
 
     Sources, by code point with null last, weigh weights in turn and share
     share_percent of all words. A target stops at cap times its source's size
@@ -32,16 +34,18 @@ def mix_sources(
     is taken once per whole number that its part of the sum crosses. Sorting by
     size keeps the words taken within about the longest text of the target.
 
-    The sum runs over slices of equal length that range partitioning makes, so
-    no source is ever in one task. Null text and text without words have size
+    Texts are read once, for their sizes. The sum runs over slices of about
+    slice_rows rows that range partitioning makes, so no source is ever in one
+    task. Null text and text without words have size
     0; null sources are one source; null ids come first in the order; rows that
     repeat an id are ordered arbitrarily but have equal sizes or differ in it.
     No rows give no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(text_of(text_col)).alias("_size"))
+    rows = docs.select(*keep, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(text_of(text_col)).alias("_size"))
     rows = rows.withColumn("_key", F.when(F.col("_source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("_source").cast("string"))))
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch(rows, "mix-sizes")
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // slice_rows))
     rows = scratch(rows.repartitionByRange(slices, "_key", "_size", "_id").withColumn("_slice", F.spark_partition_id()), "mix-rows")
 
     parts = rows.groupBy("_key", "_slice").agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"), F.first("_source").alias("_source"))
@@ -79,6 +83,7 @@ def mix_sources(
     placed = placed.withColumn("copies", copies.cast("long"))
     return placed.select(
         F.col("_id").alias(id_col),
+        *keep,
         F.col("_source").alias(source_col),
         F.col("_size").alias("size"),
         "source_size",
