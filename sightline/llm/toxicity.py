@@ -20,7 +20,8 @@ from .labelled import labelled_sample, sigmoid
 
 WORDS = re.compile(r"\w+")
 #: Marks that open or close a quotation.
-QUOTES = re.compile("[\"“”„«»]")
+MARKS = "\"“”„«»"
+QUOTES = re.compile(f"[{MARKS}]")
 #: Words before a term that report it rather than use it.
 REPORTING = frozenset("called calling calls quote quoted quotes quoting said saying says term termed wrote word words slur insult insults reported".split())
 #: Words to each side of a term that make its window.
@@ -28,7 +29,7 @@ WINDOW = 8
 #: What a quoted term counts in a window.
 QUOTED = 0.2
 CACHE = 300_000
-SHORTEST_FUZZY, LONG_TERM, SHORTEST_STEM, LONGEST_STEM = 5, 8, 3, 8
+SHORTEST_FUZZY, LONG_TERM, SHORTEST_STEM, LONGEST_STEM, FUZZY_STEM = 5, 8, 3, 8, 6
 
 
 def edit_masks(word: str) -> dict[str, int]:
@@ -41,11 +42,13 @@ def edit_masks(word: str) -> dict[str, int]:
 class Lexicon:
     """Terms and stems with weights; finds a word's entry, also when misspelled.
 
-    A term is a whole word, a stem any word's start. The terms form a trie. A
-    word's Levenshtein automaton (up to two edits, its states bit sets of word
-    positions) walks the trie, so that only starts that some term shares within
-    the edits are followed. One edit is forgiven from 5 letters on, two from 8
-    letters on or if the letters are the same in another order.
+    A term is a whole word, a stem any word's start. Both form a trie. A word's
+    Levenshtein automaton (up to two edits, its states bit sets of word
+    positions) walks the trie, so that only starts that some entry shares within
+    the edits are followed. In a term, one edit is forgiven from 5 letters on,
+    two from 8 letters on or if the letters are the same in another order; in a
+    stem, one from 6 letters on, wherever the word goes on from there. Words
+    known to be clean are found only as they stand in the lexicon.
     """
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: frozenset[str] = frozenset()):
@@ -53,16 +56,19 @@ class Lexicon:
         self.trie: dict = {}
         # what starts with a stem is known by that
         fuzzy = [t for t in terms if len(t) >= SHORTEST_FUZZY and not any(t[:k] in stems for k in range(SHORTEST_STEM, len(t)))]
-        for term in fuzzy:
+        starts = [s for s in stems if len(s) >= FUZZY_STEM]
+        for entry, end in (*((t, "") for t in fuzzy), *((s, "*") for s in starts)):
             node = self.trie
-            for c in term:
+            for c in entry:
                 node = node.setdefault(c, {})
-            node[""] = term
+            node[end] = entry
         reach = [(t, n) for t in fuzzy for e in [2 if len(t) >= LONG_TERM else 1] for n in range(len(t) - e, len(t) + e + 1)]
         self.starts, self.ends = {(t[:2], n) for t, n in reach}, {(t[-2:], n) for t, n in reach}
         self.inner = {(t[i : i + 3], n) for t, n in reach if len(t) >= LONG_TERM for i in range(len(t) - 2)}
         self.lengths = frozenset(n for _, n in reach)
         self.letters = {"".join(sorted(t)) for t in fuzzy}
+        self.stem_starts, self.stem_inner = {s[:2] for s in starts}, {s[2:5] for s in starts}
+        self.least_stem = min(map(len, starts), default=1 << 30) - 1
 
     def find(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the word's entry, or None."""
@@ -71,29 +77,43 @@ class Lexicon:
         for k in range(min(len(word), LONGEST_STEM), SHORTEST_STEM - 1, -1):
             if word[:k] in self.stems:
                 return self.stems[word[:k]], 0
-        n = len(word)
-        if n not in self.lengths or word in self.clean:
+        if word in self.clean or not self.may_match(word):
             return None
+        return self.misspelled(word)
+
+    def may_match(self, word: str) -> bool:
+        """False only for words that no entry matches within its edits; spares them the walk."""
+        n = len(word)
+        # one edit leaves the start of a stem, or its third to fifth letters at most one place away
+        if n >= self.least_stem and (word[:2] in self.stem_starts or any(word[i : i + 3] in self.stem_inner for i in (1, 2, 3))):
+            return True
+        if n not in self.lengths:
+            return False
         # two edits leave the start, the end or, in a long term, three letters within
-        if (word[:2], n) not in self.starts and (word[-2:], n) not in self.ends and not any((word[i : i + 3], n) in self.inner for i in range(n - 2)):
-            return None
-        return self.misspelled(word, 2 if n >= LONG_TERM - 2 or "".join(sorted(word)) in self.letters else 1)
+        if (word[:2], n) in self.starts or (word[-2:], n) in self.ends or any((word[i : i + 3], n) in self.inner for i in range(n - 2)):
+            return True
+        return "".join(sorted(word)) in self.letters
 
-    def misspelled(self, word: str, most: int = 2) -> tuple[float, int] | None:
-        """(weight, edits) of the entry with the fewest edits, at most `most`, then the most weight."""
+    def misspelled(self, word: str) -> tuple[float, int] | None:
+        """(weight, edits) of the entry with the fewest edits that it forgives, then the most weight."""
         masks, n = edit_masks(word), len(word)
         mask_of = masks.get
         last, within = 1 << n, (2 << n) - 1
+        letters = sorted(word)
+        most = 2 if n >= LONG_TERM - 2 or "".join(letters) in self.letters else 1
         best = None
         stack = [(self.trie, 1, 0b11 & within, 0b111 & within if most == 2 else 0)]
         while stack:
             node, none, one, two = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    edits = 0 if none & last else 1 if one & last else 2 if two & last else 3
-                    if edits < 3 and (edits < 2 or len(child) >= LONG_TERM or sorted(child) == sorted(word)):
-                        if best is None or (edits, -self.terms[child]) < (best[1], -best[0]):
-                            best = (self.terms[child], edits)
+                if len(c) != 1 or c == "*":
+                    if c:  # a stem: the word may go on
+                        edits, forgiven, weight = (0 if none else 1 if one else 2), 1, self.stems[child]
+                    else:
+                        edits = 0 if none & last else 1 if one & last else 2 if two & last else 3
+                        forgiven, weight = (2 if len(child) >= LONG_TERM or sorted(child) == letters else 1), self.terms[child]
+                    if edits <= forgiven and (best is None or (edits, -weight) < (best[1], -best[0])):
+                        best = (weight, edits)
                     continue
                 m = mask_of(c, 0)
                 a = (none & m) << 1
