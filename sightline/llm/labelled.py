@@ -16,12 +16,14 @@ def held_out(id_col: str | Column, folds: int = 5) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, id_col: str, text_col: str, most: int, folds: int = 5) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most `most` labelled rows that are not held out, chosen by a hash of the id.
 
-    Rows with a null id, label or text are not chosen.
+    Rows with a null id, label or text are not chosen. An id that many
+    documents repeat counts as often, within the bound.
     """
     some = labels.select(F.col(id_col).alias("_id"), label.cast("int").alias("_label")).where("_id is not null and _label is not null").where(~held_out("_id", folds))
     some = some.orderBy(F.xxhash64("_id", F.lit(3)), "_id", "_label").limit(most)
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(some), "_id")
-    rows = sorted(found.select("_id", "_text", "_label").collect())[:most]
+    found = found.select("_id", "_text", "_label").orderBy(F.xxhash64("_id", F.lit(3)), "_id", "_label", F.xxhash64("_text")).limit(most)
+    rows = sorted(found.collect())
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
 
