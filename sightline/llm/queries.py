@@ -25,7 +25,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_read(spark, sf_dir, "documents"), digest_all=True)
+    return exact_dedup(_read(spark, sf_dir, "documents"), digest_all=True).drop("chars", "text_hash")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
