@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .common import scratch
 from .exact_dedup import exact_dedup
 from .labelled import held_out
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
-from .pii import KINDS, count_of, find_pii, fit_pii, written
+from .pii import KINDS, count_of, find_pii, fit_pii, pii_candidates, written
 from .quality import fit_quality, score_quality
 from .token_files import crc32_of, read_sequences, write_sequences
 from .topk import top_k
@@ -62,8 +63,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_pii(docs, fit_pii(docs))
+    candidates = scratch(pii_candidates(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii-candidates")
+    found = find_pii(candidates, fit_pii(candidates))
     counts = [count_of("base_spans", kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
