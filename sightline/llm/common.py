@@ -9,15 +9,16 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import BROADCAST_ROWS, discard_scratch, lookup, scratch, shared_path, shared_root
+from ..scratch import BROADCAST_ROWS, discard_scratch, lookup, scratch, shared_path, shared_root, stored_bytes
 from ..shipping import ship_package
+from ..storage import filesystem_of
 
 #: The white space of all text contracts: space and TAB to CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 T = TypeVar("T")
 
-__all__ = ["BROADCAST_ROWS", "discard_scratch", "lookup", "mark_members", "maybe_member", "member_bits", "n_words", "prepare", "scratch", "shared_path", "shared_root", "text_of", "without_space", "worker_state"]
+__all__ = ["BROADCAST_ROWS", "discard_scratch", "filesystem_of", "lookup", "mark_members", "maybe_member", "member_bits", "n_words", "prepare", "scratch", "shared_path", "shared_root", "stored_bytes", "text_of", "without_space", "worker_state"]
 
 
 def prepare(spark: SparkSession, rows: int = 1000) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import prepare, scratch, shared_path, text_of, worker_state
+from .common import filesystem_of, prepare, scratch, shared_path, stored_bytes, text_of, worker_state
 
 #: Pieces of text whose ids a worker remembers.
 CACHE = 400_000
@@ -29,6 +29,9 @@ NORMALISED = ["NFC", "Replace", "Lowercase"]
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s\x85\xa0a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+", re.ASCII)
 
+#: ASCII punctuation that no normalisation makes of another character.
+PUNCTUATION = re.compile(r"[!-/:<-@\[-_{-~]+")
+
 
 def _cuts_so(config: str) -> bool:
     """Whether the tokenizer has the cut for which PIECES stands."""
@@ -39,6 +42,17 @@ def _cuts_so(config: str) -> bool:
         return False
 
 
+def added_strings(config: str) -> list[str]:
+    """What a text must hold, letter for letter, to hold the string of an added token.
+
+    The tokenizer may look for the string after normalising, which changes
+    letters and spaces but makes no punctuation; so the string's longest run of
+    that is looked for. A string without any makes "" of it: any text may hold it.
+    """
+    runs = (max(PUNCTUATION.findall(x["content"]), key=len, default="") for x in json.loads(config).get("added_tokens") or ())
+    return sorted(set(runs))
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases and drops white space.
 
@@ -46,7 +60,8 @@ class WordEncoder:
     is cut into the tokenizer's own pre-tokens here; another at spaces and newlines, which
     end a pre-token too. Ids of pieces are remembered; the pieces that a batch of
     texts brings in anew go to the library in few calls, words of letters many
-    to a text with a mark between them.
+    to a text with a mark between them. A text that may hold the string of an
+    added token goes to the library whole, which knows how to cut it out.
     """
 
     def __init__(self, config: str, width: int):
@@ -54,7 +69,7 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the workers are the parallelism
         self.tokenizer = Tokenizer.from_str(config)
-        self.tokenizer.encode_special_tokens = True
+        self.added = added_strings(config)
         self.dtype = np.dtype(f"<u{width}")
         self.pieces: dict[str, bytes] = {"": b""}
         self.mark = self._encode([MARK])[0]
@@ -89,10 +104,13 @@ class WordEncoder:
         return text.replace("\n", " ").split(" ")
 
     def encode_texts(self, texts: list[str], tail: bytes) -> list[bytes]:
-        cut = list(map(self._cut, texts))
+        whole = [k for k, x in enumerate(texts) if any(sign in x for sign in self.added)]
+        cut = list(map(self._cut, texts)) if not whole else [() if any(sign in x for sign in self.added) else self._cut(x) for x in texts]
         held = self.pieces
         held.update(self._encode_pieces(list(set(chain.from_iterable(cut)).difference(held))))
         out = [b"".join([*map(held.__getitem__, some), tail]) for some in cut]
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
+            out[k] = ids + tail
         for _ in range(len(held) - CACHE):  # the latest came in for the rarest
             held.popitem()
         return out
@@ -102,8 +120,9 @@ def encode_words(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """id and packed token_ids of each row's whole text, and the bytes an id takes.
 
     The tokenizer must drop white space. Ids take two bytes where the
-    vocabulary and end_id allow, else four, little-endian. end_id, where given, ends each text. Null
-    text counts as empty.
+    vocabulary and end_id allow, else four, little-endian. end_id, where given, ends each text.
+    The ids are those that the library gives by default: the string of an added
+    token in a text, such as <|endoftext|>, becomes its id. Null text counts as empty.
     """
     from tokenizers import Tokenizer
 
@@ -173,26 +192,32 @@ class _SequenceFile:
         self.out.close()
 
 
-def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, seq_len: int = 1024, batch_rows: int = 256) -> DataFrame:
+def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, seq_len: int = 1024, batch_rows: int = 256, part_bytes: int = 1 << 27) -> DataFrame:
     """Encode docs, write their ids in ascending id order, and return the index of the files.
 
-    The rows are range-partitioned by id and sorted, so a file holds a run of
-    ids and the files follow one another by their number part. A file is an
-    Arrow IPC file: fixed-size lists of seq_len ids with a mask, batch_rows to a
-    batch, the end of the last filled up with 0 and masked out. Any sequence is
-    reached by the batch number without reading others. Batches have equal
-    lengths, so memory mapping needs no copy.
+    The rows are range-partitioned and sorted by id, so a file holds a run of
+    ids and the files follow one another by their number part. There are about
+    part_bytes of stored text to a file, and at least as many files as the
+    session has shuffle partitions. A file is an Arrow IPC file: fixed-size
+    lists of seq_len ids with a mask, batch_rows to a batch, the end of the last
+    filled up with 0 and masked out. Any sequence is reached by the batch number
+    without reading others. Batches have equal lengths, so memory mapping needs
+    no copy.
 
     Index rows: part, file, id, local_start (ids before it in the file),
     n_tokens. Every attempt of a task writes a file of its own name; only files
-    of the attempt that Spark commits are in the index. Null ids come first, and
-    rows with the same id in the order of their texts. Null text counts as
-    empty and gives end_id alone. No rows give no files and an empty index.
+    of the attempt that Spark commits are in the index. Null ids come first.
+    Rows with the same id are in the order of a hash of their texts, then of
+    their place in docs, and may lie in several files, so an id that many rows
+    repeat is in no one task. Null text counts as empty and gives end_id alone.
+    No rows give no files and an empty index.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "sequences")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text")
+    plain = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(plain) // part_bytes))
+    keyed = plain.withColumn("_hash", F.xxhash64("_text")).withColumn("_place", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(parts, "_id", "_hash", "_place").sortWithinPartitions("_id", "_hash", "_place").select("_id", "_text")
     encoded, width = encode_words(ordered, tokenizer_path, "_id", "_text", end_id=end_id)
     schema = StructType([StructField("part", IntegerType()), StructField("file", StringType()), StructField("_id", docs.schema[id_col].dataType), StructField("local_start", LongType()), StructField("n_tokens", LongType())])
 
@@ -202,7 +227,7 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = N
         out = None
         for batch in batches:
             if out is None and batch.num_rows:
-                fs, path = pyarrow.fs.FileSystem.from_uri(file)
+                fs, path = filesystem_of(file)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = _SequenceFile(fs, path, seq_len, batch_rows, width)
             ids = batch.column(1).to_pylist()
@@ -233,7 +258,7 @@ def read_sequences(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
             out = []
             for file, start, n in zip(*(batch.column(k).to_pylist() for k in ("file", "local_start", "n_tokens")), strict=True):
                 if file != opened:
-                    fs, path = pyarrow.fs.FileSystem.from_uri(file)
+                    fs, path = filesystem_of(file)
                     reader, opened, held = pa.ipc.open_file(fs.open_input_file(path)), file, (-1, None)
                     rows = reader.get_batch(0).num_rows
                     length = reader.schema.field(0).type.list_size
@@ -259,5 +284,3 @@ def read_sequences(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def crc32_of(tokens: DataFrame, ids_col: str = "token_ids") -> DataFrame:
     """tokens with ids_crc32 in place of the ids."""
     return tokens.withColumn("ids_crc32", F.crc32(ids_col)).drop(ids_col)
-
-
