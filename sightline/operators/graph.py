@@ -28,14 +28,15 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while True:
         # large star: every larger neighbour is hung on the least of the neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
+        most = 2 * state[0]  # a step makes no more rows than that
+        least = scratch(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least", most)
         hung = both.where("b > a").join(lookup(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = scratch(hung.where("a <> b").distinct(), "cc-large")
+        edges = scratch(hung.where("a <> b").distinct(), "cc-large", most)
         # small star: smaller neighbours and the node itself are hung on the least of them
-        least = scratch(edges.groupBy("a").agg(F.min("b").alias("m")), "cc-small")
+        least = scratch(edges.groupBy("a").agg(F.min("b").alias("m")), "cc-small", most)
         joined = edges.join(lookup(least), "a")
         edges = joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = scratch(edges, "cc-edges")
+        edges = scratch(edges, "cc-edges", most)
         now = _state(edges)
         if now == state:
             break

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A table of at most so many rows, and of so many bytes where it is stored, is small enough to broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
+#: How a table of known size is cut into files.
+PART_ROWS, LEAST_PARTS = 200_000, 8
 _ROOTS: dict[str, str] = {}
 
 
@@ -34,14 +36,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
+def scratch(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
+    rows, where known, says how many rows df has at most; a small table is then
+    written in few files, PART_ROWS rows to each, whatever the number of
+    shuffle partitions, though never by fewer than LEAST_PARTS tasks.
+
     This cuts the lineage: a lost executor costs the tasks that ran on it, not
     the steps before. A table read again also carries no partitioning, so a
     join on it gets exchanges that adaptive execution can split when skewed.
     """
     path = shared_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_PARTS, -(-rows // PART_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
