@@ -74,7 +74,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, percent=80).drop("group")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +132,22 @@ d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS best FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN best <> page_id THEN best END AS refers_to FROM m
+""",
+    "op9_near_dedup": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM t
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a
+), c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
 """,
     "op7_topk": """
 WITH ok AS (
