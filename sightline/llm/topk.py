@@ -9,19 +9,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import prepare, scratch
 
-#: Components are held within this, so that no product sum of 4096 of them leaves 64 bits.
-MOST = 1 << 25
+#: Rings of equal angle around a pivot for which rows are counted.
+RINGS = 256
+#: Numbers that a group holds of its rows, or of its queries, whatever the width of the vectors.
+GROUP_NUMBERS = 1 << 21
+#: How far rounding may be off in a bound, as a share of the product of the norms.
+SLACK = 2e-6
 
 
 def quantised(vector: str, scale: int) -> Column:
-    """floor(scale * x) of each component as a long; null for vectors that take no part."""
+    """floor(scale * x) of each component as a long; null for vectors that take no part.
+
+    A component that does not fit is an error, not another number.
+    """
     kind = F.col(vector)
     usable = kind.isNotNull() & F.forall(kind, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(kind, lambda x: F.least(F.greatest(F.floor(scale * x.cast("double")), F.lit(-MOST)), F.lit(MOST)).cast("int"))
+    fits = lambda x: F.abs(scale * x.cast("double")) < float(1 << 62)
+    whole = F.transform(kind, lambda x: F.when(fits(x), F.floor(scale * x.cast("double"))).otherwise(F.raise_error(F.lit("a vector component is beyond 2**62")).cast("long")))
     return F.when(usable, whole)
 
 
@@ -30,27 +38,28 @@ def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows / np.where(norm > 0, norm, 1)[:, None], norm
 
 
-def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole-number rows, as int64."""
+def _dots(a: np.ndarray, b: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers, as int64; one that does not fit raises OverflowError, unless it is to be skipped."""
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)), np.int64)
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < 2**62:
+        return a @ b.T
+    return np.where(skip, 0, a.astype(object) @ b.astype(object).T).astype(np.int64)
 
 
-def _packed(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a binary column as int32, filled up with 0 to width."""
-    cells = column.to_pylist()
-    if cells and all(len(x) == 4 * width for x in cells):
-        return np.frombuffer(b"".join(cells), "<i4").reshape(-1, width)
-    out = np.zeros((len(cells), width), np.int32)
+def _packed(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    """Rows of a binary column as int64, filled up with 0 to width."""
+    cells, size = column.to_pylist(), np.dtype(kind).itemsize
+    if all(len(x) == size * width for x in cells):
+        return np.frombuffer(b"".join(cells), kind).reshape(-1, width).astype(np.int64)
+    out = np.zeros((len(cells), width), np.int64)
     for k, x in enumerate(cells):
-        out[k, : len(x) // 4] = np.frombuffer(x, "<i4")
+        out[k, : len(x) // size] = np.frombuffer(x, kind)
     return out
 
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of a row of scores: highest first, ties by id."""
     if len(scores) > 4 * k:
@@ -61,6 +70,40 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
+class Chunks:
+    """The rows cut by cell and, within a cell, by angle to its pivot.
+
+    A chunk is a run of rings of one cell that hold at most `most` rows together,
+    or one ring of more, which is dealt out over several salts. Of a chunk are
+    known its rows and the range of their angles and norms. There are at most
+    as many chunks as pivots times RINGS, however many rows there are.
+    """
+
+    def __init__(self, rings: list, pivots: int, most: int):
+        self.of = np.zeros((pivots, RINGS), np.int32)
+        runs: list[list] = []
+        for r in sorted(rings, key=lambda r: (r.cell, r.ring)):
+            if runs and runs[-1][0] == r.cell and runs[-1][5] + r.n <= most:
+                c = runs[-1]
+                runs[-1] = [r.cell, min(c[1], r.near), max(c[2], r.far), min(c[3], r.small), max(c[4], r.large), c[5] + r.n]
+            else:
+                runs.append([r.cell, r.near, r.far, r.small, r.large, r.n])
+            self.of[r.cell, r.ring] = len(runs) - 1
+        table = np.array(runs, float).reshape(-1, 6)
+        self.cell, self.rows = table[:, 0].astype(int), table[:, 5].astype(np.int64)
+        self.near, self.far, self.small, self.large = table[:, 1:5].T
+        self.salts = -(-self.rows // most)
+
+    def bounds(self, angle: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """The highest inner product that a row of each chunk can have with queries of these
+        norms and angles to the pivots, by the triangle inequality of angles."""
+        of_cell = angle[:, self.cell]
+        gap = np.maximum(0, np.maximum(of_cell - self.far, self.near - of_cell))
+        cosine = np.cos(np.minimum(gap, math.pi))
+        best = norm[:, None] * cosine * np.where(cosine >= 0, self.large, self.small)
+        return best + SLACK * norm[:, None] * self.large
+
+
 def top_k(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -70,8 +113,9 @@ def top_k(
     every: int = 50,
     scale: int = 256,
     pivots: int = 128,
-    group_queries: int = 2048,
+    group_queries: int = 4096,
     chunk_rows: int = 16384,
+    stats: dict | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows by inner product.
 
@@ -79,150 +123,137 @@ def top_k(
     id is divisible by every; candidates are all rows but those with the
     query's own id. Ties go to the smaller id.
 
-    pivots rows, chosen by a hash of the id, split the space into Voronoi cells
-    by angle. Queries are grouped by neighbouring cells, about group_queries to
-    a group. A query's k-th best score among the pivots bounds its result from
-    below; with the least such bound of a group and the least angle between its
-    queries and each pivot, the spherical triangle inequality tells which rows
-    of a cell no query of the group can need. The others are sent to the
-    group, in chunks dealt out by a hash so that no cell or group is ever in
-    one task; each chunk is solved alone and the winners merged. The summaries
-    hold pivots x groups numbers. The result is exact for any pivots.
+    Up to pivots rows, chosen by a hash of the id, split the space into Voronoi
+    cells by angle, and rings of angle cut the cells into chunks of chunk_rows
+    rows. First each query is solved in the chunk that it lies in; its k-th
+    best score there is what a row must reach. The summaries of the other
+    chunks (the range of angles to the pivot and of norms) bound what their
+    rows can reach; a query is sent to the chunks that may hold a result and to
+    no others. The queries of a chunk are dealt out in groups of group_queries,
+    its rows are sent once to each group and not at all if no query needs them,
+    and each group is solved alone. Rows of one vector, however many, are
+    dealt out by their place in the table. The result is exact for any
+    pivots; how much is compared depends on how well the rows fall into cells.
+    stats, where given, gets "share": of all pairs of a query and a row, those compared.
 
     Vectors that are null or hold null, NaN or infinite components take no
-    part, nor do null ids. Shorter vectors are filled up with 0; components
-    beyond 2**25 after scaling count as 2**25. Rows that repeat an id are
-    separate candidates, and as queries are one. No rows give
-    no rows.
+    part, nor do null ids. Shorter vectors are filled up with 0. A component
+    beyond 2**62 after scaling or a score beyond 64 bits is an error. Rows that
+    repeat an id are separate candidates; as queries they are one, that of the
+    least vector by its bytes. No rows give no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("v")).where("id is not null and v is not null")
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # bounded by the parameter
-    sizes = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1)), F.max(F.size("v"))).first()
-    n, n_queries, width = sizes[0], sizes[1], sizes[2] or 0
-    width = max(width, 1)
+    rows = scratch(rows, "topk-rows")
+    n, width, high, low = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    width, kind = max(width or 0, 1), "<i4" if max(high or 0, -(low or 0)) < 1 << 31 else "<i8"
+    chosen = rows.orderBy(F.xxhash64("id"), "id", "v").limit(min(pivots, math.isqrt(n) + 1)).collect()  # bounded by the parameter
     points = np.zeros((len(chosen), width), np.int64)
     for at, row in enumerate(chosen):
         points[at, : len(row.v)] = row.v
-    point_ids = np.array([row.id for row in chosen], np.int64)
-    directions = _unit(points.astype(np.float64))[0]
-    pivot_table = spark.sparkContext.broadcast((points, point_ids, directions))
+    held = spark.sparkContext.broadcast(_unit(points.astype(np.float64))[0])
 
-    # cells, angles and norms; queries also get the bound from the pivots
-    placed_schema = StructType([StructField("id", LongType()), StructField("packed", BinaryType()), StructField("cell", IntegerType())])
+    # cell, ring and norm of each row
+    schema = StructType([StructField("id", LongType()), StructField("packed", BinaryType()), StructField("cell", IntegerType()), StructField("ring", IntegerType()), StructField("angle", DoubleType()), StructField("norm", DoubleType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, directions = pivot_table.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                lists = part.column(1)
-                starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4")
-                cells = [flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                table = _packed(pa.array(cells, pa.binary()), width).astype(np.float64)
-                cell = (table @ directions.T).argmax(axis=1) if len(directions) else np.zeros(len(cells), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary()), pa.array(cell, pa.int32())], names=placed_schema.names)
-
-    placed = scratch(rows.mapInArrow(place, placed_schema), "topk-placed")
-    queries = placed.where(F.col("id") % every == 0)
-
-    # neighbouring cells form groups of about group_queries queries; a hot cell forms several
-    held = {r.cell: r["count"] for r in queries.groupBy("cell").count().collect()}  # at most a row for each pivot
-    order, left = [], set(held)
-    while left:
-        here = min(left) if not order else max(left, key=lambda c: (directions[c] @ directions[order[-1]], -c))
-        order.append(here)
-        left.remove(here)
-    group_of, n_groups, filled = {}, 0, 0
-    for cell in order:
-        some = -(-held[cell] // group_queries)
-        if some > 1 or filled + held[cell] > group_queries:
-            n_groups, filled = n_groups + bool(filled), 0
-        group_of[cell] = (n_groups, some)
-        filled += held[cell]
-        if some > 1:
-            n_groups, filled = n_groups + some, 0
-    n_groups += bool(filled)
-    if not n_groups:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    cells = spark.createDataFrame([(c, g, s) for c, (g, s) in group_of.items()], "cell int, _g int, _s int")
-    asked = queries.dropDuplicates(["id"]).join(F.broadcast(cells), "cell").select("id", "packed", (F.col("_g") + F.pmod(F.xxhash64("id"), F.col("_s"))).cast("int").alias("grp"))
-    asked = scratch(asked, "topk-queries")
-
-    # per group: least angle to each pivot, and the least normalised bound
-    bound_schema = "grp int, pivot int, value double"
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, point_ids, directions = pivot_table.value
-        least: dict[int, np.ndarray] = {}
+            lists = batch.column(1)
+            starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(kind)
+            cells = pa.array([flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+            unit, norm = _unit(_packed(cells, width, kind).astype(np.float64))
+            cosine = unit @ held.value.T
+            cell = cosine.argmax(axis=1)
+            angle = np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1, 1))
+            ring = np.minimum(angle / math.pi * RINGS, RINGS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), cells, pa.array(cell.astype(np.int32)), pa.array(ring), pa.array(angle), pa.array(norm)], names=schema.names)
+
+    placed = scratch(rows.mapInArrow(place, schema), "topk-placed")
+    rings = placed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"), F.min("norm").alias("small"), F.max("norm").alias("large"))
+    chunks = Chunks(rings.collect(), max(len(points), 1), min(chunk_rows, max(1, GROUP_NUMBERS // width)))  # at most RINGS rows for each pivot
+    group_queries = min(group_queries, max(1, GROUP_NUMBERS // width))
+    summary = spark.sparkContext.broadcast(chunks)
+    of = spark.createDataFrame([(c, r, int(chunks.of[c, r]), int(chunks.salts[chunks.of[c, r]])) for c, r in sorted((x.cell, x.ring) for x in placed.select("cell", "ring").distinct().collect())], "cell int, ring int, chunk int, salts int")
+
+    def in_chunks(df: DataFrame, *by: Column) -> DataFrame:
+        return df.join(F.broadcast(of), ["cell", "ring"]).withColumn("salt", F.pmod(F.xxhash64(*by), F.col("salts")).cast("int"))
+
+    candidates = in_chunks(placed.withColumn("_row", F.col("_metadata.row_index")), F.col("id"), F.col("_row")).select("id", "packed", "chunk", "salt")
+    queries = placed.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("packed", "cell", "ring")).alias("q")).select("id", "q.*")
+    asked = scratch(in_chunks(queries, F.col("id")).select("id", "packed", "chunk", "salt"), "topk-queries")
+
+    def solved(asked_part: pa.Table, sent_part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of each query's best rows."""
+        q, q_ids = _packed(asked_part.column("packed"), width, kind), asked_part.column("id").to_numpy()
+        x, x_ids = _packed(sent_part.column("packed"), width, kind), sent_part.column("id").to_numpy()
+        for at in range(0, len(q), 256):
+            own = q_ids[at : at + 256, None] == x_ids[None, :]
+            for itself, row in zip(own, _dots(q[at : at + 256], x, own), strict=True):
+                others = np.flatnonzero(~itself)
+                row, ids = (row, x_ids) if len(others) == len(row) else (row[others], x_ids[others])
+                best = _best(row, ids, k)
+                yield ids[best], row[best]
+
+    # each query in its own chunk; what it finds there bounds what others must reach
+    own = StructType([*asked.schema.fields, StructField("vec_ids", ArrayType(LongType())), StructField("scores", ArrayType(LongType()))])
+
+    def at_home(key: tuple, asked_part: pa.Table, sent_part: pa.Table) -> pa.Table:
+        found = list(solved(asked_part, sent_part))
+        columns = [pa.array([f[c].tolist() for f in found], pa.list_(pa.int64())) for c in (0, 1)]
+        return pa.table([*asked_part.columns, *columns], names=own.names)
+
+    home = scratch(asked.groupBy("chunk", "salt").cogroup(candidates.groupBy("chunk", "salt")).applyInArrow(at_home, own), "topk-home")
+
+    # the other chunks that may hold a result of a query
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        directions, chunks = held.value, summary.value
         for batch in batches:
-            ids, groups = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            table = _packed(batch.column(1), width)
-            unit, norm = _unit(table.astype(np.float64))
-            cosine = np.clip(unit @ directions.T, -1, 1)
-            scores = _dots(table, points).astype(np.float64)
-            scores[ids[:, None] == point_ids[None, :]] = -np.inf
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-            need = np.where(norm > 0, kth / np.where(norm > 0, norm, 1), -np.inf)  # a zero query scores 0 with all
-            for g in np.unique(groups):
-                own = groups == g
-                now = np.concatenate((np.arccos(cosine[own]).min(axis=0), [need[own].min()]))
-                least[g] = np.minimum(least[g], now) if g in least else now
-        if least:
-            groups = np.repeat(np.array(list(least), np.int32), len(directions) + 1)
-            at = np.tile(np.arange(len(directions) + 1, dtype=np.int32), len(least))
-            yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(at), pa.array(np.concatenate(list(least.values())))], names=["grp", "pivot", "value"])
-
-    bounds = asked.mapInArrow(bound, bound_schema).groupBy("grp", "pivot").agg(F.min("value").alias("value")).collect()  # groups x (pivots + 1)
-    angle = np.zeros((n_groups, len(directions)))
-    need = np.full(n_groups, np.inf)
-    for r in bounds:
-        if r.pivot == len(directions):
-            need[r.grp] = r.value
-        else:
-            angle[r.grp, r.pivot] = r.value
-    summary = spark.sparkContext.broadcast((angle, need))
-
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(math.ceil(n / chunk_rows), math.ceil(parallel / n_groups))
-    sent_schema = "id long, packed binary, grp int, chunk int"
+            step = max(1, GROUP_NUMBERS // max(1, len(chunks.rows)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                unit, norm = _unit(_packed(part.column("packed"), width, kind).astype(np.float64))
+                least = np.array([x[-1] if len(x) >= k else -np.inf for x in part.column("scores").to_pylist()], float)
+                bounds = chunks.bounds(np.arccos(np.clip(unit @ directions.T, -1, 1)), norm)
+                may = bounds >= least[:, None]
+                alone = np.flatnonzero(chunks.salts == 1)  # the query's own chunk is done, unless it has several salts
+                mine = part.column("chunk").to_numpy()
+                may[np.arange(len(mine)), mine] &= ~np.isin(mine, alone)
+                yield part, *np.nonzero(may)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(summary.value.rows), np.int64)
+        for _, _, chunk in needed(batches):
+            total += np.bincount(chunk, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["chunk", "n"])
+
+    wanted = home.mapInArrow(count, "chunk int, n long").groupBy("chunk").agg(F.sum("n").alias("n")).collect()  # a row for each chunk
+    if stats is not None:
+        n_queries = home.count()
+        compared = sum(r.n * int(chunks.rows[r.chunk]) for r in wanted) + home.join(candidates.groupBy("chunk", "salt").count(), ["chunk", "salt"]).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        stats["share"] = compared / (n_queries * n) if n_queries else 0.0
+    blocks = {r.chunk: -(-r.n // group_queries) for r in wanted}
+    plan = spark.createDataFrame([(c, int(chunks.salts[c]), b) for c, b in blocks.items()], "chunk int, salts int, blocks int")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions = pivot_table.value[2]
-        angle, need = summary.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                table = _packed(part.column("packed"), width).astype(np.float64)
-                cell = part.column("cell").to_numpy()
-                unit, norm = _unit(table)
-                own = np.arccos(np.clip((unit * directions[cell]).sum(axis=1), -1, 1))
-                # the highest inner product with a unit vector of the group; a little more for rounding
-                best = norm[:, None] * np.cos(np.maximum(0, angle[:, cell].T - own[:, None] - 1e-7))
-                row, group = np.nonzero(best + np.abs(best) * 1e-9 + 1e-6 >= need[None, :])
-                if len(row):
-                    took = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([took.column("id"), took.column("packed"), pa.array(group.astype(np.int32)), took.column("chunk")], names=["id", "packed", "grp", "chunk"])
-
-    chunk = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks)).cast("int")
-    sent = placed.withColumn("chunk", chunk).mapInArrow(send, sent_schema)
-    blocks = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def solve(asked_part: pa.Table, sent_part: pa.Table) -> pa.Table:
-        q, q_ids = _packed(asked_part.column("packed"), width), asked_part.column("id").to_numpy()
-        x, x_ids = _packed(sent_part.column("packed"), width), sent_part.column("id").to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(q) if len(x) else 0, 256):
-            scores = _dots(q[at : at + 256], x)
-            for query, row in zip(q_ids[at : at + 256], scores, strict=True):
-                others = np.flatnonzero(x_ids != query)
-                row, ids = (row, x_ids) if len(others) == len(row) else (row[others], x_ids[others])
-                best = _best(row, ids, k)
-                out.append((np.full(len(best), query), ids[best], row[best]))
-        columns = [np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out, strict=True) if out else [(), (), ()])]
+        for part, row, chunk in needed(batches):
+            took = part.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([took.column("id"), took.column("packed"), took.column("chunk"), took.column("salt"), pa.array(chunk.astype(np.int32))], names=["id", "packed", "home", "home_salt", "chunk"])
+
+    sent = home.mapInArrow(send, "id long, packed binary, home int, home_salt int, chunk int").join(F.broadcast(plan), "chunk")
+    sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("not (chunk = home and salt = home_salt)")
+    sent = sent.select("id", "packed", "chunk", "salt", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int").alias("block"))
+    rest = candidates.join(F.broadcast(plan.select("chunk", "blocks")), "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def away(key: tuple, asked_part: pa.Table, sent_part: pa.Table) -> pa.Table:
+        ids = asked_part.column("id").to_numpy()
+        found = list(solved(asked_part, sent_part))
+        columns = (np.repeat(ids, [len(f[0]) for f in found]), *(np.concatenate([f[c] for f in found]) if found else np.empty(0, np.int64) for c in (0, 1)))
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
-    solved = blocks.groupBy("grp", "chunk").cogroup(sent.groupBy("grp", "chunk")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    key = ("chunk", "salt", "block")
+    others = sent.groupBy(*key).cogroup(rest.groupBy(*key)).applyInArrow(away, "query_id long, vec_id long, score long")
+    near = home.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("vec_ids", "scores")).alias("r")).select("query_id", F.col("r.vec_ids").alias("vec_id"), F.col("r.scores").alias("score"))
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return solved.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.unionByName(others).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
