@@ -17,8 +17,10 @@ from .common import prepare, text_of, worker_state
 
 #: Bits in a word of the rank bitmap.
 WORD = 256
-#: Pre-tokens whose ids a worker remembers (some 200 bytes each); others are encoded each time they occur.
+#: Pre-tokens whose ids a worker remembers (some 200 bytes each); others are encoded each time they occur,
+#: as are pre-tokens of more bytes than these, which hardly occur twice and could fill the memory.
 REMEMBERED = 1_200_000
+LONGEST_REMEMBERED = 128
 
 
 class RankQueue:
@@ -72,7 +74,7 @@ class Encoder(dict):
         ids = self.packed.get(piece)
         if ids is None:
             ids = self.merge(piece)
-        if len(self) < self.remember:
+        if len(piece) <= LONGEST_REMEMBERED and len(self) < self.remember:
             self[token] = ids
         return ids
 
@@ -154,7 +156,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     file (about 1 MB) is read on the driver and sent along, so executors need
     no copy of it. With decoded_col, the ids are also decoded, as bpe_decode
     does, before they leave the worker. A worker remembers the ids of so many
-    pre-tokens as remember says, which bounds its memory. Null text counts as empty: no ids.
+    short pre-tokens as remember says, which bounds its memory. A text that
+    repeats that of the row before is encoded once. Null text counts as empty: no ids.
     Repeated rows give repeated rows, null ids stay null, no rows give no rows.
     """
     prepare(docs.sparkSession)
@@ -163,8 +166,14 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def encode(batch: pa.RecordBatch) -> list[pa.Array]:
         encoder, cut = _encoder(held.value, remember), regex.compile(pattern).findall
-        ids = [encoder.encode(cut(x)) for x in batch.column("_text").to_pylist()]
-        return [pa.array(ids, pa.binary()), *([pa.array(map(encoder.decode, ids), pa.binary())] if decoded_col else [])]
+        ids, decoded, last = [], [], None
+        for text in batch.column("_text").to_pylist():
+            if text != last:  # rows repeated by a mix follow one another
+                now = encoder.encode(cut(text))
+                back, last = encoder.decode(now) if decoded_col else b"", text
+            ids.append(now)
+            decoded.append(back)
+        return [pa.array(ids, pa.binary()), *([pa.array(decoded, pa.binary())] if decoded_col else [])]
 
     plain = docs.select(F.col(id_col), *keep, text_of(text_col).alias("_text"))
     kinds = {"token_ids": BinaryType()} | ({decoded_col: BinaryType()} if decoded_col else {})
