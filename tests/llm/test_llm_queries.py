@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from conftest import SF
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sightline.llm.queries import ORACLES, QUERIES
@@ -139,7 +140,6 @@ def test_quality_on_rows_held_out(spark):
 
 def test_pipeline_stages(spark, documents):
     import corpus_pipeline as c
-    from pyspark.sql import functions as F
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [s[0] for s in c.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "byte-level BPE"]
@@ -168,3 +168,34 @@ def test_pipeline_stages(spark, documents):
     rows = last.select("doc_id", "n_tokens", F.octet_length("token_ids").alias("bytes"), "round_trip").collect()
     assert Counter(r.doc_id for r in rows) == times and all(r.round_trip and r.bytes == 4 * r.n_tokens for r in rows)
     assert c.run(spark, SF).count() == len(rows)
+
+
+def test_pipeline_on_repeated_ids_nulls_and_clashes(spark, tmp_path):
+    """Every distinct text of what comes in keeps a representative; twins and null ids are told apart."""
+    import corpus_pipeline as c
+
+    a, b, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abd")
+    rows = [(5, a, "x"), (5, b, "x"), (3, b, "y"), (5, a, "y"), (5, a.replace(" ", "  "), None), (None, d, "x"), (None, d, None), (8, None, "x"), (9, "", "y"), (10, " \n", None), (11, a + " end", "x"), (12, d + " end", "y")]
+    table = spark.createDataFrame([(i, t, "en", s, 1, "k", 2, "g") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _hash string, kept int, `group` string")
+    norm = lambda t: "".join((t or "").split())
+
+    second = c.exact(spark, table, SF)
+    assert second.columns == table.columns
+    kept = [(r.doc_id, r.text) for r in second.collect()]
+    assert sorted(kept, key=str) == sorted([(3, b), (5, a.replace(" ", "  ")), (None, d), (10, " \n"), (11, a + " end"), (12, d + " end")], key=str)
+    assert {norm(t) for _, t in kept} == {norm(t) for _, t, _ in rows}
+
+    third = c.near(spark, table, SF)
+    kept = sorted(((r.doc_id, r.text) for r in third.collect()), key=str)
+    assert third.columns == table.columns
+    # groups: a, twice a and a with an end (5); b (3, 5); d with an end alone, as null ids take no part
+    assert sorted(k for k in kept if k[0] in (3, 5, 11, 12)) == [(3, b), (5, min((t for i, t, _ in rows if i == 5 and norm(t) == norm(a)), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])), (12, d + " end")]
+    assert [k for k in kept if k[0] is None] == [(None, d)] * 2 and {k[0] for k in kept} >= {8, 9, 10}
+
+    fourth = c.mixing(spark, second, SF)
+    assert fourth.columns == table.columns and set((r.doc_id, r.text) for r in fourth.collect()) <= set((r.doc_id, r.text) for r in second.collect())
+    last = c.tokens(spark, table, SF).collect()
+    assert len(last) == len(rows) and all(r.round_trip for r in last)
+
+    empty = table.limit(0)
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in c.STAGES)
