@@ -32,15 +32,15 @@ def cluster_id(ids: str) -> Column:
     return F.concat(F.lit("scene:"), F.sha2(F.array_join(ids, "\n"), 256))
 
 
-def scene_clusters(observations: DataFrame, relations: DataFrame) -> DataFrame:
-    """cluster_id, members, evidence: the components of SUPPORTED relations.
+def scene_labels(observations: DataFrame, relations: DataFrame) -> DataFrame:
+    """observation_id, root: the least member of each observation's component of SUPPORTED relations, as a written table.
 
     observations has observation_id; relations id1 < id2, disposition and
     evidence. A pair must occur once and join known observations, and no
-    CONTRADICTED pair may end up in one cluster, else InvalidInput is raised.
-    Observations without relations are clusters of one with no evidence.
+    CONTRADICTED pair may end up in one component, else InvalidInput is raised.
+    A component of any size is rows here, never one value.
     """
-    relations = scratch(relations.select("id1", "id2", "disposition", "evidence"), "scene-relations")
+    relations = scratch(relations.select("id1", "id2", "disposition"), "scene-relations")
     assert_empty(relations.where("id1 >= id2"), "a pair is not in order")
     assert_unique(relations, ["id1", "id2"], "a pair occurs twice")
     ends = relations.select(F.col("id1").alias("observation_id")).union(relations.select("id2"))
@@ -51,7 +51,19 @@ def scene_clusters(observations: DataFrame, relations: DataFrame) -> DataFrame:
     one, two = labels.select(F.col("observation_id").alias("id1"), F.col("root").alias("root")), labels.select(F.col("observation_id").alias("id2"), F.col("root").alias("root2"))
     conflicts = relations.where("disposition = 'CONTRADICTED'").join(one, "id1").join(two, "id2").where("root = root2")
     assert_empty(conflicts.select("id1", "id2"), "a contradicted pair is in one cluster")
-    refs = relations.where("disposition = 'SUPPORTED'").join(one, "id1").select("root", F.explode("evidence").alias("e"))
+    return labels
+
+
+def scene_clusters(observations: DataFrame, relations: DataFrame) -> DataFrame:
+    """cluster_id, members, evidence: the components of scene_labels as records.
+
+    A cluster's id is a hash over all its members in order, so a record holds
+    them as one array; where clusters may outgrow a row, use scene_labels.
+    Observations without relations are clusters of one with no evidence.
+    """
+    labels = scene_labels(observations, relations)
+    supported = relations.where("disposition = 'SUPPORTED'").join(labels.select(F.col("observation_id").alias("id1"), "root"), "id1")
+    refs = supported.select("root", F.explode("evidence").alias("e"))
     evidence = refs.groupBy("root").agg(F.array_sort(F.collect_set("e")).alias("evidence"))
     members = labels.groupBy("root").agg(F.array_sort(F.collect_list("observation_id")).alias("members"))
     none = F.expr("cast(array() as array<struct<kind:string,id:string>>)")

@@ -302,3 +302,83 @@ def semantics_digest(fields: DataFrame, *, scale_status: str = "unresolved", poi
     grouped = fields.groupBy("model_id").agg(F.count("*").alias("cameras"), F.sum("valid_count").alias("valid_count"), F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("_l"))
     text = F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x["line"]), ","), F.lit(f"]|{scale_status}|{point_map_count}"))
     return grouped.select("model_id", "cameras", "valid_count", F.sha2(text, 256).alias("digest"))
+
+
+def geometry_problems(matches: DataFrame, geometry: DataFrame) -> DataFrame:
+    """id1, id2, problem of two-view geometries.
+
+    matches has id1 < id2 and raw_matches; geometry a, b (either way round),
+    configuration, inliers. Every raw pair has one geometry and no other pair has
+    any; inliers are at most the raw matches.
+    """
+    found = geometry.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "inliers")
+    found = found.groupBy("id1", "id2").agg(F.count("*").alias("_n"), F.min("inliers").alias("_low"), F.max("inliers").alias("_high"))
+    every = matches.select("id1", "id2", "raw_matches").join(found, ["id1", "id2"], "full")
+    problem = _first([(F.col("_n").isNull(), "no_geometry"), (F.col("raw_matches").isNull(), "no_match"), (F.col("_n") > 1, "two_geometries"), ((F.col("_low") < 0) | (F.col("_high") > F.col("raw_matches")), "inliers")])
+    return every.select("id1", "id2", problem.alias("problem")).where("problem is not null")
+
+
+def publication_problems(plans: DataFrame, published: DataFrame) -> DataFrame:
+    """key, problem: what is published has a plan of the same configuration, versions and parent; all have key, configuration, versions, parent."""
+    want = plans.select("key", *(F.col(c).alias(f"_{c}") for c in ("configuration", "versions", "parent")), F.lit(True).alias("_planned"))
+    joined = published.join(want, "key", "left")
+    other = [(~F.col(c).eqNullSafe(F.col(f"_{c}")), f"other_{c}") for c in ("configuration", "versions", "parent")]
+    return joined.select("key", _first([(F.col("_planned").isNull(), "no_plan"), *other]).alias("problem")).where("problem is not null")
+
+
+def refinement_problems(runs: DataFrame) -> DataFrame:
+    """result_id, problem of refinements: a new id, no claim of a scale, an initialisation that is the
+    source as it is read again, and a source that stayed as it was.
+
+    runs has result_id, source_id, scale_status, initialization_sha256,
+    canonical_sha256, source_sha256_before, source_sha256_after.
+    """
+    problem = _first([
+        (F.col("result_id") == F.col("source_id"), "same_id"),
+        (~F.col("scale_status").eqNullSafe(F.lit("UNRESOLVED")), "scale"),
+        (~F.col("initialization_sha256").eqNullSafe(F.col("canonical_sha256")), "other_initialization"),
+        (~F.col("source_sha256_before").eqNullSafe(F.col("source_sha256_after")), "source_changed"),
+    ])
+    return runs.select("result_id", problem.alias("problem")).where("problem is not null")
+
+
+def difference_problems(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, problem: rows of a model that are missing, unexpected, repeated or have another value in any other column."""
+    values = [c for c in expected.columns if c not in keys]
+    want = expected.select(*keys, F.struct(*values).alias("_a"), F.lit(True).alias("_want"))
+    have = found.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*values)).alias("_b"))
+    problem = _first([(F.col("_n").isNull(), "missing"), (F.col("_want").isNull(), "unexpected"), (F.col("_n") > 1, "repeated"), (~F.col("_a").eqNullSafe(F.col("_b")), "differs")])
+    return want.join(have, keys, "full").select(*keys, problem.alias("problem")).where("problem is not null")
+
+
+def named_camera_problems(cameras: DataFrame, names: DataFrame) -> DataFrame:
+    """model_id, name, problem: a model's cameras (model_id, name) stand one to one for the observations (model_id, name, observation_id) that went in."""
+    twice = names.groupBy("model_id", "observation_id").agg(F.count("*").alias("_n"), F.min("name").alias("name")).where("_n > 1")
+    return membership_problems(names, cameras, ["model_id", "name"]).unionByName(twice.select("model_id", "name", F.lit("two_names").alias("problem")))
+
+
+def pyramid_problems(levels: DataFrame, files: DataFrame) -> DataFrame:
+    """observation_id, level, problem of decoded images: one file of packed RGB to each planned level, of exactly its size.
+
+    levels has observation_id, level, width, height; files observation_id, level, byte_length.
+    """
+    have = files.groupBy("observation_id", "level").agg(F.count("*").alias("_n"), F.min("byte_length").alias("_bytes"))
+    every = levels.select("observation_id", "level", (F.col("width").cast("bigint") * F.col("height") * 3).alias("_size")).join(have, ["observation_id", "level"], "full")
+    problem = _first([(F.col("_n").isNull(), "missing"), (F.col("_size").isNull(), "unexpected"), (F.col("_n") > 1, "repeated"), (F.col("_bytes") != F.col("_size"), "size")])
+    return every.select("observation_id", "level", problem.alias("problem")).where("problem is not null")
+
+
+def retrieval_problems(images: DataFrame, read: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """observation_id, problem of a learned retrieval before its neighbours are joined.
+
+    images has observation_id, sha256 as they were asked for, read the same as the model
+    got them, descriptors observation_id, descriptor: one to each image, finite, of unit length.
+    """
+    norm = F.sqrt(F.aggregate("descriptor", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    unit = F.coalesce(F.abs(norm - 1) <= 1e-4, F.lit(False)) & ~F.exists("descriptor", lambda v: v.isNull() | F.isnan(v))
+    made = descriptors.groupBy("observation_id").agg(F.count("*").alias("_n"), F.bool_and(unit).alias("_unit"))
+    every = images.select("observation_id", "sha256", F.lit(True).alias("_asked")).join(read.select("observation_id", F.col("sha256").alias("_sha")), "observation_id", "left").join(made, "observation_id", "full")
+    problem = _first([
+        (F.col("_asked").isNull(), "not_asked"), (~F.col("_sha").eqNullSafe(F.col("sha256")), "other_image"), (F.col("_n").isNull(), "no_descriptor"), (F.col("_n") > 1, "two_descriptors"), (~F.col("_unit"), "not_unit"),
+    ])
+    return every.select("observation_id", problem.alias("problem")).where("problem is not null")

@@ -162,9 +162,78 @@ def a14_semantics_digest(spark: SparkSession, sf: str) -> DataFrame:
     return gates.semantics_digest(fields)
 
 
+def x3_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    part, one, two = _table(spark, sf, "part"), _text("a", k, 8), _text("b", k, 8)
+    matches = part.select(one.alias("id1"), two.alias("id2"), (k % 50 + 20).alias("raw_matches"))
+    turned, inliers = k % 3 == 0, F.when(k % 11 == 0, 90).otherwise(k % 20)
+    geometry = part.select(F.when(turned, two).otherwise(one).alias("a"), F.when(k % 13 == 0, F.lit("zz")).when(turned, one).otherwise(two).alias("b"), inliers.alias("inliers"))
+    again = part.where(k % 17 == 0).select(one.alias("a"), two.alias("b"), inliers.alias("inliers"))  # a second geometry of some
+    return gates.geometry_problems(matches, geometry.unionByName(again))
+
+
+def x14_publications(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = _table(spark, sf, "orders")
+    plans = orders.select(_text("k", k).alias("key"), F.col("o_orderpriority").alias("configuration"), F.lit("4.2").alias("versions"), _text("p", F.col("o_custkey")).alias("parent"))
+    published = orders.select(_text("k", F.when(k % 31 == 0, -1 - k).otherwise(k)).alias("key"), F.when(k % 7 == 0, "x").otherwise(F.col("o_orderpriority")).alias("configuration"), F.when(k % 11 == 0, "4.3").otherwise("4.2").alias("versions"), _text("p", F.col("o_custkey") + F.when(k % 13 == 0, 1).otherwise(0)).alias("parent"))
+    return gates.publication_problems(plans, published)
+
+
+def x8_refinements(spark: SparkSession, sf: str) -> DataFrame:
+    k, sha = F.col("p_partkey"), F.sha2("p_name", 256)
+    other = lambda n: F.when(k % n == 0, F.sha2(F.lit("x"), 256)).otherwise(sha)
+    runs = _table(spark, sf, "part").select(k.alias("result_id"), F.when(k % 17 == 0, k).otherwise(-1 - k).alias("source_id"), F.when(k % 7 == 0, "METRIC").when(k % 41 != 0, "UNRESOLVED").alias("scale_status"), sha.alias("initialization_sha256"), other(11).alias("canonical_sha256"), sha.alias("source_sha256_before"), other(13).alias("source_sha256_after"))
+    return gates.refinement_problems(runs)
+
+
+def x24_model_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """A model's cameras against the same, read again with some values, names and repeats changed."""
+    k = F.col("p_partkey")
+    part = _table(spark, sf, "part")
+    expected = part.select(k.alias("camera_id"), F.col("p_size").alias("width"), F.when(k % 5 != 0, F.col("p_retailprice")).alias("focal"), F.array(F.col("p_size"), F.lit(1)).alias("dims"))
+    found = part.select(F.when(k % 19 == 0, -1 - k).otherwise(k).alias("camera_id"), (F.col("p_size") + F.when(k % 7 == 0, 1).otherwise(0)).alias("width"), F.when((k % 5 != 0) | (k % 11 == 0), F.col("p_retailprice")).alias("focal"), F.array(F.col("p_size"), F.lit(1)).alias("dims"))
+    return gates.difference_problems(expected, found.unionByName(found.where("camera_id > 0 and camera_id % 23 = 0")), ["camera_id"])
+
+
+def x7_named_cameras(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    orders = _orders(spark, sf)
+    names = orders.select(F.col("owner").alias("model_id"), _text("f", k).alias("name"), _text("o", F.when(k % 29 == 0, F.lit(0)).otherwise(k)).alias("observation_id"))
+    cameras = orders.select(F.col("owner").alias("model_id"), _text("f", F.when(k % 17 == 0, -1 - k).otherwise(k)).alias("name"))
+    return gates.named_camera_problems(cameras, names)
+
+
+def io13_pyramid_files(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    images = _table(spark, sf, "part").select(k.alias("observation_id"), (k % 40 + 10).alias("width"), (k % 30 + 10).alias("height"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("level"))
+    levels = images.select("observation_id", "level", F.expr("greatest(1, shiftright(width, level))").alias("width"), F.expr("greatest(1, shiftright(height, level))").alias("height"))
+    g = F.col("observation_id")
+    made = levels.select(g, F.when((g % 13 == 0) & (F.col("level") == 1), 7).otherwise(F.col("level")).alias("level"), (F.col("width") * F.col("height") * 3 + F.when((g % 7 == 0) & (F.col("level") == 0), 1).otherwise(0)).cast("bigint").alias("byte_length"))
+    return gates.pyramid_problems(levels, made)
+
+
+def j4_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.substring("observation_id", 2, 9).cast("bigint")
+    rows = bound(spark, sf, "descriptors")
+    images = rows.select(F.when(n % 31 == 0, F.concat("observation_id", F.lit("z"))).otherwise(F.col("observation_id")).alias("observation_id"), F.sha2("observation_id", 256).alias("sha256"))
+    read = rows.select("observation_id", F.sha2(F.when(n % 17 == 0, F.lit("x")).otherwise(F.col("observation_id")), 256).alias("sha256"))
+    made = rows.select("observation_id", F.when(n % 13 == 0, F.transform("descriptor", lambda v: v * 2)).otherwise(F.col("descriptor")).alias("descriptor"))
+    return gates.retrieval_problems(images, read, made)
+
+
+def io27_result_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of fixtures, each as a file of canonical JSON."""
+    n = F.col("n_nationkey")
+    rows = _table(spark, sf, "nation").select(F.concat(F.lit("results/"), n.cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct(F.concat(F.lit("fixture."), n.cast("string")).alias("fixture_id"), F.struct(n.alias("n")).alias("metrics"), F.lit("own").alias("runner"), F.when(n % 4 == 0, "failed").otherwise("passed").alias("status"))).alias("json"))
+    return files.write_files(rows.select("path", F.encode(F.concat("json", F.lit("\n")), "utf-8").alias("content")), shared_path(spark, "results"))
+
+
 QUERIES = {
     "d15_solver_inputs": d15_solver_inputs, "d16_feed_forward_inputs": d16_feed_forward_inputs, "d17_route_reasons": d17_route_reasons, "d18_router_inputs": d18_router_inputs, "g5_route_graphs": g5_route_graphs, "d14_source_photometry": d14_source_photometry,
     "x23_preflight": x23_preflight, "io29_staged": io29_staged, "x26_source_pins": x26_source_pins, "io11_extraction": io11_extraction, "x11_environments": x11_environments, "x20_lineage": x20_lineage, "a14_semantics_digest": a14_semantics_digest,
+    "x3_geometry": x3_geometry, "x14_publications": x14_publications, "x8_refinements": x8_refinements, "x24_model_differences": x24_model_differences, "x7_named_cameras": x7_named_cameras, "io13_pyramid_files": io13_pyramid_files,
+    "j4_retrieval": j4_retrieval, "io27_result_files": io27_result_files,
 }
 
 ORACLES = {
@@ -204,4 +273,20 @@ UNION ALL SELECT DISTINCT k, 'ancestor_missing' FROM l WHERE k % 11 = 0 AND s %
     "a14_semantics_digest": f"""{duck('pixels')}, f AS (SELECT camera, substr(camera, 2)::BIGINT AS k, count(*) FILTER (valid) AS n, coalesce(bool_and(depth - 2 > 0) FILTER (valid), true) AS ok FROM pixels GROUP BY 1),
 j AS (SELECT k, n, '{{"all_valid_positive":' || CASE WHEN ok THEN 'true' ELSE 'false' END || ',"depth_height":1,"depth_width":7,"height":1,"observation_id":"' || camera || '","projection_model":"pinhole","valid_count":' || n || ',"width":7}}' AS line FROM f)
 SELECT k % 50 AS model_id, count(*) AS cameras, sum(n)::BIGINT AS valid_count, sha256('[' || string_agg(line, ',' ORDER BY k) || ']|unresolved|0') AS digest FROM j GROUP BY 1""",
+    "x3_geometry": """WITH p AS (SELECT p_partkey AS k, 'a' || lpad(p_partkey::VARCHAR, 8, '0') AS one, 'b' || lpad(p_partkey::VARCHAR, 8, '0') AS two FROM part),
+g AS (SELECT k, one AS id1, CASE WHEN k % 13 = 0 THEN NULL ELSE two END AS id2 FROM p UNION ALL SELECT k, one, two FROM p WHERE k % 17 = 0), c AS (SELECT k, count(*) AS n FROM g WHERE id2 IS NOT NULL GROUP BY 1)
+SELECT one AS id1, two AS id2, CASE WHEN n IS NULL THEN 'no_geometry' WHEN n > 1 THEN 'two_geometries' WHEN p.k % 11 = 0 AND 90 > p.k % 50 + 20 THEN 'inliers' END AS problem FROM p LEFT JOIN c USING (k) WHERE problem IS NOT NULL
+UNION ALL SELECT CASE WHEN k % 3 = 0 THEN two ELSE one END, 'zz', 'no_match' FROM p WHERE k % 13 = 0""",
+    "x14_publications": """SELECT 'k' || CASE WHEN o_orderkey % 31 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS key, CASE WHEN o_orderkey % 31 = 0 THEN 'no_plan' WHEN o_orderkey % 7 = 0 THEN 'other_configuration' WHEN o_orderkey % 11 = 0 THEN 'other_versions' WHEN o_orderkey % 13 = 0 THEN 'other_parent' END AS problem FROM orders WHERE problem IS NOT NULL""",
+    "x8_refinements": """SELECT p_partkey AS result_id, CASE WHEN p_partkey % 17 = 0 THEN 'same_id' WHEN p_partkey % 7 = 0 OR p_partkey % 41 = 0 THEN 'scale' WHEN p_partkey % 11 = 0 THEN 'other_initialization' WHEN p_partkey % 13 = 0 THEN 'source_changed' END AS problem FROM part WHERE problem IS NOT NULL""",
+    "x24_model_differences": """WITH p AS (SELECT p_partkey AS k FROM part)
+SELECT k AS camera_id, CASE WHEN k % 19 = 0 THEN 'missing' WHEN k > 0 AND k % 23 = 0 THEN 'repeated' WHEN k % 7 = 0 OR (k % 5 = 0 AND k % 11 = 0) THEN 'differs' END AS problem FROM p WHERE problem IS NOT NULL UNION ALL SELECT -1 - k, 'unexpected' FROM p WHERE k % 19 = 0""",
+    "x7_named_cameras": f"""{ORDERS}
+SELECT owner AS model_id, 'f' || k AS name, 'missing' AS problem FROM o WHERE k % 17 = 0 UNION ALL SELECT owner, 'f' || (-1 - k), 'unexpected' FROM o WHERE k % 17 = 0
+UNION ALL SELECT owner, min('f' || k), 'two_names' FROM o WHERE k % 29 = 0 GROUP BY 1 HAVING count(*) > 1""",
+    "io13_pyramid_files": """SELECT p_partkey AS observation_id, 1 AS level, 'missing' AS problem FROM part WHERE p_partkey % 13 = 0 UNION ALL SELECT p_partkey, 7, 'unexpected' FROM part WHERE p_partkey % 13 = 0 UNION ALL SELECT p_partkey, 0, 'size' FROM part WHERE p_partkey % 7 = 0""",
+    "j4_retrieval": f"""{duck('descriptors')}, d AS (SELECT observation_id AS o, substr(observation_id, 2)::BIGINT AS n FROM descriptors)
+SELECT o AS observation_id, CASE WHEN n % 31 = 0 THEN 'not_asked' WHEN n % 17 = 0 THEN 'other_image' WHEN n % 13 = 0 THEN 'not_unit' END AS problem FROM d WHERE problem IS NOT NULL UNION ALL SELECT o || 'z', 'other_image' FROM d WHERE n % 31 = 0""",
+    "io27_result_files": """WITH r AS (SELECT 'results/' || n_nationkey || '.json' AS path, '{"fixture_id":"fixture.' || n_nationkey || '","metrics":{"n":' || n_nationkey || '},"runner":"own","status":"' || CASE WHEN n_nationkey % 4 = 0 THEN 'failed' ELSE 'passed' END || '"}' || chr(10) AS c FROM nation)
+SELECT path, sha256(c) AS sha256, octet_length(encode(c))::BIGINT AS byte_length FROM r""",
 }

@@ -109,3 +109,23 @@ def test_tracks_keep_the_least_feature(spark):
     assert sorted(tuple(r) for r in pairs.canonical_tracks(rows).collect()) == [(1, "a", 2), (1, "b", 0)]
     with pytest.raises(InvalidInput):
         pairs.canonical_tracks(spark.createDataFrame([(1, "a", -1)], "point_id long, observation_id string, feature_index int"))
+
+
+def test_scene_labels_are_the_clusters(spark):
+    rel = "id1 string, id2 string, disposition string, evidence array<struct<kind:string,id:string>>"
+    rows = [("a", "b", "SUPPORTED", [("k", "1")]), ("b", "c", "SUPPORTED", [("k", "2")]), ("d", "e", "UNRESOLVED", [])]
+    obs, relations = spark.createDataFrame([(x,) for x in "abcde"], "observation_id string"), spark.createDataFrame(rows, rel)
+    labels = {r.observation_id: r.root for r in clusters.scene_labels(obs, relations).collect()}
+    assert labels == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
+    assert sorted(tuple(r.members) for r in clusters.scene_clusters(obs, relations).collect()) == [("a", "b", "c"), ("d",), ("e",)]
+    with pytest.raises(InvalidInput):
+        clusters.scene_labels(obs, spark.createDataFrame([*rows, ("a", "c", "CONTRADICTED", [])], rel))
+
+
+def test_recall_by_label_is_recall(spark):
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 1), ("e", None)], "observation_id string, label int")
+    relevant = spark.createDataFrame([("a", "b"), ("a", "d"), ("b", "d")], "id1 string, id2 string")
+    found = spark.createDataFrame([("a", "b", "x"), ("a", "c", "x"), ("b", "d", "y"), ("a", "b", "y"), ("a", "e", "y"), ("e", "e", "x")], "id1 string, id2 string, source_id string")
+    for some in (found, found.limit(0)):
+        one, two = (sorted(map(tuple, x.collect())) for x in (pairs.recall(relevant, some, "x"), pairs.recall_by_label(labels, some, "x")))
+        assert one == two
