@@ -69,6 +69,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_pii says of base spans alone, which SQL can say too."""
+    return op8_pii(spark, sf_dir).drop("spans")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
@@ -95,8 +100,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_token_files": op10_token_files,
+    "pii_base_spans": pii_base_spans,
 }
 
+
+def _pii_kind(kind: str, order: int, pattern: str, check: str) -> str:
+    """Base spans of a kind: the text is cut at marks around its matches; t is a match, d its digits."""
+    return f"""
+SELECT doc_id, '{kind}' AS kind, {order} AS k, s, s + length(t) AS e FROM (
+  SELECT doc_id, p[2 * i] AS t, list_sum(list_transform(p[1:2 * i - 1], lambda x: length(x)))::BIGINT AS s, regexp_replace(p[2 * i], '[^0-9]', '', 'g') AS d
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) // 2 + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL))
+) WHERE {check}"""
+
+
+_LUHN = "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(d)), lambda j: CASE WHEN j % 2 = 0 THEN substr(d, (length(d) - j)::INT, 1)::INT ELSE (substr(d, (length(d) - j)::INT, 1)::INT * 2) // 10 + (substr(d, (length(d) - j)::INT, 1)::INT * 2) % 10 END)) % 10 = 0"
+_PII = " UNION ALL ".join([
+    _pii_kind("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    _pii_kind("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(t, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 256) > 255)) = 0"),
+    _pii_kind("card", 2, r"[0-9]([\x20-]?[0-9])+", _LUHN),
+    _pii_kind("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
+])
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
 WITH d AS (
@@ -132,6 +156,12 @@ d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS best FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN best <> page_id THEN best END AS refers_to FROM m
+""",
+    "pii_base_spans": f"""
+WITH f AS ({_PII}), g AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS w FROM f GROUP BY 1)
+SELECT doc_id, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id AND k = 0) AS n_email, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id AND k = 1) AS n_ip,
+       (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id AND k = 2) AS n_card, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id AND k = 3) AS n_phone, sha256(coalesce(w, '')) AS base_sha256
+FROM documents d LEFT JOIN g USING (doc_id)
 """,
     "op9_near_dedup": r"""
 WITH RECURSIVE t AS (
