@@ -79,20 +79,25 @@ def pose_agreement(reference: DataFrame, candidate: DataFrame, *, blocks: int =
     """
     spark = reference.sparkSession
     both = reference.select("key", "camera", "r", camera_centre(F.col("r"), F.col("t")).alias("c")).join(candidate.select("key", "camera", F.col("r").alias("u"), camera_centre(F.col("r"), F.col("t")).alias("d")), ["key", "camera"])
+    # per camera m = r' u: the trace of one relative rotation's transpose by the other is the sum of products of
+    # two cameras' m, and the two baselines g, h, each seen from its own first camera, have the product g' m h
+    m = [sum((_at(F.col("r"), k, i) * _at(F.col("u"), k, j) for k in range(3)), F.lit(0.0)).alias(f"m{i}{j}") for i in range(3) for j in range(3)]
+    both = both.select("key", "camera", *m, *(F.element_at(x, i + 1).alias(f"{x}{i}") for x in "cd" for i in range(3)))
     both = scratch(both.withColumn("block", F.pmod(F.xxhash64("camera"), F.lit(blocks)).cast("int")), "pose-cameras")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    one = both.select("key", F.col("block").alias("i"), every.alias("j"), F.col("camera").alias("m1"), *(F.col(x).alias(f"{x}1") for x in "rcud"))
-    two = both.select("key", every.alias("i"), F.col("block").alias("j"), F.col("camera").alias("m2"), *(F.col(x).alias(f"{x}2") for x in "rcud"))
+    names = [f"m{i}{j}" for i in range(3) for j in range(3)] + [f"{x}{i}" for x in "cd" for i in range(3)]
+    one = both.select("key", F.col("block").alias("i"), every.alias("j"), F.col("camera").alias("camera1"), *(F.col(x).alias(f"{x}_1") for x in names))
+    two = both.select("key", every.alias("i"), F.col("block").alias("j"), F.col("camera").alias("camera2"), *(F.col(x).alias(f"{x}_2") for x in names))
     group = ["key", "i", "j"]
-    pairs = one.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).join(two, group).where("m1 < m2")
-    pairs = pairs.select(
-        "key",
-        relative_rotation(F.col("r1"), F.col("r2")).alias("r"),
-        relative_rotation(F.col("u1"), F.col("u2")).alias("u"),
-        baseline_direction(F.col("r1"), F.col("c1"), F.col("c2")).alias("b"),
-        baseline_direction(F.col("u1"), F.col("d1"), F.col("d2")).alias("e"),
-    )
-    pairs = pairs.select("key", rotation_angle_degrees(F.col("r"), F.col("u")).alias("rot"), direction_angle_degrees(F.col("b"), F.col("e")).alias("dir"))
+    pairs = one.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).join(two, group).where("camera1 < camera2")
+    trace = sum((F.col(f"{x}_1") * F.col(f"{x}_2") for x in names[:9]), F.lit(0.0))
+    gap = {x: [F.col(f"{x}{i}_2") - F.col(f"{x}{i}_1") for i in range(3)] for x in "cd"}
+    pairs = pairs.select("key", trace.alias("trace"), *(F.col(f"{x}_1") for x in names[:9]), *(gap[x][i].alias(f"{x}{i}") for x in "cd" for i in range(3)))
+    length = {x: F.sqrt(sum((F.col(f"{x}{i}") * F.col(f"{x}{i}") for i in range(3)), F.lit(0.0))) for x in "cd"}
+    along = sum((F.col(f"c{i}") * F.col(f"m{i}{j}_1") * F.col(f"d{j}") for i in range(3) for j in range(3)), F.lit(0.0))
+    angle = lambda cosine: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    far = (length["c"] > 1e-12) & (length["d"] > 1e-12)
+    pairs = pairs.select("key", angle((F.col("trace") - 1) / 2).alias("rot"), F.when(far, angle(along / (length["c"] * length["d"]))).alias("dir"))
     medians = _median_degrees(pairs.select("key", F.expr("stack(2, 'rot', rot, 'dir', dir) as (kind, v)")))
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     angles = medians.groupBy("key").agg(of("rot", "n").alias("pair_count"), of("rot", "median").alias("rotation_deg"), of("dir", "n").alias("translation_pairs"), of("dir", "median").alias("translation_deg"))
