@@ -146,7 +146,7 @@ def top_k(
     prepare(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("v")).where("id is not null and v is not null")
     rows = scratch(rows, "topk-rows")
-    n, width, high, low = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    n, asking, width, high, low = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1)), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
     width, kind = max(width or 0, 1), "<i4" if max(high or 0, -(low or 0)) < 1 << 31 else "<i8"
     chosen = rows.orderBy(F.xxhash64("id"), "id", "v").limit(min(pivots, math.isqrt(n) + 1)).collect()  # bounded by the parameter
     points = np.zeros((len(chosen), width), np.int64)
@@ -171,17 +171,18 @@ def top_k(
 
     placed = scratch(rows.mapInArrow(place, schema), "topk-placed")
     rings = placed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"), F.min("norm").alias("small"), F.max("norm").alias("large"))
-    chunks = Chunks(rings.collect(), max(len(points), 1), min(chunk_rows, max(1, GROUP_NUMBERS // width)))  # at most RINGS rows for each pivot
+    rings = rings.collect()
+    chunks = Chunks(rings, max(len(points), 1), min(chunk_rows, max(1, GROUP_NUMBERS // width)))  # at most RINGS rows for each pivot
     group_queries = min(group_queries, max(1, GROUP_NUMBERS // width))
     summary = spark.sparkContext.broadcast(chunks)
-    of = spark.createDataFrame([(c, r, int(chunks.of[c, r]), int(chunks.salts[chunks.of[c, r]])) for c, r in sorted((x.cell, x.ring) for x in placed.select("cell", "ring").distinct().collect())], "cell int, ring int, chunk int, salts int")
+    of = spark.createDataFrame([(c, r, int(chunks.of[c, r]), int(chunks.salts[chunks.of[c, r]])) for c, r in sorted((x.cell, x.ring) for x in rings)], "cell int, ring int, chunk int, salts int")
 
     def in_chunks(df: DataFrame, *by: Column) -> DataFrame:
         return df.join(F.broadcast(of), ["cell", "ring"]).withColumn("salt", F.pmod(F.xxhash64(*by), F.col("salts")).cast("int"))
 
     candidates = in_chunks(placed.withColumn("_row", F.col("_metadata.row_index")), F.col("id"), F.col("_row")).select("id", "packed", "chunk", "salt")
     queries = placed.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("packed", "cell", "ring")).alias("q")).select("id", "q.*")
-    asked = scratch(in_chunks(queries, F.col("id")).select("id", "packed", "chunk", "salt"), "topk-queries")
+    asked = in_chunks(queries, F.col("id")).select(*(F.col(c).alias(c) for c in ("id", "packed", "chunk", "salt")))  # columns of its own, as it meets the candidates
 
     def solved(asked_part: pa.Table, sent_part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids and scores of each query's best rows."""
@@ -228,12 +229,15 @@ def top_k(
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["chunk", "n"])
 
-    wanted = home.mapInArrow(count, "chunk int, n long").groupBy("chunk").agg(F.sum("n").alias("n")).collect()  # a row for each chunk
+    if stats is None and asking <= group_queries:  # all queries make one group, so there is nothing to count
+        blocks = dict.fromkeys(range(len(chunks.rows)), 1)
+    else:
+        wanted = home.mapInArrow(count, "chunk int, n long").groupBy("chunk").agg(F.sum("n").alias("n")).collect()  # a row for each chunk
+        blocks = {r.chunk: -(-r.n // group_queries) for r in wanted}
     if stats is not None:
         n_queries = home.count()
         compared = sum(r.n * int(chunks.rows[r.chunk]) for r in wanted) + home.join(candidates.groupBy("chunk", "salt").count(), ["chunk", "salt"]).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
         stats["share"] = compared / (n_queries * n) if n_queries else 0.0
-    blocks = {r.chunk: -(-r.n // group_queries) for r in wanted}
     plan = spark.createDataFrame([(c, int(chunks.salts[c]), b) for c, b in blocks.items()], "chunk int, salts int, blocks int")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

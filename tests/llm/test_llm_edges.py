@@ -59,6 +59,16 @@ def test_mixing(spark):
     assert [r.taken for r in mixing.mix_sources(docs(spark, [(1, "", "a"), (2, None, "b")])).collect()] == [0, 0]
 
 
+def test_mixing_of_a_very_long_text_and_repeated_rows(spark):
+    rows = [(1, "w " * 400_000, "a"), *[(10 + i, "x y", "a") for i in range(300)], *[(7, "same words", "b")] * 40, (8, "x" * 3_000_000, "c")]
+    found = mixing.mix_sources(docs(spark, rows), keep=("text",)).collect()
+    assert len(found) == len(rows) and sum(r.size for r in found) == 400_000 + 600 + 80 + 1
+    assert all(r.taken <= 2 * r.size and r.size == len(r.text.split()) for r in found)
+    assert {r.source_size for r in found if r.source == "b"} == {80}
+    taken = {s: sum(r.taken for r in found if r.source == s) for s in "abc"}
+    assert abs(taken["b"] - next(r.target for r in found if r.source == "b")) <= 2 and taken["c"] <= 2
+
+
 def test_near_duplicates(spark):
     found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(spark, ROWS)).collect()}
     assert found == {(1, 0): (1, True), (2, 0): (2, True), (3, 0): (3, True), (4, 2): (4, True), (5, 2): (4, False), (6, 2): (4, False), (None, 2): (None, True), (8, 59996): (8, True), (9, 59997): (8, False), (10, 1): (10, True)}
@@ -393,7 +403,7 @@ def test_toxicity(spark):
     table = docs(spark, rows)
     model = toxicity.fit_toxicity(table, labels)
     clean = " ".join(f"w{i}" for i in range(40))
-    cases = [(1, None), (2, ""), (3, clean), (4, clean + " dreadword awfulterm vilething dreadword"), (5, clean + " draedword awfultrm vilethingg dreadwrd dreadword"), (6, clean + ' they wrote "dreadword" once'), (7, LONG), (None, "x")]
+    cases = [(1, None), (2, ""), (3, clean), (4, clean + " dreadword awfulterm vilething dreadword"), (5, clean + " draedword awfultrm vilethingg dreadwrd dreadword"), (6, clean + ' they wrote "dreadword" once'), (7, LONG), (7, LONG), (None, "x")]
     scored = toxicity.score_toxicity(docs(spark, cases), model).collect()
     score = {r.doc_id: r.score for r in scored}
     assert score[4] > 0.5 and score[5] > 0.3 and max(score[k] for k in (1, 2, 3, 6, 7, None)) < 0.5 and score[1] == score[2]
