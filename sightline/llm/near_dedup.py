@@ -148,7 +148,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
 
 def _open_pairs(group: pa.Table, percent: int, least_agreement: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of a block pair that no link joins and that sizes and sketches allow."""
+    """Positions of the pairs of a block pair that no link joins, that sizes and sketches allow
+    and that share no band before this one."""
     n, root, side = (group.column(c).to_numpy() for c in ("n", "root", "side"))
     sketch = group.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(n), SKETCH)
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -160,7 +161,12 @@ def _open_pairs(group: pa.Table, percent: int, least_agreement: int) -> tuple[np
     small, large = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
     open_ = (agree >= least_agreement) & (100 * small >= percent * large) & (root[one][:, None] != root[two][None, :])
     x, y = np.nonzero(np.triu(open_, 1) if within else open_)
-    return one[x], two[y]
+    x, y = one[x], two[y]
+    if len(x):
+        band, bands = group.column("band")[0].as_py(), [frozenset(b) for b in group.column("bands").to_pylist()]
+        here = np.fromiter((min(bands[i] & bands[j]) == band for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+        x, y = x[here], y[here]
+    return x, y
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -183,7 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so no pair of a bucket is left out unless links join it already: such a
     bucket is cut into blocks, every pair of blocks is a group of its own, the
     sketches of a group tell which members may be similar, and only their sets
-    are sent to it. Buckets of equal members are compared once. Pairs go
+    are sent to it. Buckets of equal members are compared once, and so are pairs
+    that meet in several. Pairs go
     on if the sizes of their sets allow the similarity and a one-bit sketch of
     200 bits agrees in 156 (expected at 0.8: 180, deviation 3.6); then the full sets decide (64-bit
     hashes of shingles). Nothing is capped.
@@ -303,17 +310,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_blocks = lambda c: F.greatest(F.ceil(c / BLOCK), F.ceil(F.col("_s") / BLOCK_ELEMENTS)).cast("int")
     unsettled = scratch(unsettled.select("band", F.col("_most.root").alias("most"), in_blocks(F.col("_c") - F.col("_most._c")).alias("_strays"), in_blocks(F.col("_most._c")).alias("_others")), "near-unsettled", 20 * n_classes)
     left = placed.join(lookup(unsettled), "band")
+    # a pair that meets in several bands is compared in the first; a class has BANDS of them at most
+    in_all = scratch(left.groupBy("rep").agg(F.sort_array(F.collect_list("band")).alias("bands")), "near-left-bands", n_classes)
+    left = left.join(lookup(in_all), "rep")
     upto = lambda c, start=0: F.sequence(F.lit(start), F.col(c) + start - 1)
     stray = F.col("root") != F.col("most")
     block = F.pmod(F.shiftright("_h", 8), F.when(stray, F.col("_strays")).otherwise(F.col("_others"))).cast("int")
-    left = left.select("band", "rep", "n", "sketch", "root", stray.alias("_stray"), block.alias("_b"), "_strays", "_others")
+    left = left.select("band", "rep", "n", "sketch", "root", "bands", stray.alias("_stray"), block.alias("_b"), "_strays", "_others")
     pair = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
     with_strays = F.transform(upto("_strays"), lambda k: pair(F.least("_b", k), F.greatest("_b", k), k < F.col("_b")))
     with_others = F.transform(upto("_others"), lambda k: pair(F.col("_b"), F.col("_strays") + k, 0))
     to_strays = F.transform(upto("_strays"), lambda k: pair(k, F.col("_strays") + F.col("_b"), 1))
     left = left.withColumn("_p", F.explode(F.when(F.col("_stray"), F.concat(with_strays, with_others)).otherwise(to_strays)))
     key = ("band", "i", "j")
-    left = left.select("band", "_p.i", "_p.j", "_p.side", "rep", "n", "sketch", "root")
+    left = left.select("band", "_p.i", "_p.j", "_p.side", "rep", "n", "sketch", "root", "bands")
 
     def in_order(df: DataFrame) -> DataFrame:
         return df.repartition(*key).sortWithinPartitions(*key, "side")
