@@ -60,10 +60,14 @@ def discard_scratch(spark: SparkSession) -> None:
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def stored_bytes(table: DataFrame) -> int:
-    """How many bytes the files or local rows have that table is made from; only sizes are looked up."""
+def stored_bytes(table: DataFrame, unknown: int = 1 << 62) -> int:
+    """How many bytes the files or local rows have that table is made from; only sizes are looked up.
+
+    A source that cannot tell its size counts as unknown.
+    """
     leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(unknown if size >= 1 << 62 else size for size in sizes)
 
 
 def lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -129,3 +129,14 @@ def test_recall_by_label_is_recall(spark):
     for some in (found, found.limit(0)):
         one, two = (sorted(map(tuple, x.collect())) for x in (pairs.recall(relevant, some, "x"), pairs.recall_by_label(labels, some, "x")))
         assert one == two
+
+
+def test_tables_are_broadcast_by_rows_and_bytes(spark):
+    from sightline import scratch
+
+    small = scratch.scratch(spark.range(100), "small", rows=100)
+    assert 0 < scratch.stored_bytes(small) < 100_000 and "Hint broadcast" in scratch.lookup(small)._jdf.queryExecution().logical().toString()
+    assert "Hint broadcast" not in scratch.lookup(small, limit=99)._jdf.queryExecution().logical().toString()
+    made = spark.createDataFrame([(1,)], "a int")  # a source that does not know its size
+    assert scratch.stored_bytes(made) >= 1 << 62 and scratch.stored_bytes(made, unknown=0) == 0
+    assert len(small.inputFiles()) <= scratch.LEAST_PARTS
