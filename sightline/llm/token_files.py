@@ -215,7 +215,7 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = N
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "sequences")
     plain = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(plain) // part_bytes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(plain, unknown=0) // part_bytes))
     keyed = plain.withColumn("_hash", F.xxhash64("_text")).withColumn("_place", F.monotonically_increasing_id())
     ordered = keyed.repartitionByRange(parts, "_id", "_hash", "_place").sortWithinPartitions("_id", "_hash", "_place").select("_id", "_text")
     encoded, width = encode_words(ordered, tokenizer_path, "_id", "_text", end_id=end_id)
