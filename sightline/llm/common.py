@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +40,15 @@ def worker_state(key: object, make: Callable[[], T]) -> T:
     """What make returns, kept in the Python worker from task to task.
 
     A worker serves one operator after another; what another operator left
-    there is dropped first, so the memory of two never adds up.
+    there is dropped first and given back to the system, so the memory of two
+    never adds up.
     """
     if key not in _STATE:
         _STATE.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
         _STATE[key] = make()
     return _STATE[key]
 
