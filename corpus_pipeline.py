@@ -84,7 +84,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, little-endian unsigned 32-bit, and whether they decode to it."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     kept = docs.withColumn("_digest", F.sha2(F.encode(text_of("text"), "utf-8"), 256))
-    encoded = bpe_encode(kept, ranks, public_tokenizers.PATTERN, keep=("lang", "source", "_digest"), decoded_col="decoded", remember=400_000)
+    encoded = bpe_encode(kept, ranks, public_tokenizers.PATTERN, keep=("lang", "source", "_digest"), decoded_col="decoded", remember=250_000)
     return encoded.select("doc_id", "lang", "source", "n_tokens", "token_ids", (F.sha2("decoded", 256) == F.col("_digest")).alias("round_trip"))
 
 
