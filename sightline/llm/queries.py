@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .bpe import bpe_encode
+from .clustering import centroid_clusters
 from .common import scratch
 from .exact_dedup import exact_dedup
 from .labelled import held_out
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .packing import cut_pieces, place_pieces
 from .pii import KINDS, count_of, find_pii, fit_pii, pii_candidates, written
 from .quality import fit_quality, score_quality
 from .token_files import crc32_of, read_sequences, write_sequences
@@ -89,6 +92,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc32_of(read_sequences(index))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = cut_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, seq_len=4096)
+    return place_pieces(crc32_of(pieces), 4096)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = align_tokenizers(_read(spark, sf_dir, "documents"), a, b, shown=lambda groups: F.sha2(groups, 256))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_read(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -100,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_token_files": op10_token_files,
+    "op11_packing": op11_packing,
+    "op12_alignment": op12_alignment,
+    "op13_clustering": op13_clustering,
     "pii_base_spans": pii_base_spans,
 }
 
@@ -121,6 +146,27 @@ _PII = " UNION ALL ".join([
     _pii_kind("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
 ])
 
+def _rounds(k: int, rounds: int, scale: int, width: int, seed: int) -> str:
+    """Centroid clustering: tables a<n> assign, tables c<n> hold the centroids of each round."""
+    assign = "a{n} AS MATERIALIZED (SELECT vec_id, row, v, arg_min(c, {{'d': d, 'c': c}}) AS cluster, min(d)::BIGINT AS distance FROM (SELECT q.*, c, vv - 2 * list_dot_product(v, x) + list_dot_product(x, x) AS d FROM q, c{n}) GROUP BY ALL)"
+    mean = """c{m} AS MATERIALIZED (SELECT c, coalesce(y, x) AS x FROM c{n} LEFT JOIN (
+  SELECT cluster AS c, list(floor_of ORDER BY dim) AS y FROM (
+    SELECT cluster, dim, ((s - ((s % n) + n) % n) / n)::DOUBLE AS floor_of FROM (
+      SELECT cluster, dim, sum(x::BIGINT)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range({width})) AS dim FROM a{n}) GROUP BY ALL)) GROUP BY 1) USING (c))"""
+    steps = [step.format(n=r, m=r + 1, width=width) for r in range(rounds) for step in (assign, mean)]
+    steps.append(assign.format(n=rounds))
+    return f"""
+WITH u AS (
+  SELECT vec_id, row_number() OVER () AS row, embedding FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS MATERIALIZED (SELECT vec_id, row, v, list_dot_product(v, v) AS vv FROM (SELECT vec_id, row, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM u)),
+c0 AS MATERIALIZED (SELECT c, x FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v AS x FROM q) WHERE c < {k}),
+{", ".join(steps)}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(x, lambda y: y::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = cluster"""
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
 WITH d AS (
@@ -190,4 +236,5 @@ WITH ok AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
+    "op13_clustering": _rounds(8, 10, 1024, 64, 3),
 }
