@@ -61,7 +61,11 @@ def scene_clusters(observations: DataFrame, relations: DataFrame) -> DataFrame:
     them as one array; where clusters may outgrow a row, use scene_labels.
     Observations without relations are clusters of one with no evidence.
     """
-    labels = scene_labels(observations, relations)
+    return clusters_of(scene_labels(observations, relations), relations)
+
+
+def clusters_of(labels: DataFrame, relations: DataFrame) -> DataFrame:
+    """scene_clusters where the labels are known."""
     supported = relations.where("disposition = 'SUPPORTED'").join(labels.select(F.col("observation_id").alias("id1"), "root"), "id1")
     refs = supported.select("root", F.explode("evidence").alias("e"))
     evidence = refs.groupBy("root").agg(F.array_sort(F.collect_set("e")).alias("evidence"))
@@ -82,5 +86,3 @@ def model_outcomes(runs: DataFrame, models: DataFrame) -> DataFrame:
     counts = runs.select("run_id").join(models.groupBy("run_id").agg(F.count("*").alias("n")), "run_id", "left").select("run_id", F.coalesce("n", F.lit(0)).alias("model_count"))
     state = F.when(F.col("model_count") == 0, "NO_MODEL").when(F.col("model_count") == 1, "SINGLE_MODEL").otherwise("DISCONNECTED_MODELS")
     return counts.withColumn("state", state)
-
-

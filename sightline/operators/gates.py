@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import lookup, scratch
 from .checks import assert_empty
+from .dag import settle
 from .identity import safe_path
 
 #: What a trainer that reads source images as they are needs of their photometry.
@@ -101,26 +101,18 @@ def route_graph_problems(graphs: DataFrame, nodes: DataFrame, edges: DataFrame)
 
     graphs has graph_id; nodes graph_id, position, node; edges graph_id,
     position, source, target. A graph has nodes; nodes and edges are unique and
-    in order, edges join nodes of the graph, and there is no cycle: nodes that no
-    edge leads to are peeled off, in all graphs at once, until none is left or
-    nothing changes.
+    in order, edges join nodes of the graph, and there is no cycle; all graphs
+    are settled at once.
     """
     ends = edges.select("graph_id", F.col("source").alias("node")).union(edges.select("graph_id", "target")).distinct()
-    left = scratch(edges.select("graph_id", "source", "target").distinct(), "route-edges")
-    count = left.count()
-    while count:
-        led_to = scratch(left.select("graph_id", F.col("target").alias("source")).distinct(), "route-targets")
-        left = scratch(left.join(lookup(led_to), ["graph_id", "source"], "left_semi"), "route-edges")
-        now = left.count()
-        if now == count:
-            break
-        count = now
+    node = lambda c: F.struct("graph_id", F.col(c).alias("node"))
+    cyclic = settle(edges.select(node("source").alias("s"), node("target").alias("t")), "s", "t").cyclic
     return _union([
         graphs.select("graph_id").join(nodes, "graph_id", "left_anti").withColumn("problem", F.lit("no_node")),
         ends.join(nodes, ["graph_id", "node"], "left_anti").select("graph_id").distinct().withColumn("problem", F.lit("unknown_end")),
         order_problems(nodes, "graph_id", ["node"], "node"),
         order_problems(edges, "graph_id", ["source", "target"], "edge"),
-        left.select("graph_id").distinct().withColumn("problem", F.lit("cycle")),
+        cyclic.select("node.graph_id").distinct().withColumn("problem", F.lit("cycle")),
     ])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import lookup, scratch
 from .checks import InvalidInput, assert_empty, assert_unique
+from .dag import closure, settle
 
 
 def canonical_json(value: object, *, ascii_only: bool = False) -> str:
@@ -111,40 +112,23 @@ def find_by_key(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
 def check_dag(nodes: DataFrame, edges: DataFrame) -> int:
     """Check a dependency graph (artifact depends on dependency); returns how many layers it has.
 
-    A node has one kind, edges join declared nodes, none to itself; nodes without
-    open dependencies are peeled off until none is left, else there is a cycle.
+    A node has one kind, edges join declared nodes, none to itself, and there is no cycle.
     """
     assert_empty(nodes.groupBy("artifact").agg(F.count_distinct("kind").alias("kinds")).where("kinds > 1"), "a node has two kinds")
     ends = edges.select("artifact").union(edges.select("dependency")).distinct()
     assert_empty(ends.join(nodes, "artifact", "left_anti"), "an edge has an undeclared end")
     assert_empty(edges.where("artifact = dependency"), "a node depends on itself")
-    left, layers = scratch(edges.select("artifact", "dependency").distinct(), "dag-edges"), 1
-    count = left.count()
-    while count:
-        waiting = scratch(left.select(F.col("artifact").alias("dependency")).distinct(), "dag-waiting")
-        left = scratch(left.join(lookup(waiting), "dependency", "left_semi"), "dag-edges")
-        now = left.count()
-        if now == count:
-            raise InvalidInput("the graph has a cycle")
-        count, layers = now, layers + 1
-    return layers
+    found = settle(edges, "artifact", "dependency", stop_at_cycle=True)
+    if found.cyclic.limit(1).count():
+        raise InvalidInput("the graph has a cycle")
+    return found.longest + 1
 
 
 def invalidation_closure(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """artifact, depth: the roots and all that depend on them, by the shortest way.
-
-    The frontier grows by joins; what is known already is taken out, so a node is met once.
-    """
+    """artifact, depth: the roots and all that depend on them, by the shortest way."""
     assert_empty(roots.join(nodes, "artifact", "left_anti"), "a root is not declared")
-    reached = scratch(roots.select("artifact").distinct().withColumn("depth", F.lit(0)), "closure")
-    frontier, depth = reached, 0
-    while True:
-        depth += 1
-        step = edges.join(frontier.select(F.col("artifact").alias("dependency")), "dependency").select("artifact").distinct()
-        frontier = scratch(step.join(reached, "artifact", "left_anti").withColumn("depth", F.lit(depth)), "closure-front")
-        if not frontier.limit(1).count():
-            return reached
-        reached = scratch(reached.unionByName(frontier), "closure")
+    found, _ = closure(edges, "artifact", "dependency", roots.select(F.col("artifact").alias("node")))
+    return found.select(F.col("node").alias("artifact"), F.col("depth").cast("int").alias("depth"))
 
 
 def dependencies_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..scratch import scratch
 from ..shipping import ship_package
 from .checks import assert_empty, assert_unique
+from .neighbors import neighbours
 
 #: Fixed values of the WGS 84 ellipsoid.
 WGS84_A = 6378137.0
@@ -70,23 +71,15 @@ def ecef(latitude: Column, longitude: Column) -> tuple[Column, Column, Column]:
 def nearby_pairs(points: DataFrame, neighbors: int, radius_m: float) -> DataFrame:
     """Pairs within radius_m where one is among the other's nearest `neighbors`, by chord length, ties by id.
 
-    points has observation_id, latitude_deg, longitude_deg. Space is cut into
-    cubes of radius_m; each point looks into its cube and the 26 around it, by
-    an equi-join on the cube. Returns id1, id2, distance_m.
+    points has observation_id, latitude_deg, longitude_deg. Dense places are
+    cut finer than thin ones, see neighbours. Returns id1, id2, distance_m.
     """
     if neighbors < 1 or not radius_m > 0:
         raise ValueError("neighbors and radius_m must be positive")
     assert_empty(points.where("latitude_deg not between -90 and 90 or longitude_deg not between -180 and 180"), "a coordinate is out of range")
     x, y, z = ecef(F.col("latitude_deg"), F.col("longitude_deg"))
-    placed = points.select("observation_id", x.alias("x"), y.alias("y"), z.alias("z"))
-    cube = [F.floor(F.col(c) / radius_m) for c in "xyz"]
-    home = placed.select(F.col("observation_id").alias("b"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *(v.alias(f"c{c}") for c, v in zip("xyz", cube, strict=True)))
-    steps = F.array(*(F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    around = placed.withColumn("s", F.explode(steps)).select(F.col("observation_id").alias("a"), "x", "y", "z", *((v + F.col(f"s.{c}")).alias(f"c{c}") for c, v in zip("xyz", cube, strict=True)))
-    d2 = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0))
-    near = around.join(home, ["cx", "cy", "cz"]).where("a <> b").select("a", "b", F.sqrt(d2).alias("d")).where(F.col("d") <= radius_m)
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("k") <= neighbors)
-    return ranked.select(*canonical_pair("a", "b"), "d").groupBy("id1", "id2").agg(F.min("d").alias("distance_m"))
+    found = neighbours(points.select("observation_id", x.alias("x"), y.alias("y"), z.alias("z")), "observation_id", neighbors, radius_m)
+    return found.select(*canonical_pair("a", "b"), "d").groupBy("id1", "id2").agg(F.min("d").alias("distance_m"))
 
 
 def cosine_pairs(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -> DataFrame:

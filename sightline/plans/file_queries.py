@@ -16,7 +16,7 @@ from ..operators.metadata import interpret_metadata
 from ..scratch import scratch, shared_path
 from ..shipping import ship_package
 from ..sources import files
-from ..streaming import live
+from ..streaming import live, scenes
 from .bindings import bound, duck
 
 
@@ -195,20 +195,25 @@ def sc19_native_model_ref(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PARTS = 4
+#: Rows of a file that a stream reads.
+FILE_ROWS = 1_000_000
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, order: list[str], start: Callable[[DataFrame], object]) -> None:
-    """Write rows in PARTS files by rising order, one after the other, and run a stream over them until all are in."""
+    """Write rows in PARTS parts by rising order, as many files to each as its rows ask for, and run a stream
+    over each part as it comes: a batch a part, and a restart between them."""
     folder = shared_path(spark, "stream-in")
-    ranged = scratch(rows.repartitionByRange(PARTS, *order).withColumn("_part", F.spark_partition_id()), "stream-rows")
+    rows = scratch(rows, "stream-rows")
+    files = max(1, -(-rows.count() // (PARTS * FILE_ROWS)))
+    ranged = scratch(rows.repartitionByRange(PARTS * files, *order).withColumn("_part", F.floor(F.spark_partition_id() / files)), "stream-ranged")
+    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder)
     for k in range(PARTS):
-        ranged.where(F.col("_part") == k).drop("_part").coalesce(1).sortWithinPartitions(*order).write.parquet(f"{folder}/{k}")
-    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
-    query = start(source)
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
+        ranged.where(F.col("_part") == k).drop("_part").coalesce(files).sortWithinPartitions(*order).write.parquet(f"{folder}/{k}")
+        query = start(source)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
 
 
 def t1_relation_batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,6 +225,34 @@ def t1_relation_batches(spark: SparkSession, sf: str) -> DataFrame:
     return live.RelationLog(spark, folder).rows.select("id1", "id2", "disposition", F.expr("evidence[0].id").alias("evidence"))
 
 
+def _scene_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as observations: one is linked to one of the next three of its fifty, and contradicts one fifty on."""
+    k = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("o"), F.lpad(c.cast("string"), 8, "0"))
+    rows = _table(spark, sf, "customer").select(k, (k + 1 + k % 3).alias("to"))
+    far = rows.groupBy().agg(F.max("c_custkey").alias("most"))
+    near = rows.where("floor(c_custkey / 50) = floor(to / 50)").crossJoin(F.broadcast(far)).where("to <= most")
+    links = near.select(name(k).alias("id1"), name(F.col("to")).alias("id2"), F.when(k % 4 == 0, "UNRESOLVED").otherwise("SUPPORTED").alias("disposition"), F.array(F.struct(F.lit("geometry").alias("kind"), k.cast("string").alias("id"))).alias("evidence"))
+    apart = rows.crossJoin(F.broadcast(far)).where("c_custkey % 7 = 0 and c_custkey + 50 <= most")
+    return links.unionByName(apart.select(name(k).alias("id1"), name(k + 50).alias("id2"), F.lit("CONTRADICTED").alias("disposition"), F.array(F.struct(F.lit("geometry").alias("kind"), F.lit("apart").alias("id"))).alias("evidence")))
+
+
+def _scenes(spark: SparkSession, sf: str) -> scenes.SceneLog:
+    observations = _table(spark, sf, "customer").select(F.concat(F.lit("o"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("observation_id"))
+    folder = shared_path(spark, "scene-log")
+    _streamed(spark, _scene_relations(spark, sf), ["id1", "id2"], lambda stream: scenes.stream_scenes(stream, scenes.SceneLog(spark, folder, observations), f"{folder}/stream"))
+    return scenes.SceneLog(spark, folder)
+
+
+def t1_scene_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _scenes(spark, sf).labels
+
+
+def t1_scene_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    found = _scenes(spark, sf).clusters
+    return found.select("cluster_id", F.array_join("members", ",").alias("members"), F.array_join(F.transform("evidence", lambda e: e["id"]), ",").alias("evidence"))
+
+
 def t2_record_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Orders' customers as records: most come in several batches."""
     rows = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), F.lit("customer").alias("record_type"), F.col("o_custkey").cast("string").alias("record_id"), F.concat(F.lit('{"id":'), F.col("o_custkey").cast("string"), F.lit("}")).alias("payload"))
@@ -238,7 +271,7 @@ def t3_interval_stream(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "io6_exif_entries": io6_exif_entries, "io7_exif_ingest": io7_exif_ingest, "io31_png_pixels": io31_png_pixels, "io30_ply_audit": io30_ply_audit, "io1_file_hashes": io1_file_hashes, "io28_staged_files": io28_staged_files,
     "io26_fixtures": io26_fixtures, "io23_canonical_json": io23_canonical_json, "io24_json_objects": io24_json_objects, "io25_record_round_trip": io25_record_round_trip, "io22_typed_records": io22_typed_records, "io16_get_record": io16_get_record,
-    "sc3_config_identity": sc3_config_identity, "sc19_native_model_ref": sc19_native_model_ref, "t1_relation_batches": t1_relation_batches, "t2_record_batches": t2_record_batches, "t3_interval_stream": t3_interval_stream,
+    "sc3_config_identity": sc3_config_identity, "sc19_native_model_ref": sc19_native_model_ref, "t1_relation_batches": t1_relation_batches, "t1_scene_labels": t1_scene_labels, "t1_scene_clusters": t1_scene_clusters, "t2_record_batches": t2_record_batches, "t3_interval_stream": t3_interval_stream,
 }
 
 PHOTOS = """WITH p AS (SELECT p_partkey AS k, 'p' || lpad(p_partkey::VARCHAR, 8, '0') AS path FROM part)"""
@@ -246,6 +279,12 @@ PAGES = "WITH p AS (SELECT 'html/p' || lpad(page_id::VARCHAR, 8, '0') AS path, c
 CAMERAS = """WITH c AS (SELECT 'c' || p_partkey AS camera_id, p_brand AS manufacturer, CASE WHEN p_partkey % 3 <> 0 THEN p_type || ' "ü"' END AS model FROM part),
 j AS (SELECT 'camera' AS record_type, camera_id AS record_id, '{"camera_id":"' || camera_id || '","manufacturer":"' || manufacturer || '","model":' || coalesce('"' || replace(model, '"', '\\"') || '"', 'null') || ',"serial_number":null}' AS payload FROM c)"""
 
+SCENES = """WITH RECURSIVE c AS (SELECT c_custkey AS k, 'o' || lpad(c_custkey::VARCHAR, 8, '0') AS a FROM customer),
+links AS (SELECT x.a AS id1, y.a AS id2, x.k FROM c x JOIN c y ON y.k = x.k + 1 + x.k % 3 AND x.k // 50 = y.k // 50 WHERE x.k % 4 <> 0),
+both AS (SELECT id1 AS a, id2 AS b FROM links UNION ALL SELECT id2, id1 FROM links),
+reach AS (SELECT a, a AS b FROM c UNION SELECT r.a, e.b FROM reach r JOIN both e ON e.a = r.b),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)"""
+
 ORACLES = {
     "io6_exif_entries": f"""{PHOTOS}, e AS (
   SELECT k, path, unnest([
@@ -275,6 +314,10 @@ SELECT 'observation' AS record_type, 'o' || doc_id AS record_id, '{"asset":{"byt
     "sc3_config_identity": """SELECT n_nationkey, sha256('{"exact":' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'null' END || ',"name":"' || n_name || '","neighbors":' || (n_nationkey * 2) || '}') AS identity FROM nation""",
     "sc19_native_model_ref": """SELECT n_regionkey AS model_id, 'artifact:native-model:' || sha256('[' || string_agg('{"byte_length":' || octet_length(encode(n_name)) || ',"path":"' || n_name || '","sha256":"' || sha256(n_name) || '"}', ',' ORDER BY n_nationkey) || ']') AS artifact_id FROM nation GROUP BY 1""",
     "t1_relation_batches": "SELECT 'o' || lpad(c_custkey::VARCHAR, 8, '0') AS id1, 'o' || lpad((c_custkey + 1 + c_custkey % 3)::VARCHAR, 8, '0') AS id2, CASE WHEN c_custkey % 4 = 0 THEN 'UNRESOLVED' ELSE 'SUPPORTED' END AS disposition, c_custkey::VARCHAR AS evidence FROM customer",
+    "t1_scene_labels": f"{SCENES} SELECT a AS observation_id, root FROM roots",
+    "t1_scene_clusters": f"""{SCENES}, m AS (SELECT root, list(a ORDER BY a) AS members FROM roots GROUP BY 1),
+e AS (SELECT root, string_agg(k::VARCHAR, ',' ORDER BY k::VARCHAR) AS evidence FROM links JOIN roots ON roots.a = id1 GROUP BY 1)
+SELECT 'scene:' || sha256(array_to_string(members, chr(10))) AS cluster_id, array_to_string(members, ',') AS members, coalesce(evidence, '') AS evidence FROM m LEFT JOIN e USING (root)""",
     "t2_record_batches": """SELECT DISTINCT 'customer' AS record_type, o_custkey::VARCHAR AS record_id, '{"id":' || o_custkey || '}' AS payload FROM orders""",
     "t3_interval_stream": "",
 }

@@ -15,6 +15,7 @@ from ..operators.checks import InvalidInput, assert_empty
 from ..operators.identity import new_records
 from ..scratch import scratch, shared_path
 from ..shipping import ship_package
+from .keyed import KeyedLog, Marks, segments_of, stored_keys
 
 
 class BatchTable:
@@ -96,20 +97,42 @@ def stream_relations(relations: DataFrame, log: RelationLog, checkpoint: str) ->
 class RecordTable:
     """Records that streams add to; equal ones are taken once, conflicting ones are errors.
 
-    A batch appends what it adds; what is stored is not written again.
+    Records lie in bucket files by a hash of their key, with the range and a
+    filter of each file's keys. A batch is compared only with files that may
+    hold its keys; what is stored is written again only when segments merge.
     """
 
+    KEY = ["record_type", "record_id"]
+
     def __init__(self, spark: SparkSession, folder: str):
-        self.table = BatchTable(spark, folder, "record_type string, record_id string, payload string")
+        self.marks = Marks(spark, folder)
+        self.log = KeyedLog(spark, f"{folder.rstrip('/')}/records", "record_type string, record_id string, payload string", self.KEY)
 
     @property
     def rows(self) -> DataFrame:
-        return self.table.rows()
+        return self.log.rows(segments_of(self.marks.last()[1], "records"))
+
+    @property
+    def touched(self) -> dict:
+        """Of the last batch: records added, files read, and the files that there were."""
+        return self.marks.last()[1].get("touched", {})
 
     def add(self, batch: DataFrame, number: int) -> None:
-        if number not in self.table.marked():
-            more = new_records(self.table.rows(before=number), batch)
-            self.table.write(number, more, batch.sparkSession.range(1).select(F.lit(number).alias("number")))
+        last, mark = self.marks.last()
+        if number <= last:
+            return
+        batch = scratch(batch.select(*self.KEY, "payload").distinct(), "record-batch")
+        live = segments_of(mark, "records")
+        held = self.log.find(live, stored_keys(batch, self.KEY))
+        read, of = self.log.read_files, self.log.all_files
+        more = scratch(new_records(scratch(held, "record-held"), batch), "record-new")
+        n = more.count()
+        now = self.log.add(live, more, n)
+        earlier = [self.marks.read(k) for k in self.marks.numbers()]
+        self.marks.write(number, {"records": now, "touched": {"added": n, "files": read, "of": of}})
+        if len(earlier) >= Marks.KEPT:
+            kept = {s.name for m in (*earlier[1:], {"records": now}) for s in segments_of(m, "records")}
+            self.log.discard([s for s in segments_of(earlier[0], "records") if s.name not in kept])
 
 
 def stream_records(records: DataFrame, table: RecordTable, checkpoint: str) -> StreamingQuery:
