@@ -8,9 +8,10 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import lookup, scratch
-from .checks import InvalidInput, assert_empty, assert_unique
+from .checks import InvalidInput, assert_empty, assert_unique, require
 from .dag import closure, settle
 
 
@@ -32,19 +33,92 @@ def parse_json_object(text: str) -> dict:
     return found
 
 
-def canonical_key_json(columns: list[str]) -> Column:
-    """Canonical JSON of columns of plain ASCII, null kept, in the engine."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+#: The control characters that JSON writes with a letter, by their UTF-16 code.
+JSON_SHORT = {"0022": '\\"', "005C": "\\\\", "000A": "\\n", "000D": "\\r", "0009": "\\t", "0008": "\\b", "000C": "\\f"}
+ARTIFACT_KEY_VERSION = 1
 
 
-def artifact_key(columns: list[str]) -> Column:
-    """The content key of what the columns say."""
-    return F.concat(F.lit("artifact-key:v1:"), F.sha2(canonical_key_json(columns), 256))
+def json_text(value: Column) -> Column:
+    """A string as JSON writes it with escapes: what is not printable ASCII as \\uXXXX, beyond U+FFFF as two of them."""
+    codes = F.hex(F.encode(value, "UTF-16BE"))
+    unit = lambda i: F.substring(codes, i * 4 + 1, F.lit(4))
 
+    def written(i: Column) -> Column:
+        code = unit(i)
+        out = F.when(code.between("0020", "007E"), F.chr(F.conv(code, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(code)))
+        for char, short in JSON_SHORT.items():
+            out = F.when(code == char, short).otherwise(out)
+        return out
 
-def config_key(columns: list[str]) -> Column:
-    """config_identity of configurations in columns of plain ASCII, in the engine."""
-    return F.sha2(canonical_key_json(columns), 256)
+    units = F.transform(F.sequence(F.lit(0), (F.length(codes) / 4).cast("int") - 1), lambda i: written(i.cast("int")))
+    plain = value.rlike(r'^[ !#-\[\]-~]*\z')
+    return F.concat(F.lit('"'), F.when(plain, value).otherwise(F.array_join(units, "")), F.lit('"'))
+
+
+def json_value(value: Column, kind: T.DataType) -> Column:
+    """Canonical JSON of a column of this type, with sorted keys, no spaces and escapes; null is null.
+
+    Structs, arrays, strings, whole numbers and booleans; fractions between 0.001
+    and 10 million, which are written the same everywhere. Others raise an error.
+    """
+    if isinstance(kind, T.StructType):
+        parts = [F.concat(F.lit(("," if k else "") + json.dumps(f.name) + ":"), json_value(value[f.name], f.dataType)) for k, f in enumerate(sorted(kind.fields, key=lambda f: f.name))]
+        text = F.concat(F.lit("{"), *parts, F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: json_value(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.StringType):
+        text = json_text(value)
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        text = value.cast("string")
+    elif isinstance(kind, (T.DoubleType, T.NullType)):
+        exact = (F.abs(value).between(0.001, 9999999.0)) | (value == 0)
+        text = require(exact, value.cast("string"), "a fraction that JSON writes in several ways") if isinstance(kind, T.DoubleType) else value.cast("string")
+    else:
+        raise TypeError(f"{kind.simpleString()} has no canonical JSON")
+    return F.when(value.isNull(), "null").otherwise(text)
+
+
+def canonical_key_json(df: DataFrame, columns: list[str]) -> Column:
+    """Canonical JSON of an object of these columns of df, in the engine; any characters, null kept."""
+    named = T.StructType([df.schema[c] for c in columns])
+    return json_value(F.struct(*columns), named)
+
+
+def artifact_key(domain: str) -> Column:
+    """The content key of what makes an artifact, from the columns that say it.
+
+    output_kind; inputs, an array of (artifact_kind, sha256) in their order;
+    producer (implementation, version, revision); configuration_sha256; model
+    (name, version, revision) and checkpoint (identifier, sha256), null where
+    none was used; hardware_runtime_sha256, which is left out where null. Only
+    revisions and the model's version may be null within these; a missing
+    other part or a digest that is not 64 lower-case hexadecimal digits is an error.
+    domain is the name under which keys are told from other digests.
+    """
+    text, digest = json_text, lambda c: require(c.rlike(r"^[0-9a-f]{64}\z"), json_text(c), "a digest is malformed")
+    maybe = lambda c: F.coalesce(json_text(c), F.lit("null"))
+    each = lambda x: F.concat(F.lit('{"artifact_kind":'), text(x["artifact_kind"]), F.lit(',"sha256":'), digest(x["sha256"]), F.lit("}"))
+    col = F.col
+    model = F.concat(F.lit('{"name":'), text(col("model.name")), F.lit(',"revision":'), maybe(col("model.revision")), F.lit(',"version":'), maybe(col("model.version")), F.lit("}"))
+    checkpoint = F.concat(F.lit('{"identifier":'), text(col("checkpoint.identifier")), F.lit(',"sha256":'), digest(col("checkpoint.sha256")), F.lit("}"))
+    inputs = F.transform("inputs", each)
+    material = F.concat(
+        F.lit('{"checkpoint":'), F.when(col("checkpoint").isNull(), "null").otherwise(checkpoint),
+        F.lit(',"configuration_sha256":'), digest(col("configuration_sha256")),
+        F.lit(f',"domain":{json.dumps(domain)}'),
+        F.when(col("hardware_runtime_sha256").isNull(), "").otherwise(F.concat(F.lit(',"hardware_runtime_sha256":'), digest(col("hardware_runtime_sha256")))),
+        F.lit(',"inputs":['), F.when(~F.exists(inputs, lambda x: x.isNull()), F.array_join(inputs, ",")),
+        F.lit('],"model":'), F.when(col("model").isNull(), "null").otherwise(model),
+        F.lit(',"output_kind":'), text(col("output_kind")),
+        F.lit(',"producer":{"implementation":'), text(col("producer.implementation")), F.lit(',"revision":'), maybe(col("producer.revision")), F.lit(',"version":'), text(col("producer.version")),
+        F.lit(f'}},"schema_version":{ARTIFACT_KEY_VERSION}}}'),
+    )
+    return F.concat(F.lit(f"artifact-key:v{ARTIFACT_KEY_VERSION}:"), F.sha2(require(material.isNotNull(), material, "a part of an artifact's key is missing"), 256))
+
+
+def config_key(df: DataFrame, columns: list[str]) -> Column:
+    """config_identity of configurations in columns of df, in the engine."""
+    return F.sha2(canonical_key_json(df, columns), 256)
 
 
 def native_model_ref(identity: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,32 @@ def utc_offset_seconds(value: Column) -> Column:
     return F.when(value.rlike(shape), F.when((h < 24) & (m < 60), sign * (h * 3600 + m * 60)))
 
 
+#: White space, letters and digits as text methods know them, for patterns.
+SPACE = "[" + "".join(f"\\x{{{n:x}}}" for n in range(0x3001) if chr(n).isspace()) + "]"
+WORD = r"[\p{L}\p{N}_]"
+BOUND = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+
+
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters whose case folding is one character, those, and the foldings of others."""
+    folded = {chr(n): chr(n).casefold() for n in range(0x110000) if not 0xD800 <= n < 0xE000 and chr(n).casefold() != chr(n)}
+    single = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
+def casefold(value: Column) -> Column:
+    """Full case folding, as of caseless matching: ß becomes ss, ſ becomes s."""
+    source, target, several = _folds()
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    single = F.translate(value, source, target)
+    spelt = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.when(value.rlike(r"^[\x00-\x7F]*\z"), F.lower(value)).when(single.rlike("[" + "".join(several) + "]"), spelt).otherwise(single)
+
+
 def normalized_text(value: Column) -> Column:
-    """Lower case, hyphens and underscores as spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(value), "-_", "  "), r"\s+", " "))
+    """Case folded, hyphens and underscores as spaces, single spaces, whatever the language."""
+    return F.trim(F.regexp_replace(F.translate(casefold(value), "-_", "  "), SPACE + "+", " "))
 
 
 def interpret_metadata(entries: DataFrame) -> DataFrame:
@@ -118,7 +142,8 @@ def input_classes(observations: DataFrame) -> DataFrame:
     def phrase(words: str) -> Callable[[Column], Column]:
         return lambda e: F.contains(normalized_text(e["key"]), F.lit(words)) | F.contains(normalized_text(e["value"]), F.lit(words))
 
-    aerial = keys(lambda e: (F.lower(e["namespace"]) == "exif") & F.lower(e["key"]).isin(*CAMERA_KEYS) & normalized_text(e["value"]).rlike("|".join(AERIAL)))
+    named_so = "|".join(AERIAL).replace(r"\b", BOUND)
+    aerial = keys(lambda e: (casefold(e["namespace"]) == "exif") & casefold(e["key"]).isin(*CAMERA_KEYS) & normalized_text(e["value"]).rlike(named_so))
     one = lambda order, name, kind, found: F.struct(F.lit(order).alias("n"), F.lit(name).alias("input_class"), F.lit(kind).alias("evidence_kind"), found.alias("evidence_keys"))
     observed = F.array(F.lit("observation.kind"))
     wide = F.when(F.col("width") == 2 * F.col("height"), F.array(F.lit("metadata.dimensions"))).otherwise(F.expr("cast(array() as array<string>)"))
@@ -133,12 +158,22 @@ def input_classes(observations: DataFrame) -> DataFrame:
     return rows.select("observation_id", F.col("x.n").alias("class_order"), "x.input_class", "x.evidence_kind", "x.evidence_keys")
 
 
-def same_video_sync(frames: DataFrame, most_index: int | None = None) -> DataFrame:
-    """Pairs of frames of one video with their exact offset: video_id, index1, index2, offset_us, status."""
-    chosen = frames if most_index is None else frames.where(F.col("frame_index") <= most_index)
-    a = chosen.select("video_id", F.col("frame_index").alias("index1"), F.col("frame_time_us").alias("t1"))
-    b = chosen.select("video_id", F.col("frame_index").alias("index2"), F.col("frame_time_us").alias("t2"))
-    return a.join(b, "video_id").where("index1 < index2").select("video_id", "index1", "index2", (F.col("t2") - F.col("t1")).alias("offset_us"), F.lit("SUPPORTED").alias("status"))
+def video_offsets(frames: DataFrame) -> DataFrame:
+    """frames with offset_us: the exact time since the first frame of its video, a row for each frame.
+
+    The offset of any two frames of a video is the difference of theirs, so all
+    pairs are said without being made.
+    """
+    first = frames.groupBy("video_id").agg(F.min_by("frame_time_us", "frame_index").alias("_first"))
+    return frames.join(first, "video_id").withColumn("offset_us", F.col("frame_time_us") - F.col("_first")).drop("_first")
+
+
+def same_video_sync(frames: DataFrame, candidates: DataFrame) -> DataFrame:
+    """video_id, index1, index2, offset_us, status of the candidate pairs (video_id, index1, index2) of one video's frames."""
+    at = frames.select("video_id", "frame_index", "frame_time_us")
+    one, two = (at.select("video_id", F.col("frame_index").alias(f"index{k}"), F.col("frame_time_us").alias(f"t{k}")) for k in (1, 2))
+    met = candidates.select("video_id", "index1", "index2").where("index1 < index2").join(one, ["video_id", "index1"]).join(two, ["video_id", "index2"])
+    return met.select("video_id", "index1", "index2", (F.col("t2") - F.col("t1")).alias("offset_us"), F.lit("SUPPORTED").alias("status"))
 
 
 def capture_time_sync(pairs: DataFrame, times: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def exhaustive_pair_count(n: Column) -> Column:
 
 def gps_eligibility(status: Column, datum: Column) -> Column:
     """Whether a point may be paired: its interpretation must be resolved and its datum WGS 84."""
-    plain = F.regexp_replace(F.upper(datum), "[^\\p{Alnum}]", "")
+    plain = F.regexp_replace(F.upper(datum), r"[^\p{L}\p{N}]", "")
     return (
         F.when(status == "absent", "gps_absent")
         .when(status == "incomplete", "gps_incomplete")

@@ -186,7 +186,7 @@ def io16_get_record(spark: SparkSession, sf: str) -> DataFrame:
 
 def sc3_config_identity(spark: SparkSession, sf: str) -> DataFrame:
     rows = _table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("name"), (F.col("n_nationkey") * 2).alias("neighbors"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(True)).alias("exact"))
-    return rows.select("n_nationkey", identity.config_key(["name", "neighbors", "exact"]).alias("identity"))
+    return rows.select("n_nationkey", identity.config_key(rows, ["name", "neighbors", "exact"]).alias("identity"))
 
 
 def sc19_native_model_ref(spark: SparkSession, sf: str) -> DataFrame:

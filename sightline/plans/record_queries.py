@@ -55,7 +55,14 @@ def d4_input_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j6_same_video_sync(spark: SparkSession, sf: str) -> DataFrame:
-    return metadata.same_video_sync(bound(spark, sf, "frames"), 4)
+    """Every frame with those one, two, four, ... sixty-four places on in its video."""
+    frames = bound(spark, sf, "frames")
+    ahead = frames.select("video_id", F.col("frame_index").alias("index1"), F.explode(F.array(*(F.lit(1 << k).cast("bigint") for k in range(7)))).alias("step"))
+    return metadata.same_video_sync(frames, ahead.select("video_id", "index1", (F.col("index1") + F.col("step")).alias("index2")))
+
+
+def j6_video_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.video_offsets(bound(spark, sf, "frames").select("video_id", "frame_index", "frame_time_us"))
 
 
 def d10_visual_sync(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,9 +197,9 @@ def io14_verify_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def io15_put_records(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.lit("customer").alias("record_type"), F.col("c_custkey").cast("string").alias("record_id"), identity.canonical_key_json(["c_mktsegment", "c_nationkey"]).alias("payload"))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.lit("customer").alias("record_type"), F.col("c_custkey").cast("string").alias("record_id"), F.concat(F.lit('{"c_mktsegment":"'), "c_mktsegment", F.lit('","c_nationkey":'), F.col("c_nationkey").cast("string"), F.lit("}")).alias("payload"))
     half = rows.where("cast(record_id as bigint) % 2 = 0")
-    return identity.put_records(half, rows.where("cast(record_id as bigint) % 3 = 0"))
+    return identity.put_records(half, rows)
 
 
 def io17_find_by_content(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,15 +209,26 @@ def io17_find_by_content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    return bound(spark, sf, "artifact_nodes").withColumn("algorithm", F.lit(None).cast("string"))
+    """Nodes of the graph with what makes them: their dependencies are their inputs."""
+    nodes, edges = bound(spark, sf, "artifact_nodes"), bound(spark, sf, "artifact_edges")
+    fed = edges.groupBy("artifact").agg(F.array_sort(F.collect_list(F.struct("dependency", F.split_part("dependency", F.lit(":"), F.lit(1)).alias("k")))).alias("d"))
+    inputs = F.transform(F.coalesce("d", F.expr("cast(array() as array<struct<dependency:string,k:string>>)")), lambda x: F.struct(x["k"].alias("artifact_kind"), F.sha2(x["dependency"], 256).alias("sha256")))
+    kind, none = F.col("kind"), F.lit(None).cast("string")
+    return nodes.join(fed, "artifact", "left").select(
+        "artifact", F.col("kind").alias("output_kind"), inputs.alias("inputs"),
+        F.struct(F.lit('Maker "é😀"\n').alias("implementation"), F.lit("1.0").alias("version"), F.when(kind != "region", "r1").alias("revision")).alias("producer"), F.sha2("kind", 256).alias("configuration_sha256"),
+        F.when(kind == "order", F.struct(F.lit("modèle").alias("name"), none.alias("version"), none.alias("revision"))).alias("model"), F.when(kind == "order", F.struct(F.lit("w").alias("identifier"), F.sha2(F.lit("w"), 256).alias("sha256"))).alias("checkpoint"),
+        F.when(kind == "nation", F.sha2(F.lit("hw"), 256)).alias("hardware_runtime_sha256"),
+    )
 
 
 def sc2_artifact_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return _artifacts(spark, sf).select("artifact", identity.artifact_key(["kind", "artifact", "algorithm"]).alias("artifact_key"))
+    return _artifacts(spark, sf).select("artifact", identity.artifact_key("evidence").alias("artifact_key"))
 
 
 def io18_find_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _artifacts(spark, sf).withColumn("artifact_key", identity.artifact_key(["kind"])).select(F.lit("p1").alias("project_id"), F.col("artifact").alias("artifact_id"), "kind", "artifact_key")
+    """The artifacts that are computed from the same as nation:3."""
+    rows = _artifacts(spark, sf).select(F.lit("p1").alias("project_id"), F.col("artifact").alias("artifact_id"), F.col("output_kind").alias("kind"), identity.artifact_key("evidence").alias("artifact_key"))
     return identity.find_by_key(rows, rows.where("artifact_id = 'nation:3'").select("artifact_key"))
 
 
@@ -243,7 +261,7 @@ def sc18_safe_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "d1_metadata": d1_metadata, "j7_capture_time_sync": j7_capture_time_sync, "d4_input_classes": d4_input_classes, "j6_same_video_sync": j6_same_video_sync, "d10_visual_sync": d10_visual_sync,
+    "d1_metadata": d1_metadata, "j7_capture_time_sync": j7_capture_time_sync, "d4_input_classes": d4_input_classes, "j6_same_video_sync": j6_same_video_sync, "j6_video_offsets": j6_video_offsets, "d10_visual_sync": d10_visual_sync,
     "sc12_correlations": sc12_correlations, "w6_best_lag": w6_best_lag, "d8_quality_policy": d8_quality_policy, "d8_policy_reasons": d8_policy_reasons, "d9_fallback": d9_fallback,
     "a3_profile_summary": a3_profile_summary, "a15_fixture": a15_fixture, "a15_fixture_results": a15_fixture_results, "a11_surface_metrics": a11_surface_metrics, "a12_surface_benchmark": a12_surface_benchmark,
     "d13_capture_settings": d13_capture_settings, "a13_execution_profile": a13_execution_profile, "io1_content_hashes": io1_content_hashes, "io4_duplicates": io4_duplicates, "io14_verify_files": io14_verify_files,
@@ -253,6 +271,14 @@ QUERIES = {
 
 ASSETS = "h AS (SELECT observation_id, sha256(coalesce(content, '')) AS sha256, octet_length(encode(coalesce(content, '')))::BIGINT AS byte_length FROM assets)"
 
+KEYS = r"""
+fed AS (SELECT artifact, string_agg('{"artifact_kind":"' || split_part(dependency, ':', 1) || '","sha256":"' || sha256(dependency) || '"}', ',' ORDER BY dependency) AS d FROM artifact_edges GROUP BY 1),
+keys AS (SELECT artifact, kind, 'artifact-key:v1:' || sha256(
+  '{"checkpoint":' || CASE WHEN kind = 'order' THEN '{"identifier":"w","sha256":"' || sha256('w') || '"}' ELSE 'null' END || ',"configuration_sha256":"' || sha256(kind) || '","domain":"evidence"'
+  || CASE WHEN kind = 'nation' THEN ',"hardware_runtime_sha256":"' || sha256('hw') || '"' ELSE '' END || ',"inputs":[' || coalesce(d, '') || '],"model":' || CASE WHEN kind = 'order' THEN '{"name":"modèle","revision":null,"version":null}' ELSE 'null' END
+  || ',"output_kind":"' || kind || '","producer":{"implementation":"Maker \"é😀\"\n","revision":' || CASE WHEN kind <> 'region' THEN '"r1"' ELSE 'null' END || ',"version":"1.0"},"schema_version":1}') AS artifact_key
+  FROM artifact_nodes LEFT JOIN fed USING (artifact))"""
+
 ORACLES = {
     "d1_metadata": f"{duck('raw_metadata')}, {D1} SELECT * FROM interpreted",
     "j7_capture_time_sync": f"""{duck('raw_metadata')}, {D1}
@@ -268,7 +294,8 @@ f AS (
 SELECT observation_id, CASE WHEN n % 4 = 0 THEN 0 ELSE 1 END AS class_order, CASE WHEN n % 4 = 0 THEN 'still' ELSE 'video' END AS input_class, 'observed' AS evidence_kind, 'observation.kind' AS evidence_keys FROM o
 UNION ALL SELECT observation_id, 2, 'equirectangular_360', 'candidate', 'metadata.dimensions' FROM o WHERE n % 3 = 0
 UNION ALL SELECT observation_id, o, c, 'candidate', string_agg(name, ',' ORDER BY name) FROM f GROUP BY 1, 2, 3""",
-    "j6_same_video_sync": f"{duck('frames')} SELECT a.video_id, a.frame_index AS index1, b.frame_index AS index2, b.frame_time_us - a.frame_time_us AS offset_us, 'SUPPORTED' AS status FROM frames a JOIN frames b USING (video_id) WHERE a.frame_index < b.frame_index AND b.frame_index <= 4",
+    "j6_same_video_sync": f"{duck('frames')} SELECT a.video_id, a.frame_index AS index1, b.frame_index AS index2, b.frame_time_us - a.frame_time_us AS offset_us, 'SUPPORTED' AS status FROM frames a JOIN frames b ON a.video_id = b.video_id AND b.frame_index - a.frame_index IN (1, 2, 4, 8, 16, 32, 64)",
+    "j6_video_offsets": f"{duck('frames')} SELECT video_id, frame_index, frame_time_us, frame_time_us - first_value(frame_time_us) OVER (PARTITION BY video_id ORDER BY frame_index) AS offset_us FROM frames",
     "d10_visual_sync": """WITH g AS (SELECT event_id, event_id * 3 - 900 AS o, event_id % 5 <> 0 AND event_id % 9 >= 3 AND event_id % 11 <> 0 AND event_id % 700 <= 500 AS ok FROM events)
 SELECT event_id, CASE WHEN ok THEN 'SUPPORTED' ELSE 'UNRESOLVED' END AS status, CASE WHEN ok THEN o END AS offset_us FROM g""",
     "sc12_correlations": f"{duck('samples')}, {CORRELATIONS} SELECT * FROM correlations",
@@ -305,10 +332,10 @@ SELECT a.observation_id, coalesce(string_agg(b.observation_id, ',' ORDER BY b.ob
     "io14_verify_files": f"""{duck('assets')}, {ASSETS}, f AS (SELECT *, substr(observation_id, 2)::BIGINT AS n FROM h),
 v AS (SELECT n % 97 AS artifact_id, CASE WHEN n % 37 = 0 THEN 2 WHEN n % 53 = 0 THEN 1 WHEN n % 41 = 0 THEN 2 ELSE 0 END AS v FROM f)
 SELECT artifact_id, ['VERIFIED', 'MISSING', 'CORRUPTED'][max(v) + 1] AS status, count(*) FILTER (v > 0) AS problems FROM v GROUP BY 1""",
-    "io15_put_records": """SELECT 'customer' AS record_type, c_custkey::VARCHAR AS record_id, '{"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}' AS payload FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
+    "io15_put_records": """SELECT 'customer' AS record_type, c_custkey::VARCHAR AS record_id, '{"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}' AS payload FROM customer""",
     "io17_find_by_content": f"{duck('assets')}, {ASSETS}, f AS (SELECT sha256, byte_length FROM h ORDER BY observation_id LIMIT 1) SELECT observation_id FROM h SEMI JOIN f USING (sha256, byte_length)",
-    "sc2_artifact_keys": f"""{duck('artifact_nodes')} SELECT artifact, 'artifact-key:v1:' || sha256('{{"algorithm":null,"artifact":"' || artifact || '","kind":"' || kind || '"}}') AS artifact_key FROM artifact_nodes""",
-    "io18_find_by_key": f"""{duck('artifact_nodes')} SELECT 'p1' AS project_id, artifact AS artifact_id, kind, 'artifact-key:v1:' || sha256('{{"kind":"' || kind || '"}}') AS artifact_key FROM artifact_nodes WHERE kind = 'nation'""",
+    "sc2_artifact_keys": f"{duck('artifact_nodes', 'artifact_edges')}, {KEYS} SELECT artifact, artifact_key FROM keys",
+    "io18_find_by_key": f"{duck('artifact_nodes', 'artifact_edges')}, {KEYS} SELECT 'p1' AS project_id, artifact AS artifact_id, kind, artifact_key FROM keys WHERE artifact_key = (SELECT artifact_key FROM keys WHERE artifact = 'nation:3')",
     "a16_model_identity": """SELECT n_regionkey AS model_id, sha256('[' || string_agg('{"byte_length":' || octet_length(encode(n_name)) || ',"path":"' || n_name || '","sha256":"' || sha256(n_name) || '"}', ',' ORDER BY n_nationkey) || ']') AS identity FROM nation GROUP BY 1""",
     "g3_invalidation": f"""{duck('artifact_edges')}, c AS (SELECT 'region:1' AS artifact, 0 AS depth UNION ALL SELECT 'nation:7', 0 UNION SELECT e.artifact, c.depth + 1 FROM c JOIN artifact_edges e ON e.dependency = c.artifact)
 SELECT artifact, min(depth)::INT AS depth FROM c GROUP BY 1""",

@@ -20,7 +20,8 @@ def test_put_is_idempotent_and_conflicts_fail(spark):
 
 
 def test_key_json_is_that_of_python(spark):
-    row = spark.createDataFrame([("x", None, 3)], "b string, a string, c int").select(identity.canonical_key_json(["b", "a", "c"]).alias("j")).first()
+    rows = spark.createDataFrame([("x", None, 3)], "b string, a string, c int")
+    row = rows.select(identity.canonical_key_json(rows, ["b", "a", "c"]).alias("j")).first()
     assert row.j == identity.canonical_json({"a": None, "b": "x", "c": 3}, ascii_only=True)
     assert identity.canonical_json({"b": "é"}) == '{"b":"é"}' and identity.canonical_json({"b": "é"}, ascii_only=True) == '{"b":"\\u00e9"}'
     with pytest.raises(InvalidInput):
@@ -169,4 +170,5 @@ def test_router_checks(spark):
 
 
 def test_payload_is_json(spark):
-    assert json.loads(spark.createDataFrame([(1, None)], "a int, b string").select(identity.canonical_key_json(["b", "a"]).alias("j")).first().j) == {"a": 1, "b": None}
+    rows = spark.createDataFrame([(1, None)], "a int, b string")
+    assert json.loads(rows.select(identity.canonical_key_json(rows, ["b", "a"]).alias("j")).first().j) == {"a": 1, "b": None}
