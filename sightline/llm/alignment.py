@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from bisect import bisect_left
-from collections import Counter
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,10 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, Str
 
 from .common import lookup, prepare, scratch, text_of, worker_state
 
-#: Words that a worker remembers from chunk to chunk, and how long such a word may be.
-WORDS, WORD_CHARS = 300_000, 128
+#: Words and groups that a worker remembers from chunk to chunk, and how long such a word may be.
+WORDS, GROUPS, WORD_CHARS = 600_000, 1_000_000, 128
+#: So many new words go to the libraries as one text.
+TOGETHER = 64
 #: A chunk of documents, which share a table of groups, ends after so many characters.
 CHUNK_CHARS = 16_000_000
 #: Characters and documents of a batch that a worker hands on.
@@ -28,7 +30,7 @@ SENT_CHARS, SENT_DOCS = 2_000_000, 500
 #: A space that ends one word and begins the next, whichever white space a tokenizer knows.
 INK = r"[^\s᠎​-‏⁠﻿]"
 CUT = re.compile(f"(?<={INK}) (?={INK})")
-ENDS_PLAIN = re.compile(f"{INK}(.*{INK})?", re.DOTALL)
+PLAIN = re.compile(INK)
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -63,12 +65,15 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         alphabet = byte_level_alphabet()
         names = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a: dict[int, bytes] = {n: bytes(alphabet[c] for c in name) for name, n in names.items() if all(c in alphabet for c in name)}
+        told = {n: bytes(alphabet[c] for c in name) for name, n in names.items() if all(c in alphabet for c in name)}
+        self.bytes_a = [told.get(n, b"") for n in range(max(names.values()) + 1)]
         pieces = [self.b.id_to_piece(n) for n in range(self.b.vocab_size())]
         self.bytes_b = [piece_bytes(x) for x in pieces]
-        if any(not x for x in (*self.bytes_a.values(), *self.bytes_b)):
+        if any(not x for x in (*told.values(), *self.bytes_b)):
             raise ValueError("a token has no bytes")
+        self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
         self.kind = np.dtype("<u2" if max(max(names.values()), len(pieces)) < (1 << 16) - 1 else "<u4")
+        self.mark = np.array([-1]).astype(self.kind).tobytes()
         self.cuts = self._cuts(json.loads(config_a), pieces)
         self.clear()
 
@@ -81,72 +86,124 @@ class Aligner:
 
     def clear(self) -> None:
         """Forget all words and groups."""
-        self.words: dict[str, tuple[int, int, tuple[int, ...]]] = {}
-        self.shown: dict[str, str] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.bad: set[str] = set()
         self.number: dict[bytes, int] = {}
         self.keys: list[bytes] = []
-
-    def split(self, text: str) -> list[str]:
-        """Words of a text, each without the space before it."""
-        if not self.cuts:
-            return [text]
-        words = text.split(" ")
-        if all(w in self.shown or ENDS_PLAIN.fullmatch(w) for w in set(words)):
-            return words
-        return CUT.split(text)
+        self.texts: list[str] = []
+        self.sizes = np.zeros((1 << 16, 2), np.int64)
+
+    def shrink(self) -> None:
+        """Keep WORDS words, the first met, as the latest came in for the rarest."""
+        for _ in range(len(self.words) - WORDS):
+            self.bad.discard(self.words.popitem()[0])
+        if len(self.keys) > GROUPS:
+            self.clear()
+
+    def split(self, text: str) -> tuple[list[str], list[str]]:
+        """Words of a text, each without the space before it, and those of them that are not known."""
+        words = text.split(" ") if self.cuts else [text]
+        fresh = [w for w in set(words) if w not in self.words]
+        if self.cuts and not all(w and PLAIN.match(w[0]) and PLAIN.match(w[-1]) for w in fresh):
+            words = CUT.split(text)
+            fresh = [w for w in set(words) if w not in self.words]
+        return words, fresh
 
     def learn(self, words: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        for word, a, b in zip(words, ids_a, self.b.encode(words, num_threads=1), strict=True):
-            self._add(word, a, b)
-
-    def _add(self, word: str, a: list[int], b: list[int]) -> None:
-        told_a = [self.bytes_a.get(n, b"") for n in a]
-        told_b = [self.bytes_b[n] for n in b]
-        whole = (" " + word).encode()
-        if b"".join(told_a) != whole or b"".join(told_b) != whole:
-            self.words[word], self.shown[word] = (0, 0, ()), ""
-            self.bad.add(word)
-            return
-        ends_a, ends_b = np.cumsum([*map(len, told_a)]).tolist(), np.cumsum([*map(len, told_b)]).tolist()
-        groups, shown, from_a, from_b = [], [], 0, 0
-        for end in sorted(set(ends_a) & set(ends_b)):
-            to_a, to_b = bisect_left(ends_a, end) + 1, bisect_left(ends_b, end) + 1
-            some_a, some_b = a[from_a:to_a], b[from_b:to_b]
-            key = np.array([*some_a, -1, *some_b]).astype(self.kind).tobytes()
-            if key not in self.number:
-                self.number[key] = len(self.keys)
-                self.keys.append(key)
-            groups.append(self.number[key])
-            shown.append(",".join(map(str, some_a)) + "|" + ",".join(map(str, some_b)))
-            from_a, from_b = to_a, to_b
-        self.words[word], self.shown[word] = (len(a), len(b), tuple(groups)), ";".join(shown)
-
-    def align(self, text: str) -> tuple[int, int, str, dict[int, int]]:
-        """Number of A tokens, of B tokens, the groups as text, and how often each group (by its number) occurs."""
+        """Words that can stand between others go to the libraries many to a text, which their bytes cut up again."""
+        alone = [w for w in words if len(w) > WORD_CHARS or not (w and PLAIN.match(w[0]) and PLAIN.match(w[-1]))] if self.cuts else words
+        others = set(alone)
+        runs = [words] if not others else [[w for w in words if w not in others]]
+        runs = [run[k : k + TOGETHER] for run in runs for k in range(0, len(run), TOGETHER)] if self.cuts else []
+        texts = [*alone, *(" ".join(run) for run in runs)]
+        ids_a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        ids_b = self.b.encode(texts, num_threads=1)
+        for word, a, b in zip(alone, ids_a, ids_b, strict=False):
+            self._add([word], a, b)
+        for run, a, b in zip(runs, ids_a[len(alone) :], ids_b[len(alone) :], strict=True):
+            if not self._add(run, a, b):
+                for word in run:
+                    self._add([word], self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word))
+
+    def _add(self, run: list[str], a: list[int], b: list[int]) -> bool:
+        """Take in the words of a run with these tokens. A single word that they do not spell is bad; of more, none is taken in."""
+        told = [(" " + word).encode() for word in run]
+        whole = b"".join(told)
+        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            if len(run) == 1:
+                self.words[run[0]] = ()
+                self.bad.add(run[0])
+            return False
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        size = self.kind.itemsize
+        to_a, to_b = ((np.searchsorted(ends, cuts) + 1) * size for ends in (ends_a, ends_b))
+        packed_a, packed_b, mark, number = ids_a.astype(self.kind).tobytes(), ids_b.astype(self.kind).tobytes(), self.mark, self.number
+        groups, from_a, from_b = [], 0, 0
+        for at_a, at_b in zip(to_a.tolist(), to_b.tolist(), strict=True):
+            key = packed_a[from_a:at_a] + mark + packed_b[from_b:at_b]
+            known = number.get(key)
+            groups.append(self._group(key, (at_a - from_a) // size) if known is None else known)
+            from_a, from_b = at_a, at_b
+        at = 0
+        for word, to in zip(run, (np.searchsorted(cuts, np.cumsum([*map(len, told)])) + 1).tolist(), strict=True):
+            self.words[word] = tuple(groups[at:to])
+            at = to
+        return True
+
+    def _group(self, key: bytes, n_a: int) -> int:
+        """The number of a new group, which is interned by its ids: those of A, the greatest number there is, those of B."""
+        known = self.number[key] = len(self.keys)
+        ids = np.frombuffer(key, self.kind).tolist()
+        self.keys.append(key)
+        self.texts.append(",".join(map(str, ids[:n_a])) + "|" + ",".join(map(str, ids[n_a + 1 :])))
+        if known == len(self.sizes):
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.sizes[known] = n_a, len(ids) - n_a - 1
+        return known
+
+    def align(self, text: str) -> tuple[str, np.ndarray]:
+        """The groups as text, and their numbers in order; "" and none if the tokens do not spell the text."""
         if not text:
-            return 0, 0, "", {}
-        words = self.split(text)
-        counts = Counter(words)
-        fresh = [w for w in counts if w not in self.shown]
+            return "", np.zeros(0, np.int64)
+        words, fresh = self.split(text)
         if fresh:
             self.learn(fresh)
-        n_a = n_b = 0
-        found: dict[int, int] = {}
-        if self.bad.isdisjoint(counts):
-            for word, n in counts.items():
-                some_a, some_b, groups = self.words[word]
-                n_a += n * some_a
-                n_b += n * some_b
-                for g in groups:
-                    found[g] = found.get(g, 0) + n
-        shown = ";".join(map(self.shown.__getitem__, words)) if found else ""
-        for word in fresh:  # long ones are not remembered, and what was learned of them stays in keys only
+        groups = [] if self.bad and not self.bad.isdisjoint(words) else [*chain.from_iterable(map(self.words.__getitem__, words))]
+        for word in fresh:
             if len(word) > WORD_CHARS:
-                del self.words[word], self.shown[word]
+                del self.words[word]
                 self.bad.discard(word)
-        return n_a, n_b, shown, found
+        return ";".join(map(self.texts.__getitem__, groups)), np.array(groups, np.int64)
+
+
+class _Chunk:
+    """The groups of a chunk of documents: each gets a number from 0 as it comes, and is counted."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner, self.of = aligner, np.full(1 << 16, -1, np.int64)
+        self.groups: list[int] = []
+        self.counts = np.zeros(1 << 16, np.int64)
+
+    def add(self, groups: np.ndarray) -> tuple[int, int, int, bytes]:
+        """Of a document: A tokens, B tokens, groups, and its groups' numbers and counts, packed."""
+        if not len(groups):
+            return 0, 0, 0, b""
+        group, n = np.unique(groups, return_counts=True)
+        size = len(self.aligner.keys)
+        if size > len(self.of):
+            self.of = np.concatenate([self.of, np.full(2 * size - len(self.of), -1, np.int64)])
+        fresh = group[self.of[group] < 0]
+        self.of[fresh] = np.arange(len(self.groups), len(self.groups) + len(fresh))
+        self.groups += fresh.tolist()
+        if len(self.groups) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(2 * len(self.groups) - len(self.counts), np.int64)])
+        number = self.of[group]
+        self.counts[number] += n
+        n_a, n_b = (n @ self.aligner.sizes[group]).tolist()
+        order = np.argsort(number)
+        return n_a, n_b, len(groups), zstandard.compress(np.stack([number[order], n[order]]).astype("<u4").tobytes(), 1)
 
 
 def last_tokens(key: bytes, kind: np.dtype) -> tuple[int, int]:
@@ -156,10 +213,6 @@ def last_tokens(key: bytes, kind: np.dtype) -> tuple[int, int]:
     return int(ids[at - 1]), int(ids[-1])
 
 
-def _packed(groups: list[int], counts: list[int]) -> bytes:
-    return zstandard.compress(np.array([groups, counts], "<u4").tobytes(), 1) if groups else b""
-
-
 def align_tokenizers(docs: DataFrame, tokenizer_a: str, model_b: str, id_col: str = "doc_id", text_col: str = "text", *, shown: Callable[[Column], Column] = lambda groups: groups, dictionary: dict | None = None) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of every document.
 
@@ -206,19 +259,18 @@ def align_tokenizers(docs: DataFrame, tokenizer_a: str, model_b: str, id_col: st
 
     id_kind: list[pa.DataType] = [pa.null()]
 
+    query = uuid.uuid4().hex  # what a worker remembers is of one run, so runs do not depend on those before
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_state(("align", hash(held.value)), lambda: Aligner(*held.value))
-        part, chunk, chars = TaskContext.get().partitionId() << 32, 0, 0
-        numbers: dict[int, int] = {}
-        counts: list[int] = []
+        own = worker_state(("align", query), lambda: Aligner(*held.value))
+        part, number, chars = TaskContext.get().partitionId() << 32, 0, 0
+        chunk = _Chunk(own)
 
         def table() -> Iterator[pa.RecordBatch]:
-            groups = list(numbers)
-            for at in range(0, len(groups), 50_000):
-                some = groups[at : at + 50_000]
-                yield rows(["chunk", "number", "key", "n"], [[part + chunk] * len(some), range(at, at + len(some)), [own.keys[g] for g in some], counts[at : at + len(some)]])
-            if len(own.shown) > WORDS or len(own.keys) > 2 * WORDS:
-                own.clear()
+            for at in range(0, len(chunk.groups), 50_000):
+                some = chunk.groups[at : at + 50_000]
+                yield rows(["chunk", "number", "key", "n"], [[part + number] * len(some), range(at, at + len(some)), [own.keys[g] for g in some], chunk.counts[at : at + len(some)].tolist()])
+            own.shrink()
 
         for batch in batches:
             id_kind[0] = batch.column(0).type
@@ -227,27 +279,17 @@ def align_tokenizers(docs: DataFrame, tokenizer_a: str, model_b: str, id_col: st
             while at < len(texts):
                 out, size, begin = [], 0, at
                 while at < len(texts) and size < SENT_CHARS and len(out) < SENT_DOCS:
-                    n_a, n_b, groups, found = own.align(texts[at])
-                    mine = []
-                    for g, n in found.items():
-                        k = numbers.setdefault(g, len(counts))
-                        if k == len(counts):
-                            counts.append(0)
-                        counts[k] += n
-                        mine.append(k)
-                    order = sorted(range(len(mine)), key=mine.__getitem__)
-                    several = list(found.values())
-                    out.append((n_a, n_b, sum(several), groups, _packed([mine[k] for k in order], [several[k] for k in order])))
+                    groups, found = own.align(texts[at])
+                    n_a, n_b, n_groups, refs = chunk.add(found)
+                    out.append((n_a, n_b, n_groups, groups, refs))
                     size += len(texts[at])
                     at += 1
                 chars += size
-                yield rows(["chunk", "_id", "n_a", "n_b", "n_groups", "groups", "refs"], [[part + chunk] * len(out), ids.slice(begin, at - begin), *map(list, zip(*out, strict=True))])
+                yield rows(["chunk", "_id", "n_a", "n_b", "n_groups", "groups", "refs"], [[part + number] * len(out), ids.slice(begin, at - begin), *map(list, zip(*out, strict=True))])
                 if chars >= CHUNK_CHARS:
                     yield from table()
-                    numbers, counts, chars = {}, [], 0
-                    chunk += 1
-        if numbers:
-            yield from table()
+                    number, chars, chunk = number + 1, 0, _Chunk(own)
+        yield from table()
 
     aligned = plain.mapInArrow(run, schema).withColumn("groups", F.when(F.col("n_groups") == 0, "").when(F.col("n_groups") > 0, shown(F.col("groups"))))
     aligned = scratch(aligned, "align-chunks")
