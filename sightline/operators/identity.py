@@ -161,15 +161,33 @@ def get_record(stored: DataFrame, record_type: str, record_id: str) -> DataFrame
     return stored.where((F.col("record_type") == record_type) & (F.col("record_id") == record_id))
 
 
-def with_duplicates(assets: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def duplicate_classes(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assets of equal sha256 and byte_length, as classes of two or more and as members.
+
+    Classes: class_id (the least observation_id), sha256, byte_length, n (how
+    many observations). Members: observation_id, class_id. However many copies
+    there are, a copy is one row.
+    """
+    key = ["sha256", "byte_length"]
+    sizes = assets.select("observation_id", *key).distinct().groupBy(*key).agg(F.count("*").alias("n"), F.min("observation_id").alias("class_id"))
+    classes = scratch(sizes.where("n > 1"), "duplicate-classes")
+    members = assets.select("observation_id", *key).distinct().join(lookup(classes), key).select("observation_id", "class_id")
+    return classes.select("class_id", *key, "n"), members
+
+
+def with_duplicates(assets: DataFrame, stored: DataFrame | None = None, *, most: int = 10_000) -> DataFrame:
     """assets with duplicates: sorted ids of others of equal sha256 and byte_length, from what was stored before.
 
     Nothing is dropped. Without stored, the assets themselves are looked through.
-    Only groups of two or more are joined back.
+    Every copy lists all others, which is fit for small classes only: one of
+    more than most observations is an error; duplicate_classes takes any.
     """
-    pool = (assets if stored is None else stored).groupBy("sha256", "byte_length").agg(F.array_sort(F.collect_set("observation_id")).alias("ids"))
-    pool = scratch(pool.where("size(ids) > 1") if stored is None else pool, "duplicate-groups")
-    joined = assets.join(lookup(pool), ["sha256", "byte_length"], "left")
+    key = ["sha256", "byte_length"]
+    pool = (assets if stored is None else stored).select("observation_id", *key)
+    sizes = scratch(pool.groupBy(*key).agg(F.count_distinct("observation_id").alias("n")).where("n > 1" if stored is None else "n > 0"), "duplicate-sizes")
+    assert_empty(sizes.where(F.col("n") > most), "a class of equal files is too large to be listed with each of them")
+    groups = pool.join(lookup(sizes.select(*key)), key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_set("observation_id")).alias("ids"))
+    joined = assets.join(lookup(scratch(groups, "duplicate-groups")), key, "left")
     none = F.expr("cast(array() as array<string>)")
     return joined.withColumn("duplicates", F.coalesce(F.array_remove("ids", F.col("observation_id")), none)).drop("ids")
 

@@ -24,13 +24,13 @@ DMS = rf"^\s*\[{NUMBER},{NUMBER},{NUMBER}\]\s*$"
 def dms_to_degrees(value: Column) -> Column:
     """Degrees of "[d, m, s]", each a number or a fraction; null if it is not one or m or s reach 60."""
 
-    def part(k: int) -> Column:
-        number = F.regexp_extract(value, DMS, 2 * k + 1).cast("double")
-        below = F.regexp_extract(value, DMS, 2 * k + 2)
-        return number / F.when(below == "", 1.0).otherwise(F.nullif(F.when(below != "", below).cast("double"), F.lit(0.0)))
+    def part(text: Column) -> Column:
+        below = F.split_part(text, F.lit("/"), F.lit(2))
+        return F.split_part(text, F.lit("/"), F.lit(1)).cast("double") / F.when(below == "", 1.0).otherwise(F.nullif(F.when(below != "", below).cast("double"), F.lit(0.0)))
 
-    d, m, s = part(0), part(1), part(2)
-    return F.when(value.rlike(DMS), F.when((m < 60) & (s < 60), d + m / 60 + s / 3600))
+    degrees = lambda p: F.when((p[1] < 60) & (p[2] < 60), p[0] + p[1] / 60 + p[2] / 3600)
+    parts = F.transform(F.split(F.regexp_replace(value, r"[\[\]\s]", ""), ","), part)
+    return F.when(value.rlike(DMS), F.transform(F.array(parts), degrees)[0])
 
 
 def utc_offset_seconds(value: Column) -> Column:
@@ -79,30 +79,32 @@ def interpret_metadata(entries: DataFrame) -> DataFrame:
     longitude_deg, map_datum, time_status (ABSENT, INVALID, LOCAL_AMBIGUOUS,
     RESOLVED) and instant_us. What is not resolved stays null.
     """
-    exif = entries.where("namespace = 'EXIF'")
-    by_key = exif.groupBy("observation_id", "key").agg(F.min(F.struct("position", "value")).alias("v"), (F.count("*") > 1).alias("twice"))
+    exif = F.col("namespace") == "EXIF"
     wanted = (*REQUIRED, DATUM, TIME, OFFSET)
     names = {k: f"k{i}" for i, k in enumerate(wanted)}
-    cells = [F.max(F.when(F.col("key") == k, F.col("v.value"))).alias(n) for k, n in names.items()]
+    of = {k: exif & (F.col("key") == k) for k in wanted}
+    cells = [F.min(F.when(of[k], F.struct("position", "value"))).getField("value").alias(n) for k, n in names.items()]
+    twice = lambda keys: F.greatest(*(F.count_if(of[k]) for k in keys)) > 1
     flags = [
-        F.max(F.col("key").startswith("GPS ")).alias("any_gps"),
-        F.max(F.col("key").isin(*REQUIRED, DATUM) & F.col("twice")).alias("gps_twice"),
-        F.max(F.col("key").isin(TIME, OFFSET)).alias("any_time"),
-        F.max(F.col("key").isin(TIME, OFFSET) & F.col("twice")).alias("time_twice"),
+        F.max(exif & F.col("key").startswith("GPS ")).alias("any_gps"),
+        twice((*REQUIRED, DATUM)).alias("gps_twice"),
+        F.max(exif & F.col("key").isin(TIME, OFFSET)).alias("any_time"),
+        twice((TIME, OFFSET)).alias("time_twice"),
     ]
-    keyed = by_key.groupBy("observation_id").agg(*cells, *flags)
-    keyed = entries.select("observation_id").distinct().join(keyed, "observation_id", "left")
+    keyed = entries.groupBy("observation_id").agg(*cells, *flags)
     at = {k: F.col(n) for k, n in names.items()}
     lat_ref, lon_ref = F.upper(F.trim(at[LATITUDE_REF])), F.upper(F.trim(at[LONGITUDE_REF]))
-    lat = dms_to_degrees(at[LATITUDE]) * F.when(lat_ref == "S", -1).otherwise(1)
-    lon = dms_to_degrees(at[LONGITUDE]) * F.when(lon_ref == "W", -1).otherwise(1)
+    # each text is parsed once, here: what follows reads these columns
+    read = {"la": dms_to_degrees(at[LATITUDE]) * F.when(lat_ref == "S", -1).otherwise(1), "lo": dms_to_degrees(at[LONGITUDE]) * F.when(lon_ref == "W", -1).otherwise(1), "seconds": utc_offset_seconds(at[OFFSET])}
+    keyed = keyed.withColumn("read", F.transform(F.array(F.struct(*(c.alias(n) for n, c in read.items()))), lambda x: x)[0])
+    lat, lon = F.col("read.la"), F.col("read.lo")
     good = lat_ref.isin("N", "S") & lon_ref.isin("E", "W") & lat.between(-90, 90) & lon.between(-180, 180)
     missing = at[REQUIRED[0]].isNull() | at[REQUIRED[1]].isNull() | at[REQUIRED[2]].isNull() | at[REQUIRED[3]].isNull()
     gps = F.when(~F.coalesce("any_gps", F.lit(False)), "ABSENT").when(F.col("gps_twice"), "INVALID").when(missing, "INCOMPLETE").when(F.coalesce(good, F.lit(False)), "RESOLVED").otherwise("INVALID")
     shape = r"^\s*[0-9]{4}:[0-9]{1,2}:[0-9]{1,2}\s+[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\s*$"
     pieces = F.regexp_extract_all(at[TIME], F.lit("[0-9]+"), F.lit(0))
     local = F.when(at[TIME].rlike(shape), F.expr(f"try_make_timestamp_ntz({', '.join(f'cast(element_at(p, {i}) as int)' for i in range(1, 7))})"))
-    offset = utc_offset_seconds(at[OFFSET])
+    offset = F.col("read.seconds")
     keyed = keyed.withColumn("p", pieces).withColumn("gps_status", gps).withColumn("local_us", F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), local))
     local_us = F.col("local_us")
     time = (

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import scratch
+from ..scratch import lookup, scratch
 from ..shipping import ship_package
 from .checks import assert_empty, assert_unique
 from .neighbors import neighbours
@@ -229,16 +229,38 @@ def canonical_tracks(elements: DataFrame) -> DataFrame:
     return elements.groupBy("point_id", "observation_id").agg(F.min("feature_index").alias("feature_index"))
 
 
-def shared_tracks(tracks: DataFrame) -> DataFrame:
+def pairs_within(rows: DataFrame, group: str, columns: list[str], *, block: int = 1024) -> DataFrame:
+    """x, y: every unordered pair of the rows of a group, as structs of the columns with x before y in their order.
+
+    A group of at most block rows becomes one list. A larger one is dealt out to
+    blocks of about that many rows, and every pair of its blocks is a group of
+    its own that holds the rows of both, so a group of any size is many tasks
+    of block * block pairs at most. Rows that repeat are rows of their own.
+    """
+    rows = rows.select(F.col(group).alias("_g"), *columns)
+    item = F.struct(*columns)
+    sizes = scratch(rows.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > block), "large-groups")
+    large = lookup(sizes)
+    lists = rows.join(large, "_g", "left_anti").groupBy("_g").agg(F.array_sort(F.collect_list(item)).alias("s")).where("size(s) > 1")
+    dealt = rows.join(large, "_g").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.monotonically_increasing_id(), F.col("_blocks")).cast("int"))
+    dealt = scratch(dealt, "large-dealt")  # a row's block is settled before it meets others
+    met = dealt.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select("_g", F.least("_own", "_k").alias("_p"), F.greatest("_own", "_k").alias("_q"), (F.col("_own") > F.col("_k")).alias("_right"), item.alias("_i"))
+    met = met.groupBy("_g", "_p", "_q").agg(F.array_sort(F.collect_list(F.when(~F.col("_right"), F.col("_i")))).alias("s"), F.collect_list(F.when(F.col("_right"), F.col("_i"))).alias("t"))
+    lists = lists.select("s").unionByName(met.where("_p = _q and size(s) > 1").select("s"))
+    first = lists.select("s", F.posexplode("s").alias("i", "x"))
+    within = first.select("x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
+    across = met.where("_p < _q").select(F.explode("s").alias("a"), "t").select("a", F.explode("t").alias("b"))
+    return within.unionByName(across.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")))
+
+
+def shared_tracks(tracks: DataFrame, *, block: int = 1024) -> DataFrame:
     """id1, id2, shared_points of observations that see the same points.
 
-    The elements of a point are gathered first (a point is seen by few) and
-    its pairs are counted before the shuffle by pair.
+    A point that many see is many tasks (pairs_within); pairs are counted before the shuffle by pair.
     """
-    seen = tracks.groupBy("point_id").agg(F.array_sort(F.collect_set("observation_id")).alias("ids")).where("size(ids) > 1")
-    first = seen.select("ids", F.posexplode("ids").alias("i", "id1"))
-    pairs = first.select("id1", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("id2"))
-    return pairs.groupBy("id1", "id2").agg(F.count("*").alias("shared_points"))
+    met = pairs_within(tracks.select("point_id", "observation_id").distinct(), "point_id", ["observation_id"], block=block)
+    return met.groupBy(F.col("x.observation_id").alias("id1"), F.col("y.observation_id").alias("id2")).agg(F.count("*").alias("shared_points"))
 
 
 def unordered_pairs(items: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:

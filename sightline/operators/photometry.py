@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import assert_empty
+from .pairs import pairs_within
 
 #: The one reviewed colour declaration and the conventions it leads to.
 DECLARATION = {"color_space": "sRGB", "primaries": "bt709_d65", "transfer": "srgb", "matrix": "identity", "value_range": "full"}
@@ -126,26 +127,44 @@ def pyramid_levels(images: DataFrame, largest_edge: int) -> DataFrame:
     return rows.where("needed").select("image_id", "level", F.col("w").alias("width"), F.col("h").alias("height"))
 
 
-def image_quality(pixels: DataFrame) -> DataFrame:
+def image_quality(pixels: DataFrame, *, strip: int = 64) -> DataFrame:
     """raster_id, mean_luma, black_ratio, white_ratio, sharpness of pixel rows (raster_id, x, y, luma).
 
     Sharpness is the population variance of the Laplacian over pixels that have
-    four neighbours; null without such. A pixel meets its neighbours by a join on its place.
+    four neighbours; null without such. Rasters are cut into strips of rows,
+    each with the row above it and below, so a pixel moves once, and meets its
+    neighbours as those before and after it in its row and column. Of a raster
+    sums alone leave the strips.
     """
-    base = pixels.groupBy("raster_id").agg((F.avg("luma") / 255).alias("mean_luma"), (F.count_if(F.col("luma") == 0) / F.count("*")).alias("black_ratio"), (F.count_if(F.col("luma") == 255) / F.count("*")).alias("white_ratio"))
-    to = F.explode(F.array(*(F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y"), F.lit(w).alias("w")) for dx, dy, w in ((0, 0, -4), (1, 0, 1), (-1, 0, 1), (0, 1, 1), (0, -1, 1)))))
-    spread = pixels.withColumn("s", to).select("raster_id", (F.col("x") + F.col("s.x")).alias("x"), (F.col("y") + F.col("s.y")).alias("y"), (F.col("luma") * F.col("s.w")).cast("bigint").alias("v"))
-    laplacian = spread.groupBy("raster_id", "x", "y").agg(F.sum("v").alias("v"), F.count("*").alias("n")).where("n = 5")
-    sums = laplacian.groupBy("raster_id").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    sharp = sums.select("raster_id", ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.col("n")).alias("sharpness"))
-    return base.join(sharp, "raster_id", "left")
+    own = F.floor(F.col("y") / strip)
+    near = F.array_distinct(F.array(own, F.floor((F.col("y") - 1) / strip), F.floor((F.col("y") + 1) / strip)))
+    wide = pixels.select("raster_id", "x", "y", F.col("luma").cast("bigint").alias("luma"), own.alias("own"), F.explode(near).alias("strip")).repartition("raster_id", "strip")
+
+    def beside(axis: str, other: str) -> Column:
+        line = Window.partitionBy("raster_id", "strip", other).orderBy(axis)
+        before = F.when(F.lag(axis).over(line) == F.col(axis) - 1, F.lag("luma").over(line))
+        return before + F.when(F.lead(axis).over(line) == F.col(axis) + 1, F.lead("luma").over(line))
+
+    v = beside("x", "y") + beside("y", "x") - 4 * F.col("luma")
+    rows = wide.withColumn("v", v).where("strip = own")
+    ratio = lambda k: F.count_if(F.col("luma") == k) / F.count("*")
+    sums = rows.groupBy("raster_id").agg((F.avg("luma") / 255).alias("mean_luma"), ratio(0).alias("black_ratio"), ratio(255).alias("white_ratio"), F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    sharp = F.when(F.col("n") > 0, (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.col("n"))
+    return sums.select("raster_id", "mean_luma", "black_ratio", "white_ratio", sharp.alias("sharpness"))
 
 
 def sample_grid(pixels: DataFrame, width: int, height: int, side: int = 8) -> DataFrame:
-    """raster_id, grid: the luma at the centres of side x side cells, row by row."""
+    """raster_id, grid: the luma at the centres of side x side cells, row by row; null where there is no pixel.
+
+    Only the pixels of these places are gathered.
+    """
     at = [((2 * i + 1) * width // (2 * side), (2 * j + 1) * height // (2 * side)) for j in range(side) for i in range(side)]
-    grouped = pixels.groupBy("raster_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("k"), F.col("luma").alias("v")))).alias("m"))
-    return grouped.select("raster_id", F.array(*(F.element_at("m", F.lit(y * width + x)) for x, y in at)).alias("grid"))
+    key = F.col("y") * width + F.col("x")
+    wanted = sorted({y * width + x for x, y in at})
+    chosen = pixels.where(F.col("x").between(0, width - 1) & key.isin(*wanted))
+    grouped = chosen.groupBy("raster_id").agg(F.map_from_entries(F.collect_set(F.struct(key.alias("k"), F.col("luma").alias("v")))).alias("m"))
+    every = pixels.select("raster_id").distinct().join(grouped, "raster_id", "left")
+    return every.select("raster_id", F.array(*(F.element_at("m", F.lit(y * width + x)) for x, y in at)).alias("grid"))
 
 
 def visual_similarity(a: Column, b: Column) -> tuple[Column, Column]:
@@ -160,10 +179,10 @@ def visual_similarity(a: Column, b: Column) -> tuple[Column, Column]:
 def pixel_deltas(samples: DataFrame) -> DataFrame:
     """id1, id2, samples, mean_delta: mean absolute RGB difference, from 0 to 1, of points that two images see.
 
-    samples has point_id, observation_id, r, g, b.
+    samples has point_id, observation_id, r, g, b. A point that many see is
+    many tasks, see pairs_within.
     """
-    seen = samples.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("observation_id", "r", "g", "b"))).alias("s")).where("size(s) > 1")
-    first = seen.select("s", F.posexplode("s").alias("i", "x"))
-    pairs = first.select("x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
+    met = pairs_within(samples, "point_id", ["observation_id", "r", "g", "b"])
     delta = sum((F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) for c in "rgb"), F.lit(0))
-    return pairs.select(F.col("x.observation_id").alias("id1"), F.col("y.observation_id").alias("id2"), delta.cast("bigint").alias("d")).groupBy("id1", "id2").agg(F.count("*").alias("samples"), (F.sum("d") / (F.count("*") * 765.0)).alias("mean_delta"))
+    found = met.select(F.col("x.observation_id").alias("id1"), F.col("y.observation_id").alias("id2"), delta.cast("bigint").alias("d"))
+    return found.groupBy("id1", "id2").agg(F.count("*").alias("samples"), (F.sum("d") / (F.count("*") * 765.0)).alias("mean_delta"))

@@ -188,6 +188,12 @@ def io4_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return identity.with_duplicates(_assets(spark, sf)).select("observation_id", F.array_join("duplicates", ",").alias("duplicates"))
 
 
+def io4_duplicate_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every copy with its class and how many are in it."""
+    classes, members = identity.duplicate_classes(_assets(spark, sf))
+    return members.join(classes.select("class_id", "n"), "class_id")
+
+
 def io14_verify_files(spark: SparkSession, sf: str) -> DataFrame:
     n = F.substring("observation_id", 2, 9).cast("bigint")
     path = F.when(n % 37 == 0, F.concat(F.lit("../"), F.col("observation_id"))).otherwise(F.concat(F.lit("files/"), F.col("observation_id")))
@@ -264,7 +270,7 @@ QUERIES = {
     "d1_metadata": d1_metadata, "j7_capture_time_sync": j7_capture_time_sync, "d4_input_classes": d4_input_classes, "j6_same_video_sync": j6_same_video_sync, "j6_video_offsets": j6_video_offsets, "d10_visual_sync": d10_visual_sync,
     "sc12_correlations": sc12_correlations, "w6_best_lag": w6_best_lag, "d8_quality_policy": d8_quality_policy, "d8_policy_reasons": d8_policy_reasons, "d9_fallback": d9_fallback,
     "a3_profile_summary": a3_profile_summary, "a15_fixture": a15_fixture, "a15_fixture_results": a15_fixture_results, "a11_surface_metrics": a11_surface_metrics, "a12_surface_benchmark": a12_surface_benchmark,
-    "d13_capture_settings": d13_capture_settings, "a13_execution_profile": a13_execution_profile, "io1_content_hashes": io1_content_hashes, "io4_duplicates": io4_duplicates, "io14_verify_files": io14_verify_files,
+    "d13_capture_settings": d13_capture_settings, "a13_execution_profile": a13_execution_profile, "io1_content_hashes": io1_content_hashes, "io4_duplicates": io4_duplicates, "io4_duplicate_classes": io4_duplicate_classes, "io14_verify_files": io14_verify_files,
     "io15_put_records": io15_put_records, "io17_find_by_content": io17_find_by_content, "io18_find_by_key": io18_find_by_key, "sc2_artifact_keys": sc2_artifact_keys, "a16_model_identity": a16_model_identity,
     "g3_invalidation": g3_invalidation, "g4_dag_layers": g4_dag_layers, "io20_dependencies": io20_dependencies, "io21_dependents": io21_dependents, "sc18_safe_paths": sc18_safe_paths,
 }
@@ -329,6 +335,7 @@ l AS (SELECT stage, 'cold_seconds' AS metric, c AS value FROM g UNION ALL SELECT
     "io1_content_hashes": f"{duck('assets')}, {ASSETS} SELECT * FROM h",
     "io4_duplicates": f"""{duck('assets')}, {ASSETS}
 SELECT a.observation_id, coalesce(string_agg(b.observation_id, ',' ORDER BY b.observation_id), '') AS duplicates FROM h a LEFT JOIN h b ON a.sha256 = b.sha256 AND a.byte_length = b.byte_length AND a.observation_id <> b.observation_id GROUP BY 1""",
+    "io4_duplicate_classes": f"{duck('assets')}, {ASSETS}, c AS (SELECT observation_id, min(observation_id) OVER w AS class_id, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY sha256, byte_length)) SELECT * FROM c WHERE n > 1",
     "io14_verify_files": f"""{duck('assets')}, {ASSETS}, f AS (SELECT *, substr(observation_id, 2)::BIGINT AS n FROM h),
 v AS (SELECT n % 97 AS artifact_id, CASE WHEN n % 37 = 0 THEN 2 WHEN n % 53 = 0 THEN 1 WHEN n % 41 = 0 THEN 2 ELSE 0 END AS v FROM f)
 SELECT artifact_id, ['VERIFIED', 'MISSING', 'CORRUPTED'][max(v) + 1] AS status, count(*) FILTER (v > 0) AS problems FROM v GROUP BY 1""",
