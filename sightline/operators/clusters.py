@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import lookup, scratch
 from .checks import assert_empty, assert_unique
-from .graph import components
+from .graph import FEW_EDGES, components
 
 #: Fixed value: two-view configurations that support a shared scene.
 SUPPORTED_CONFIGURATIONS = ("CALIBRATED", "CALIBRATED_RIG", "UNCALIBRATED", "PLANAR", "PANORAMIC", "PLANAR_OR_PANORAMIC")
@@ -45,7 +45,7 @@ def scene_labels(observations: DataFrame, relations: DataFrame) -> DataFrame:
     assert_unique(relations, ["id1", "id2"], "a pair occurs twice")
     ends = relations.select(F.col("id1").alias("observation_id")).union(relations.select("id2"))
     assert_empty(ends.join(observations, "observation_id", "left_anti"), "a relation has an unknown observation")
-    roots = scratch(components(relations.where("disposition = 'SUPPORTED'"), "id1", "id2"), "scene-roots")
+    roots = scratch(components(relations.where("disposition = 'SUPPORTED'"), "id1", "id2", few=FEW_EDGES), "scene-roots")
     labels = observations.select("observation_id").join(lookup(roots), F.col("observation_id") == F.col("node"), "left").select("observation_id", F.coalesce("root", "observation_id").alias("root"))
     labels = scratch(labels, "scene-labels")
     one, two = labels.select(F.col("observation_id").alias("id1"), F.col("root").alias("root")), labels.select(F.col("observation_id").alias("id2"), F.col("root").alias("root2"))
@@ -76,7 +76,7 @@ def clusters_of(labels: DataFrame, relations: DataFrame) -> DataFrame:
 
 def is_connected(nodes: DataFrame, edges: DataFrame) -> bool:
     """Whether all nodes (column observation_id) are in one component of the edges (id1, id2)."""
-    roots = components(edges, "id1", "id2")
+    roots = components(edges, "id1", "id2", few=FEW_EDGES)
     labelled = nodes.select("observation_id").distinct().join(roots, F.col("observation_id") == F.col("node"), "left").select(F.coalesce("root", "observation_id").alias("root"))
     return labelled.distinct().count() <= 1
 

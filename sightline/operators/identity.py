@@ -40,19 +40,20 @@ ARTIFACT_KEY_VERSION = 1
 
 def json_text(value: Column) -> Column:
     """A string as JSON writes it with escapes: what is not printable ASCII as \\uXXXX, beyond U+FFFF as two of them."""
-    codes = F.hex(F.encode(value, "UTF-16BE"))
-    unit = lambda i: F.substring(codes, i * 4 + 1, F.lit(4))
 
-    def written(i: Column) -> Column:
-        code = unit(i)
+    def written(code: Column) -> Column:
         out = F.when(code.between("0020", "007E"), F.chr(F.conv(code, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(code)))
         for char, short in JSON_SHORT.items():
             out = F.when(code == char, short).otherwise(out)
         return out
 
-    units = F.transform(F.sequence(F.lit(0), (F.length(codes) / 4).cast("int") - 1), lambda i: written(i.cast("int")))
+    def units(codes: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), (F.length(codes) / 4).cast("int") - 1), lambda i: F.substring(codes, i * 4 + 1, F.lit(4)))
+        return F.array_join(F.transform(each, written), "")
+
+    escaped = F.transform(F.array(F.hex(F.encode(value, "UTF-16BE"))), units)[0]  # encoded once
     plain = value.rlike(r'^[ !#-\[\]-~]*\z')
-    return F.concat(F.lit('"'), F.when(plain, value).otherwise(F.array_join(units, "")), F.lit('"'))
+    return F.concat(F.lit('"'), F.when(plain, value).otherwise(escaped), F.lit('"'))
 
 
 def json_value(value: Column, kind: T.DataType) -> Column:

@@ -206,10 +206,9 @@ def _streamed(spark: SparkSession, rows: DataFrame, order: list[str], start: Cal
     rows = scratch(rows, "stream-rows")
     files = max(1, -(-rows.count() // (PARTS * FILE_ROWS)))
     ranged = scratch(rows.repartitionByRange(PARTS * files, *order).withColumn("_part", F.floor(F.spark_partition_id() / files)), "stream-ranged")
-    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder)
     for k in range(PARTS):
         ranged.where(F.col("_part") == k).drop("_part").coalesce(files).sortWithinPartitions(*order).write.parquet(f"{folder}/{k}")
-        query = start(source)
+        query = start(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder))
         try:
             query.processAllAvailable()
         finally:
@@ -220,8 +219,8 @@ def t1_relation_batches(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     name = lambda c: F.concat(F.lit("o"), F.lpad(c.cast("string"), 8, "0"))
     rows = _table(spark, sf, "customer").select(name(k).alias("id1"), name(k + 1 + k % 3).alias("id2"), F.when(k % 4 == 0, "UNRESOLVED").otherwise("SUPPORTED").alias("disposition"), F.array(F.struct(F.lit("geometry").alias("kind"), k.cast("string").alias("id"))).alias("evidence"))
-    folder = shared_path(spark, "relation-log")
-    _streamed(spark, rows, ["id1", "id2"], lambda stream: live.stream_relations(stream, live.RelationLog(spark, folder), shared_path(spark, "stream")))
+    folder, checkpoint = shared_path(spark, "relation-log"), shared_path(spark, "stream")
+    _streamed(spark, rows, ["id1", "id2"], lambda stream: live.stream_relations(stream, live.RelationLog(spark, folder), checkpoint))
     return live.RelationLog(spark, folder).rows.select("id1", "id2", "disposition", F.expr("evidence[0].id").alias("evidence"))
 
 
@@ -256,8 +255,8 @@ def t1_scene_clusters(spark: SparkSession, sf: str) -> DataFrame:
 def t2_record_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Orders' customers as records: most come in several batches."""
     rows = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), F.lit("customer").alias("record_type"), F.col("o_custkey").cast("string").alias("record_id"), F.concat(F.lit('{"id":'), F.col("o_custkey").cast("string"), F.lit("}")).alias("payload"))
-    folder = shared_path(spark, "record-table")
-    _streamed(spark, rows, ["n"], lambda stream: live.stream_records(stream.drop("n"), live.RecordTable(spark, folder), shared_path(spark, "stream")))
+    folder, checkpoint = shared_path(spark, "record-table"), shared_path(spark, "stream")
+    _streamed(spark, rows, ["n"], lambda stream: live.stream_records(stream.drop("n"), live.RecordTable(spark, folder), checkpoint))
     return live.RecordTable(spark, folder).rows
 
 
@@ -281,8 +280,8 @@ j AS (SELECT 'camera' AS record_type, camera_id AS record_id, '{"camera_id":"' |
 
 SCENES = """WITH RECURSIVE c AS (SELECT c_custkey AS k, 'o' || lpad(c_custkey::VARCHAR, 8, '0') AS a FROM customer),
 links AS (SELECT x.a AS id1, y.a AS id2, x.k FROM c x JOIN c y ON y.k = x.k + 1 + x.k % 3 AND x.k // 50 = y.k // 50 WHERE x.k % 4 <> 0),
-both AS (SELECT id1 AS a, id2 AS b FROM links UNION ALL SELECT id2, id1 FROM links),
-reach AS (SELECT a, a AS b FROM c UNION SELECT r.a, e.b FROM reach r JOIN both e ON e.a = r.b),
+ways AS (SELECT id1 AS a, id2 AS b FROM links UNION ALL SELECT id2, id1 FROM links),
+reach AS (SELECT a, a AS b FROM c UNION SELECT r.a, e.b FROM reach r JOIN ways e ON e.a = r.b),
 roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)"""
 
 ORACLES = {

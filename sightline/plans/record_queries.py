@@ -281,8 +281,8 @@ KEYS = r"""
 fed AS (SELECT artifact, string_agg('{"artifact_kind":"' || split_part(dependency, ':', 1) || '","sha256":"' || sha256(dependency) || '"}', ',' ORDER BY dependency) AS d FROM artifact_edges GROUP BY 1),
 keys AS (SELECT artifact, kind, 'artifact-key:v1:' || sha256(
   '{"checkpoint":' || CASE WHEN kind = 'order' THEN '{"identifier":"w","sha256":"' || sha256('w') || '"}' ELSE 'null' END || ',"configuration_sha256":"' || sha256(kind) || '","domain":"evidence"'
-  || CASE WHEN kind = 'nation' THEN ',"hardware_runtime_sha256":"' || sha256('hw') || '"' ELSE '' END || ',"inputs":[' || coalesce(d, '') || '],"model":' || CASE WHEN kind = 'order' THEN '{"name":"modèle","revision":null,"version":null}' ELSE 'null' END
-  || ',"output_kind":"' || kind || '","producer":{"implementation":"Maker \"é😀\"\n","revision":' || CASE WHEN kind <> 'region' THEN '"r1"' ELSE 'null' END || ',"version":"1.0"},"schema_version":1}') AS artifact_key
+  || CASE WHEN kind = 'nation' THEN ',"hardware_runtime_sha256":"' || sha256('hw') || '"' ELSE '' END || ',"inputs":[' || coalesce(d, '') || '],"model":' || CASE WHEN kind = 'order' THEN '{"name":"mod\u00e8le","revision":null,"version":null}' ELSE 'null' END
+  || ',"output_kind":"' || kind || '","producer":{"implementation":"Maker \"\u00e9\ud83d\ude00\"\n","revision":' || CASE WHEN kind <> 'region' THEN '"r1"' ELSE 'null' END || ',"version":"1.0"},"schema_version":1}') AS artifact_key
   FROM artifact_nodes LEFT JOIN fed USING (artifact))"""
 
 ORACLES = {

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.checks import InvalidInput, assert_empty
 from ..operators.clusters import clusters_of
-from ..operators.graph import components
+from ..operators.graph import FEW_EDGES, components
 from ..scratch import lookup, scratch
 from .keyed import KeyedLog, Marks, Segment, segments_of, stored_keys
 
@@ -95,7 +95,7 @@ class SceneLog:
         roots = self.roots_of(live, nodes)
         joined = self._rooted(batch.select("id1", "id2", "disposition"), roots)
         edges = scratch(joined.where("disposition = 'SUPPORTED' and r1 <> r2").select("r1", "r2").distinct(), "scene-edges")
-        renamed = components(edges, "r1", "r2").where("node <> root")
+        renamed = components(edges, "r1", "r2", few=FEW_EDGES).where("node <> root")
         renamed = scratch(renamed, "scene-renames")
 
         # contradicted pairs of this batch, and earlier ones under a root that changes

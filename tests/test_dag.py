@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import dag
+from sightline.operators import dag, graph
 from sightline.operators.checks import InvalidInput
 from sightline.operators.gates import route_graph_problems
 from sightline.operators.identity import check_dag, invalidation_closure
@@ -114,3 +114,17 @@ def test_route_graphs_are_settled_together(spark):
     pairs = {"p": [("a", "b"), ("b", "c"), ("c", "d")], "q": [("a", "b"), ("b", "c"), ("c", "b")], "r": [("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")]}
     edges = spark.createDataFrame([(g, i, s, t) for g, some in pairs.items() for i, (s, t) in enumerate(some)], "graph_id string, position int, source string, target string")
     assert [tuple(r) for r in route_graph_problems(graphs, nodes, edges).collect()] == [("q", "cycle")]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_in_rounds_and_in_one_task(spark, few):
+    rng = random.Random(few)
+    pairs = [tuple(rng.sample(range(60), 2)) for _ in range(45)] + [(1, 1), (70, 71), (71, 72)]
+    root = {n: n for p in pairs for n in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    found = graph.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b", few=few)
+    assert dict(map(tuple, found.collect())) == root and found.count() == len(root)
+    assert graph.components(spark.createDataFrame([], "a string, b string"), "a", "b", few=few).collect() == []
