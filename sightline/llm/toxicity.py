@@ -54,8 +54,7 @@ class Lexicon:
     def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: frozenset[str] = frozenset()):
         self.terms, self.stems, self.clean = terms, stems, clean
         self.trie: dict = {}
-        # what starts with a stem is known by that
-        fuzzy = [t for t in terms if len(t) >= SHORTEST_FUZZY and not any(t[:k] in stems for k in range(SHORTEST_STEM, len(t)))]
+        fuzzy = [t for t in terms if len(t) >= SHORTEST_FUZZY]
         starts = [s for s in stems if len(s) >= FUZZY_STEM]
         for entry, end in (*((t, "") for t in fuzzy), *((s, "*") for s in starts)):
             node = self.trie
