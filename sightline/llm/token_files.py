@@ -240,6 +240,21 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = N
     return scratch(encoded.mapInArrow(run, schema), "sequence-index").withColumnRenamed("_id", id_col)
 
 
+def open_sequences(file: str) -> pa.ipc.RecordBatchFileReader:
+    """A reader of a file of sequences. Where the file lies on a local or mounted path it is mapped, and its
+    batches are views of the map: nothing of it is read or copied until it is looked at."""
+    fs, path = filesystem_of(file)
+    return pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pyarrow.fs.LocalFileSystem) else fs.open_input_file(path))
+
+
+def sequence_at(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, pa.Array]:
+    """Ids and mask of one sequence by its number in the file, as views of its batch; no other batch is read."""
+    step = reader.get_batch(0).num_rows
+    batch = reader.get_batch(number // step)
+    row = number % step
+    return batch.column(0)[row].values.to_numpy(zero_copy_only=True), batch.column(1)[row].values
+
+
 def read_sequences(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, start, n_tokens and token_ids (unsigned 32-bit) of each indexed row, from the files.
 
@@ -258,8 +273,7 @@ def read_sequences(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
             out = []
             for file, start, n in zip(*(batch.column(k).to_pylist() for k in ("file", "local_start", "n_tokens")), strict=True):
                 if file != opened:
-                    fs, path = filesystem_of(file)
-                    reader, opened, held = pa.ipc.open_file(fs.open_input_file(path)), file, (-1, None)
+                    reader, opened, held = open_sequences(file), file, (-1, None)
                     rows = reader.get_batch(0).num_rows
                     length = reader.schema.field(0).type.list_size
                     step = length * rows if reader.num_record_batches > 1 else 1 << 62

@@ -187,6 +187,24 @@ def test_an_id_that_many_rows_repeat_is_in_several_files(spark):
     assert len({r.file for r in index.collect()}) > 1 and token_files.read_sequences(index).count() == 400
 
 
+def test_a_sequence_is_read_alone_and_without_copies(spark):
+    import pyarrow as pa
+
+    rows = [(k, f"word number {k} and {k * 7} more") for k in range(200)]
+    index = token_files.write_sequences(docs(spark, rows), WORDS, seq_len=8, batch_rows=4)
+    whole = {r.doc_id: np.frombuffer(r.token_ids, "<u4").tolist() for r in token_files.read_sequences(index).collect()}
+    file = index.groupBy("part", "file").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n_tokens").alias("n")).orderBy("part").first()
+    ids = [x for k in range(file.a, file.b + 1) for x in whole[k]]
+    reader = token_files.open_sequences(file.file)
+    before = pa.total_allocated_bytes()
+    for number in (0, 5, len(ids) // 8 - 1, len(ids) // 8):
+        found, mask = token_files.sequence_at(reader, number)
+        n = min(8, len(ids) - 8 * number)
+        assert found[:n].tolist() == ids[8 * number : 8 * number + n] and mask.true_count == n
+        assert not found.flags.owndata and not found.flags.writeable
+    assert pa.total_allocated_bytes() - before < 4096  # the ids stayed in the file
+
+
 def test_sequence_files_have_equal_batches(spark):
     import pyarrow as pa
 
@@ -433,7 +451,7 @@ def brute_entry(word, terms, stems, clean=()):
         return None
     near = []
     for t, weight in terms.items():
-        if len(t) >= toxicity.SHORTEST_FUZZY and not any(t[:k] in stems for k in range(toxicity.SHORTEST_STEM, len(t))):
+        if len(t) >= toxicity.SHORTEST_FUZZY:
             d = edits(word, t)
             if d < 2 or d == 2 and (len(t) >= toxicity.LONG_TERM or sorted(word) == sorted(t)):
                 near.append((d, -weight))
@@ -468,6 +486,9 @@ def test_lexicon_finds_what_brute_force_finds():
             found += bool(want and want[1])
     assert found > 300
     assert toxicity.Lexicon({"idiot": 2.0}, {}).find("tdioi") == (2.0, 2)
+    # a term under a short stem is found misspelled, too
+    under = toxicity.Lexicon({"idiotic": 2.0}, {"idio": 1.0})
+    assert [under.find(w) for w in ("idiotic", "idioms", "idoitic", "xdiotic")] == [(2.0, 0), (1.0, 0), (2.0, 2), (2.0, 1)]
 
 
 def test_toxicity_features_by_brute_force():
