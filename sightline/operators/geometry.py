@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import scratch
+from ..scratch import lookup, scratch
 from .checks import assert_empty, assert_unique
 
 
@@ -62,20 +62,20 @@ def _median_degrees(rows: DataFrame) -> DataFrame:
     counts = scratch(rows.groupBy(*by, "cell").agg(F.count("*").alias("n")), "median-cells")
     ranked = counts.withColumn("before", F.sum("n").over(w.orderBy("cell")) - F.col("n")).withColumn("total", F.sum("n").over(w))
     middle = ranked.where("before <= total div 2 and before + n > (total - 1) div 2").drop("n")
-    held = rows.join(F.broadcast(middle), [*by, "cell"]).groupBy(*by, "v").agg(F.count("*").alias("n"), F.min("before").alias("before"), F.max("total").alias("total"))
+    held = rows.join(lookup(scratch(middle, "median-middle")), [*by, "cell"]).groupBy(*by, "v").agg(F.count("*").alias("n"), F.min("before").alias("before"), F.max("total").alias("total"))
     at = held.withColumn("at", F.min("before").over(w) + F.sum("n").over(w.orderBy("v")) - F.col("n"))
     found = at.where("at <= total div 2 and at + n > (total - 1) div 2")
     return found.groupBy(*by).agg(F.max("total").alias("n"), ((F.min("v") + F.max("v")) / 2).alias("median"))
 
 
-def pose_agreement(reference: DataFrame, candidate: DataFrame, *, blocks: int = 16) -> DataFrame:
+def pose_agreement(reference: DataFrame, candidate: DataFrame, *, block: int = 1024) -> DataFrame:
     """key, shared, reference_count, candidate_count, union_count, pair_count, rotation_deg, translation_pairs, translation_deg.
 
     Both have key, camera, r (nine numbers) and t (three); a key names what is
     compared with what. Over all pairs of cameras that both know: the exact median angle
     between relative rotations, and between baseline directions where neither
-    baseline is 0. Medians over nothing are null. The cameras of a key fall into blocks by
-    a hash, and each block meets each, so its pairs are dealt over blocks * blocks groups.
+    baseline is 0. Medians over nothing are null. The cameras of a key fall into blocks of
+    about block cameras by a hash, as many as the largest key asks for, and each block meets each.
     """
     spark = reference.sparkSession
     both = reference.select("key", "camera", "r", camera_centre(F.col("r"), F.col("t")).alias("c")).join(candidate.select("key", "camera", F.col("r").alias("u"), camera_centre(F.col("r"), F.col("t")).alias("d")), ["key", "camera"])
@@ -83,6 +83,9 @@ def pose_agreement(reference: DataFrame, candidate: DataFrame, *, blocks: int =
     # two cameras' m, and the two baselines g, h, each seen from its own first camera, have the product g' m h
     m = [sum((_at(F.col("r"), k, i) * _at(F.col("u"), k, j) for k in range(3)), F.lit(0.0)).alias(f"m{i}{j}") for i in range(3) for j in range(3)]
     both = both.select("key", "camera", *m, *(F.element_at(x, i + 1).alias(f"{x}{i}") for x in "cd" for i in range(3)))
+    both = scratch(both, "pose-both")
+    most = both.groupBy("key").count().agg(F.max("count")).first()[0] or 1
+    blocks = max(4, -(-most // block))
     both = scratch(both.withColumn("block", F.pmod(F.xxhash64("camera"), F.lit(blocks)).cast("int")), "pose-cameras")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     names = [f"m{i}{j}" for i in range(3) for j in range(3)] + [f"{x}{i}" for x in "cd" for i in range(3)]

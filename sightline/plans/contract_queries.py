@@ -57,8 +57,8 @@ def j12_depth_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def s8_hits(spark: SparkSession, sf: str) -> DataFrame:
     d = bound(spark, sf, "descriptors").select(F.lit("all").alias("sequence_id"), "observation_id", "label", F.substring("observation_id", 2, 9).cast("bigint").alias("position"))
     near = pairs.sequential_pairs(d.drop("label"), 6).select("id1", "id2")
-    a, b = d.select(F.col("observation_id").alias("id1"), F.col("label")), d.select(F.col("observation_id").alias("id2"), F.col("label"))
-    return near.intersect(a.join(b, "label").where("id1 < id2").select("id1", "id2"))
+    one, two = (d.select(F.col("observation_id").alias(f"id{k}"), F.col("label").alias(f"l{k}")) for k in (1, 2))
+    return near.join(one, "id1").join(two, "id2").where("l1 = l2").select("id1", "id2")
 
 
 def s7_ancestry(spark: SparkSession, sf: str) -> DataFrame:

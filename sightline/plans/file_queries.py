@@ -15,7 +15,7 @@ from ..operators import identity, records
 from ..operators.metadata import interpret_metadata
 from ..scratch import scratch, shared_path
 from ..shipping import ship_package
-from ..sources import files
+from ..sources import datasource, files
 from ..streaming import live, scenes
 from .bindings import bound, duck
 
@@ -108,6 +108,25 @@ def _ply(row: dict) -> bytes:
     return head.encode() + struct.pack("<2f", k % 3, (k + 1) % 3) * (k % 4 + 1)
 
 
+def t4_ply_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The vertices of a PLY file for each part, written and read again as a data source."""
+    made = _built(_table(spark, sf, "part").select(F.concat(F.lit("v"), F.col("p_partkey").cast("string"), F.lit(".ply")).alias("path"), F.col("p_partkey").alias("k")), _ply)
+    folder = shared_path(spark, "ply-files")
+    files.write_files(made, folder).count()
+    datasource.register(spark)
+    rows = spark.read.format("sightline_ply").option("properties", "x,y").load(folder)
+    return rows.select(F.substring_index("path", "/", -1).alias("path"), "vertex", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def io28_staged_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as one data set that appears as a whole, and read again."""
+    datasource.register(spark)
+    path = shared_path(spark, "staged-set")
+    rows = _table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    rows.write.format("sightline_set").mode("append").save(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def io30_ply_audit(spark: SparkSession, sf: str) -> DataFrame:
     made = _built(_table(spark, sf, "part").select(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("k")), _ply)
     return files.audit_ply(made, ["x", "y"])
@@ -268,7 +287,7 @@ def t3_interval_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "io6_exif_entries": io6_exif_entries, "io7_exif_ingest": io7_exif_ingest, "io31_png_pixels": io31_png_pixels, "io30_ply_audit": io30_ply_audit, "io1_file_hashes": io1_file_hashes, "io28_staged_files": io28_staged_files,
+    "io6_exif_entries": io6_exif_entries, "io7_exif_ingest": io7_exif_ingest, "io31_png_pixels": io31_png_pixels, "io30_ply_audit": io30_ply_audit, "t4_ply_records": t4_ply_records, "io28_staged_set": io28_staged_set, "io1_file_hashes": io1_file_hashes, "io28_staged_files": io28_staged_files,
     "io26_fixtures": io26_fixtures, "io23_canonical_json": io23_canonical_json, "io24_json_objects": io24_json_objects, "io25_record_round_trip": io25_record_round_trip, "io22_typed_records": io22_typed_records, "io16_get_record": io16_get_record,
     "sc3_config_identity": sc3_config_identity, "sc19_native_model_ref": sc19_native_model_ref, "t1_relation_batches": t1_relation_batches, "t1_scene_labels": t1_scene_labels, "t1_scene_clusters": t1_scene_clusters, "t2_record_batches": t2_record_batches, "t3_interval_stream": t3_interval_stream,
 }
@@ -298,6 +317,8 @@ SELECT path AS observation_id, CASE WHEN k % 5 = 0 THEN 'INCOMPLETE' ELSE 'RESOL
        CASE WHEN k % 7 = 0 THEN 'LOCAL_AMBIGUOUS' ELSE 'RESOLVED' END AS time_status, CASE WHEN k % 7 <> 0 THEN epoch_us(TIMESTAMP '2024-01-05 10:20:30') - CASE WHEN k % 2 = 1 THEN 7200000000 ELSE -19800000000 END END AS instant_us FROM p""",
     "io31_png_pixels": """WITH p AS (SELECT p_partkey AS k, p_partkey % 5 + 1 AS w, p_partkey % 3 + 1 AS h FROM part)
 SELECT 'i' || k AS path, w::INT AS width, h::INT AS height, sha256(unhex(array_to_string(list_transform(range(w * h * 3), lambda j: format('{:02x}', (k + 7 * j) % 256)), ''))) AS rgb_sha256 FROM p""",
+    "t4_ply_records": """WITH p AS (SELECT p_partkey AS k, unnest(range(p_partkey % 4 + 1)) AS i FROM part) SELECT 'v' || k || '.ply' AS path, i AS vertex, (k % 3)::DOUBLE AS x, ((k + 1) % 3)::DOUBLE AS y FROM p""",
+    "io28_staged_set": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "io30_ply_audit": """WITH p AS (SELECT p_partkey AS k, p_partkey % 4 + 1 AS n, ['00000000', '0000803F', '00000040'] AS f FROM part)
 SELECT 'v' || k AS path, n::BIGINT AS vertices, sha256(encode('ply' || chr(10) || 'format binary_little_endian 1.0' || chr(10) || 'element vertex ' || n || chr(10) || 'property float x' || chr(10) || 'property float y' || chr(10) || 'end_header' || chr(10)) || unhex(repeat(f[k % 3 + 1] || f[(k + 1) % 3 + 1], n::INT))) AS sha256 FROM p""",
     "io1_file_hashes": PAGES,
