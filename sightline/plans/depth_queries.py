@@ -1,7 +1,4 @@
-"""Queries of depth fields against one another, with the SQL that says the same.
-
-Volumes have none: SQL would look at every voxel from every camera. The tests hold them against brute force.
-"""
+"""Queries of depth fields against one another, with the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -68,7 +65,25 @@ agreed AS (SELECT camera, u, v, count(*) AS n, sum(back) AS s FROM e GROUP BY AL
 asked AS (SELECT a.camera, count(*) + 1 AS asked FROM cam a JOIN cam b ON abs(a.camera - b.camera) IN (1, 2) GROUP BY 1),
 r AS (SELECT px.camera, px.u, px.v, depth, valid AND coalesce(n, 0) + 1 >= 3 AS ok, coalesce(n, 0) + 1 AS k, coalesce(s, 0) AS s, coalesce(asked, 1) AS asked FROM px LEFT JOIN agreed USING (camera, u, v) LEFT JOIN asked USING (camera)),
 merged AS (SELECT camera, u, v, CASE WHEN ok THEN round((depth + s) / k, 9) ELSE 0 END::DOUBLE AS depth, ok AS valid, CASE WHEN ok THEN k ELSE 0 END::INT AS support, CASE WHEN ok THEN round(k / asked::DOUBLE, 9) END AS confidence FROM r)"""
+SUMS = f"""{SCENE},
+g AS (SELECT camera, s, c, t0, t1, t2, u, v, greatest(depth - 0.5, 0) AS n, depth + 0.5 AS f FROM px JOIN cam USING (camera) WHERE valid),
+l AS (SELECT *, least((u - 4) / 4 * n, (u - 4) / 4 * f) - t0 AS lx, greatest((u - 3) / 4 * n, (u - 3) / 4 * f) - t0 AS hx, least((v - 3) / 4 * n, (v - 3) / 4 * f) - t1 AS ly, greatest((v - 2) / 4 * n, (v - 2) / 4 * f) - t1 AS hy FROM g),
+b AS (SELECT camera, floor((least(c * lx, c * hx) + least(s * ly, s * hy)) / 4)::INT AS x0, floor((greatest(c * lx, c * hx) + greatest(s * ly, s * hy)) / 4)::INT AS x1,
+  floor((least(-s * lx, -s * hx) + least(c * ly, c * hy)) / 4)::INT AS y0, floor((greatest(-s * lx, -s * hx) + greatest(c * ly, c * hy)) / 4)::INT AS y1, floor((n - t2) / 4)::INT AS z0, floor((f - t2) / 4)::INT AS z1 FROM l),
+touched AS (SELECT DISTINCT camera, bx, "by", bz FROM (SELECT camera, bx, "by", unnest(range(z0, z1 + 1)) AS bz FROM (SELECT camera, bx, unnest(range(y0, y1 + 1)) AS "by", z0, z1 FROM (SELECT camera, unnest(range(x0, x1 + 1)) AS bx, y0, y1, z0, z1 FROM b)))),
+e AS (SELECT camera, bx, "by", bz, i, (bx * 8 + i // 64 + 0.5) * 0.5::DOUBLE AS x, ("by" * 8 + i // 8 % 8 + 0.5) * 0.5::DOUBLE AS y, (bz * 8 + i % 8 + 0.5) * 0.5::DOUBLE AS z FROM touched, range(512) r(i)),
+a AS (SELECT e.camera, bx, "by", bz, i, c * x - s * y + t0 AS px, s * x + c * y + t1 AS py, z + t2 AS pz FROM e JOIN cam USING (camera) WHERE z + t2 > 0),
+d AS (SELECT bx, "by", bz, i, (depth - pz) / 0.5::DOUBLE AS d FROM a JOIN px ON px.camera = a.camera AND u = floor(a.px / pz * 4 + 4)::INT AND v = floor(py / pz * 4 + 3)::INT WHERE valid),
+sums AS (SELECT bx::INT AS bx, "by"::INT AS "by", bz::INT AS bz, i::INT AS i, count(*) AS weight, sum(round(least(d, 1.0) * 1048576)::BIGINT)::BIGINT AS distance FROM d WHERE d >= -1 GROUP BY ALL)"""
+CROSSINGS = " UNION ALL ".join(
+    f"SELECT round((p.x + 0.5 + {'p.d / (p.d - q.d)' if axis == 'x' else '0'}) * 0.5, 6) AS x, round((p.y + 0.5 + {'p.d / (p.d - q.d)' if axis == 'y' else '0'}) * 0.5, 6) AS y, round((p.z + 0.5 + {'p.d / (p.d - q.d)' if axis == 'z' else '0'}) * 0.5, 6) AS z, '{axis}' AS axis "
+    f"FROM v p JOIN v q ON q.x = p.x + {int(axis == 'x')} AND q.y = p.y + {int(axis == 'y')} AND q.z = p.z + {int(axis == 'z')} WHERE (p.d >= 0) <> (q.d >= 0)"
+    for axis in "xyz"
+)
+
 ORACLES = {
+    "x18_voxel_sums": f"{SUMS} SELECT * FROM sums",
+    "x18_zero_crossings": f"{SUMS}, v AS (SELECT bx * 8 + i // 64 AS x, \"by\" * 8 + i // 8 % 8 AS y, bz * 8 + i % 8 AS z, distance / weight::DOUBLE AS d FROM sums WHERE weight >= 4) {CROSSINGS}",
     "x10_consistent_depth": f"{MERGED} SELECT * FROM merged",
     "a4_consistent_coverage": f"{MERGED} SELECT camera, count(*) FILTER (valid) AS valid_count, count(*) FILTER (NOT valid) AS hole_count, round(avg(confidence) FILTER (valid), 8) AS mean_confidence FROM merged GROUP BY 1",
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import lineage
 
-K = F.col("request_id")
+def _k() -> Column:
+    return F.col("request_id")
 
 
 def _id(prefix: str, k: Column) -> Column:
@@ -18,31 +19,31 @@ def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     """Requests, sources, supporting artifacts and claimed ancestry."""
     customers = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("nation"))
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("request_id"), _id("o", F.col("o_orderkey")).alias("id")).distinct()
-    sources = customers.select("request_id", F.lit("geometry").alias("kind"), F.explode(F.array(_id("n", F.col("nation")), _id("c", K))).alias("id"))
+    sources = customers.select("request_id", F.lit("geometry").alias("kind"), F.explode(F.array(_id("n", F.col("nation")), _id("c", _k()))).alias("id"))
     place = F.row_number().over(Window.partitionBy("request_id").orderBy("id"))
-    supporting = orders.select("request_id", F.when(K % 43 == 0, -place).otherwise(place).alias("position"), F.lit("depth").alias("kind"), "id")
+    supporting = orders.select("request_id", F.when(_k() % 43 == 0, -place).otherwise(place).alias("position"), F.lit("depth").alias("kind"), "id")
     every = sources.select("request_id", "kind", "id").unionByName(supporting.select("request_id", "kind", "id"))
     n = F.row_number().over(Window.partitionBy("request_id").orderBy("id", "kind"))
-    claimed = every.withColumn("position", n).where(~((K % 11 == 0) & (F.col("position") == 1)))
-    claimed = claimed.withColumn("position", F.when(K % 17 == 0, -F.col("position")).otherwise(F.col("position")))
-    claimed = claimed.unionByName(customers.where("request_id % 13 = 0").select("request_id", F.lit("geometry").alias("kind"), F.lit("z").alias("id"), F.when(K % 17 == 0, -1_000_000).otherwise(1_000_000).alias("position")))
+    claimed = every.withColumn("position", n).where(~((_k() % 11 == 0) & (F.col("position") == 1)))
+    claimed = claimed.withColumn("position", F.when(_k() % 17 == 0, -F.col("position")).otherwise(F.col("position")))
+    claimed = claimed.unionByName(customers.where("request_id % 13 = 0").select("request_id", F.lit("geometry").alias("kind"), F.lit("z").alias("id"), F.when(_k() % 17 == 0, -1_000_000).otherwise(1_000_000).alias("position")))
     return customers.select("request_id"), sources, supporting, claimed
 
 
 def _results(requests: DataFrame) -> DataFrame:
-    own = F.when(K % 19 == 0, _id("c", K)).otherwise(_id("r", K))
-    kind = F.when(K % 19 == 0, "geometry").otherwise("surface")
-    return requests.where("request_id % 101 <> 0").select("request_id", own.alias("artifact_id"), kind.alias("artifact_kind"), F.when(K % 47 == 0, -K).otherwise(K).alias("geometry_id"), F.when(K % 23 == 0, "g").otherwise("f").alias("frame"), F.when(K % 29 == 0, "metric").alias("scale"), F.when(K % 31 == 0, "mesh").otherwise("splats").alias("representation"),
-        F.when(K % 37 == 0, "other").otherwise(own).alias("materialized_id"), kind.alias("materialized_kind"), F.when(K % 53 == 0, _id("s", K)).alias("surface_id"))
+    own = F.when(_k() % 19 == 0, _id("c", _k())).otherwise(_id("r", _k()))
+    kind = F.when(_k() % 19 == 0, "geometry").otherwise("surface")
+    return requests.where("request_id % 101 <> 0").select("request_id", own.alias("artifact_id"), kind.alias("artifact_kind"), F.when(_k() % 47 == 0, -_k()).otherwise(_k()).alias("geometry_id"), F.when(_k() % 23 == 0, "g").otherwise("f").alias("frame"), F.when(_k() % 29 == 0, "metric").alias("scale"), F.when(_k() % 31 == 0, "mesh").otherwise("splats").alias("representation"),
+        F.when(_k() % 37 == 0, "other").otherwise(own).alias("materialized_id"), kind.alias("materialized_kind"), F.when(_k() % 53 == 0, _id("s", _k())).alias("surface_id"))
 
 
 def _asked(requests: DataFrame) -> DataFrame:
-    return requests.select("request_id", K.alias("geometry_id"), F.lit("f").alias("frame"), F.lit(None).cast("string").alias("scale"), F.lit("splats").alias("representation"), F.lit(None).cast("string").alias("surface_id"))
+    return requests.select("request_id", _k().alias("geometry_id"), F.lit("f").alias("frame"), F.lit(None).cast("string").alias("scale"), F.lit("splats").alias("representation"), F.lit(None).cast("string").alias("surface_id"))
 
 
 def _uses(requests: DataFrame, column: str, asked: bool) -> DataFrame:
     """Two entries each: none for some, in falling order for some; the result of some lacks the second."""
-    first, second = F.when(K % 59 == 0, "b").otherwise("a"), F.when(K % 59 == 0, "a").otherwise("b")
+    first, second = F.when(_k() % 59 == 0, "b").otherwise("a"), F.when(_k() % 59 == 0, "a").otherwise("b")
     rows = requests.where("request_id % 61 <> 0").select("request_id", F.posexplode(F.array(first, second)).alias("position", column))
     return rows if asked else rows.where("not (request_id % 41 = 0 and position = 1)")
 
@@ -59,17 +60,17 @@ def x22_appearances(spark: SparkSession, sf: str) -> DataFrame:
 
 def x20_depth_priors(spark: SparkSession, sf: str) -> DataFrame:
     requests, sources, supporting, claimed = _lists(spark, sf)
-    asked = requests.select("request_id", K.alias("geometry_id"), F.lit("z_depth").alias("convention"))
-    fields = requests.where("request_id % 67 <> 0").select("request_id", F.explode(F.array(F.lit("d1"), F.lit("d2"))).alias("field_id")).withColumn("convention", F.when((K % 71 == 0) & (F.col("field_id") == "d2"), "ray_length").otherwise("z_depth"))
+    asked = requests.select("request_id", _k().alias("geometry_id"), F.lit("z_depth").alias("convention"))
+    fields = requests.where("request_id % 67 <> 0").select("request_id", F.explode(F.array(F.lit("d1"), F.lit("d2"))).alias("field_id")).withColumn("convention", F.when((_k() % 71 == 0) & (F.col("field_id") == "d2"), "ray_length").otherwise("z_depth"))
     return lineage.depth_prior_problems(asked, _results(requests).select("request_id", "artifact_id", "artifact_kind", "geometry_id"), sources, supporting, claimed, fields)
 
 
 def x29_trained_appearances(spark: SparkSession, sf: str) -> DataFrame:
     requests, sources, supporting, claimed = _lists(spark, sf)
     assembled = lineage.appearance_problems(_asked(requests), _results(requests), sources, supporting, claimed, _uses(requests, "observation_id", True), _uses(requests, "observation_id", False))
-    profile = F.sha2(K.cast("string"), 256)
-    producers = requests.select("request_id", F.when(K % 73 == 0, "other").otherwise("trainer").alias("implementation"), F.lit("1.0").alias("version"), F.when(K % 79 != 0, "abc").alias("revision"), F.when(K % 83 == 0, F.sha2(F.lit("x"), 256)).otherwise(profile).alias("configuration_sha256"), F.when(K % 89 == 0, "weights").alias("checkpoint_id"))
-    found = lambda every, problem: requests.where(K % every == 0).withColumn("problem", F.lit(problem))
+    profile = F.sha2(_k().cast("string"), 256)
+    producers = requests.select("request_id", F.when(_k() % 73 == 0, "other").otherwise("trainer").alias("implementation"), F.lit("1.0").alias("version"), F.when(_k() % 79 != 0, "abc").alias("revision"), F.when(_k() % 83 == 0, F.sha2(F.lit("x"), 256)).otherwise(profile).alias("configuration_sha256"), F.when(_k() % 89 == 0, "weights").alias("checkpoint_id"))
+    found = lambda every, problem: requests.where(_k() % every == 0).withColumn("problem", F.lit(problem))
     trained = lineage.trainer_problems(producers, requests.withColumn("profile_sha256", profile), {"implementation": "trainer", "version": "1.0", "revision": "abc"}, found(97, "staged_missing"), found(103, "payload_malformed"))
     return assembled.unionByName(trained)
 
