@@ -78,7 +78,7 @@ def mutual_matches(candidates: DataFrame, features: DataFrame, *, ratio_percent:
         starts = {i: k for k, i in reversed(list(enumerate(ids)))}
         ends = {i: k + 1 for k, i in enumerate(ids)}
         index = given.column("feature_index").to_numpy()
-        x = given.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        x = given.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), width or 1)
         out: tuple[list, ...] = ([], [], [], [], [])
         for a, b in zip(asked.column("id1").to_pylist(), asked.column("id2").to_pylist(), strict=True):
             if a in starts and b in starts:
