@@ -280,9 +280,12 @@ def t2_record_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t3_interval_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames in parts by their index, with a buffer of a day; the last part ends every video."""
     rows = bound(spark, sf, "frames").select("frame_time_us", "video_id", "frame_index")
+    ends = rows.select("video_id").distinct().select(F.lit(None).cast("bigint").alias("frame_time_us"), "video_id", F.lit(None).cast("bigint").alias("frame_index"))
+    rows = rows.unionByName(ends).withColumn("n", F.coalesce("frame_index", F.lit((1 << 62))))
     out, checkpoint = shared_path(spark, "stream-out"), shared_path(spark, "stream")
-    _streamed(spark, rows, ["frame_index", "video_id"], lambda stream: live.stream_interval(stream, 2 * 86_400_000_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").start())
+    _streamed(spark, rows, ["n", "video_id"], lambda stream: live.stream_interval(stream, 2 * 86_400_000_000, delay_us=86_400_000_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").start())
     return spark.read.schema("video_id string, frame_index bigint, frame_time_us bigint").parquet(out)
 
 

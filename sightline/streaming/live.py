@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from ..operators.checks import InvalidInput, assert_empty
@@ -139,29 +138,62 @@ def stream_records(records: DataFrame, table: RecordTable, checkpoint: str) -> S
     return records.writeStream.foreachBatch(table.add).option("checkpointLocation", checkpoint).start()
 
 
-def stream_interval(frames: DataFrame, interval_us: int) -> DataFrame:
-    """select_interval on a stream of frames: the time last kept is each video's state.
-
-    Frames of a video must arrive in order; a time before the last one seen is an error.
+class _Interval(StatefulProcessor):
+    """select_interval of one video at a time, with a buffer that puts its frames in order."""
+
+    def __init__(self, interval_us: int, delay_us: int):
+        self.interval_us, self.delay_us = interval_us, delay_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "last bigint, done bigint, most bigint")
+        self.held = handle.getListState("held", "t bigint, i bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: TimerValues) -> Iterator[Row]:
+        last, done, most = self.at.get() if self.at.exists() else (None, None, None)
+        held, ended = [tuple(r) for r in self.held.get()] if self.held.exists() else [], False
+        for row in rows:
+            if row["frame_index"] is None:
+                ended = True
+                continue
+            t = row["frame_time_us"]
+            if done is not None and t < done:
+                raise InvalidInput(f"a frame of {key[0]} comes more than {self.delay_us} us late")
+            most = t if most is None else max(most, t)
+            held.append((t, row["frame_index"]))
+        held.sort()
+        bound = most if ended else None if most is None else most - self.delay_us
+        ready = [x for x in held if bound is not None and x[0] <= bound]
+        for t, i in ready:
+            if last is None or t - last >= self.interval_us:
+                last = t
+                yield Row(video_id=key[0], frame_index=i, frame_time_us=t)
+        if bound is not None:
+            done = bound if done is None else max(done, bound)
+        self.at.update((last, done, most))
+        if len(ready) < len(held):
+            self.held.put(held[len(ready) :])
+        else:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_interval(frames: DataFrame, interval_us: int, *, delay_us: int = 0) -> DataFrame:
+    """select_interval on a stream of frames (video_id, frame_index, frame_time_us).
+
+    Frames of a video may come in any order within delay_us: they are held, as a
+    list in the state store, until its latest frame is delay_us ahead of them,
+    and then gone through by time, ties by index. A frame that comes later than
+    that is an error, never dropped. A row without a frame_index ends the video and gives
+    out what is held. So memory is the frames of delay_us, whatever the length of a
+    video or a batch. The time last kept is the rest of the state. The session's state store is set to RocksDB, which such states need.
     """
-    ship_package(frames.sparkSession)
-
-    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else (None, None)
-        rows = pd.concat(parts).sort_values(["frame_index"])
-        out = []
-        for index, time in zip(rows["frame_index"], rows["frame_time_us"], strict=True):
-            if seen is not None and time < seen:
-                raise InvalidInput(f"frames of {key[0]} come out of order")
-            seen = int(time)
-            if last is None or time - last >= interval_us:
-                last = int(time)
-                out.append((key[0], int(index), int(time)))
-        state.update((last, seen))
-        yield pd.DataFrame(out, columns=["video_id", "frame_index", "frame_time_us"])
-
+    spark = frames.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     grouped = frames.select("video_id", "frame_index", "frame_time_us").groupBy("video_id")
-    return grouped.applyInPandasWithState(keep, "video_id string, frame_index bigint, frame_time_us bigint", "last bigint, seen bigint", "append", GroupStateTimeout.NoTimeout)
+    return grouped.transformWithState(_Interval(interval_us, delay_us), StructType.fromDDL("video_id string, frame_index bigint, frame_time_us bigint"), "Append", "None")
 
 
 def new_checkpoint(df: DataFrame) -> str:

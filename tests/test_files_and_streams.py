@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import struct
 import zlib
 
@@ -194,6 +195,38 @@ def test_interval_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("kept").collect())) == sorted(map(tuple, want.collect()))
 
 
+FRAMES = "video_id string, frame_index bigint, frame_time_us bigint"
+
+
+def interval_stream(spark, tmp_path, batches, interval, delay):
+    """A batch and a restart for each of the batches; all that came out."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, FRAMES).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        stream = spark.readStream.schema(FRAMES).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = live.stream_interval(stream, interval, delay_us=delay).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return sorted(map(tuple, spark.read.schema(FRAMES).parquet(str(tmp_path / "out")).collect()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_interval_stream_puts_frames_in_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(v, i, i * 100 + rng.randint(0, 40)) for v in "ab" for i in range(50)]
+    late = sorted(rows, key=lambda r: r[2] + rng.randint(0, 290))
+    cuts = sorted(rng.sample(range(1, 100), 3))
+    batches = [late[a:b] for a, b in zip([0, *cuts], [*cuts, 100], strict=True)]
+    got = interval_stream(spark, tmp_path, [*batches, [("a", None, None), ("b", None, None)]], 250, 300)
+    assert got == sorted(map(tuple, select_interval(spark.createDataFrame(rows, FRAMES), 250).collect()))
+
+
+def test_a_frame_that_comes_too_late_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="100 us late"):
+        interval_stream(spark, tmp_path, [[("a", 0, 0), ("a", 2, 500), ("b", 0, 0)], [("b", 1, 10), ("a", 1, 399)]], 50, 100)
+
+
 def test_stores_by_their_names(tmp_path):
     import pyarrow.fs
 
