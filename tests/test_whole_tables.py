@@ -22,8 +22,8 @@ def test_every_supplier_is_a_camera(spark):
     assert found == {"A": n, "B": suppliers.where("s_suppkey % 4 <> 0").count(), "C": n}
 
 
-@pytest.mark.parametrize(("cameras", "blocks"), [(2, 16), (3, 1), (61, 4), (90, 16)])
-def test_pose_medians_over_all_pairs(spark, cameras, blocks):
+@pytest.mark.parametrize(("cameras", "block"), [(2, 1024), (3, 1), (61, 15), (90, 6)])
+def test_pose_medians_over_all_pairs(spark, cameras, block):
     def pose(k, wrong):
         return math.radians(k * 37 % 360 + wrong * (k * k % 11) * 0.25), (k % 7 + wrong * 0.125, float(k % 5), k % 3 - wrong * 0.25)
 
@@ -49,7 +49,7 @@ def test_pose_medians_over_all_pairs(spark, cameras, blocks):
         d, e = (direction(a[0], centre(*a), centre(*b)) for a, b in ends)
         if d and e:
             directions.append(math.degrees(math.acos(max(-1.0, min(1.0, sum(p * q for p, q in zip(d, e, strict=True)))))))
-    found = geometry.pose_agreement(table(0), table(1), blocks=blocks).first()
+    found = geometry.pose_agreement(table(0), table(1), block=block).first()
     assert (found.shared, found.pair_count, found.translation_pairs) == (cameras, len(rotations), len(directions))
     assert found.rotation_deg == pytest.approx(median(rotations), abs=1e-6)
     assert found.translation_deg == pytest.approx(median(directions), abs=1e-6)
