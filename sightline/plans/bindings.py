@@ -94,6 +94,9 @@ SELECT concat('p', lpad(cast(user_id AS string), 6, '0')) AS pair_id, cast(row_n
 FROM {events}""",
 }
 
+#: Bindings that make many rows of each one; their tables are dealt out first, as a small file is read by one task.
+DEALT = ("rasters", "raw_metadata")
+
 _SPARK = ((r"\$micros\((\w+)\)", r"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', \1)"), (r"\$div", "div"))
 _DUCK = ((r"\$micros\((\w+)\)", r"epoch_us(\1)"), (r"\$div", "//"), (r"\{(\w+)\}", r"\1"))
 
@@ -108,6 +111,8 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The rows of a binding. Only the tables that it names are read."""
     sql = _translated(BINDINGS[name], _SPARK)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
+    if name in DEALT:
+        tables = {t: rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) for t, rows in tables.items()}
     return spark.sql(sql, **tables)
 
 
