@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +28,22 @@ def check_membership(expected: DataFrame, found: DataFrame, columns: list[str])
     assert_empty(expected.join(found, columns, "left_anti").select(*columns), "a row is missing")
 
 
-def canonical_matches(matches: DataFrame) -> DataFrame:
-    """id1, id2, raw_matches, swapped: pairs in order of their ids; a pair given twice is an error."""
-    rows = matches.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "raw_matches", (F.col("a") > F.col("b")).alias("swapped"))
+def canonical_matches(matches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """id1, id2, raw_matches, swapped, and the columns by: pairs in order of their ids; a pair given twice is an error.
+
+    by names the run that a pair is of, where matches holds several: each of them may give it.
+    """
+    rows = matches.select(*by, F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "raw_matches", (F.col("a") > F.col("b")).alias("swapped"))
     assert_empty(rows.where("id1 = id2"), "an image is matched with itself")
-    assert_unique(rows, ["id1", "id2"], "a pair comes twice")
+    assert_unique(rows, [*by, "id1", "id2"], "a pair comes twice")
     return rows
 
 
-def verified_geometry(matches: DataFrame, geometry: DataFrame) -> DataFrame:
-    """matches with configuration and inliers; each raw pair has one geometry and no more inliers than matches."""
-    check_membership(matches.select("id1", "id2"), geometry.select("id1", "id2"), ["id1", "id2"])
-    joined = matches.join(geometry.select("id1", "id2", "configuration", "inliers"), ["id1", "id2"])
+def verified_geometry(matches: DataFrame, geometry: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """matches with configuration and inliers; each raw pair (of a run, see canonical_matches) has one geometry and no more inliers than matches."""
+    key = [*by, "id1", "id2"]
+    check_membership(matches.select(*key), geometry.select(*key), key)
+    joined = matches.join(geometry.select(*key, "configuration", "inliers"), key)
     assert_empty(joined.where("inliers < 0 or inliers > raw_matches"), "inlier counts disagree")
     return joined
 

@@ -4,6 +4,7 @@ import pytest
 
 from sightline.operators import contracts, ingest
 from sightline.operators.checks import InvalidInput
+from sightline.plans import contract_queries
 
 
 def frame(spark, schema, *rows):
@@ -79,3 +80,10 @@ def test_ingest_reports_and_keeps_duplicates(spark):
     for bad in (row("a b", "a"), row("a", "g"), ("a", "s", "u", "a" * 64, -1, "m", 1)):
         with pytest.raises(InvalidInput):
             ingest.observations(frame(spark, REQUEST, bad), "image")
+
+
+def test_two_runs_may_give_the_same_pair(spark, tmp_path):
+    # 2750 gives (i2750, i2250), and 2250 gives (i2250, i2750)
+    spark.createDataFrame([(2250,), (2750,), (7,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = sorted((r.id1, r.id2, r.raw_matches) for r in contract_queries.x2_matches(spark, str(tmp_path)).collect())
+    assert found == sorted([("i2250", "i2750", 10), ("i2250", "i2750", 60), ("i0007", "i0049", 17)])
