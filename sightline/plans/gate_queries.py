@@ -79,7 +79,8 @@ def g5_route_graphs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d14_source_photometry(spark: SparkSession, sf: str) -> DataFrame:
-    k, sha = F.col("p_partkey"), F.sha2("p_name", 256)
+    k = F.col("p_partkey")
+    sha = F.sha2(F.concat_ws("\n", k, "p_name"), 256)  # parts may share a name, images of two parts are never the same bytes
     part = _table(spark, sf, "part")
     images = part.select(_text("i", k).alias("observation_id"), sha.alias("sha256"), (k % 40 + 10).alias("width"), (k % 30 + 10).alias("height"))
     assessments = part.select(

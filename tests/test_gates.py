@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import gates, records
 from sightline.operators.checks import InvalidInput
+from sightline.plans import gate_queries
 
 
 def problems(df):
@@ -125,3 +126,10 @@ def test_every_record_type_round_trips(spark, record_type):
 def test_json_objects(spark):
     rows = table(spark, "t string", ('{"a":1,"b":"x"}',), ("[1]",), ("nonsense",), (None,), ('{"a":',))
     assert [r.o and dict(r.o) for r in rows.select(records.json_object(F.col("t")).alias("o")).collect()] == [{"a": "1", "b": "x"}, None, None, None, None]
+
+
+def test_images_of_one_name_are_not_the_same_bytes(spark, tmp_path):
+    # part 930 assesses the image of 931, which has the same name; part 931 assesses another
+    spark.createDataFrame([(930, "alike"), (931, "alike")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.observation_id: r.problem for r in gate_queries.d14_source_photometry(spark, str(tmp_path)).collect()}
+    assert found == {"i930": "no_assessment", "i931": "other_source", "i-931": "no_image"}
