@@ -156,8 +156,8 @@ def tree_pairs(words: DataFrame, neighbors: int, *, heavy: int = 4096) -> DataFr
     little: it is left aside at first. What all such words of a query can add to any
     score bounds what a pair may still gain; only pairs whose score with that
     could reach the query's last place get it added. Queries for which that decides
-    nothing (the bound is beyond their last place) are joined on all words, by a
-    join that can be split. So the result is exact for any heavy.
+    nothing (the bound is beyond their last place) are compared with all
+    observations, block by block (best_in_blocks). So the result is exact for any heavy.
     """
     words = scratch(words, "tree-words")
     n = words.select("observation_id").distinct().count()
@@ -187,7 +187,77 @@ def tree_pairs(words: DataFrame, neighbors: int, *, heavy: int = 4096) -> DataFr
     one = near.where("gains").select("a", "b").join(large.select(F.col("observation_id").alias("a"), "word", F.col("w").alias("wa")), "a")
     more = one.join(large.select(F.col("observation_id").alias("b"), "word", F.col("w").alias("wb")), ["b", "word"]).select("a", "b", (F.col("wa") * F.col("wb")).alias("s"))
     asked = about.where(f"gains and (least is null or least <= gain + {slack})").select(F.col("a").alias("observation_id"))
-    opened = scores(index.join(lookup(scratch(asked, "tree-open")), "observation_id", "left_semi"), index)
-    every = near.select("a", "b", "s").unionByName(more).unionByName(opened).groupBy("a", "b").agg(F.round(F.sum("s"), DIGITS).alias("s"))
+    vectors = index.groupBy("observation_id").agg(F.collect_list(F.struct("word", "w")).alias("x"))
+    vectors = scratch(vectors.select("observation_id", F.transform("x", lambda x: x["word"]).alias("words"), F.transform("x", lambda x: x["w"]).alias("weights")), "tree-vectors")
+    opened = best_in_blocks(vectors.join(lookup(scratch(asked, "tree-open")), "observation_id", "left_semi"), vectors, neighbors)
+    settled_scores = near.select("a", "b", "s").unionByName(more).groupBy("a", "b").agg(F.round(F.sum("s"), DIGITS).alias("s"))
+    every = settled_scores.unionByName(opened)
     best = every.withColumn("k", F.row_number().over(place)).where(F.col("k") <= neighbors)
     return best.select(*canonical_pair("a", "b"), "s").groupBy("id1", "id2").agg(F.max("s").alias("similarity"))
+
+
+def _dense(given: pa.Table, at: dict[int, int]) -> np.ndarray:
+    """A row for each vector, a column for each word of at; other words are left out."""
+    out = np.zeros((given.num_rows, max(1, len(at))))
+    words = given.column("words").combine_chunks()
+    lengths = words.value_lengths().to_numpy(zero_copy_only=False)
+    columns = np.array([at.get(w, -1) for w in words.flatten().to_pylist()], np.int64)
+    held = columns >= 0
+    out[np.repeat(np.arange(given.num_rows), lengths)[held], columns[held]] = given.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)[held]
+    return out
+
+
+def best_in_blocks(queries: DataFrame, rows: DataFrame, neighbors: int, *, block: int = 4096, strip: int = 256, words_at_once: int = 512) -> DataFrame:
+    """a, b, s: for each query the `neighbors` others of highest score, ties by id, and some more.
+
+    Both have observation_id, words, weights (all above 0). Queries and rows
+    are dealt to blocks by a hash, and each pair of blocks is a group that gives its
+    own best; those of a query are picked from them by the caller. A score is
+    the sum over common words, rounded to DIGITS digits; without one there is none.
+    Work grows with the product of both; memory is a block of each, and
+    strip x block scores and words_at_once words of them at a time.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    n_queries, n_rows = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // block))
+    deal = lambda n: F.pmod(F.xxhash64("observation_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = ["observation_id", "words", "weights"]
+    own_names = [F.col(c).alias(c) for c in columns]  # queries may be rows themselves, and meet them
+    left = queries.select(*own_names, deal(n_queries).alias("i")).select(*columns, "i", every(n_rows).alias("j"))
+    right = rows.select(*columns, deal(n_rows).alias("j")).select(*columns, every(n_queries).alias("i"), "j")
+
+    def solve(key: tuple, asked: pa.Table, given: pa.Table) -> pa.Table:
+        found: tuple[list, list, list] = ([], [], [])
+        if asked.num_rows and given.num_rows:
+            given = given.sort_by("observation_id")
+            a, b = asked.column("observation_id").to_pylist(), given.column("observation_id").to_pylist()
+            place = {name: k for k, name in enumerate(b)}
+            for first in range(0, len(a), strip):
+                some = asked.slice(first, strip)
+                known = sorted(set(some.column("words").combine_chunks().flatten().to_pylist()))
+                raw = np.zeros((some.num_rows, len(b)))
+                for k in range(0, len(known), words_at_once):
+                    at = {w: c for c, w in enumerate(known[k : k + words_at_once])}
+                    raw += _dense(some, at) @ _dense(given, at).T
+                for k in range(some.num_rows):
+                    own = place.get(a[first + k])
+                    if own is not None:
+                        raw[k, own] = 0.0
+                score = np.where(raw > 0, np.round(raw, DIGITS), -1.0)
+                if len(b) > neighbors:
+                    least = np.partition(score, len(b) - neighbors, axis=1)[:, len(b) - neighbors, None]
+                else:
+                    least = np.full((some.num_rows, 1), -0.5)
+                row, col = np.nonzero((score >= least) & (score >= 0))
+                order = np.lexsort((col, -score[row, col], row))  # rows of given are in order of their ids
+                row, col = row[order], col[order]
+                begins = np.searchsorted(row, row)
+                kept = np.arange(len(row)) - begins < neighbors
+                row, col = row[kept], col[kept]
+                found[0].extend(a[first + k] for k in row)
+                found[1].extend(b[k] for k in col)
+                found[2].extend(score[row, col].tolist())
+        return pa.table([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], names=["a", "b", "s"])
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(solve, "a string, b string, s double")

@@ -139,3 +139,22 @@ def test_matches_equal_brute_force(spark, monkeypatch, block):
             matches.mutual_matches(spark.createDataFrame(bad, "id1 string, id2 string"), found)
     sent_once = matches.mutual_matches(candidates.where(F.lit(False)), found).collect()
     assert sent_once == []
+
+
+@pytest.mark.parametrize(("block", "strip", "words_at_once"), [(4096, 256, 512), (7, 2, 3)])
+def test_best_in_blocks_equals_brute_force(spark, block, strip, words_at_once):
+    rng = random.Random(4)
+    vectors = {f"o{k:03d}": {w: rng.choice([0.25, 0.5, 1.0]) for w in rng.sample(range(12), rng.randint(1, 4))} for k in range(60)}
+    rows = spark.createDataFrame([(o, list(x), list(x.values())) for o, x in vectors.items()], "observation_id string, words array<long>, weights array<double>")
+    found = vocabulary.best_in_blocks(rows.where("observation_id < 'o040'"), rows, 3, block=block, strip=strip, words_at_once=words_at_once).collect()
+    for a in sorted(vectors)[:40]:
+        scores = {b: round(sum(w * x[k] for k, w in vectors[a].items() if k in x), 9) for b, x in vectors.items() if b != a and set(x) & set(vectors[a])}
+        want = sorted(scores.items(), key=lambda e: (-e[1], e[0]))[:3]
+        assert sorted(((r.b, r.s) for r in found if r.a == a), key=lambda e: (-e[1], e[0]))[:3] == want
+
+
+def test_common_words_are_no_join(spark):
+    # all observations have the words, so all pairs would meet in a join on them
+    words = spark.range(64).selectExpr("cast(id as string) as observation_id", "explode(array(id % 3, 3 + id % 2)) as word", "1L as n")
+    plan = vocabulary.tree_pairs(words, 3, heavy=4)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
