@@ -92,7 +92,8 @@ def pose_agreement(reference: DataFrame, candidate: DataFrame, *, block: int = 1
     one = both.select("key", F.col("block").alias("i"), every.alias("j"), F.col("camera").alias("camera1"), *(F.col(x).alias(f"{x}_1") for x in names))
     two = both.select("key", every.alias("i"), F.col("block").alias("j"), F.col("camera").alias("camera2"), *(F.col(x).alias(f"{x}_2") for x in names))
     group = ["key", "i", "j"]
-    pairs = one.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).join(two, group).where("camera1 < camera2")
+    # a block's rows are many times those of the table they come from, by whose size Spark would broadcast them through the driver
+    pairs = one.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).join(two.hint("merge"), group).where("camera1 < camera2")
     trace = sum((F.col(f"{x}_1") * F.col(f"{x}_2") for x in names[:9]), F.lit(0.0))
     gap = {x: [F.col(f"{x}{i}_2") - F.col(f"{x}{i}_1") for i in range(3)] for x in "cd"}
     pairs = pairs.select("key", trace.alias("trace"), *(F.col(f"{x}_1") for x in names[:9]), *(gap[x][i].alias(f"{x}{i}") for x in "cd" for i in range(3)))

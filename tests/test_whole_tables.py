@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from itertools import combinations
 from statistics import correlation, median
 
@@ -56,6 +57,11 @@ def test_pose_medians_over_all_pairs(spark, cameras, block):
     assert found.translation_deg == pytest.approx(median(directions), abs=1e-6)
 
 
+def test_blocks_of_cameras_are_not_broadcast(spark):
+    plan = pixel_queries.a10_geometry_consensus(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin\(?.*\[key#\d+, i#\d+, j#\d+\]", plan) and not re.search(r"BroadcastHashJoin \[key#\d+, i#\d+", plan)
+
+
 def test_every_part_is_a_raster(spark, tmp_path):
     spark.range(395, 412).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
     rasters = {r.raster_id: r.n for r in bound(spark, str(tmp_path), "rasters").groupBy("raster_id").agg(F.count("*").alias("n")).collect()}
