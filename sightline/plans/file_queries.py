@@ -24,9 +24,14 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of a table that one task makes files of.
+BUILD_ROWS = 2_000
+
+
 def _built(rows: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
-    """Files (path, content) that build makes of rows with a path."""
+    """Files (path, content) that build makes of rows with a path. Rows are dealt out first, as a small table is one task's."""
     ship_package(rows.sparkSession)
+    rows = rows.repartition(max(1, -(-rows.count() // BUILD_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +113,13 @@ def _ply(row: dict) -> bytes:
     return head.encode() + struct.pack("<2f", k % 3, (k + 1) % 3) * (k % 4 + 1)
 
 
+#: Files of a folder.
+FOLDER_FILES = 10_000
+
+
 def t4_ply_records(spark: SparkSession, sf: str) -> DataFrame:
     """The vertices of a PLY file for each part, written and read again as a data source."""
-    made = _built(_table(spark, sf, "part").select(F.concat(F.lit("v"), F.col("p_partkey").cast("string"), F.lit(".ply")).alias("path"), F.col("p_partkey").alias("k")), _ply)
+    made = _built(_table(spark, sf, "part").select(F.concat(F.floor(F.col("p_partkey") / FOLDER_FILES).cast("string"), F.lit("/v"), F.col("p_partkey").cast("string"), F.lit(".ply")).alias("path"), F.col("p_partkey").alias("k")), _ply)
     folder = shared_path(spark, "ply-files")
     files.write_files(made, folder).count()
     datasource.register(spark)

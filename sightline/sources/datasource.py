@@ -24,6 +24,10 @@ from .files import InvalidFile
 
 #: A header ends within so many bytes.
 HEADER_BYTES = 1 << 16
+#: A small file counts as so many bytes at least, as opening it takes its time.
+OPEN_BYTES = 1 << 16
+#: Vertices of a batch.
+BATCH_ROWS = 65_536
 
 
 def register(spark: SparkSession) -> None:
@@ -54,7 +58,25 @@ class Range(NamedTuple):
 
 class Ranges(InputPartition):
     def __init__(self, ranges: list[Range]):
-        self.ranges = ranges
+        self.held = ranges
+
+    @property
+    def ranges(self) -> list[Range]:
+        return self.held
+
+
+class WholeFiles(InputPartition):
+    """Files that one task reads, as one text for each folder: a plan of millions of files stays small."""
+
+    def __init__(self, files: list[tuple[str, str]]):
+        folders: dict[str, list[str]] = {}
+        for folder, name in files:
+            folders.setdefault(folder, []).append(name)
+        self.folders = {folder: "\0".join(names) for folder, names in folders.items()}
+
+    @property
+    def ranges(self) -> list[Range]:
+        return [Range(f"{folder}/{name}", 0, -1) for folder, names in self.folders.items() for name in names.split("\0")]
 
 
 class PlySource(DataSource):
@@ -94,40 +116,72 @@ class PlyReader(DataSourceReader):
         info = store.get_file_info(root)
         if info.type == pyarrow.fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        files = [info] if info.is_file else [f for f in store.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".ply")]
         out: list[InputPartition] = []
-        together: list[Range] = []
+        together: list[tuple[str, str]] = []
         held = 0
-        for file in sorted(files, key=lambda f: f.path):
-            if file.size <= self.block:
-                if together and held + file.size > self.block:
-                    out.append(Ranges(together))
+        for folder, name, size in [(*info.path.rsplit("/", 1), info.size)] if info.is_file else _ply_files(store, info.path):
+            if size <= self.block:
+                cost = max(size, min(OPEN_BYTES, self.block))
+                if together and held + cost > self.block:
+                    out.append(WholeFiles(together))
                     together, held = [], 0
-                together.append(Range(file.path, 0, -1))
-                held += file.size
+                together.append((folder, name))
+                held += cost
                 continue
-            with store.open_input_file(file.path) as data:
+            path = f"{folder}/{name}"
+            with store.open_input_file(path) as data:
                 n, _ = ply_header(data.read(HEADER_BYTES), self.properties)
             step = max(1, self.block // self.size)
-            out += [Ranges([Range(file.path, k, min(k + step, n))]) for k in range(0, n, step)] or [Ranges([Range(file.path, 0, -1)])]
-        return [*out, Ranges(together)] if together else out or [Ranges([])]
+            out += [Ranges([Range(path, k, min(k + step, n))]) for k in range(0, n, step)] or [Ranges([Range(path, 0, -1)])]
+        return [*out, WholeFiles(together)] if together else out or [Ranges([])]
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges | WholeFiles) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem_of(self.path)
-        for path, first, last in partition.ranges:
+        some: list[tuple[str, int, np.ndarray]] = []
+        held = 0
+        for path, first, records in self._records(store, partition.ranges):
+            some.append((path, first, records))
+            held += len(records)
+            if held >= BATCH_ROWS:
+                yield self._batch(some)
+                some, held = [], 0
+        if some:
+            yield self._batch(some)
+
+    def _records(self, store: pyarrow.fs.FileSystem, ranges: list[Range]) -> Iterator[tuple[str, int, np.ndarray]]:
+        """path, first vertex and values of at most BATCH_ROWS vertices."""
+        for path, first, last in ranges:
             with store.open_input_file(path) as data:
-                n, start = ply_header(data.read(HEADER_BYTES), self.properties)
+                head = data.read(HEADER_BYTES)
+                n, start = ply_header(head, self.properties)
                 if data.size() != start + n * self.size:
                     raise InvalidFile(f"{path}: the payload has another size")
                 last = n if last < 0 else last
-                for k in range(first, last, 65_536):
-                    some = min(65_536, last - k)
-                    data.seek(start + k * self.size)
-                    records = np.frombuffer(data.read(some * self.size), "<f4").reshape(some, -1)
+                for k in range(first, last, BATCH_ROWS):
+                    at, end = start + k * self.size, start + min(last, k + BATCH_ROWS) * self.size
+                    if end > len(head):
+                        data.seek(at)
+                    records = np.frombuffer(head[at:end] if end <= len(head) else data.read(end - at), "<f4").reshape(-1, len(self.properties))
                     if not np.isfinite(records).all():
                         raise InvalidFile(f"{path}: a value is not finite")
-                    columns = [pa.array([path] * some), pa.array(np.arange(k, k + some)), *(pa.array(np.ascontiguousarray(records[:, j])) for j in range(len(self.properties)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["path", "vertex", *self.properties])
+                    yield path, k, records
+
+    def _batch(self, some: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(r) for _, _, r in some]
+        paths = pa.array([p for p, _, _ in some]).take(pa.array(np.repeat(np.arange(len(some)), sizes)))
+        records = np.concatenate([r for _, _, r in some])
+        columns = [paths, pa.array(np.concatenate([np.arange(k, k + n) for (_, k, _), n in zip(some, sizes, strict=True)])), *(pa.array(np.ascontiguousarray(records[:, j])) for j in range(len(self.properties)))]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "vertex", *self.properties])
+
+
+def _ply_files(store: pyarrow.fs.FileSystem, root: str) -> Iterator[tuple[str, str, int]]:
+    """folder, name, size of the .ply files at any depth, one folder after the other."""
+    folders = [root.rstrip("/")]
+    while folders:
+        at = folders.pop()
+        inside = sorted(store.get_file_info(pyarrow.fs.FileSelector(at or "/")), key=lambda f: f.path)
+        folders += [f.path.rstrip("/") for f in reversed(inside) if f.type == pyarrow.fs.FileType.Directory]
+        yield from ((at, f.base_name, f.size) for f in inside if f.is_file and f.path.endswith(".ply"))
 
 
 class SetSource(DataSource):

@@ -98,6 +98,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done: list[tuple[str, str, int]] = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 data = content.as_py()
                 if not safe_path_text(path):
@@ -108,8 +109,9 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                         out.write(data)
                     return hashlib.sha256(data).hexdigest(), len(data)
 
-                digest, length = _place(*filesystem_of(f"{folder}/{path}"), write)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest]), pa.array([length], pa.int64())], names=FILE.names)
+                done.append((path, *_place(*filesystem_of(f"{folder}/{path}"), write)))
+            kinds = (pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([d[j] for d in done], kind) for j, kind in enumerate(kinds)], names=FILE.names)
 
     return scratch(files.select("path", "content").mapInArrow(run, FILE), "written-files")
 

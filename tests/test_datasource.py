@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.plans import file_queries
 from sightline.sources import datasource
 
 
@@ -61,3 +62,20 @@ def test_a_set_appears_as_a_whole(spark, tmp_path):
         with pytest.raises(Exception, match="broken"):
             broken.write.format("sightline_set").mode("overwrite").save(str(target))
     assert [p.name for p in path.parent.iterdir()] == ["one"] and spark.read.parquet(str(path)).count() == 7
+
+
+def test_small_files_are_many_tasks(spark, tmp_path):
+    datasource.register(spark)
+    for k in range(40):
+        (tmp_path / str(k % 3)).mkdir(exist_ok=True)
+        (tmp_path / str(k % 3) / f"{k}.ply").write_bytes(ply([(k, j) for j in range(k % 4)]))
+    rows = spark.read.format("sightline_ply").option("properties", "x,y").option("block_bytes", 10 * datasource.OPEN_BYTES).load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 4  # ten to a task, though all their bytes are less than a block
+    assert sorted((r.path.rsplit("/", 1)[1], r.vertex, r.x, r.y) for r in rows.collect()) == sorted((f"{k}.ply", j, float(k), float(j)) for k in range(40) for j in range(k % 4))
+
+
+def test_files_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_queries, "BUILD_ROWS", 10)
+    spark.range(45).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert file_queries._photos(spark, str(tmp_path)).rdd.getNumPartitions() == 5
+    assert file_queries.t4_ply_records(spark, str(tmp_path)).count() == sum(k % 4 + 1 for k in range(45))
