@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import spread
+
 #: The keys that are interpreted.
 LATITUDE, LATITUDE_REF = "GPS GPSLatitude", "GPS GPSLatitudeRef"
 LONGITUDE, LONGITUDE_REF = "GPS GPSLongitude", "GPS GPSLongitudeRef"
@@ -91,7 +93,7 @@ def interpret_metadata(entries: DataFrame) -> DataFrame:
         F.max(exif & F.col("key").isin(TIME, OFFSET)).alias("any_time"),
         twice((TIME, OFFSET)).alias("time_twice"),
     ]
-    keyed = entries.groupBy("observation_id").agg(*cells, *flags)
+    keyed = spread(entries, entries.count(), "observation_id").groupBy("observation_id").agg(*cells, *flags)
     at = {k: F.col(n) for k, n in names.items()}
     lat_ref, lon_ref = F.upper(F.trim(at[LATITUDE_REF])), F.upper(F.trim(at[LONGITUDE_REF]))
     # each text is parsed once, here: what follows reads these columns
@@ -135,17 +137,19 @@ def input_classes(observations: DataFrame) -> DataFrame:
     observed; a width of twice the height, an aerial camera's name or a phrase in
     a key or value make a candidate.
     """
-    named = lambda e: F.concat(e["namespace"], F.lit(":"), e["key"])
     entries = F.coalesce("entries", F.expr("cast(array() as array<struct<namespace:string,key:string,value:string>>)"))
+    # each text is normalised once, here: the tests read these columns
+    entry = lambda e: F.struct(F.concat(e["namespace"], F.lit(":"), e["key"]).alias("name"), e["namespace"].alias("namespace"), e["key"].alias("key"), normalized_text(e["key"]).alias("k"), normalized_text(e["value"]).alias("v"))
+    observations = observations.withColumn("entries", F.transform(entries, entry))
 
     def keys(test: Callable[[Column], Column]) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(F.filter(entries, test), named)))
+        return F.array_sort(F.array_distinct(F.transform(F.filter("entries", test), lambda e: e["name"])))
 
     def phrase(words: str) -> Callable[[Column], Column]:
-        return lambda e: F.contains(normalized_text(e["key"]), F.lit(words)) | F.contains(normalized_text(e["value"]), F.lit(words))
+        return lambda e: F.contains(e["k"], F.lit(words)) | F.contains(e["v"], F.lit(words))
 
     named_so = "|".join(AERIAL).replace(r"\b", BOUND)
-    aerial = keys(lambda e: (casefold(e["namespace"]) == "exif") & casefold(e["key"]).isin(*CAMERA_KEYS) & normalized_text(e["value"]).rlike(named_so))
+    aerial = keys(lambda e: (casefold(e["namespace"]) == "exif") & casefold(e["key"]).isin(*CAMERA_KEYS) & e["v"].rlike(named_so))
     one = lambda order, name, kind, found: F.struct(F.lit(order).alias("n"), F.lit(name).alias("input_class"), F.lit(kind).alias("evidence_kind"), found.alias("evidence_keys"))
     observed = F.array(F.lit("observation.kind"))
     wide = F.when(F.col("width") == 2 * F.col("height"), F.array(F.lit("metadata.dimensions"))).otherwise(F.expr("cast(array() as array<string>)"))

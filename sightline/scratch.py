@@ -54,6 +54,15 @@ def scratch(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *columns: str, each: int = PART_ROWS) -> DataFrame:
+    """df dealt out by the columns to so many tasks that one has some each of its rows, however many rows there are.
+
+    A number of partitions that the session fixes, or that adaptive execution
+    finds from compressed bytes, makes what a task holds grow with the input.
+    """
+    return df.repartition(max(1, -(-rows // each)), *columns)
+
+
 def discard_scratch(spark: SparkSession) -> None:
     """Delete every scratch table and file; call it when results are stored."""
     root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
