@@ -41,19 +41,22 @@ ARTIFACT_KEY_VERSION = 1
 def json_text(value: Column) -> Column:
     """A string as JSON writes it with escapes: what is not printable ASCII as \\uXXXX, beyond U+FFFF as two of them."""
 
+    plain = r"[ !#-\[\]-~]"
+
     def written(code: Column) -> Column:
-        out = F.when(code.between("0020", "007E"), F.chr(F.conv(code, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(code)))
+        out = F.when(code > "005C", F.concat(F.lit("\\u"), F.lower(code)))
         for char, short in JSON_SHORT.items():
-            out = F.when(code == char, short).otherwise(out)
-        return out
+            out = out.when(code == char, short)
+        return out.otherwise(F.concat(F.lit("\\u"), F.lower(code)))
 
     def units(codes: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), (F.length(codes) / 4).cast("int") - 1), lambda i: F.substring(codes, i * 4 + 1, F.lit(4)))
         return F.array_join(F.transform(each, written), "")
 
-    escaped = F.transform(F.array(F.hex(F.encode(value, "UTF-16BE"))), units)[0]  # encoded once
-    plain = value.rlike(r'^[ !#-\[\]-~]*\z')
-    return F.concat(F.lit('"'), F.when(plain, value).otherwise(escaped), F.lit('"'))
+    # runs of plain characters stay as they are, others are encoded once
+    run = lambda p: F.when(p.rlike("^" + plain), p).otherwise(F.transform(F.array(F.hex(F.encode(p, "UTF-16BE"))), units)[0])
+    escaped = F.array_join(F.transform(F.regexp_extract_all(value, F.lit(f"{plain}+|[^{plain[1:]}+"), F.lit(0)), run), "")
+    return F.concat(F.lit('"'), F.when(value.rlike(f"^{plain}*\\z"), value).otherwise(escaped), F.lit('"'))
 
 
 def json_value(value: Column, kind: T.DataType) -> Column:
@@ -96,9 +99,10 @@ def artifact_key(domain: str) -> Column:
     other part or a digest that is not 64 lower-case hexadecimal digits is an error.
     domain is the name under which keys are told from other digests.
     """
-    text, digest = json_text, lambda c: require(c.rlike(r"^[0-9a-f]{64}\z"), json_text(c), "a digest is malformed")
+    missing = F.raise_error(F.lit("a part of an artifact's key is missing"))
+    text, digest = json_text, lambda c: require(c.rlike(r"^[0-9a-f]{64}\z"), F.concat(F.lit('"'), c, F.lit('"')), "a digest is malformed")
     maybe = lambda c: F.coalesce(json_text(c), F.lit("null"))
-    each = lambda x: F.concat(F.lit('{"artifact_kind":'), text(x["artifact_kind"]), F.lit(',"sha256":'), digest(x["sha256"]), F.lit("}"))
+    each = lambda x: F.coalesce(F.concat(F.lit('{"artifact_kind":'), text(x["artifact_kind"]), F.lit(',"sha256":'), digest(x["sha256"]), F.lit("}")), missing)
     col = F.col
     model = F.concat(F.lit('{"name":'), text(col("model.name")), F.lit(',"revision":'), maybe(col("model.revision")), F.lit(',"version":'), maybe(col("model.version")), F.lit("}"))
     checkpoint = F.concat(F.lit('{"identifier":'), text(col("checkpoint.identifier")), F.lit(',"sha256":'), digest(col("checkpoint.sha256")), F.lit("}"))
@@ -108,13 +112,13 @@ def artifact_key(domain: str) -> Column:
         F.lit(',"configuration_sha256":'), digest(col("configuration_sha256")),
         F.lit(f',"domain":{json.dumps(domain)}'),
         F.when(col("hardware_runtime_sha256").isNull(), "").otherwise(F.concat(F.lit(',"hardware_runtime_sha256":'), digest(col("hardware_runtime_sha256")))),
-        F.lit(',"inputs":['), F.when(~F.exists(inputs, lambda x: x.isNull()), F.array_join(inputs, ",")),
+        F.lit(',"inputs":['), F.array_join(inputs, ","),
         F.lit('],"model":'), F.when(col("model").isNull(), "null").otherwise(model),
         F.lit(',"output_kind":'), text(col("output_kind")),
         F.lit(',"producer":{"implementation":'), text(col("producer.implementation")), F.lit(',"revision":'), maybe(col("producer.revision")), F.lit(',"version":'), text(col("producer.version")),
         F.lit(f'}},"schema_version":{ARTIFACT_KEY_VERSION}}}'),
     )
-    return F.concat(F.lit(f"artifact-key:v{ARTIFACT_KEY_VERSION}:"), F.sha2(require(material.isNotNull(), material, "a part of an artifact's key is missing"), 256))
+    return F.concat(F.lit(f"artifact-key:v{ARTIFACT_KEY_VERSION}:"), F.sha2(F.coalesce(material, missing), 256))  # the text is made once
 
 
 def config_key(df: DataFrame, columns: list[str]) -> Column:
