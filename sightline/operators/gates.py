@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch, spread
 from .checks import assert_empty
 from .dag import settle
 from .identity import safe_path
@@ -50,12 +51,13 @@ def order_problems(rows: DataFrame, by: str, keys: list[str], noun: str, positio
 
 def membership_problems(expected: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
     """columns, problem: missing, unexpected or repeated rows of found against the keys of expected."""
-    want, have = expected.select(*columns).distinct(), found.groupBy(*columns).agg(F.count("*").alias("_n"))
-    return _union([
-        want.join(have, columns, "left_anti").withColumn("problem", F.lit("missing")),
-        have.join(want, columns, "left_anti").select(*columns, F.lit("unexpected").alias("problem")),
-        have.where("_n > 1").select(*columns, F.lit("repeated").alias("problem")),
-    ])
+    sides = [df.select(*columns, F.lit(w).alias("_w"), F.lit(h).alias("_h")) for df, w, h in ((expected, 1, 0), (found, 0, 1))]
+    rows = scratch(sides[0].unionByName(sides[1]), "members")
+    met = spread(rows, rows.count(), *columns).groupBy(*columns).agg(F.sum("_w").alias("_w"), F.sum("_h").alias("_h"))
+    unlike = reduce(Column.__or__, (F.col(c).isNull() for c in columns))  # a key that is not known equals none
+    w, h = F.col("_w") > 0, F.col("_h") > 0
+    every = F.array(F.when(w & (~h | unlike), "missing"), F.when(h & (~w | unlike), "unexpected"), F.when(F.col("_h") > 1, "repeated"))
+    return met.select(*columns, F.explode(F.array_compact(every)).alias("problem"))
 
 
 def reference_problems(refs: DataFrame, kind: str) -> DataFrame:
@@ -104,6 +106,7 @@ def route_graph_problems(graphs: DataFrame, nodes: DataFrame, edges: DataFrame)
     in order, edges join nodes of the graph, and there is no cycle; all graphs
     are settled at once.
     """
+    nodes, edges = scratch(nodes, "route-nodes"), scratch(edges, "route-edges")  # both are read several times
     ends = edges.select("graph_id", F.col("source").alias("node")).union(edges.select("graph_id", "target")).distinct()
     node = lambda c: F.struct("graph_id", F.col(c).alias("node"))
     cyclic = settle(edges.select(node("source").alias("s"), node("target").alias("t")), "s", "t").cyclic

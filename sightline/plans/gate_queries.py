@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import gates
-from ..scratch import shared_path
+from ..scratch import scratch, shared_path
 from ..sources import files
 from .bindings import bound, duck
 
@@ -67,7 +67,7 @@ def d18_router_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 def g5_route_graphs(spark: SparkSession, sf: str) -> DataFrame:
     """A customer's orders are the nodes of a graph, joined in a row; some rows are closed, some edges lead nowhere, some lists turned round."""
-    orders = _orders(spark, sf).withColumnRenamed("owner", "graph_id")
+    orders = scratch(_orders(spark, sf).withColumnRenamed("owner", "graph_id"), "route-orders")
     graphs = _table(spark, sf, "customer").select(F.col("c_custkey").alias("graph_id"))
     last = F.max("position").over(Window.partitionBy("graph_id"))
     g, node = F.col("graph_id"), _text("n", F.col("position"), 5)
@@ -127,10 +127,10 @@ def x26_source_pins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def io11_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    frames = bound(spark, sf, "frames")
+    frames = scratch(bound(spark, sf, "frames").select("video_id", "frame_index", "frame_time_us"), "frames")
     number = F.substring("video_id", 2, 9).cast("bigint")
-    videos = frames.select("video_id").distinct().select("video_id", F.sha2("video_id", 256).alias("sha256"), number.alias("byte_length"))
-    plan = gates.extraction_plan(videos, frames.select("video_id", "frame_index", "frame_time_us"))
+    videos = scratch(frames.select("video_id").distinct().select("video_id", F.sha2("video_id", 256).alias("sha256"), number.alias("byte_length")), "videos")
+    plan = scratch(gates.extraction_plan(videos, frames), "extraction-plan")
     after = videos.select("video_id", F.when(number % 9 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("sha256")).alias("sha256"), "byte_length")
     index, other = F.col("frame_index"), number % 5 == 0
     got = plan.select(F.when(other & (index == 1), F.concat("observation_id", F.lit("x"))).otherwise(F.col("observation_id")).alias("observation_id"), "video_id", F.when((number % 7 == 0) & (index == 0), 65).otherwise(64).alias("width"), F.lit(48).alias("height"))
