@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import lookup, scratch
+from ..scratch import lookup, scratch, spread
 from ..shipping import ship_package
 from .checks import assert_empty, assert_unique
 from .neighbors import neighbours
@@ -82,14 +82,14 @@ def nearby_pairs(points: DataFrame, neighbors: int, radius_m: float) -> DataFram
     return found.select(*canonical_pair("a", "b"), "d").groupBy("id1", "id2").agg(F.min("d").alias("distance_m"))
 
 
-def cosine_pairs(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -> DataFrame:
-    """Pairs where one is among the other's `neighbors` most similar, by cosine, ties by id.
+def cosine_neighbours(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -> DataFrame:
+    """a, b, s, k: the `neighbors` most similar of each a, by cosine, ties by id; k counts from 1.
 
     descriptors has observation_id and descriptor (unit length within 1e-4,
     finite). Rows are dealt out to blocks by a hash of the id; every unordered
     pair of blocks is multiplied once, in one task, for the rows of both, and
     sends on the best of its rows only, so n rows cost (n / block)**2 / 2 tasks
-    of bounded memory. Returns id1, id2 and the similarity.
+    of bounded memory.
     """
     spark = descriptors.sparkSession
     ship_package(spark)
@@ -142,11 +142,21 @@ def cosine_pairs(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -
                     found(source, ids[at : at + 512], row)
         return pa.table({"a": pa.array(out[0], pa.string()), "b": pa.array(out[1], pa.string()), "s": pa.array(out[2], pa.float64())})
 
+    wide = wide.repartition(blocks * (blocks + 1) // 2, "p", "q")  # a pair of blocks or a few to a task
     found = wide.groupBy("p", "q").applyInArrow(multiply, "a string, b string, s double")
-    ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "b"))).where(F.col("k") <= neighbors)
+    return found.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "b"))).where(F.col("k") <= neighbors)
+
+
+def neighbour_pairs(ranked: DataFrame) -> DataFrame:
+    """id1, id2, similarity of the pairs in rows of cosine_neighbours."""
     return ranked.select(*canonical_pair("a", "b"), "s").groupBy("id1", "id2").agg(F.max("s").alias("similarity"))
 
 
+def cosine_pairs(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -> DataFrame:
+    """Pairs where one is among the other's `neighbors` most similar, see cosine_neighbours. Returns id1, id2 and the similarity."""
+    return neighbour_pairs(cosine_neighbours(descriptors, neighbors, block=block))
+
+
 def as_candidates(pairs: DataFrame, source_id: str, kind: str, artifact_id: str) -> DataFrame:
     """Adapter of any pairing result: id1, id2, source_id and evidence; scores are dropped, self-pairs and repeats too."""
     ref = F.array(F.struct(F.lit(kind).alias("kind"), F.lit(artifact_id).alias("id")))
@@ -237,11 +247,11 @@ def pairs_within(rows: DataFrame, group: str, columns: list[str], *, block: int
     its own that holds the rows of both, so a group of any size is many tasks
     of block * block pairs at most. Rows that repeat are rows of their own.
     """
-    rows = rows.select(F.col(group).alias("_g"), *columns)
+    rows = scratch(rows.select(F.col(group).alias("_g"), *columns), "pair-rows")
     item = F.struct(*columns)
     sizes = scratch(rows.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > block), "large-groups")
     large = lookup(sizes)
-    lists = rows.join(large, "_g", "left_anti").groupBy("_g").agg(F.array_sort(F.collect_list(item)).alias("s")).where("size(s) > 1")
+    lists = spread(rows, rows.count(), "_g").join(large, "_g", "left_anti").groupBy("_g").agg(F.array_sort(F.collect_list(item)).alias("s")).where("size(s) > 1")
     dealt = rows.join(large, "_g").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.monotonically_increasing_id(), F.col("_blocks")).cast("int"))
     dealt = scratch(dealt, "large-dealt")  # a row's block is settled before it meets others
     met = dealt.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clusters, frames, graph, pairs
+from ..scratch import scratch
 from .bindings import bound, duck
 
 DAY_US = 86_400_000_000
@@ -18,7 +19,8 @@ def refs_text(evidence: Column) -> Column:
 
 
 def _cosine(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return pairs.cosine_pairs(bound(spark, sf, "descriptors"), k)
+    """Written, as those who use it read it more than once: all pairs are compared once."""
+    return scratch(pairs.cosine_pairs(bound(spark, sf, "descriptors"), k), "cosine-pairs")
 
 
 def _by_order(spark: SparkSession, sf: str, overlap: int) -> DataFrame:
@@ -81,8 +83,9 @@ def j3_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s1_merged_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    learned = pairs.as_candidates(_cosine(spark, sf, 2), "learned", "retrieval", "learned-1")
-    again = pairs.as_candidates(_cosine(spark, sf, 1), "learned", "retrieval", "learned-0")
+    ranked = scratch(pairs.cosine_neighbours(bound(spark, sf, "descriptors"), 2), "cosine-ranked")  # the nearest one is among the nearest two
+    learned = pairs.as_candidates(pairs.neighbour_pairs(ranked), "learned", "retrieval", "learned-1")
+    again = pairs.as_candidates(pairs.neighbour_pairs(ranked.where("k = 1")), "learned", "retrieval", "learned-0")
     ordered = pairs.as_candidates(_by_order(spark, sf, 2), "sequential", "pairing", "sequential-1")
     merged = pairs.merge_candidates(learned, again, ordered)
     text = F.array_join(F.transform("sources", lambda s: F.concat(s["source_id"], F.lit("["), refs_text(s["evidence"]), F.lit("]"))), ";")
@@ -118,7 +121,7 @@ def _relations(spark: SparkSession, sf: str) -> DataFrame:
     configuration = F.when(F.col("l1") != F.col("l2"), "DEGENERATE").when(n % 3 == 0, "PLANAR").otherwise("CALIBRATED")
     ref = F.struct(F.lit("geometry").alias("kind"), F.concat_ws("-", "id1", "id2").alias("id"))
     geometry = labelled.where(n % 7 != 0).select("id1", "id2", configuration.alias("configuration"), (n % 5).alias("inliers"), ref.alias("reference"))
-    return clusters.scene_relations(found, geometry)
+    return scratch(clusters.scene_relations(found, geometry), "relations")
 
 
 RELATIONS = f"""{COSINE}, {top('pairs2', 2)},
