@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import lookup, scratch
+from ..scratch import met, scratch
 from .checks import assert_empty, assert_unique
 from .graph import FEW_EDGES, components
 
@@ -45,8 +45,8 @@ def scene_labels(observations: DataFrame, relations: DataFrame) -> DataFrame:
     assert_unique(relations, ["id1", "id2"], "a pair occurs twice")
     ends = relations.select(F.col("id1").alias("observation_id")).union(relations.select("id2"))
     assert_empty(ends.join(observations, "observation_id", "left_anti"), "a relation has an unknown observation")
-    roots = scratch(components(relations.where("disposition = 'SUPPORTED'"), "id1", "id2", few=FEW_EDGES), "scene-roots")
-    labels = observations.select("observation_id").join(lookup(roots), F.col("observation_id") == F.col("node"), "left").select("observation_id", F.coalesce("root", "observation_id").alias("root"))
+    roots = scratch(components(relations.where("disposition = 'SUPPORTED'"), "id1", "id2", few=FEW_EDGES, meet=met), "scene-roots")
+    labels = observations.select("observation_id").join(met(roots), F.col("observation_id") == F.col("node"), "left").select("observation_id", F.coalesce("root", "observation_id").alias("root"))
     labels = scratch(labels, "scene-labels")
     one, two = labels.select(F.col("observation_id").alias("id1"), F.col("root").alias("root")), labels.select(F.col("observation_id").alias("id2"), F.col("root").alias("root2"))
     conflicts = relations.where("disposition = 'CONTRADICTED'").join(one, "id1").join(two, "id2").where("root = root2")
@@ -66,17 +66,17 @@ def scene_clusters(observations: DataFrame, relations: DataFrame) -> DataFrame:
 
 def clusters_of(labels: DataFrame, relations: DataFrame) -> DataFrame:
     """scene_clusters where the labels are known."""
-    supported = relations.where("disposition = 'SUPPORTED'").join(labels.select(F.col("observation_id").alias("id1"), "root"), "id1")
+    supported = relations.where("disposition = 'SUPPORTED'").join(labels.select(F.col("observation_id").alias("id1"), "root").hint("merge"), "id1")
     refs = supported.select("root", F.explode("evidence").alias("e"))
     evidence = refs.groupBy("root").agg(F.array_sort(F.collect_set("e")).alias("evidence"))
     members = labels.groupBy("root").agg(F.array_sort(F.collect_list("observation_id")).alias("members"))
     none = F.expr("cast(array() as array<struct<kind:string,id:string>>)")
-    return members.join(evidence, "root", "left").select(cluster_id("members").alias("cluster_id"), "members", F.coalesce("evidence", none).alias("evidence"))
+    return members.join(evidence.hint("merge"), "root", "left").select(cluster_id("members").alias("cluster_id"), "members", F.coalesce("evidence", none).alias("evidence"))
 
 
 def is_connected(nodes: DataFrame, edges: DataFrame) -> bool:
     """Whether all nodes (column observation_id) are in one component of the edges (id1, id2)."""
-    roots = components(edges, "id1", "id2", few=FEW_EDGES)
+    roots = components(edges, "id1", "id2", few=FEW_EDGES, meet=met)
     labelled = nodes.select("observation_id").distinct().join(roots, F.col("observation_id") == F.col("node"), "left").select(F.coalesce("root", "observation_id").alias("root"))
     return labelled.distinct().count() <= 1
 

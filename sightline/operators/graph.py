@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +43,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([find(n) for n in some], kind)], names=["node", "root"])
 
 
-def components(edges: DataFrame, left: str, right: str, *, few: int = 0) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str, *, few: int = 0, meet: Callable[[DataFrame], DataFrame] = lookup) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node of its component.
 
     Large-star and small-star steps hang every node on ever smaller neighbours
@@ -51,7 +51,7 @@ def components(edges: DataFrame, left: str, right: str, *, few: int = 0) -> Data
     A step takes minima by node, combined before the shuffle, and joins them
     back, so a node with many edges is never gathered in one task. Nothing is
     collected but a count and a checksum. At most few edges, which are counted
-    first, are one task's union-find. Nodes must not be null. No edges give no rows.
+    first, are one task's union-find. meet says how the minima are joined. Nodes must not be null. No edges give no rows.
     """
     kind = edges.select(F.greatest(left, right).alias("node")).schema["node"]
     edges = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
@@ -65,11 +65,11 @@ def components(edges: DataFrame, left: str, right: str, *, few: int = 0) -> Data
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         most = 2 * state[0]  # a step makes no more rows than that
         least = scratch(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least", most)
-        hung = both.where("b > a").join(lookup(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        hung = both.where("b > a").join(meet(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = scratch(hung.where("a <> b").distinct(), "cc-large", most)
         # small star: smaller neighbours and the node itself are hung on the least of them
         least = scratch(edges.groupBy("a").agg(F.min("b").alias("m")), "cc-small", most)
-        joined = edges.join(lookup(least), "a")
+        joined = edges.join(meet(least), "a")
         edges = joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         edges = scratch(edges, "cc-edges", most)
         now = _state(edges)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A table of at most so many rows, and of so many bytes where it is stored, is small enough to broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
+#: What rounds or batches send through the driver adds up, so a table that each of them makes may have fewer rows.
+REPEATED_ROWS = 20_000
 #: How a table of known size is cut into files.
 PART_ROWS, LEAST_PARTS = 200_000, 8
 _ROOTS: dict[str, str] = {}
@@ -82,3 +84,10 @@ def stored_bytes(table: DataFrame, unknown: int = 1 << 62) -> int:
 def lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """small with a broadcast hint if it is a scratch table of at most limit rows and BROADCAST_BYTES bytes."""
     return F.broadcast(small) if stored_bytes(small) <= BROADCAST_BYTES and small.count() <= limit else small
+
+
+def met(small: DataFrame, limit: int | None = None) -> DataFrame:
+    """small for a join that every round or batch makes: broadcast as by lookup up to limit (REPEATED_ROWS) rows,
+    else always shuffled; Spark alone would broadcast a table whose files are small, however many rows they hold."""
+    limit = REPEATED_ROWS if limit is None else limit
+    return F.broadcast(small) if stored_bytes(small) <= BROADCAST_BYTES and small.count() <= limit else small.hint("merge")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..scratch import lookup, scratch
+from ..scratch import met, scratch
 
 #: Rows of a bucket file; a segment of fewer rows is one file and read whole.
 FILE_ROWS = 100_000
@@ -144,10 +144,10 @@ class KeyedLog:
             index = self.spark.read.schema(index_schema).parquet(self._path(s, "index"))
             maps = self.spark.read.parquet(self._path(s, "maps"))
             asked = keys.withColumn("_bucket", self._bucket(F.lit(s.buckets)).cast("long")).withColumn("_bit", self._bit(F.lit(s.maps)))
-            near = asked.join(lookup(index), "_bucket").where(F.struct(*self.key).between(F.col("_low"), F.col("_high")))
+            near = asked.join(met(index), "_bucket").where(F.struct(*self.key).between(F.col("_low"), F.col("_high")))
             near = near.select("_file", F.floor(F.col("_bit") / MAP_BITS).alias("_map"), (F.col("_bit") % MAP_BITS).alias("_at")).distinct()
             byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-            hit = near.join(maps, ["_file", "_map"]).where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) > 0).select("_file").distinct()
+            hit = near.join(maps.hint("merge"), ["_file", "_map"]).where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) > 0).select("_file").distinct()
             found = hit if found is None else found.unionByName(hit)
         return [] if found is None else sorted(r[0] for r in found.collect())
 
@@ -164,7 +164,7 @@ class KeyedLog:
         rows = out[0]
         for more in out[1:]:
             rows = rows.unionByName(more)
-        return rows.join(lookup(keys.select(*self.key)), self.key, "left_semi")
+        return rows.join(met(keys.select(*self.key)), self.key, "left_semi")
 
     def discard(self, dropped: list[Segment]) -> None:
         """Delete the files of segments that no mark names any more."""

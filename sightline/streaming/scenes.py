@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.checks import InvalidInput, assert_empty
 from ..operators.clusters import clusters_of
 from ..operators.graph import FEW_EDGES, components
-from ..scratch import lookup, scratch
+from ..scratch import met, scratch
 from .keyed import KeyedLog, Marks, Segment, segments_of, stored_keys
 
 RELATION = "id1 string, id2 string, disposition string, evidence array<struct<kind:string,id:string>>"
@@ -18,7 +18,7 @@ RELATION = "id1 string, id2 string, disposition string, evidence array<struct<ki
 def _after(older: DataFrame, newer: DataFrame) -> DataFrame:
     """Renames of older, then of newer, as one: a node leads to where its root leads."""
     onward = newer.select(F.col("node").alias("_root"), F.col("root").alias("_to"))
-    return older.join(onward, older["root"] == onward["_root"], "left").select("node", F.coalesce("_to", "root").alias("root")).unionByName(newer)
+    return older.join(onward.hint("merge"), older["root"] == onward["_root"], "left").select("node", F.coalesce("_to", "root").alias("root")).unionByName(newer)
 
 
 class SceneLog:
@@ -65,13 +65,13 @@ class SceneLog:
         for segment in live:
             on = self.renames.find([segment], stored_keys(found.select(F.col("root").alias("node")), ["node"]))
             on = scratch(on.select(F.col("node").alias("_root"), F.col("root").alias("_to")), "scene-renamed")
-            found = scratch(found.join(lookup(on), F.col("root") == F.col("_root"), "left").select("node", F.coalesce("_to", "root").alias("root")), "scene-roots")
+            found = scratch(found.join(met(on), F.col("root") == F.col("_root"), "left").select("node", F.coalesce("_to", "root").alias("root")), "scene-roots")
         return found
 
     @staticmethod
     def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """pairs (id1, id2) with r1 and r2."""
-        roots = lookup(roots)
+        roots = met(roots)
         one, two = roots.select(F.col("node").alias("id1"), F.col("root").alias("r1")), roots.select(F.col("node").alias("id2"), F.col("root").alias("r2"))
         return pairs.join(one, "id1").join(two, "id2")
 
@@ -89,13 +89,13 @@ class SceneLog:
         nodes = scratch(batch.select(F.col("id1").alias("node")).union(batch.select("id2")).distinct(), "scene-nodes")
         asked = nodes.select(F.col("node").alias("observation_id"))
         held = self.known.find(known, scratch(asked, "scene-asked"))
-        assert_empty(asked.join(held, "observation_id", "left_anti"), "a relation has an unknown observation")
+        assert_empty(asked.join(held.hint("merge"), "observation_id", "left_anti"), "a relation has an unknown observation")
 
         live, pairs = segments_of(mark, "renames"), segments_of(mark, "contradictions")
         roots = self.roots_of(live, nodes)
         joined = self._rooted(batch.select("id1", "id2", "disposition"), roots)
         edges = scratch(joined.where("disposition = 'SUPPORTED' and r1 <> r2").select("r1", "r2").distinct(), "scene-edges")
-        renamed = components(edges, "r1", "r2", few=FEW_EDGES).where("node <> root")
+        renamed = components(edges, "r1", "r2", few=FEW_EDGES, meet=met).where("node <> root")
         renamed = scratch(renamed, "scene-renames")
 
         # contradicted pairs of this batch, and earlier ones under a root that changes
@@ -107,7 +107,7 @@ class SceneLog:
         if n_tested:
             ends_of = scratch(tested.select(F.col("id1").alias("node")).union(tested.select("id2")).distinct(), "scene-ends")
             before = self.roots_of(live, ends_of)
-            now = before.join(lookup(renamed.select(F.col("node").alias("_root"), F.col("root").alias("_to"))), F.col("root") == F.col("_root"), "left")
+            now = before.join(met(renamed.select(F.col("node").alias("_root"), F.col("root").alias("_to"))), F.col("root") == F.col("_root"), "left")
             now = scratch(now.select("node", F.struct(F.coalesce("_to", "root").alias("to"), F.col("_to").isNotNull().alias("new")).alias("root")), "scene-now")
             rooted = scratch(self._rooted(tested, now), "scene-tested")
             assert_empty(rooted.where("r1.to = r2.to").select("id1", "id2"), "a contradicted pair is in one cluster")
@@ -151,7 +151,7 @@ class SceneLog:
         _, mark = self.marks.last()
         known = self.known.rows(self._start(mark))
         renames = self.renames.rows(segments_of(mark, "renames"))
-        return known.join(renames, F.col("observation_id") == F.col("node"), "left").select("observation_id", F.coalesce("root", "observation_id").alias("root"))
+        return known.join(renames.hint("merge"), F.col("observation_id") == F.col("node"), "left").select("observation_id", F.coalesce("root", "observation_id").alias("root"))
 
     @property
     def clusters(self) -> DataFrame:
