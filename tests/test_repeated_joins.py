@@ -37,3 +37,11 @@ def test_batches_of_scenes_broadcast_nothing_large(spark, tmp_path, monkeypatch)
     assert len(seen) > 20 and not [p for p in (*seen, plan_of(found), plan_of(records)) if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
     assert {r.observation_id: r.root for r in found.collect()} == {n: NAMES[i // 50 * 50] if i < 250 else n for i, n in enumerate(NAMES)}
     assert sorted((len(r.members), len(r.evidence)) for r in records.collect()) == [(1, 0)] * 50 + [(50, 49)] * 5
+
+
+def test_clusters_broadcast_neither_labels_nor_evidence(spark):
+    labels = tables.scratch(spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "observation_id string, root string"), "few-labels")
+    relations = tables.scratch(spark.createDataFrame([("a", "b", "SUPPORTED", [("k", "1")]), ("b", "c", "UNRESOLVED", [("k", "2")])], scenes.RELATION), "few-relations")
+    found = clusters.clusters_of(labels, relations)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert sorted((r.members, [e.id for e in r.evidence]) for r in found.collect()) == [(["a", "b"], ["1"]), (["c"], [])]
