@@ -44,11 +44,12 @@ def scene_labels(observations: DataFrame, relations: DataFrame) -> DataFrame:
     assert_empty(relations.where("id1 >= id2"), "a pair is not in order")
     assert_unique(relations, ["id1", "id2"], "a pair occurs twice")
     ends = relations.select(F.col("id1").alias("observation_id")).union(relations.select("id2"))
-    assert_empty(ends.join(observations, "observation_id", "left_anti"), "a relation has an unknown observation")
+    assert_empty(ends.join(observations.hint("merge"), "observation_id", "left_anti"), "a relation has an unknown observation")
     roots = scratch(components(relations.where("disposition = 'SUPPORTED'"), "id1", "id2", few=FEW_EDGES, meet=met), "scene-roots")
     labels = observations.select("observation_id").join(met(roots), F.col("observation_id") == F.col("node"), "left").select("observation_id", F.coalesce("root", "observation_id").alias("root"))
     labels = scratch(labels, "scene-labels")
-    one, two = labels.select(F.col("observation_id").alias("id1"), F.col("root").alias("root")), labels.select(F.col("observation_id").alias("id2"), F.col("root").alias("root2"))
+    ends_of = met(labels)
+    one, two = ends_of.select(F.col("observation_id").alias("id1"), F.col("root").alias("root")), ends_of.select(F.col("observation_id").alias("id2"), F.col("root").alias("root2"))
     conflicts = relations.where("disposition = 'CONTRADICTED'").join(one, "id1").join(two, "id2").where("root = root2")
     assert_empty(conflicts.select("id1", "id2"), "a contradicted pair is in one cluster")
     return labels
@@ -77,7 +78,7 @@ def clusters_of(labels: DataFrame, relations: DataFrame) -> DataFrame:
 def is_connected(nodes: DataFrame, edges: DataFrame) -> bool:
     """Whether all nodes (column observation_id) are in one component of the edges (id1, id2)."""
     roots = components(edges, "id1", "id2", few=FEW_EDGES, meet=met)
-    labelled = nodes.select("observation_id").distinct().join(roots, F.col("observation_id") == F.col("node"), "left").select(F.coalesce("root", "observation_id").alias("root"))
+    labelled = nodes.select("observation_id").distinct().join(roots.hint("merge"), F.col("observation_id") == F.col("node"), "left").select(F.coalesce("root", "observation_id").alias("root"))
     return labelled.distinct().count() <= 1
 
 

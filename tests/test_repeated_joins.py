@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline import scratch as tables
-from sightline.operators import clusters, graph
+from sightline.operators import checks, clusters, graph
 from sightline.streaming import keyed, scenes
 
 NAMES = [f"o{i:04d}" for i in range(300)]
@@ -45,3 +45,16 @@ def test_clusters_broadcast_neither_labels_nor_evidence(spark):
     found = clusters.clusters_of(labels, relations)
     assert "BroadcastHashJoin" not in plan_of(found)
     assert sorted((r.members, [e.id for e in r.evidence]) for r in found.collect()) == [(["a", "b"], ["1"]), (["c"], [])]
+
+
+def test_labels_of_all_relations_broadcast_nothing_large(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(clusters, "assert_empty", lambda df, message: seen.append(plan_of(df)) or checks.assert_empty(df, message))
+    monkeypatch.setattr(tables, "REPEATED_ROWS", -1)  # not even empty ones
+    observations = tables.scratch(spark.createDataFrame([(n,) for n in "abcd"], "observation_id string"), "few-observations")
+    rows = [("a", "b", "SUPPORTED", [("k", "1")]), ("b", "c", "CONTRADICTED", [("k", "2")])]
+    relations = tables.scratch(spark.createDataFrame(rows, scenes.RELATION), "few-relations")
+    found = clusters.scene_labels(observations, relations)
+    assert len(seen) == 3 and not [p for p in seen if "BroadcastHashJoin" in p]
+    assert sorted(map(tuple, found.collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
+    assert not clusters.is_connected(observations, relations) and clusters.is_connected(spark.createDataFrame([("a",), ("b",)], "observation_id string"), relations.where("disposition = 'SUPPORTED'"))
