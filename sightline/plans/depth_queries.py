@@ -32,7 +32,7 @@ def _views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def x10_consistent_depth(spark: SparkSession, sf: str) -> DataFrame:
-    found = depth.consistent_depth(_cameras(spark, sf), _pixels(spark, sf), _views(spark, sf), least_views=3, tolerance=0.01)
+    found = depth.consistent_depth(_cameras(spark, sf), _pixels(spark, sf), _views(spark, sf), least_views=3, tolerance=0.01, several=True)
     return found.withColumns({c: F.round(c, 9) for c in ("depth", "confidence")})
 
 

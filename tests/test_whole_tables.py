@@ -83,6 +83,21 @@ def test_parts_of_seven_digits(spark, tmp_path, name):
     assert rows_of(columns, [tuple(r) for r in found.collect()]) == rows_of(columns, sql.fetchall())
 
 
+@pytest.mark.parametrize("name", ["x10_consistent_depth", "a4_consistent_coverage"])
+def test_consistent_depths_of_parts_of_seven_digits(spark, tmp_path, name):
+    # several rows for a pixel of the rasters 100000 and 100001, of which some are valid and some are not
+    spark.range(46).selectExpr("if(id < 16, 99995 + id, 999984 + id) as p_partkey", "cast((id * 7) % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    sql = db.execute(depth_queries.ORACLES[name])
+    columns = [d[0] for d in sql.description]
+    found = depth_queries.QUERIES[name](spark, str(tmp_path)).select(*columns)
+    rows = found.collect()
+    assert rows_of(columns, [tuple(r) for r in rows]) == rows_of(columns, sql.fetchall())
+    if name == "x10_consistent_depth":
+        assert max(r.support for r in rows) > 5 and len(rows) == 46 * 48 > len({(r.camera, r.u, r.v) for r in rows})
+
+
 def test_lags_of_whole_tracks(spark, tmp_path):
     n = 150  # samples of one track
     spark.range(n).selectExpr("id as event_id", "7L as user_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as ts", "0.5D as value").write.parquet(f"{tmp_path}/events.parquet")
