@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import lookup, scratch, spread
 from ..shipping import ship_package
+from ..storage import filesystem_of
 from .checks import assert_empty, assert_unique
 from .neighbors import neighbours
 
@@ -83,73 +88,85 @@ def nearby_pairs(points: DataFrame, neighbors: int, radius_m: float) -> DataFram
 
 
 def cosine_neighbours(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -> DataFrame:
-    """a, b, s, k: the `neighbors` most similar of each a, by cosine, ties by id; k counts from 1.
+    """a, b, s, k: the `neighbors` most similar of each a, by cosine, ties by id; k counts from 1. A stored table.
 
     descriptors has observation_id and descriptor (unit length within 1e-4,
-    finite). Rows are dealt out to blocks by a hash of the id; every unordered
-    pair of blocks is multiplied once, in one task, for the rows of both, and
-    sends on the best of its rows only, so n rows cost (n / block)**2 / 2 tasks
-    of bounded memory.
+    finite). Rows are written once, in order of their ids and in files of about
+    block rows. A file is one task, which goes through all files in order and
+    keeps the best so far of its own rows, so n rows cost n * n products, but no
+    row is copied or shuffled to meet others: what is stored grows with n * neighbors,
+    and a task holds two pieces of at most block rows. Products are made in
+    single precision; what may be among the best by that, give or take its
+    error, is made again in double precision.
     """
     spark = descriptors.sparkSession
     ship_package(spark)
     norm2 = F.aggregate("descriptor", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     assert_empty(descriptors.where(~(F.abs(F.sqrt(norm2) - 1) <= 1e-4) | F.exists("descriptor", lambda v: v.isNull() | F.isnan(v))).select("observation_id"), "a descriptor is not of unit length")
-    rows = scratch(descriptors.select("observation_id", "descriptor"), "cosine-rows")
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64("observation_id"), F.lit(blocks)).cast("int")
-    met = lambda k: F.struct(F.least(own, k).cast("int").alias("p"), F.greatest(own, k).cast("int").alias("q"), (k < own).alias("right"))
-    wide = rows.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), met))).select("observation_id", "descriptor", "at.*")
-
-    def table(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(part.column("observation_id").to_pylist(), object)
-        flat = part.column("descriptor").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        order = np.argsort(ids, kind="stable")
-        rows = flat.reshape(len(ids), -1)[order]
-        return ids[order], rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-
-    def best(scores: np.ndarray) -> np.ndarray:
-        """Positions of the best of a row: highest first, ties by position, which is the order of ids."""
-        some = np.arange(len(scores))
-        if len(scores) > 4 * neighbors:
-            some = np.flatnonzero(scores >= -np.partition(-scores, neighbors - 1)[neighbors - 1])
-        some = some[np.argsort(-scores[some], kind="stable")][:neighbors]
-        return some[scores[some] > -np.inf]
-
-    def multiply(part: pa.Table) -> pa.Table:
-        right = part.column("right").to_numpy(zero_copy_only=False).astype(bool)
-        alone = not right.any() and part.column("p")[0] == part.column("q")[0]
-        out: tuple[list, list, list] = ([], [], [])
-        if not alone and (right.all() or not right.any()):  # one of the blocks is empty
-            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "s": pa.array([], pa.float64())})
-        ids, x = table(part.filter(pa.array(~right)))
-        others, y = (ids, x) if alone else table(part.filter(pa.array(right)))
-
-        def found(source: str, names: np.ndarray, row: np.ndarray) -> None:
-            top = best(row)
-            out[0].extend([source] * len(top))
-            out[1].extend(names[top].tolist())
-            out[2].extend(row[top].tolist())
-
-        for at in range(0, len(ids), 512):
-            scores = np.round(x[at : at + 512] @ y.T, 12)  # equal ones tie, however they were summed
-            scores[ids[at : at + 512, None] == others[None, :]] = -np.inf
-            for source, row in zip(ids[at : at + 512], scores, strict=True):
-                found(source, others, row)
-            if not alone:
-                for source, row in zip(others, np.ascontiguousarray(scores.T), strict=True):
-                    found(source, ids[at : at + 512], row)
-        return pa.table({"a": pa.array(out[0], pa.string()), "b": pa.array(out[1], pa.string()), "s": pa.array(out[2], pa.float64())})
-
-    wide = wide.repartition(blocks * (blocks + 1) // 2, "p", "q")  # a pair of blocks or a few to a task
-    found = wide.groupBy("p", "q").applyInArrow(multiply, "a string, b string, s double")
-    return found.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "b"))).where(F.col("k") <= neighbors)
+    given = scratch(descriptors.select("observation_id", "descriptor"), "cosine-given")
+    rows = given.repartitionByRange(max(1, -(-given.count() // block)), "observation_id").sortWithinPartitions("observation_id")
+    number = lambda uri: int(re.search(r"part-(\d+)[^/]*$", uri)[1])
+    files = sorted(scratch(rows, "cosine-rows").inputFiles(), key=lambda uri: (number(uri), uri))  # in order of the ids
+
+    def pieces(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        system, path = filesystem_of(unquote(uri))
+        with system.open_input_file(path) as file:
+            for part in pq.ParquetFile(file).iter_batches(block, columns=["observation_id", "descriptor"]):
+                if part.num_rows:
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    yield np.array(part.column(0).to_pylist(), object), x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def solve(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        """The best of these rows among all. Others come in order of their ids, so an equal score later on changes nothing."""
+        best, names = np.full((len(ids), neighbors), -np.inf), np.full((len(ids), neighbors), None, object)
+        narrow, slack = x.astype(np.float32), (x.shape[1] + 8) * 2.0**-22
+        for uri in files:
+            for others, y in pieces(uri):
+                flat = y.astype(np.float32).T.copy()
+                same: dict[str, list[int]] = {}
+                if others[0] <= ids[-1] and ids[0] <= others[-1]:
+                    for j, name in enumerate(others):
+                        same.setdefault(name, []).append(j)
+                for at in range(0, len(ids), 256):
+                    rough = narrow[at : at + 256] @ flat
+                    for i, name in enumerate(ids[at : at + 256] if same else ()):
+                        if name in same:
+                            rough[i, same[name]] = -np.inf
+                    least = best[at : at + 256, -1]
+                    if len(others) > neighbors:  # what is surely not among the best of this piece alone
+                        if (least == -np.inf).any():
+                            least = np.maximum(least, np.partition(rough, len(others) - neighbors, axis=1)[:, len(others) - neighbors] - slack)
+                    row, col = np.nonzero(rough >= (least - slack).astype(np.float32)[:, None])
+                    for k in range(0, len(row), 1 << 16):
+                        r, c = row[k : k + (1 << 16)], col[k : k + (1 << 16)]
+                        met = rough[r, c] > -np.inf
+                        r, c = r[met], c[met]
+                        exact = np.round(np.einsum("ij,ij->i", x[at + r], y[c]), 12)  # equal ones tie, however they were summed
+                        better = exact > best[at + r, -1]
+                        r, c, exact = r[better], c[better], exact[better]
+                        begins = np.flatnonzero(np.diff(r, prepend=-1))
+                        for first, end in zip(begins, [*begins, len(r)][1:], strict=True):
+                            i = at + r[first]
+                            scores = np.concatenate([best[i], exact[first:end]])
+                            order = np.argsort(-scores, kind="stable")[:neighbors]
+                            best[i], names[i] = scores[order], np.concatenate([names[i], others[c[first:end]]])[order]
+        row, col = np.nonzero(best > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.string()), pa.array(names[row, col], pa.string()), pa.array(best[row, col], pa.float64())], names=["a", "b", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                for ids, x in pieces(files[k]):
+                    yield solve(ids, x)
+
+    found = spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, "a string, b string, s double")  # a task for each file
+    place = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")  # an id may have several rows
+    return scratch(scratch(found, "cosine-found").withColumn("k", F.row_number().over(place)).where(F.col("k") <= neighbors), "cosine-ranked")
 
 
 def neighbour_pairs(ranked: DataFrame) -> DataFrame:
-    """id1, id2, similarity of the pairs in rows of cosine_neighbours."""
-    return ranked.select(*canonical_pair("a", "b"), "s").groupBy("id1", "id2").agg(F.max("s").alias("similarity"))
+    """id1, id2, similarity of the pairs in rows of cosine_neighbours, which are stored."""
+    return spread(ranked.select(*canonical_pair("a", "b"), "s"), ranked.count(), "id1", "id2").groupBy("id1", "id2").agg(F.max("s").alias("similarity"))
 
 
 def cosine_pairs(descriptors: DataFrame, neighbors: int, *, block: int = 4096) -> DataFrame:

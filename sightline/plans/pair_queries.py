@@ -83,7 +83,7 @@ def j3_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s1_merged_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = scratch(pairs.cosine_neighbours(bound(spark, sf, "descriptors"), 2), "cosine-ranked")  # the nearest one is among the nearest two
+    ranked = pairs.cosine_neighbours(bound(spark, sf, "descriptors"), 2)  # the nearest one is among the nearest two
     learned = pairs.as_candidates(pairs.neighbour_pairs(ranked), "learned", "retrieval", "learned-1")
     again = pairs.as_candidates(pairs.neighbour_pairs(ranked.where("k = 1")), "learned", "retrieval", "learned-0")
     ordered = pairs.as_candidates(_by_order(spark, sf, 2), "sequential", "pairing", "sequential-1")

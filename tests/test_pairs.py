@@ -56,6 +56,24 @@ def test_cosine_blocks_agree(spark):
     assert one == many
 
 
+def test_cosine_rows_are_not_copied_to_meet(spark, monkeypatch):
+    # rows were sent once for each block, and every pair of blocks sent on the best of its rows
+    n, seen, made = 60, [], {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(pairs, "scratch", lambda df, label, *a, f=pairs.scratch: seen.append(plan(df)) or made.setdefault(label, f(df, label, *a)))
+    angles = [(k * 7 % 20) * 0.3 for k in range(n)]  # of each vector there are three
+    names = [f"o{k:02d}" for k in range(n - 1)] + ["o03"]  # an id with two rows
+    df = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in zip(names, angles, strict=True)], "observation_id string, descriptor array<double>")
+    found = {(r.a, r.k): (r.b, round(r.s, 9)) for r in pairs.cosine_neighbours(df, 4, block=4).collect()}
+    want = {}
+    for name in set(names):
+        ranked = sorted((-round(math.cos(a - b), 9) + 0.0, other) for i, a in zip(names, angles, strict=True) if i == name for other, b in zip(names, angles, strict=True) if other != name)
+        want |= {(name, k + 1): (b, -s + 0.0) for k, (s, b) in enumerate(ranked[:4])}
+    assert found == want
+    assert made["cosine-found"].count() == 4 * n and len(made["cosine-rows"].inputFiles()) > 5
+    assert not [p for p in seen if "Generate" in p]
+
+
 def test_recall_without_relevant_pairs_has_no_recall(spark):
     none = spark.createDataFrame([], "id1 string, id2 string")
     cand = spark.createDataFrame([("a", "b", "x")], "id1 string, id2 string, source_id string")
