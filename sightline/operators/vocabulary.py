@@ -158,6 +158,10 @@ def tree_pairs(words: DataFrame, neighbors: int, *, heavy: int = 4096) -> DataFr
     could reach the query's last place get it added. Queries for which that decides
     nothing (the bound is beyond their last place) are compared with all
     observations, block by block (best_in_blocks). So the result is exact for any heavy.
+
+    Observations with the same words, each as often, are compared once: the
+    least of their ids stands for them, and of the neighbors + 1 best of such a
+    kind (itself among them) as many of the least ids are all that can be of use.
     """
     words = scratch(words, "tree-words")
     n = words.select("observation_id").distinct().count()
@@ -167,6 +171,12 @@ def tree_pairs(words: DataFrame, neighbors: int, *, heavy: int = 4096) -> DataFr
     norm = raw.groupBy("observation_id").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("norm"))
     index = raw.join(norm, "observation_id").where("norm > 0 and t > 0").select("observation_id", "word", "df", (F.col("t") / F.col("norm")).alias("w"))
     index = scratch(index, "tree-index")
+    told = index.groupBy("observation_id").agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("x"))
+    told = told.join(words.groupBy("observation_id").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("counts")), "observation_id")
+    told = scratch(told.select("observation_id", F.sha2(F.to_json(F.struct("counts")), 256).alias("kind"), F.aggregate("x", F.lit(0.0), lambda t, e: t + e["w"] * e["w"]).alias("own")), "tree-kinds")
+    kinds = scratch(told.groupBy("kind").agg(F.min("observation_id").alias("first"), F.count("*").alias("members"), F.max("own").alias("own")), "tree-kinds-first")
+    index = scratch(index.join(kinds.select(F.col("first").alias("observation_id")), "observation_id", "left_semi"), "tree-index-of-kinds")
+    asked_for, neighbors = neighbors, neighbors + 1
     light, large = index.where(F.col("df") <= heavy), index.where(F.col("df") > heavy)
 
     def scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -191,8 +201,14 @@ def tree_pairs(words: DataFrame, neighbors: int, *, heavy: int = 4096) -> DataFr
     vectors = scratch(vectors.select("observation_id", F.transform("x", lambda x: x["word"]).alias("words"), F.transform("x", lambda x: x["w"]).alias("weights")), "tree-vectors")
     opened = best_in_blocks(vectors.join(lookup(scratch(asked, "tree-open")), "observation_id", "left_semi"), vectors, neighbors)
     settled_scores = near.select("a", "b", "s").unionByName(more).groupBy("a", "b").agg(F.round(F.sum("s"), DIGITS).alias("s"))
-    every = settled_scores.unionByName(opened)
-    best = every.withColumn("k", F.row_number().over(place)).where(F.col("k") <= neighbors)
+    own = kinds.where("members > 1").select(F.col("first").alias("a"), F.col("first").alias("b"), F.round("own", DIGITS).alias("s"))
+    best = settled_scores.unionByName(opened).unionByName(own).withColumn("k", F.row_number().over(place)).where(F.col("k") <= neighbors).drop("k")
+    placed = told.join(kinds.select("kind", F.col("first").alias("b")), "kind").withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("observation_id")))
+    placed = scratch(placed.where(F.col("k") <= neighbors).select("b", F.col("observation_id").alias("member")), "tree-members")
+    best = best.join(placed, "b").select("a", F.col("member").alias("b"), "s").withColumn("k", F.row_number().over(place)).where(F.col("k") <= neighbors)
+    best = best.select(F.col("a").alias("first"), "b", "s")
+    each = told.join(kinds.select("kind", "first"), "kind").select("first", F.col("observation_id").alias("a")).join(best, "first").where("a <> b").select("a", "b", "s")
+    best = each.withColumn("k", F.row_number().over(place)).where(F.col("k") <= asked_for)
     return best.select(*canonical_pair("a", "b"), "s").groupBy("id1", "id2").agg(F.max("s").alias("similarity"))
 
 

@@ -90,6 +90,22 @@ def test_words_and_pairs_equal_brute_force(spark, seed, branching, depth):
             assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 2e-9 for k in plain)
 
 
+@pytest.mark.parametrize(("neighbors", "heavy"), [(1, 100), (3, 4), (3, 0)])
+def test_equal_observations_are_compared_once(spark, monkeypatch, neighbors, heavy):
+    rng = random.Random(7)
+    kinds = [{w: rng.randint(1, 3) for w in rng.sample(range(8), rng.randint(1, 3))} for _ in range(9)]
+    of = {f"o{k:02d}": kinds[k % 9] for k in rng.sample(range(40), 40)}
+    of["p0"] = kinds[0] | {8: 1}  # one of its own
+    words = {(o, w): n for o, x in of.items() for w, n in x.items()}
+    sizes, asked = {}, vocabulary.best_in_blocks
+    monkeypatch.setattr(vocabulary, "best_in_blocks", lambda queries, rows, *a: sizes.setdefault("rows", rows.count()) and asked(queries, rows, *a))
+    table = spark.createDataFrame([(o, w, n) for (o, w), n in words.items()], "observation_id string, word long, n long")
+    got = {(r.id1, r.id2): r.similarity for r in vocabulary.tree_pairs(table, neighbors, heavy=heavy).collect()}
+    plain = plain_pairs(words, neighbors)
+    assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 2e-9 for k in plain)
+    assert sizes["rows"] <= 10
+
+
 def test_features_that_break_rules(spark):
     good = ("o", 0, [0.0, 1.0])
     for bad, message in (([good, good], "twice"), ([good, ("o", 1, [0.0])], "width"), ([("o", 1, None)], "malformed"), ([("o", 1, [float("nan")])], "malformed"), ([("o", 1, [0.0, None])], "malformed"), ([(None, 1, [0.0])], "malformed"), ([("o", 1, [1e9])], "malformed")):
